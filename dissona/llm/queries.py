@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dissona.runtime import table
 
-from . import langid, packing, pii, quality, secrets, simhash, sstable
+from . import decon, langid, mlm, packing, pii, quality, secrets, simhash, sstable, suffixdedup
 
 
 def op1_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,10 +26,18 @@ def op3_tiled_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_masked_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mlm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op6_suffix_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.remove_repeats(table(spark, sf_dir, "documents"), with_kept=False).drop("kept")
+
+
 def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)))
     model = langid.learn(docs.filter("doc_id is not null and not held_out"))
@@ -45,5 +53,10 @@ def op9_deobfuscated_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.scan_pii(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hierarchical_packing, op2_sstable_shards, op3_tiled_simhash, op5_credential_linking, op7_language_mixture, op8_boosted_quality, op9_deobfuscated_pii)}
+def op10_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decon.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "contaminated", "item_ids", F.array_join(F.transform("hits", lambda h: F.concat_ws(":", h["item_id"], h["start"], h["end"], h["edits"])), ",").alias("spans"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hierarchical_packing, op2_sstable_shards, op3_tiled_simhash, op4_masked_likelihood, op5_credential_linking, op6_suffix_runs, op7_language_mixture, op8_boosted_quality, op9_deobfuscated_pii, op10_qgram_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
