@@ -6,6 +6,8 @@ the same expression, put together again up to that number.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,11 @@ TYPE = "array<struct<metric:string,value:double,unit:string,polarity:string,scop
 _SPACE = r"(?U)\s+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once: inside a lambda an expression would be computed at each of its places."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _map(values: dict[str, str]) -> Column:
     return F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
 
@@ -60,33 +67,38 @@ def extract_quantities(x: Column | str) -> Column:
     With a direction verb: the subject is the metric, numbers of the predicate count, the sign or else the verb is the polarity.
     Without: the metric is what stands before a number, and a number needs a unit or a sign.
     """
-    scope, text = scope_of(x), masked(x)
-    words = F.filter(F.split(text, _SPACE), lambda w: w != "")
-    bare = F.transform(words, lambda w: F.lower(F.regexp_replace(w, "^[.,;:()'\"`]+|[.,;:()'\"`]+$", "")))
-    verb_at = F.array_position(F.transform(bare, lambda w: w.isin(*UP, *DOWN)), True)
-    verb = F.try_element_at(bare, F.when(verb_at > 0, verb_at).cast("int"))
-    has_verb = verb_at > 0
-    before = F.regexp_replace(F.array_join(F.slice(words, F.lit(1), F.greatest(verb_at - 1, F.lit(0)).cast("int")), " "), "[.,;:]+$", "")
-    source = F.when(has_verb, F.array_join(F.slice(words, (verb_at + 1).cast("int"), F.size(words)), " ")).otherwise(text)
-    direction = F.when(verb.isin(*UP), "up").when(verb.isin(*DOWN), "down").otherwise("none")
-    subject = metric_of(before)
-    group = lambda i: F.regexp_extract_all(source, F.lit(NUMBER), F.lit(i))
-    pieces, wholes, signs, values, units, money = F.split(source, NUMBER), group(0), group(2), group(3), group(4), group(1)
-
-    def one(i: Column) -> Column:
-        lead = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), i), lambda j: F.array(F.get(pieces, j), F.when(j < i, F.get(wholes, j)).otherwise("")))), "")
-        sign = F.when(F.get(signs, i) == "+", "pos").when(F.get(signs, i) == "-", "neg").otherwise("none")
+    none = F.array().cast(TYPE)
+
+    def split_at_verb(t: Column) -> Column:
+        words = F.filter(F.split(t["text"], _SPACE), lambda w: w != "")
+        return let(F.struct(t["scope"].alias("scope"), t["text"].alias("text"), words.alias("words")), lambda u: let(F.array_position(F.transform(u["words"], lambda w: F.lower(F.regexp_replace(w, "^[.,;:()'\"`]+|[.,;:()'\"`]+$", "")).isin(*UP, *DOWN)), True).cast("int"), lambda at: sides(u, at)))
+
+    def sides(u: Column, at: Column) -> Column:
+        verb = F.lower(F.regexp_replace(F.try_element_at(u["words"], F.when(at > 0, at)), "^[.,;:()'\"`]+|[.,;:()'\"`]+$", ""))
+        subject = F.regexp_replace(F.array_join(F.slice(u["words"], F.lit(1), F.greatest(at - 1, F.lit(0))), " "), "[.,;:]+$", "")
+        source = F.when(at > 0, F.array_join(F.slice(u["words"], at + 1, F.size(u["words"])), " ")).otherwise(u["text"])
+        direction = F.when(verb.isin(*UP), "up").when(verb.isin(*DOWN), "down").otherwise("none")
+        return let(F.struct(u["scope"].alias("scope"), source.alias("source"), F.when(at > 0, metric_of(subject)).alias("subject"), direction.alias("direction")), numbers)
+
+    def numbers(v: Column) -> Column:
+        group = lambda i: F.regexp_extract_all(v["source"], F.lit(NUMBER), F.lit(i))
+        parts = F.struct(v["scope"].alias("scope"), v["subject"].alias("subject"), v["direction"].alias("direction"), group(3).alias("values"), group(2).alias("signs"), group(4).alias("units"), group(1).alias("money"), F.when(v["subject"].isNull(), group(0)).alias("wholes"), F.when(v["subject"].isNull(), F.split(v["source"], NUMBER)).alias("pieces"))
+        return let(parts, lambda n: F.when(F.size(n["values"]) > 0, F.transform(F.sequence(F.lit(0), F.size(n["values"]) - 1), lambda i: one(n, i))).otherwise(none))
+
+    def one(n: Column, i: Column) -> Column:
+        lead = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), i), lambda j: F.array(F.get(n["pieces"], j), F.when(j < i, F.get(n["wholes"], j)).otherwise("")))), "")
+        sign = F.get(n["signs"], i)
         return F.struct(
-            F.when(has_verb, subject).otherwise(metric_of(lead)).alias("metric"),
-            F.replace(F.get(values, i), F.lit(",")).try_cast("double").alias("value"),
-            unit_of(F.get(units, i), F.get(money, i)).alias("unit"),
-            F.when(sign != "none", sign).otherwise(direction).alias("polarity"),
-            scope.alias("scope"),
+            F.coalesce(n["subject"], metric_of(lead)).alias("metric"),
+            F.replace(F.get(n["values"], i), F.lit(",")).try_cast("double").alias("value"),
+            unit_of(F.get(n["units"], i), F.get(n["money"], i)).alias("unit"),
+            F.when(sign == "+", "pos").when(sign == "-", "neg").otherwise(n["direction"]).alias("polarity"),
+            n["scope"].alias("scope"),
         )
 
-    found = F.when(F.size(values) > 0, F.transform(F.sequence(F.lit(0), F.size(values) - 1), one))
-    kept = F.filter(found, lambda q: q["value"].isNotNull() & (q["metric"] != "") & (q["unit"].isNotNull() | (q["polarity"] != "none")))
-    return F.coalesce(kept.cast(TYPE), F.array().cast(TYPE))
+    found = let(F.struct(scope_of(x).alias("scope"), masked(x).alias("text")), split_at_verb)
+    kept = F.filter(found.cast(TYPE), lambda q: q["value"].isNotNull() & (q["metric"] != "") & (q["unit"].isNotNull() | (q["polarity"] != "none")))
+    return F.when(col(x).rlike(r"(?U)\d"), kept).otherwise(none)
 
 
 def same_subject(a: Column, b: Column) -> Column:
