@@ -56,7 +56,7 @@ def slug(x: Column | str) -> Column:
 
 def score_text(x: Column | str) -> Column:
     """Two decimals, or a dash where there is no score."""
-    return F.coalesce(F.format_string("%.2f", F.bround(col(x).cast("decimal(38,18)"), 2).cast("double")), F.lit("—"))
+    return F.when(col(x).isNull(), F.lit("—")).otherwise(F.bround(col(x).cast("decimal(38,18)"), 2).cast("decimal(38,2)").cast("string"))
 
 
 def quoted_spans(x: Column | str) -> Column:
