@@ -13,6 +13,8 @@ from dissona.functions.ids import hash_id
 from dissona.functions.text import newlines, without_fence
 from dissona.operators.store import first_wins
 
+from .documents import loader
+
 Loader = Callable[[DataFrame], DataFrame]
 # What an upload may have.
 UPLOAD_FILE, UPLOAD_COUNT, UPLOAD_TOTAL = 100 << 20, 100, 500 << 20
@@ -24,21 +26,7 @@ def plain_text(files: DataFrame) -> DataFrame:
     return files.select("path", F.regexp_replace(name, r"\.[^.]*\z", "").alias("title"), newlines(F.decode("content", "UTF-8")).alias("text"))
 
 
-def document_elements(extension: str) -> Loader:
-    """Reads PDF or DOCX by a partitioning library where there is one; raises where there is none."""
-
-    def load(files: DataFrame) -> DataFrame:
-        def run(batches):
-            from unstructured.partition.auto import partition  # noqa: F401  not among this repository's needs
-
-            raise NotImplementedError(f"plug a loader for {extension} into LOADERS")
-
-        return files.mapInPandas(run, "path string, title string, text string")
-
-    return load
-
-
-LOADERS: dict[str, Loader] = {".txt": plain_text, ".md": plain_text, ".pdf": document_elements(".pdf"), ".docx": document_elements(".docx")}
+LOADERS: dict[str, Loader] = {".txt": plain_text, ".md": plain_text, ".pdf": loader(".pdf"), ".docx": loader(".docx")}
 
 
 def extension(path: Column) -> Column:

@@ -32,6 +32,29 @@ def definition_export(assertions: DataFrame, documents: DataFrame) -> DataFrame:
     return x.select("assertion_id", F.coalesce("document", F.col("doc_id").cast("string")).alias("document"), "term", F.coalesce(F.nullif("definition_text", F.lit("")), "assertion_text").alias("definition"))
 
 
+FINDING_COLUMNS = ("finding_id", "detector_type", "doc_a", "doc_b", "text_a", "text_b", "verdict", "reviewer")
+
+
+def finding_export(hydrated: DataFrame, chip: str = "all") -> DataFrame:
+    """FINDING_COLUMNS of a run's findings under a filter, by document labels."""
+    from dissona.operators import audit
+
+    x = audit.chip(hydrated, chip).orderBy("doc_a_label", "doc_b_label", "finding_id")
+    return x.select("finding_id", "detector_type", F.col("doc_a_label").alias("doc_a"), F.col("doc_b_label").alias("doc_b"), F.col("a_text").alias("text_a"), F.col("b_text").alias("text_b"), F.col("judge_verdict").alias("verdict"), F.col("reviewer_verdict").alias("reviewer"))
+
+
+def assertion_table(assertions: DataFrame, documents: DataFrame) -> DataFrame:
+    """Seven columns with the document's label."""
+    label = documents.select("doc_id", doc_label("title", "source_path", "doc_id").alias("document"))
+    x = assertions.join(label, "doc_id", "left").withColumn("document", F.coalesce("document", F.col("doc_id").cast("string")))
+    return x.orderBy("document", "assertion_id").select("assertion_id", "document", "assertion_text", "kind", "term", "char_start", "char_end")
+
+
+def junk_drops(elements: DataFrame, stage: str, reason) -> DataFrame:
+    """stage, reason, doc_id, text_snippet (200 characters) of what a junk rule drops; count by reason for the summary."""
+    return elements.withColumn("reason", reason).filter("reason is not null").select(F.lit(stage).alias("stage"), "reason", "doc_id", F.substring("text", 1, 200).alias("text_snippet"))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
 
@@ -91,3 +114,44 @@ def render_report(run: dict, hydrated: DataFrame) -> str:
             lines += [heading, ""]
         lines.append(r["section"])
     return "\n".join(lines).rstrip("\n") + "\n"
+
+
+def definition_sections(hydrated: DataFrame) -> DataFrame:
+    """ord, heading, section of definition findings that aren't consistent, by term without regard to case, then id."""
+    x = hydrated.filter("reviewer_verdict is distinct from 'false_positive' and detector_type = 'definition_inconsistency' and judge_verdict = 'definition_divergent'")
+    text = F.concat(F.lit("#### Finding `"), "finding_id", F.lit("`\n\n> **A** ("), "doc_a_label", F.lit("): "), "a_text", F.lit("\n\n> **B** ("), "doc_b_label", F.lit("): "), "b_text", F.lit("\n\n**Rationale.** "), F.coalesce("judge_rationale", F.lit("")), F.lit("\n"))
+    return x.select(F.struct(F.lower("term").alias("a"), F.col("finding_id").alias("b")).alias("ord"), F.concat(F.lit("### "), "term").alias("heading"), text.alias("section"))
+
+
+def multi_party_sections(findings: DataFrame, assertions: DataFrame) -> DataFrame:
+    """ord, section of findings on several assertions, each with its texts in order of ids."""
+    member = findings.select("finding_id", F.posexplode(F.array_sort("assertion_ids")).alias("position", "assertion_id")).join(assertions.select("assertion_id", "assertion_text"), "assertion_id")
+    texts = member.groupBy("finding_id").agg(F.array_sort(F.collect_list(F.struct("position", "assertion_text"))).alias("t"))  # three or so
+    x = findings.join(texts, "finding_id")
+    body = F.array_join(F.transform("t", lambda p: F.concat(F.lit("> "), p["assertion_text"])), "\n\n")
+    return x.select(F.col("finding_id").alias("ord"), F.concat(F.lit("#### Finding `"), "finding_id", F.lit("`\n\n"), body, F.lit("\n\n**Rationale.** "), F.coalesce("judge_rationale", F.lit("")), F.lit("\n")).alias("section"))
+
+
+def appended_section(title: str, sections: DataFrame) -> str:
+    """A report's further part; empty without rows."""
+    rows = sections.orderBy("ord").collect()
+    lines, heading = [f"## {title}", ""], None
+    for r in rows:
+        if "heading" in r and r["heading"] != heading:
+            heading = r["heading"]
+            lines += [heading, ""]
+        lines.append(r["section"])
+    return "\n".join(lines) if rows else ""
+
+
+def metrics_table(metrics: DataFrame) -> str:
+    """A Markdown table of a small frame of measures: floats as percentages with one decimal, a dash where there is none."""
+    show = lambda v: "—" if v is None else f"{100 * v:.1f}%" if isinstance(v, float) else str(v)
+    rows = metrics.collect()
+    return "\n".join([f"| {' | '.join(metrics.columns)} |", f"|{' --- |' * len(metrics.columns)}", *(f"| {' | '.join(map(show, r))} |" for r in rows)]) + "\n"
+
+
+def labelling_sheet(findings: DataFrame) -> DataFrame:
+    """Findings of all runs for people to label, the label empty."""
+    x = findings.select("finding_id", "doc_a", "span_a", "doc_b", "span_b", "type", "rationale", F.lit("").alias("label"), F.lit("").alias("notes"))
+    return x.dropDuplicates(["finding_id"]).orderBy("finding_id")
