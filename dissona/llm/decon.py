@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import id_and_text, map_rows
 
-Q, RATE, BLOCK_CHARS = 8, 0.08, 4 << 20
+Q, RATE, BLOCK_CHARS = 8, 0.10, 4 << 20
 _M1, _M2, _M4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 BITS = 20
 
