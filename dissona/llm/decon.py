@@ -157,7 +157,7 @@ class Passages:
                 out.append((i, d, d + m, 0))
                 continue
             low = (value % span - len(c)) * (2 * edits + 1)
-            got = align(self.codes[i], c, low, low + 2 * (2 * edits + 1) - 1, edits)
+            got = align(self.codes[i], c, low - edits, low + 2 * (2 * edits + 1) - 1 + edits, edits)  # a path with a hit in the band may leave it by as many diagonals as edits
             if got:
                 out.append((i, got[1], got[2], got[0]))
         kept: list[tuple[int, int, int, int]] = []
