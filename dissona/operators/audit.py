@@ -129,6 +129,11 @@ def cost_estimate(n_pairs: DataFrame, n_definitions: DataFrame, provider: str =
     return n_pairs.select("n").join(F.broadcast(n_definitions.select(F.col("n").alias("m")))).select(n.alias("n_calls"), F.round(n * low, 6).alias("cost_low"), F.round(n * high, 6).alias("cost_high"))
 
 
+def run_cost_bound(counters: DataFrame, provider: str = "moonshot") -> DataFrame:
+    """cost_high of a run: its judged pairs (n_judged) and definition findings (n_definitions) at the high price."""
+    return counters.select(F.round((F.col("n_judged") + F.col("n_definitions")) * CALL_COST[provider][1], 6).alias("cost_high"))
+
+
 class CostCeilingError(RuntimeError):
     """A check would cost more than allowed."""
 

@@ -9,11 +9,12 @@ from dissona.functions.ids import hash_id
 from dissona.functions.quantities import extract_quantities, numeric_context, short_circuit, sign_flips, value_disagreements
 from dissona.operators import definitions as defs
 from dissona.operators.audit import finding_id, suppressed_findings
+from dissona.operators.chunking import sentence_spans
 from dissona.operators.evaluation import best_label, stronger_direction
 from dissona.operators.gate import ann_gate, within_corpus
 from dissona.runtime import durable
 
-from .plugins import Judge, NliChecker, nli, verdict
+from .plugins import Judge, MultiPartyJudge, NliChecker, multi_verdict, nli, verdict
 
 
 def candidate_rows(pairs: DataFrame, assertions: DataFrame) -> DataFrame:
@@ -64,6 +65,27 @@ def definition_pass(assertions: DataFrame, documents: DataFrame, *, run_id: str,
     return rows.select(finding_id("definition_inconsistency").alias("finding_id"), "*").unionByName(suppressed_findings(pairs, run_id), allowMissingColumns=True)
 
 
+def nli_over_sentences(pairs: DataFrame, premise: str, hypothesis: str, checker: NliChecker, *, key: str, max_chars: int = 1500) -> DataFrame:
+    """key, p: the checker's answer; of a premise over its limit that of the sentence which contradicts most."""
+    x = pairs.select(key, F.col(premise).alias("whole"), F.col(hypothesis).alias("h"))
+    spans = F.when(F.length("whole") > max_chars, sentence_spans(F.col("whole"))).otherwise(F.array(F.struct(F.lit(0).alias("s"), F.length("whole").alias("e"))))
+    parts = x.withColumn("w", F.explode(spans)).select(key, "h", F.trim(F.substring("whole", F.col("w.s") + 1, F.col("w.e") - F.col("w.s"))).alias("part"), "w.s")
+    scored = durable(parts.withColumn("p", nli(parts, "part", "h", checker)))
+    return scored.groupBy(key).agg(F.max_by("p", F.struct(F.col("p.p_contradiction"), -F.col("s"))).alias("p"))
+
+
+def judged_triangles(found: DataFrame, assertions: DataFrame, run_id: str, judge: MultiPartyJudge) -> DataFrame:
+    """triangle_findings with a judge's verdict on the three texts, in order of ids."""
+    x = found
+    for p in "abc":
+        x = x.join(assertions.select(F.col("assertion_id").alias(f"{p}_id"), F.col("assertion_text").alias(f"{p}_text")), f"{p}_id")
+    x = x.withColumn("texts", F.array("a_text", "b_text", "c_text"))
+    asked = durable(x.withColumn("v", multi_verdict(x, "texts", judge)))
+    rows = triangle_findings(asked, run_id)
+    verdicts = asked.select(F.array("a_id", "b_id", "c_id").alias("assertion_ids"), F.col("v.verdict").alias("judge_verdict"), F.col("v.rationale").alias("judge_rationale"), F.col("v.evidence_spans").alias("evidence_spans"))
+    return rows.join(verdicts, "assertion_ids")
+
+
 def triangle_findings(found: DataFrame, run_id: str) -> DataFrame:
     """Rows of three-party findings, ids sorted, before a judge."""
     ids = F.array("a_id", "b_id", "c_id")

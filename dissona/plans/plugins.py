@@ -32,6 +32,10 @@ class Judge(Protocol):
     def judge(self, a: str, b: str, context: str | None) -> tuple[str, str, list[str]]: ...
 
 
+class MultiPartyJudge(Protocol):
+    def judge(self, texts: list[str]) -> tuple[str, str, list[str]]: ...
+
+
 class HashEmbedder:
     """A unit vector from a text's SHA-256, the same everywhere."""
 
@@ -91,26 +95,44 @@ def nli(df: DataFrame, premise: str, hypothesis: str, model: NliChecker) -> Colu
     return run.asNondeterministic()(F.col(premise), F.col(hypothesis))
 
 
+def asked(model: Judge, x: str, y: str, c: str | None) -> tuple[str, str, list[str]]:
+    """An answer; an invalid one is asked for again, and after the last try the verdict is uncertain."""
+    for _ in range(TRIES):
+        try:
+            return model.judge(x, y, c)
+        except ValueError as e:
+            last = str(e)
+    return "uncertain", f"no valid answer: {last}", []
+
+
 def verdict(df: DataFrame, a: str, b: str, context: str, model: Judge) -> Column:
     """VERDICT_TYPE of two texts. An invalid answer is asked again, twice; then the verdict is uncertain. Other errors go through."""
     ship(df.sparkSession)
 
-    def ask(x: str, y: str, c: str | None) -> tuple[str, str, list[str]]:
-        for _ in range(TRIES):
-            try:
-                return model.judge(x, y, c)
-            except ValueError as e:
-                last = str(e)
-        return "uncertain", f"no valid answer: {last}", []
-
     @F.pandas_udf(VERDICT_TYPE)
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for x, y, c in batches:
-            yield pd.DataFrame([ask(*r) for r in zip(x, y, c.where(c.notna(), None), strict=True)], columns=["verdict", "rationale", "evidence_spans"])
+            yield pd.DataFrame([asked(model, *r) for r in zip(x, y, c.where(c.notna(), None), strict=True)], columns=["verdict", "rationale", "evidence_spans"])
 
     return run.asNondeterministic()(F.col(a), F.col(b), F.col(context))
 
 
+def multi_verdict(df: DataFrame, texts: str, model: MultiPartyJudge) -> Column:
+    """VERDICT_TYPE of an array of texts; asked again as for pairs."""
+    ship(df.sparkSession)
+
+    class Paired:
+        def judge(self, a: list[str], b: None, context: None) -> tuple[str, str, list[str]]:
+            return model.judge(a)
+
+    @F.pandas_udf(VERDICT_TYPE)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            yield pd.DataFrame([asked(Paired(), list(x), None, None) for x in t], columns=["verdict", "rationale", "evidence_spans"])
+
+    return run.asNondeterministic()(F.col(texts))
+
+
 def make_judge(provider: str, models: dict[str, Callable[[], Judge]]) -> Judge:
     """A judge by its provider's name; one that isn't plugged in raises."""
     if provider not in models:

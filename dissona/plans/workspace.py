@@ -28,7 +28,7 @@ MIGRATIONS = (
     (3, "embeddings", "assertion_id string, doc_id string, embedding array<float>, embedded_at timestamp_ntz"),
     (4, "run_events", "run_id string, corpus_id string, run_kind string, status string, seq long, at timestamp_ntz, message string"),
     (5, "findings", "finding_id string, run_id string, detector_type string, assertion_a_id string, assertion_b_id string, gate_score double, nli_label string, nli_p_contradiction double, nli_p_entailment double, nli_p_neutral double, judge_verdict string, judge_rationale string, evidence_spans array<string>, suppressed boolean"),
-    (6, "multi_party_findings", "finding_id string, run_id string, assertion_ids array<string>, edge_scores array<struct<a:string,b:string,score:double>>"),
+    (6, "multi_party_findings", "finding_id string, run_id string, assertion_ids array<string>, edge_scores array<struct<a:string,b:string,score:double>>, judge_verdict string, judge_rationale string, evidence_spans array<string>"),
     (7, "verdict_events", "pair_key string, detector_type string, verdict string, note string, set_at timestamp_ntz"),
     (8, "corpora", "corpus_id string, corpus_name string, corpus_path string, judge_provider string, created_at timestamp_ntz"),
     (9, "junk_drops", "stage string, reason string, doc_id string, text_snippet string"),
@@ -235,7 +235,7 @@ class Workspace:
         defs = definitions.definition_pair_counts(self._definitions(own), across_organisations=not config.scope_definitions_by_org).select(F.col("n_to_judge").alias("n"))
         return audit.cost_estimate(pairs, defs, config.judge_provider)
 
-    def check(self, corpus: str, *, judge: plugins.Judge, checker: plugins.NliChecker | None = None, config: readers.Config | None = None) -> str:
+    def check(self, corpus: str, *, judge: plugins.Judge, checker: plugins.NliChecker | None = None, multi_judge: plugins.MultiPartyJudge | None = None, config: readers.Config | None = None) -> str:
         """A run of the detectors that are on; its id. Pairs are made only if pairwise is on; deep needs it."""
         config, own = config or readers.Config(), self.corpus_id(corpus)
         if config.deep and not config.pairwise_enabled:
@@ -251,7 +251,8 @@ class Workspace:
                 if config.deep:
                     weak = self._pairs(own, config, 0.5, 50)
                     found = triangles.top_triangles(triangles.triangles(triangles.union_edges(strong, weak), members, id_column="assertion_id"), config.max_triangles_per_run)
-                    self.append("multi_party_findings", pipeline.triangle_findings(triangles.with_strong_edges(found, strong), run), "finding_id")
+                    found = triangles.with_strong_edges(found, strong)
+                    self.append("multi_party_findings", pipeline.triangle_findings(found, run) if multi_judge is None else pipeline.judged_triangles(found, members, run, multi_judge), "finding_id")
             for df in made:
                 old = old.unionByName(df, allowMissingColumns=True)
             self.write("findings", old)
@@ -285,7 +286,7 @@ class Workspace:
         n = f.agg(F.count_if(F.col("detector_type") == "contradiction").alias("judged"), F.count_if(F.col("judge_verdict").isin("contradiction", "numeric_short_circuit")).alias("found")).first()
         text = sinks.render_report({"run_id": run_id, "n_assertions": self.read("assertions").count(), "n_pairs_gated": n["judged"], "n_pairs_judged": n["judged"], "n_findings": n["found"]}, f)
         terms = self.read("assertions").select(F.col("assertion_id").alias("assertion_a_id"), "term")
-        multi = self.read("multi_party_findings").filter(F.col("run_id") == run_id).withColumn("judge_rationale", F.lit(""))
+        multi = self.read("multi_party_findings").filter(F.col("run_id") == run_id)
         more = [sinks.appended_section("Multi-party findings", sinks.multi_party_sections(multi, self.read("assertions"))), sinks.appended_section("Definition findings", sinks.definition_sections(f.join(terms, "assertion_a_id")))]
         return "\n".join([text, *(m for m in more if m)])
 
