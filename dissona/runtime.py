@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
+#: Rows of an Arrow batch: Spark's default and this package's, as texts are long.
+BATCH_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2048")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, for functions that run in Python there."""
+    """Send this package to the executors once per application, for functions that run in Python there, and keep Arrow batches of texts small."""
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_ROWS[0], BATCH_ROWS[1]) == BATCH_ROWS[1]:  # unless the session says otherwise
+        spark.conf.set(BATCH_ROWS[0], BATCH_ROWS[2])
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     if sc.applicationId in _shipped:
         return
     target = os.path.join(tempfile.mkdtemp(prefix="dissona"), f"dissona_{sc.applicationId.replace('-', '_')}.zip")
