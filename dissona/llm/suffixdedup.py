@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dissona.runtime import durable, rows_bound, ship
+from dissona.runtime import durable, rows_bound, ship, stored
 
 from .runs import merge_equal, sorted_runs
 
@@ -100,19 +100,27 @@ def _batch(names: list[str], kinds: list[pa.DataType], columns: list) -> pa.Reco
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
 
+def _shared(blocks: DataFrame) -> DataFrame:
+    """The blocks whose core is at two places."""
+    cores = blocks.groupBy("core").agg(F.min("place").alias("a"), F.max("place").alias("b")).filter("a <> b").select("core")
+    return blocks.join(cores, "core", "left_semi")
+
+
 def _settle(blocks: DataFrame, payload: list[str]) -> tuple[DataFrame, DataFrame]:
     """blocks: core, full, place and payload. Gives those with full at two places, and one of each full whose core has an open block and another full.
 
     Hot cores and fulls are combined before the shuffles; the joins back can be split.
     """
-    classes = durable(blocks.groupBy("core", "full").agg(F.min("place").alias("a"), F.max("place").alias("b"), F.min(F.struct("place", *payload)).alias("one")))
-    cores = classes.groupBy("core").agg(F.count("*").alias("n"), F.max(F.col("a") == F.col("b")).alias("open")).filter("n > 1 and open").select("core")
-    twice = classes.filter("a <> b").select("full")
-    left = classes.join(_small(cores), "core", "left_semi").select("one.*", "core")
-    return blocks.join(_small(twice), "full", "left_semi"), left
+    classes = durable(blocks.groupBy("core", "full").agg(F.max("place").alias("b"), F.min(F.struct("place", *payload)).alias("one")))
+    once = F.col("one.place") == F.col("b")
+    cores = classes.groupBy("core").agg(F.count("*").alias("n"), F.max(once).alias("open")).filter("n > 1 and open").select("core")
+    twice = classes.filter(~once).select("full")
+    left = classes.join(cores, "core", "left_semi").select("one.*", "core")
+    return durable(blocks.join(twice, "full", "left_semi").select("key", "first", "end")), durable(left.select("key", "anchor", "first", "end", "core"))
 
 
 def _small(df: DataFrame) -> DataFrame:
+    """For joins with texts: what is counted to be few rows is broadcast, so that texts needn't be dealt out."""
     df = durable(df)
     return F.broadcast(df) if rows_bound(df, BROADCAST_ROWS) else df
 
@@ -135,9 +143,8 @@ def repeated_windows(texts: DataFrame, *, length: int = LENGTH, gram: int = GRAM
 
     place = F.xxhash64("key", "anchor")
     found = texts.mapInArrow(anchors, "core long, full binary, key binary, anchor long, first long, end long").withColumn("place", place)
-    found = durable(found)
-    shared = found.groupBy("core").agg(F.min("place").alias("a"), F.max("place").alias("b")).filter("a <> b").select("core")
-    found = durable(found.join(_small(shared), "core", "left_semi"))
+    with stored(found) as every:
+        found = durable(_shared(every))
     whole, left = _settle(found, ["key", "anchor", "first", "end"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,8 +169,9 @@ def repeated_windows(texts: DataFrame, *, length: int = LENGTH, gram: int = GRAM
 
     joined = texts.join(_small(left.groupBy("key").agg(F.collect_list(F.struct("anchor", "first", "end")).alias("parts"))), "key")
     cut = joined.select("key", "data", "parts").mapInArrow(blocks, "core long, full binary, key binary, anchor long, first long, end long, start long")
-    cut = durable(cut.withColumn("full", F.coalesce("full", F.concat("key", F.encode(F.col("start").cast("string"), "UTF-8")))).withColumn("place", F.xxhash64("key", "start")))
-    whole2, left2 = _settle(cut, ["key", "anchor", "first", "end"])
+    cut = cut.withColumn("full", F.coalesce("full", F.concat("key", F.encode(F.col("start").cast("string"), "UTF-8")))).withColumn("place", F.xxhash64("key", "start"))
+    with stored(cut) as every:
+        whole2, left2 = _settle(durable(_shared(every)), ["key", "anchor", "first", "end"])
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, bytes, int]]:
         """Compact suffixes of open blocks: the name of the bytes all share, the offset, and the bytes on both sides of them."""
