@@ -225,6 +225,23 @@ def test_training_helps(spark, docs):
     assert mean(mlm.train(x, start)) > mean(start) + 0.02
 
 
+def test_vocabulary_grows_and_a_word_is_told_from_its_like(spark):
+    """Two words of one frequency and one class, each in its own surroundings; exchanged, they are less likely."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["red fox runs", "blue owl flies"]) for _ in range(40)) + f" rare{i}" for i in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words, by = mlm.word_counts(df)
+    start = mlm.untrained(words, by)
+    net = mlm.train(df, mlm.untrained(words, by, classes=1))
+    assert len(start.bias) > 1 and net.class_of[net.words["fox"]] == net.class_of[net.words["owl"]]
+    _, (own, other) = mlm.score_texts(net, ["red fox runs", "red owl runs"])
+    assert own > other + 0.5
+    more = spark.createDataFrame([(i, " ".join(f"w{int(rng.paretovariate(0.7)) % 10**6}" for _ in range(100))) for i in range(4000)], "doc_id long, text string")
+    few, many = mlm.word_counts(more.limit(100)), mlm.word_counts(more)
+    assert len(many[0]) > 2 * len(few[0]) and len(many[1]) > 2 * len(few[1])
+    assert len(mlm.untrained(*many).bias) > len(mlm.untrained(*few).bias)
+
+
 def test_secrets():
     key = "AKIA" + "A1B2C3D4E5F6G7H8"
     blob = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
