@@ -84,7 +84,7 @@ DIRECT = re.compile(r"[\x20\t]*[\[({<][\x20\t]*(at|dot|punkt|punto|point|arroba|
 ENDINGS = "com|net|org|edu|gov|mil|int|info|biz|name|io|ai|app|dev|co|me|tv|eu|us|uk|ca|au|nz|ie|de|at|ch|fr|be|nl|lu|es|pt|it|se|no|dk|fi|pl|cz|ru|ua|jp|cn|kr|in|br|mx|ar|cl|za|test|example|invalid"
 PLAIN = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(\x20+at\x20+)[A-Za-z0-9-]+(?:(?:\x20+dot\x20+|\.)[A-Za-z0-9-]+)*(?:\x20+dot\x20+|\.)(?:{ENDINGS})(?![A-Za-z0-9-])", re.I)  # words alone are no disguise: the last one must end a host's name
 DOT = re.compile(r"\x20+dot\x20+", re.I)
-SIGNS = re.compile(r"[\[({<][\x20\t]*(?:at|dot|punkt|punto|point|arroba|@|\.)[\x20\t]*[\])}>]|\bdot\b|\b(?:three|seven|eight)\b|[^\x00-ɏ—‘-”…]|\xad", re.I)
+SIGNS = re.compile(rf"[\[({{<][\x20\t]*(?:at|dot|punkt|punto|point|arroba|@|\.)[\x20\t]*[\])}}>]|\bdot\b|(?<![^\W_])(?:{WORD})[\x20,.-]{{1,3}}(?:{WORD}|[0-9])|[^\x00-ɏ—‘’“”…]|\xad", re.I)
 
 
 class Mapped:

@@ -402,6 +402,17 @@ def test_disguised_pii_maps_back():
         assert pii.scan_text(clean) == ([], []), clean
 
 
+@pytest.mark.parametrize(("text", "part"), [
+    ("call plus four four two zero six nine four six zero one two", "plus four four two zero six nine four six zero one two"),
+    ("call Plus-four-four-two-oh-six-nine-four-six-oh-one now", "Plus-four-four-two-oh-six-nine-four-six-oh-one"),
+    ("call plus 44 20 69 46 01 22 now", "plus 44 20 69 46 01 22"),
+    ("card four one one one one one one one one one one one one one one one", None),
+])
+def test_numbers_spelled_without_three_seven_eight(text, part):
+    base, more = pii.scan_text(text)
+    assert base == [] and [text[s:e] for _, s, e in more] == [part or text[5:]]
+
+
 def test_leaks_against_full_alignment():
     rng = random.Random(2)
     words = "tion er the and of re on ing al en th".split()
