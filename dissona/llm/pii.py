@@ -81,9 +81,14 @@ WORD = "|".join(SPELLED)
 RUN = re.compile(rf"(?<![^\W_])(?:{WORD})(?:[\x20,.-]{{1,3}}(?:{WORD}|[0-9]+)){{5,}}(?![^\W_])", re.I)
 ONE = re.compile(rf"(?<![^\W_])(?:{WORD}|[0-9]+)(?![^\W_])", re.I)
 DIRECT = re.compile(r"[\x20\t]*[\[({<][\x20\t]*(at|dot|punkt|punto|point|arroba|@|\.)[\x20\t]*[\])}>][\x20\t]*", re.I)
-ENDINGS = "com|net|org|edu|gov|mil|int|info|biz|name|io|ai|app|dev|co|me|tv|eu|us|uk|ca|au|nz|ie|de|at|ch|fr|be|nl|lu|es|pt|it|se|no|dk|fi|pl|cz|ru|ua|jp|cn|kr|in|br|mx|ar|cl|za|test|example|invalid"
-PLAIN = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(\x20+at\x20+)[A-Za-z0-9-]+(?:(?:\x20+dot\x20+|\.)[A-Za-z0-9-]+)*(?:\x20+dot\x20+|\.)(?:{ENDINGS})(?![A-Za-z0-9-])", re.I)  # words alone are no disguise: the last one must end a host's name
-DOT = re.compile(r"\x20+dot\x20+", re.I)
+ENDINGS = frozenset(
+    "com net org edu gov mil int info biz name io ai app dev pro xyz online site store shop tech cloud club live blog top world email agency digital media jobs mobi cat coop aero museum travel asia post tel arpa test example invalid local "
+    "ac ad ae af ag al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bv bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz de dj dk dm do dz ec ee eg er es et eu fi fj fk fm fo fr "
+    "ga gb gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in iq ir is it je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz "
+    "na nc ne nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sj sk sl sm sn so sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw".split()
+)
+PLAIN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(@|\x20+at\x20+)[A-Za-z0-9-]+(?:(?:\x20+dot\x20+|\.)[A-Za-z0-9-]+)+", re.I)
+DOT = re.compile(r"(\x20+dot\x20+|\.)([A-Za-z0-9-]+)", re.I)
 SIGNS = re.compile(rf"[\[({{<][\x20\t]*(?:at|dot|punkt|punto|point|arroba|@|\.)[\x20\t]*[\])}}>]|\bdot\b|(?<![^\W_])(?:{WORD})[\x20,.-]{{1,3}}(?:{WORD}|[0-9])|[^\x00-ɏ—‘’“”…]|\xad", re.I)
 
 
@@ -132,10 +137,16 @@ def transduce(text: str) -> Mapped:
             out.rewrite([(i, i + 1, known[c]) for i, c in enumerate(text) if known.get(c) is not None])
     out.rewrite([(m.start(), m.end(), "@" if m[1].lower() in ("at", "arroba", "@") else ".") for m in DIRECT.finditer(out.text)])
     edits = []
-    for m in PLAIN.finditer(out.text):
-        dots = [(d.start(), d.end(), ".") for d in DOT.finditer(out.text, m.end(1), m.end())]
-        if dots:  # a plain "at" counts only with a spelled dot
-            edits += [(m.start(1), m.end(1), "@"), *dots]
+    for m in PLAIN.finditer(out.text):  # signs in brackets are @ and . by now, and marked
+        dots = list(DOT.finditer(out.text, m.end(1), m.end()))
+        while dots and dots[-1][1] != "." and dots[-1][2].lower() not in ENDINGS:  # words alone are no disguise: the last one must end a host's name
+            dots.pop()
+        spelled = [(d.start(1), d.end(1), ".") for d in dots if d[1] != "."]
+        if m[1] != "@" and (spelled or any(out.changed[d.start(1)] for d in dots)):  # a plain "at" counts only with a dot in disguise
+            edits.append((m.start(1), m.end(1), "@"))
+        elif m[1] != "@":
+            continue
+        edits += spelled
     out.rewrite(edits)
     edits = []
     for m in RUN.finditer(out.text):
@@ -157,8 +168,8 @@ def scan_text(text: str | None) -> tuple[list[Span], list[Span]]:
     order = sorted((s, e) for _, s, e in base)
     more, starts, reach = [], [s for s, _ in order], list(accumulate((e for _, e in order), max))
     for kind, s, e in detect(plain.text):
-        if any(plain.changed[s:e]):
-            a, b = min(plain.starts[s:e]), max(plain.ends[s:e])
+        a, b = min(plain.starts[s:e]), max(plain.ends[s:e])
+        if any(plain.changed[s:e]) or b - a > e - s:  # longer: something vanished inside
             i = bisect_right(starts, a)
             if not i or reach[i - 1] < b:
                 more.append((kind, a, b))

@@ -413,6 +413,20 @@ def test_numbers_spelled_without_three_seven_eight(text, part):
     assert base == [] and [text[s:e] for _, s, e in more] == [part or text[5:]]
 
 
+def test_each_disguise_of_an_address_alone_and_with_others():
+    for at in ("@", " at ", " (at) ", "[at]"):
+        for dots in [(a, b) for a in (".", " dot ", " [dot] ", "(.)") for b in (".", " dot ", " [dot] ", "(.)")]:
+            part = f"jane{at}mail{dots[0]}example{dots[1]}gr"
+            text = f"write to {part}, today"
+            base, more = pii.scan_text(text)
+            want = [] if dots == (".", ".") and at in ("@", " at ") else [part]  # the first is plain, and "at" before a plain host is prose
+            assert [text[s:e] for _, s, e in more] == want, text
+    for part in ("jane@exam\u200bple.com", "192.168.\u200b0.1", "ja\xadne@example.com", "jane@exam\u2060ple dot hu", "jane at example dot xyz"):
+        assert [f"to {part} now"[s:e] for _, s, e in pii.scan_text(f"to {part} now")[1]] == [part], part
+    for clean in ("jane@example.com dot the i", "\u200bjane@example.com\u200b", "see us at example.com"):
+        assert pii.scan_text(clean)[1] == [], clean
+
+
 def test_leaks_against_full_alignment():
     rng = random.Random(2)
     words = "tion er the and of re on ing al en th".split()
