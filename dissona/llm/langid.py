@@ -2,8 +2,9 @@
 
 A language is a distribution over hashed character n-grams, counted over all documents to learn from. A document's n-grams come
 from a mixture of languages, whose proportions expectation-maximisation estimates (all documents of a batch at once, as matrix
-products). The set of languages is chosen by penalised likelihood: sets of the best one, two, three ... languages are fitted, and
-each language beyond the first must earn half the logarithm of the number of n-grams. The prediction is the language with the
+products). The set of languages is chosen by penalised likelihood: sets of the best one, two, three ... up to all languages are fitted,
+and each language beyond the first must earn half the logarithm of the number of n-grams. A size is left out only where an upper
+bound on the likelihood of any mixture shows that it can't win. The prediction is the language with the
 largest share; the score is that share or, for a set of one, its posterior among single languages.
 
 Defined cases: a null text or one without a letter is `und` with score 0, as is every text when nothing can be learnt; rows with
@@ -89,7 +90,7 @@ def mixtures(c: np.ndarray, p: np.ndarray, allowed: np.ndarray, rounds: int) ->
     return pi, (c * np.log(pi @ p)).sum(1)
 
 
-def predict_counts(c: np.ndarray, model: Languages, most: int = 3, rounds: int = 10, overlap: float = 3.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def predict_counts(c: np.ndarray, model: Languages, most: int | None = None, rounds: int = 10, overlap: float = 3.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Language number, score, and the shares of the chosen set, for each row of counts. Trigrams overlap, so a likelihood counts a third."""
     c, p = c.astype(np.float32), model.p.astype(np.float32)
     k = len(p)
@@ -99,22 +100,26 @@ def predict_counts(c: np.ndarray, model: Languages, most: int = 3, rounds: int =
     shares = np.eye(k, dtype=np.float64)[best]
     score = 1 / posterior.sum(1)
     value = single.max(1).astype(np.float64)
-    pi, _ = mixtures(c, p, np.ones((len(c), k), np.float32), rounds)
+    pi, ll = mixtures(c, p, np.ones((len(c), k), np.float32), rounds)
+    n = np.maximum(c.sum(1), 1).astype(np.float64)
+    limit = (ll + n * np.log(((c / (pi @ p)) @ p.T / n[:, None]).max(1)) + 1) / overlap  # no mixture is likelier (Jensen); 1 for rounding
     order = np.argsort(-pi, axis=1, kind="stable")
     penalty = 0.5 * np.log(np.maximum(c.sum(1), 2.0))
-    for size in range(2, min(most, k) + 1):
-        allowed = np.zeros_like(pi)
-        np.put_along_axis(allowed, order[:, :size], 1, 1)
-        q, ll = mixtures(c, p, allowed, rounds)
-        v = ll / overlap - (size - 1) * penalty
-        better = v > value + 1e-6
-        value = np.where(better, v, value)
-        shares[better] = q[better]
-        score = np.where(better, q.max(1), score)
+    for size in range(2, min(most or k, k) + 1):
+        at = np.flatnonzero(limit - (size - 1) * penalty > value)
+        if not len(at):
+            break
+        allowed = np.zeros((len(at), k), pi.dtype)
+        np.put_along_axis(allowed, order[at, :size], 1, 1)
+        q, ll = mixtures(c[at], p, allowed, rounds)
+        v = ll / overlap - (size - 1) * penalty[at]
+        better = v > value[at] + 1e-6
+        at, q = at[better], q[better]
+        value[at], shares[at], score[at] = v[better], q, q.max(1)
     return shares.argmax(1), np.clip(score, 0, 1), shares
 
 
-def predict_languages(docs: DataFrame, model: Languages, *, keep: tuple[str, ...] = ("doc_id",), text_column: str = "text", most: int = 3) -> DataFrame:
+def predict_languages(docs: DataFrame, model: Languages, *, keep: tuple[str, ...] = ("doc_id",), text_column: str = "text", most: int | None = None) -> DataFrame:
     """The columns `keep`, lang_pred, score, and languages ARRAY<STRUCT<lang, share>> of the chosen set, by share. No shuffle."""
     kept = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_column}`").cast("string").alias("__text"))
     types = kept.schema

@@ -312,6 +312,18 @@ def test_mixture_finds_both_languages(spark, docs):
     assert (got[3]["lang_pred"], got[3]["score"], got[4]["lang_pred"]) == ("und", 0.0, "und")
 
 
+def test_mixture_of_all_languages(spark, docs):
+    model = langid.learn(docs)
+    by = {}
+    for r in docs.filter("n_chars between 600 and 3000").collect():
+        by.setdefault(r["lang"], r["text"][:600])
+    names = sorted(by)
+    assert len(names) == 4
+    df = spark.createDataFrame([(1, " ".join(by.values())), (2, " ".join(by[n] for n in names[:3]))], "doc_id long, text string")
+    got = {r["doc_id"]: [x["lang"] for x in r["languages"]] for r in langid.predict_languages(df, model).collect()}
+    assert sorted(got[1]) == names and sorted(got[2]) == names[:3]
+
+
 def test_mixture_against_plain_expectation_maximisation():
     rng = np.random.default_rng(0)
     p = rng.dirichlet(np.ones(30), 3)
