@@ -1,10 +1,10 @@
 """Secret scans: multipart credential linking.
 
 Base kinds (assign, access, hex) are found in every text. Beyond them, *weak* candidates are collected: access identifiers
-without a telling form (`ident`), bare 40-character strings (`blob`) and endpoints (`endpoint`). A weak candidate alone says
+without a telling form (`ident`), bare strings of 20 characters or more that look random (`blob`) and endpoints (`endpoint`). A weak candidate alone says
 nothing; it is reported only when complementary parts of one credential co-occur. Candidates are intervals; a scope is a
 paragraph (text between blank lines). Each candidate is joined to the scope whose interval contains its start by binary search,
-then within the scope to parts at most `reach` characters away by a sorted interval join.
+and to its scope's complementary parts however far away they stand (`reach` can bound the distance in characters).
 
 Defined cases: null text is empty (no spans); a null doc_id stays null; repeated rows give repeated results; an empty table gives
 an empty result; other columns are ignored; texts are processed whole, in time proportional to their length.
@@ -30,7 +30,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the first 24 characters of a run start its match, so this finds the same runs as + with a length test
 IDENT = re.compile(r"""(?<![A-Za-z0-9])(?:client_?id|user(?:_?name)?|login|access_key(?:_id)?|account(?:_id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,})""", re.I | re.A)
-BLOB = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/])")
+BLOB = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{20,}={0,2}")
 ENDPOINT = re.compile(r"""(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s"'<>]{4,}|(?<![A-Za-z0-9])(?:host|endpoint|server|region|bucket)["']?\x20*[:=]\x20*["']?[A-Za-z0-9][A-Za-z0-9.:-]{2,}""", re.I | re.A)
 BREAK = re.compile(r"\n[\x20\t\r]*\n")
 
@@ -60,15 +60,17 @@ def weak_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
     if "=" in text or ":" in text:
         found += [(m.start(), 3, m.end()) for m in IDENT.finditer(text)]
         found += [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)]
-    found += [(m.start(), 4, m.end()) for m in BLOB.finditer(text) if _random_looking(m[0])]
-    starts = [s for s, _, _ in taken]
-    ends = sorted(e for _, _, e in taken)
-    free = lambda s, e: bisect_left(starts, e) == bisect_right(ends, s)  # noqa: E731  as many base spans begin before e as end by s
-    return sorted(x for x in found if free(x[0], x[2]))
 
+    def free(spans: list[tuple[int, int, int]], of: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        starts, ends = sorted(s for s, _, _ in of), sorted(e for _, _, e in of)
+        return [x for x in spans if bisect_left(starts, x[2]) == bisect_right(ends, x[0])]  # as many begin before its end as end by its start
 
-def link(text: str, base: list[tuple[int, int, int]], weak: list[tuple[int, int, int]], reach: int) -> list[tuple[int, int, int]]:
-    """The weak candidates whose complementary parts are in their scope within reach.
+    blobs = [(m.start(), 4, m.end()) for m in BLOB.finditer(text) if _random_looking(m[0])]
+    return sorted(free(found + free(blobs, found), taken))  # the value of an identifier isn't its secret, nor is a part of an address
+
+
+def link(text: str, base: list[tuple[int, int, int]], weak: list[tuple[int, int, int]], reach: int | None) -> list[tuple[int, int, int]]:
+    """The weak candidates whose complementary parts are in their scope, within reach if that is given.
 
     identifier: access or ident; secret: assign, hex or blob; endpoint. An identifier needs a secret, a bare string needs an
     identifier, an endpoint needs both.
@@ -83,6 +85,8 @@ def link(text: str, base: list[tuple[int, int, int]], weak: list[tuple[int, int,
 
     def near(x: tuple[int, int, int], role: str) -> bool:
         at = parts.get((scope(x), role), [])
+        if reach is None:
+            return bool(at)
         i = bisect_left(at, x[0] - reach)
         return i < len(at) and at[i] <= x[2] + reach
 
@@ -90,7 +94,7 @@ def link(text: str, base: list[tuple[int, int, int]], weak: list[tuple[int, int,
     return [x for x in weak if all(near(x, role) for role in need[x[1]])]
 
 
-def scan_text(text: str | None, reach: int = 400) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def scan_text(text: str | None, reach: int | None = None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and the linked weak ones."""
     text = text or ""
     base = base_spans(text)
@@ -105,7 +109,7 @@ def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def scan_secrets(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", reach: int = 400) -> DataFrame:
+def scan_secrets(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", reach: int | None = None) -> DataFrame:
     """One row per document: doc_id, and spans ARRAY<STRUCT<kind, start, end, base>> by start, then kind; code points, end exclusive. No shuffle."""
 
     def run(columns: list[list]) -> list[list]:
@@ -119,7 +123,7 @@ def scan_secrets(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
     return map_rows(id_and_text(docs, id_column, text_column), run, "doc_id long, spans array<struct<kind:string,start:long,end:long,base:boolean>>", [pa.int64(), kind])
 
 
-def redact_text(text: str | None, reach: int = 400) -> str | None:
+def redact_text(text: str | None, reach: int | None = None) -> str | None:
     """The text with each span replaced by <secret>; overlapping spans go as one."""
     if text is None:
         return None

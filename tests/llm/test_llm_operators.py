@@ -253,6 +253,18 @@ def test_secrets():
     assert secrets.redact_text(None) is None
 
 
+def test_credentials_are_linked_over_a_whole_paragraph():
+    far = " filler" * 300
+    rng = random.Random(4)
+    for n in (24, 32, 40, 44, 64, 88):
+        blob = "aB3" + "".join(rng.sample("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-_" * 2, n - 3))
+        text = f"client_id: jane77{far} {blob}{far} host: db.example.com"
+        assert [secrets.KINDS[k] for _, k, _ in secrets.scan_text(text)[1]] == ["ident", "blob", "endpoint"], n
+        assert blob in text and blob not in secrets.redact_text(text)
+        assert secrets.scan_text(text.replace(far, f"{far}\n\n"))[1] == []
+        assert secrets.scan_text(f"client_id: {blob} host: db.example.com")[1] == []
+
+
 def test_secret_base_against_the_contract():
     rng = random.Random(3)
     bits = ["token", "Secret", "api_key", "apikey", "passwd", " ", "=", ":", '"', "'", "abc", "0123456789abcdef" * 2, "AKIA", "ABCD1234" * 2, "é", "\n", "x", "/+-._", "ſecret", "toKen"]
