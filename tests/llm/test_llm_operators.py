@@ -59,15 +59,35 @@ def test_empty_table(spark, awkward, tmp_path):
     assert set(got.values()) == {0}
 
 
-def test_ids_are_those_of_whole_texts(coder):
+@pytest.fixture(scope="session")
+def library():
+    """The tokenizer as its file has it, with nothing set."""
+    from tokenizers import Tokenizer
+
+    return lambda text, read=Tokenizer.from_file(default_path()): np.array(read.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_ids_are_those_of_whole_texts(coder, library):
+    assert coder.regular and coder.added
+    assert library("a <|endoftext|> b") == np.array([64, 220, 50256, 275], "<u4").tobytes() == coder.ids("a <|endoftext|> b")
     rng = random.Random(1)
-    bits = [*"ab \n\t  'sé1_-%$€", " ", "　", "᠎", "\x1c", "\x85", "​", "日本", "<|endoftext|>", "'ll", "don't", " the", " 12", " ..", "Word,"]
+    bits = [*"ab \n\t  'sé1_-%$€", " ", "　", "᠎", "\x1c", "\x85", "​", "日本", "<|endoftext|>", "'ll", "don't", " the", " 12", " ..", "Word,", "<|endof", "text|>", "½", "²", "Ⅷ", "x²", "\u0301"]
     for _ in range(4000):
         t = "".join(rng.choices(bits, k=rng.randint(0, 14)))
-        assert coder.ids(t) == coder.whole(t), t
+        assert coder.ids(t) == library(t), t
+
+
+def test_a_tokenizer_of_another_kind_gets_whole_texts(tmp_path):
+    import json
+
+    known = json.load(open(default_path()))
+    known["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "t.json").write_text(json.dumps(known))
+    other = Coder(str(tmp_path / "t.json"))
+    assert not other.regular and other.ids("two words") == other.whole("two words") == Coder(default_path()).ids(" two words")
 
 
-def test_packing(spark, awkward, coder):
+def test_packing(spark, awkward, library):
     rows = packing.pack_documents(awkward.repartition(3)).collect()
     whole = {}
     for r in rows:
@@ -78,7 +98,7 @@ def test_packing(spark, awkward, coder):
         if sum(t["doc_id"] == doc for t in texts) == 1:
             parts.sort(key=lambda r: r["start"])
             text = next(t["text"] for t in texts if t["doc_id"] == doc)
-            assert b"".join(p["ids"] for p in parts) == coder.whole(text or "") + bytes(4)
+            assert b"".join(p["ids"] for p in parts) == library(text or "") + bytes(4)
             assert [p["start"] for p in parts] == list(np.cumsum([0] + [p["length"] for p in parts[:-1]]))
             assert {p["doc_tokens"] for p in parts} == {sum(p["length"] for p in parts)}
     by = {}
@@ -100,7 +120,7 @@ def test_packing_is_tight_and_groups_are_even(spark, docs):
         assert sizes.max() <= packing.GROUP_TOKENS and sizes.max() - sizes.min() <= own.n.iloc[0]
 
 
-def test_shards(spark, awkward, coder, tmp_path):
+def test_shards(spark, awkward, library, tmp_path):
     folder = f"file://{tmp_path}/s"
     made = sstable.write_shards(awkward, folder, shard_bytes=2000)
     got = sstable.read_shards(spark, folder, made).collect()
@@ -108,7 +128,7 @@ def test_shards(spark, awkward, coder, tmp_path):
     assert [r["start"] for r in got] == list(np.cumsum([0] + [r["n_tokens"] for r in got[:-1]]))
     keys = [(r["doc_id"] is not None, r["doc_id"] or 0) for r in got]
     assert keys == sorted(keys)
-    want = sorted((t["doc_id"] is not None, t["doc_id"] or 0, coder.whole(t["text"] or "") + (2).to_bytes(4, "little")) for t in awkward.collect())
+    want = sorted((t["doc_id"] is not None, t["doc_id"] or 0, library(t["text"] or "") + (2).to_bytes(4, "little")) for t in awkward.collect())
     assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, bytes(r["ids"])) for r in got) == want
     for r in made:
         reader = sstable.open_shard(f"{folder}/{r['shard']}")
