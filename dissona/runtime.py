@@ -44,6 +44,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="dissona-checkpoint"))
     return named or sc._jsc.sc().getCheckpointDir().get()
 
@@ -63,8 +65,31 @@ def stored(df: DataFrame) -> Iterator[DataFrame]:
     try:
         yield spark.read.schema(df.schema).parquet(folder)
     finally:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, folder)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder by any address that Spark can open."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def bucketed(df: DataFrame, key: str) -> Iterator[DataFrame]:
+    """df as a table in the shared folder, bucketed by key into as many buckets as a shuffle has partitions, for as long as the block runs.
+
+    Joins on the key deal out only the other side.
+    """
+    spark = df.sparkSession
+    name = f"dissona_{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark).rstrip('/')}/{name}"
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)
+    df.write.bucketBy(buckets, key).sortBy(key).option("compression", "zstd").option("path", folder).saveAsTable(name)
+    try:
+        yield spark.read.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(spark, folder)
 
 
 def rows_bound(df: DataFrame, bound: int) -> bool:
