@@ -1,16 +1,28 @@
-"""Front-coded sorted runs, and their merge by a loser tree that knows common prefixes."""
+"""Front-coded sorted runs, and their merge by loser trees that know common prefixes.
+
+A distributed merge sort of byte strings. Each task sorts what it holds, a bounded run at a time, and writes the run as front-coded
+blocks (of each string the number of bytes it shares with the one before, and the rest). The blocks' first strings are a sparse
+index: a bounded sample of them gives the borders of ranges. Each block goes to its range, cut where it meets more than one; a
+receiving task merges the blocks of its range by a loser tree. Equal strings of a run are one from the start,
+so a string that a third of all places hold is sent once a run, and ranges are cut by whole strings, so many strings with a common
+beginning spread over ranges like any others. The number of ranges follows the number of strings.
+"""
 
 from __future__ import annotations
 
-import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RUN = 200_000
+from dissona.runtime import stored
+
+RUN, BLOCK, RANGE, HEADS = 200_000, 1024, 1 << 20, 200_000
 
 
 def common(a: bytes, b: bytes, at: int = 0) -> int:
@@ -91,85 +103,134 @@ class LoserTree:
                 node >>= 1
 
 
-def sorted_runs(rows: DataFrame, suffixes: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[bytes, bytes, int]]], run: int = RUN) -> DataFrame:
-    """Runs by receiving part: part, shared, sizes, rest (front-coded), twice (a byte each: seen at two places already), keys and firsts of the places.
+_NAMES = ["run", "number", "n", "head", "last", "shared", "sizes", "rest", "twice", "keys", "firsts"]
+_KINDS = [pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 6, pa.list_(pa.binary()), pa.list_(pa.int64())]
+_SCHEMA = "run long, number int, n int, head binary, last binary, shared binary, sizes binary, rest binary, twice binary, keys array<binary>, firsts array<long>"
+
+
+def sorted_runs(rows: DataFrame, suffixes: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[bytes, bytes, int]]], run: int = RUN, block: int = BLOCK) -> DataFrame:
+    """Blocks of runs: run, number (in it), n strings, the first and last of them, shared, sizes, rest (front-coded), twice (a byte each: seen at two places already), keys and firsts of the places.
 
-    suffixes gives string, key, first. Equal strings of a run are one; their further places come out as rows of their own with
-    part null, as they are known to be repeated.
+    suffixes gives string, key, first. Equal strings of a run are one; their further places come out in blocks without strings,
+    as they are known to be repeated.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = ["part", "shared", "sizes", "rest", "twice", "keys", "firsts"]
-    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64())]
 
-    def made(held: list[tuple[bytes, bytes, int]]) -> pa.RecordBatch:
+    def made(held: list[tuple[bytes, bytes, int]], name: int) -> Iterator[pa.RecordBatch]:
         held.sort()
-        by: dict[int, list[list]] = {}
+        strings, twice, keys, firsts = [], bytearray(), [], []
         more: tuple[list, list] = ([], [])
-        i = 0
-        while i < len(held):
-            j = i + 1
-            while j < len(held) and held[j][0] == held[i][0]:
-                j += 1
-            twice = any(held[i][1:] != x[1:] for x in held[i + 1 : j])
-            to = by.setdefault(zlib.crc32(held[i][0]) % parts, [[], [], [], []])
-            for c, v in zip(to, (held[i][0], twice, held[i][1], held[i][2]), strict=True):
-                c.append(v)
-            if twice:
-                for x in held[i + 1 : j]:
-                    more[0].append(x[1])
-                    more[1].append(x[2])
-            i = j
-        out = [[p, *front_code(c[0]), bytes(c[1]), c[2], c[3]] for p, c in by.items()]
-        if more[0]:
-            out.append([None, b"", b"", b"", b"", more[0], more[1]])
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+        for s, own in groupby(held, key=lambda x: x[0]):
+            _, *others = places = list(dict.fromkeys(x[1:] for x in own))
+            strings.append(s)
+            twice.append(bool(others))
+            keys.append(places[0][0])
+            firsts.append(places[0][1])
+            if others:
+                more[0].extend(k for k, _ in others)
+                more[1].extend(f for _, f in others)
+        out = [[name, number, len(strings[i : i + block]), strings[i], strings[min(i + block, len(strings)) - 1], *front_code(strings[i : i + block]), bytes(twice[i : i + block]), keys[i : i + block], firsts[i : i + block]] for number, i in enumerate(range(0, len(strings), block))]
+        out += [[name, -1, 0, b"", b"", b"", b"", b"", b"", more[0][i : i + block], more[1][i : i + block]] for i in range(0, len(more[0]), block)]
+        for i in range(0, len(out), 16):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 16], strict=True), _KINDS, strict=True)], _NAMES)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[bytes, bytes, int]] = []
+        name = TaskContext.get().partitionId() << 32
         for x in suffixes(batches):
             held.append(x)
             if len(held) >= run:
-                yield made(held)
-                held = []
+                yield from made(held, name)
+                held, name = [], name + 1
         if held:
-            yield made(held)
-
-    return rows.mapInArrow(send, "part int, shared binary, sizes binary, rest binary, twice binary, keys array<binary>, firsts array<long>")
-
-
-def merge_equal(runs: DataFrame) -> DataFrame:
-    """key, first: the places of strings that have another place."""
+            yield from made(held, name)
+
+    return rows.mapInArrow(send, _SCHEMA)
+
+
+def _run(blocks: list[dict], places: list[tuple[bytes, int, int]]) -> Iterator[tuple[bytes, int]]:
+    """The strings of one run, each with what it shares with the one before; places gets the place and mark of the string given last."""
+    before = b""
+    for b in blocks:
+        for i, (s, n) in enumerate(decoded(b["shared"], b["sizes"], b["rest"])):
+            if i == 0:
+                n = common(before, s)
+            before = s
+            places[0] = b["keys"][i], b["firsts"][i], b["twice"][i]
+            yield s, n
+
+
+def _cut(block: dict, edges: list[bytes]) -> Iterator[tuple[int, dict]]:
+    """The range and the strings of a block in it, for each range that the block meets."""
+    strings = [s for s, _ in decoded(block["shared"], block["sizes"], block["rest"])]
+    at = 0
+    while at < len(strings):
+        part = bisect_right(edges, strings[at])
+        end = bisect_left(strings, edges[part], at) if part < len(edges) else len(strings)
+        shared, sizes, rest = front_code(strings[at:end])
+        yield part, block | {"n": end - at, "head": strings[at], "last": strings[end - 1], "shared": shared, "sizes": sizes, "rest": rest} | {k: block[k][at:end] for k in ("twice", "keys", "firsts")}
+        at = end
+
+
+def merge_equal(runs: DataFrame, strings: int = RANGE, rows: int = 1 << 14) -> DataFrame:
+    """key, first: the places of strings that have another place. runs: from sorted_runs(), in a table that reads alike each time. A range has about `strings` strings."""
+    spark = runs.sparkSession
+    total, blocks = runs.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    heads = sorted(r["head"] for r in runs.filter("n > 0").filter(F.pmod(F.xxhash64("run", "number"), F.lit(1 + blocks // HEADS)) == 0).select("head").collect())  # about HEADS at most
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // strings))
+    edges = sorted({bytes(heads[i * len(heads) // parts]) for i in range(1, parts)}) if heads else []
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each block to its range, cut where it meets more; known places go anywhere."""
+        for batch in batches:
+            to = [bisect_right(edges, head) if n else i % parts for i, (n, head) in enumerate(zip(batch["n"].to_pylist(), batch["head"].to_pylist(), strict=True))]
+            last = [bisect_right(edges, x) if n else t for t, n, x in zip(to, batch["n"].to_pylist(), batch["last"].to_pylist(), strict=True)]
+            within = [i for i, (t, e) in enumerate(zip(to, last, strict=True)) if t == e]
+            yield pa.RecordBatch.from_arrays([pa.array([to[i] for i in within], pa.int32()), *batch.take(pa.array(within, pa.int32())).columns], ["part", *_NAMES])
+            for i in sorted(set(range(len(to))) - set(within)):
+                cut = [[part, *(b[c] for c in _NAMES)] for part, b in _cut(batch.slice(i, 1).to_pylist()[0], edges)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cut, strict=True), [pa.int32(), *_KINDS], strict=True)], ["part", *_NAMES])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list[dict]] = {}
+        by: dict[int, dict[int, list[dict]]] = {}
         keys: list[bytes] = []
         firsts: list[int] = []
+
+        def full(least: int) -> Iterator[pa.RecordBatch]:
+            if len(keys) >= least:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(firsts, pa.int64())], ["key", "first"])
+                keys.clear()
+                firsts.clear()
+
         for batch in batches:
             for r in batch.to_pylist():
-                if r["part"] is None:
+                if r["n"]:
+                    by.setdefault(r["part"], {}).setdefault(r["run"], []).append(r)
+                else:
                     keys += r["keys"]
                     firsts += r["firsts"]
-                else:
-                    by.setdefault(r["part"], []).append(r)
+            yield from full(rows)
         for own in by.values():
-            at = [0] * len(own)
-            group: list[tuple[bytes, int]] = []
-            twice, size = False, -1
-
-            def settle() -> None:
-                if twice or len(set(group)) > 1:
-                    keys.extend(k for k, _ in group)
-                    firsts.extend(f for _, f in group)
-
-            for i, s, shared in LoserTree([decoded(r["shared"], r["sizes"], r["rest"]) for r in own]):
+            places = [[(b"", 0, 0)] for _ in own]
+            held: list[tuple[bytes, int, int]] = []
+            size = -1
+            for i, s, shared in LoserTree([_run(sorted(b, key=lambda r: r["number"]), p) for b, p in zip(own.values(), places, strict=True)]):
                 if not (shared == len(s) == size):
-                    settle()
-                    group, twice, size = [], False, len(s)
-                r, n = own[i], at[i]
-                group.append((r["keys"][n], r["firsts"][n]))
-                twice |= bool(r["twice"][n])
-                at[i] += 1
-            settle()
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(firsts, pa.int64())], ["key", "first"])
-
-    return runs.repartition(F.coalesce("part", -1 - F.pmod(F.xxhash64("keys"), F.lit(64)).cast("int"))).mapInArrow(merge, "key binary, first long")
+                    if len(held) > 1 or held and held[0][2]:
+                        keys.extend(k for k, _, _ in held)
+                        firsts.extend(f for _, f, _ in held)
+                        yield from full(rows)
+                    held, size = [], len(s)
+                held.append(places[i][0])
+            if len(held) > 1 or held and held[0][2]:
+                keys.extend(k for k, _, _ in held)
+                firsts.extend(f for _, f, _ in held)
+        yield from full(1)
+
+    dealt = runs.mapInArrow(deal, f"part int, {_SCHEMA}").repartitionById(parts, "part")
+    return dealt.mapInArrow(merge, "key binary, first long")
+
+
+def equal_places(rows: DataFrame, suffixes: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[bytes, bytes, int]]], keep: Callable[[DataFrame], DataFrame], run: int = RUN, block: int = BLOCK, strings: int = RANGE) -> DataFrame:
+    """key, first of all strings that have another place, kept by `keep` before the runs go."""
+    with stored(sorted_runs(rows, suffixes, run, block)) as runs:
+        return keep(merge_equal(runs, strings))

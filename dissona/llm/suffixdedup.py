@@ -8,14 +8,17 @@ All suffixes of a corpus are too many to exchange, so sorting is kept for the fe
 2. Blocks. What is left is cut into blocks of offsets from the anchor. If the union of a block's windows is found elsewhere, all its
    windows are repeated; if their intersection isn't, none is. Only blocks that an edge of a repeat crosses stay open.
 3. Suffixes. The windows of open blocks are suffixes that share a known prefix: the intersection, whose name (a hash) stands for
-   it. Each task sorts its suffixes, front-codes them (bytes shared with the one before, and the rest) and sends runs; equal ones
-   are sent once. A receiving task merges its runs with a loser tree that keeps, for each run's head, the prefix it shares with
-   the last winner, and compares only bytes beyond it. Suffixes next to each other that share all bytes are repeats.
+   it. Each task sorts its suffixes and writes front-coded runs (bytes shared with the one before, and the rest); ranges of them
+   are exchanged, and each is merged with a loser tree that keeps, for each run's head, the prefix it shares with the last winner,
+   and compares only bytes beyond it (`runs`). Suffixes next to each other that share all bytes are repeats.
 
 Each step asks of a key only whether it has two distinct places, by least and greatest place, which combines before a shuffle: no
 group of copies meets in one task. Of segments and blocks with one content, one goes on as partner of the others. Identical texts
 are one text; if there are two, all of it is repeated. Strings are compared by 128-bit hashes of their bytes (steps 1 and 2).
 
+Texts are dealt out once: the distinct ones go to a table bucketed by the hash of the text. What a later step has to look up in
+them is dealt by the same hash, so its joins move no text, whatever the size; nothing is broadcast.
+
 Defined cases: a null text is empty; a null doc_id stays null; repeated rows repeat each other; texts shorter than `length` lose
 nothing; an empty table gives an empty result; other columns are ignored; a long text is cut into overlapping stretches for the
 anchors, so memory is bounded but for the text itself.
@@ -31,12 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dissona.runtime import durable, rows_bound, ship, stored
+from dissona.runtime import bucketed, durable, ship, stored
 
-from .runs import merge_equal, sorted_runs
+from .runs import equal_places
 
 LENGTH, GRAM, BLOCK, STRETCH = 400, 48, 16, 1 << 22
-BROADCAST_ROWS = 400_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLE = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -103,7 +105,7 @@ def _batch(names: list[str], kinds: list[pa.DataType], columns: list) -> pa.Reco
 def _shared(blocks: DataFrame) -> DataFrame:
     """The blocks whose core is at two places."""
     cores = blocks.groupBy("core").agg(F.min("place").alias("a"), F.max("place").alias("b")).filter("a <> b").select("core")
-    return blocks.join(cores, "core", "left_semi")
+    return blocks.join(durable(cores), "core", "left_semi")  # both sides dealt out plainly, so that a hot core can be split
 
 
 def _settle(blocks: DataFrame, payload: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -113,30 +115,22 @@ def _settle(blocks: DataFrame, payload: list[str]) -> tuple[DataFrame, DataFrame
     """
     classes = durable(blocks.groupBy("core", "full").agg(F.max("place").alias("b"), F.min(F.struct("place", *payload)).alias("one")))
     once = F.col("one.place") == F.col("b")
-    cores = classes.groupBy("core").agg(F.count("*").alias("n"), F.max(once).alias("open")).filter("n > 1 and open").select("core")
+    cores = durable(classes.groupBy("core").agg(F.count("*").alias("n"), F.max(once).alias("open")).filter("n > 1 and open").select("core"))
     twice = classes.filter(~once).select("full")
     left = classes.join(cores, "core", "left_semi").select("one.*", "core")
     return durable(blocks.join(twice, "full", "left_semi").select("key", "first", "end")), durable(left.select("key", "anchor", "first", "end", "core"))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """For joins with texts: what is counted to be few rows is broadcast, so that texts needn't be dealt out."""
-    df = durable(df)
-    return F.broadcast(df) if rows_bound(df, BROADCAST_ROWS) else df
-
-
 def repeated_windows(texts: DataFrame, *, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
-    """texts (key BINARY, data BINARY; equal keys have equal data): key, first, end of windows that start at another place too."""
+    """texts (key BINARY, data BINARY; a row for each key): key, first, end of windows that start at another place too."""
     ship(texts.sparkSession)
     b16, i64 = pa.binary(), pa.int64()
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
         for batch in batches:
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if key in seen or len(data := data.as_py()) < length:
+                if len(data := data.as_py()) < length:
                     continue
-                seen.add(key)
                 for anchor, h, first, end in segments(data, length, gram):
                     full = [_digest(data[s : e + length - 1]) for s, e in zip(first.tolist(), end.tolist(), strict=True)]
                     yield _batch(["core", "full", "key", "anchor", "first", "end"], [i64, b16, b16, i64, i64, i64], [h, full, [key] * len(h), anchor, first, end])
@@ -149,13 +143,9 @@ def repeated_windows(texts: DataFrame, *, length: int = LENGTH, gram: int = GRAM
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each segment: for each block of offsets, the window starts in it, the intersection and, where it lies within the text, the union, each with the block's number."""
-        seen: set[bytes] = set()
         for batch in batches:
             rows: list[list] = [[] for _ in range(7)]
             for key, data, parts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                if key in seen:
-                    continue
-                seen.add(key)
                 data = data.as_py()
                 for p in parts:
                     a = p["anchor"]
@@ -167,7 +157,7 @@ def repeated_windows(texts: DataFrame, *, length: int = LENGTH, gram: int = GRAM
                             c.append(v)
             yield _batch(["core", "full", "key", "anchor", "first", "end", "start"], [i64, b16, b16, i64, i64, i64, i64], rows)
 
-    joined = texts.join(_small(left.groupBy("key").agg(F.collect_list(F.struct("anchor", "first", "end")).alias("parts"))), "key")
+    joined = texts.join(left.groupBy("key").agg(F.collect_list(F.struct("anchor", "first", "end")).alias("parts")), "key")
     cut = joined.select("key", "data", "parts").mapInArrow(blocks, "core long, full binary, key binary, anchor long, first long, end long, start long")
     cut = cut.withColumn("full", F.coalesce("full", F.concat("key", F.encode(F.col("start").cast("string"), "UTF-8")))).withColumn("place", F.xxhash64("key", "start"))
     with stored(cut) as every:
@@ -175,12 +165,8 @@ def repeated_windows(texts: DataFrame, *, length: int = LENGTH, gram: int = GRAM
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, bytes, int]]:
         """Compact suffixes of open blocks: the name of the bytes all share, the offset, and the bytes on both sides of them."""
-        seen: set[bytes] = set()
         for batch in batches:
             for key, data, parts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                if key in seen:
-                    continue
-                seen.add(key)
                 data = data.as_py()
                 for p in parts:
                     q = (p["anchor"] - p["first"]) // block
@@ -189,58 +175,44 @@ def repeated_windows(texts: DataFrame, *, length: int = LENGTH, gram: int = GRAM
                     for w in range(p["first"], p["end"]):
                         yield core + bytes([w - s]) + data[w : max(e, 0)] + data[s + length : w + length], key, w
 
-    open_ = texts.join(_small(left2.groupBy("key").agg(F.collect_list(F.struct("anchor", "first", "end", "core")).alias("parts"))), "key")
-    runs = sorted_runs(open_.select("key", "data", "parts"), suffixes)
-    single = merge_equal(runs)
+    open_ = texts.join(left2.groupBy("key").agg(F.collect_list(F.struct("anchor", "first", "end", "core")).alias("parts")), "key")
+    single = equal_places(open_.select("key", "data", "parts"), suffixes, durable)
     spans = whole.select("key", "first", "end").unionByName(whole2.select("key", "first", "end"))
     return spans.unionByName(single.select("key", "first", (F.col("first") + 1).alias("end")))
 
 
 def remove_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, with_kept: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept, the bytes that stay (null without with_kept)."""
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     data = F.encode(F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")), "UTF-8")
-    texts = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), data.alias("data")).select("doc_id", "data", F.unhex(F.md5("data")).alias("key"))
-    spans = repeated_windows(texts.select("key", "data"), length=length, gram=gram, block=block)
-    copies = texts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", F.lit(0).cast("long").alias("first"), F.lit(-1).cast("long").alias("end"))
-    by_key = spans.unionByName(copies).groupBy("key").agg(F.collect_set(F.struct("first", "end")).alias("parts"))
+    rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), data.alias("data")).select("doc_id", "data", F.unhex(F.md5("data")).alias("key"))
+    names = rows.select("doc_id", "key")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-        kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
+        fields = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+        kinds = [pa.binary(), *[pa.int64()] * 3, pa.string(), pa.binary()]
         for batch in batches:
-            rows: list[list] = [[] for _ in names]
-            for doc, data, parts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            rows: list[list] = [[] for _ in fields]
+            for key, data, copies, parts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 data = data.as_py()
                 kept, at, n = [], 0, 0
-                for s, e in sorted((p["first"], len(data) if p["end"] < 0 else p["end"] + length - 1) for p in parts or []):
-                    if len(data) < length:
-                        break
+                spans = sorted((p["first"], p["end"] + length - 1) for p in parts or [])
+                if copies > 1:
+                    spans = [(0, len(data))] if len(data) >= length else []
+                for s, e in spans:
                     if s > at or not n:
                         n += 1
                         kept.append(data[at:s])
                     at = max(at, e)
                 kept = b"".join([*kept, data[at:]])
-                for c, v in zip(rows, (doc, len(data), len(data) - len(kept), n, hashlib.sha256(kept).hexdigest(), kept if with_kept else None), strict=True):
+                for c, v in zip(rows, (key, len(data), len(data) - len(kept), n, hashlib.sha256(kept).hexdigest(), kept if with_kept else None), strict=True):
                     c.append(v)
-            yield _batch(names, kinds, rows)
-
-    rows = texts.join(_small(by_key), "key", "left").select("doc_id", "data", "parts")
-    return rows.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-
-
-def brute(texts: list[str | None], length: int) -> list[tuple[int, int, int, str]]:
-    """n_bytes, n_removed, n_spans, kept_sha256 of each text, by counting all strings."""
-    from collections import Counter
-
-    datas = [(t or "").encode() for t in texts]
-    count = Counter(d[i : i + length] for d in datas for i in range(len(d) - length + 1))
-    out = []
-    for d in datas:
-        gone = bytearray(len(d))
-        for i in range(len(d) - length + 1):
-            if count[d[i : i + length]] > 1:
-                gone[i : i + length] = b"\1" * length
-        n = sum(1 for i in range(len(d)) if gone[i] and (i == 0 or not gone[i - 1]))
-        out.append((len(d), sum(gone), n, hashlib.sha256(bytes(b for b, g in zip(d, gone, strict=True) if not g)).hexdigest()))
-    return out
+            yield _batch(fields, kinds, rows)
+
+    with bucketed(rows.groupBy("key").agg(F.first("data").alias("data"), F.count("*").alias("copies")), "key") as texts:
+        spans = repeated_windows(texts.select("key", "data"), length=length, gram=gram, block=block)
+        parts = spans.groupBy("key").agg(F.collect_set(F.struct("first", "end")).alias("parts"))
+        own = texts.join(parts, "key", "left").select("key", "data", "copies", "parts")
+        by_key = durable(own.mapInArrow(cut, "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"))
+    return names.join(by_key, "key").drop("key")

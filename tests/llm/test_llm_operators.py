@@ -4,13 +4,14 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
 
 from dissona.llm import decon, langid, mlm, packing, pii, quality, secrets, simhash, sstable, suffixdedup
-from dissona.llm.runs import LoserTree, common, decoded, front_code
+from dissona.llm.runs import LoserTree, common, decoded, equal_places, front_code
 from dissona.llm.tokens import Coder, default_path
 
 DATA = "/root/testdata"
@@ -235,8 +236,6 @@ def test_pseudo_likelihood_by_hand():
 def test_training_helps(spark, docs):
     x = docs.select("doc_id", "text")
     words, by = mlm.word_counts(x)
-    from collections import Counter
-
     want = Counter(w for r in x.collect() for w in r["text"].lower().split())
     assert dict(words[:50]) == {w: want[w] for w, _ in words[:50]} and sum(n for _, n in words) + by.sum() == sum(want.values())
     start = mlm.untrained(words, by)
@@ -303,6 +302,37 @@ def test_runs_and_loser_tree():
         assert all(n == common(a, b) for (_, a, _), (_, b, n) in zip(out, out[1:], strict=False))
 
 
+@pytest.mark.parametrize(("strings", "size"), [(10**6, 1024), (50, 7)])
+def test_equal_places_of_runs(spark, strings, size):
+    """Strings by the thousand, some very common, in small runs, blocks and ranges, against a count."""
+    rng = random.Random(strings)
+    rows = [(rng.choice(["hot", "hotter", f"k{rng.randint(0, 900):04d}", f"common beginning {rng.randint(0, 4000)}", ""]), i) for i in range(5000)]
+
+    def strings_of(batches):
+        for b in batches:
+            for s, i in zip(b["s"].to_pylist(), b["i"].to_pylist(), strict=True):
+                yield s.encode(), b"key", i
+
+    got = equal_places(spark.createDataFrame(rows, "s string, i long").repartition(5), strings_of, lambda df: df.collect(), 300, size, strings)
+    count = Counter(s for s, _ in rows)
+    assert sorted(r["first"] for r in got) == [i for s, i in rows if count[s] > 1]
+
+
+def brute_repeats_of_texts(texts, length):
+    """n_bytes, n_removed, n_spans, kept_sha256 of each text, by counting all strings."""
+    datas = [(t or "").encode() for t in texts]
+    count = Counter(d[i : i + length] for d in datas for i in range(len(d) - length + 1))
+    out = []
+    for d in datas:
+        gone = bytearray(len(d))
+        for i in range(len(d) - length + 1):
+            if count[d[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
+        n = len(re.findall(b"\1+", bytes(gone)))
+        out.append((len(d), sum(gone), n, hashlib.sha256(bytes(b for b, g in zip(d, gone, strict=True) if not g)).hexdigest()))
+    return out
+
+
 @pytest.mark.parametrize(("seed", "length", "gram", "block"), [(1, 40, 8, 4), (2, 30, 6, 16), (3, 50, 12, 8)])
 def test_repeats_against_brute_force(spark, seed, length, gram, block):
     rng = random.Random(seed)
@@ -312,7 +342,7 @@ def test_repeats_against_brute_force(spark, seed, length, gram, block):
     texts += [None, "", texts[3], texts[3], "ab" * 60, "ab" * 61, "x" * 200, "q" * (length - 1), texts[5][5:] + "z"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     got = {r["doc_id"]: tuple(r)[1:5] for r in suffixdedup.remove_repeats(df, length=length, gram=gram, block=block).collect()}
-    assert [got[i] for i in range(len(texts))] == suffixdedup.brute(texts, length)
+    assert [got[i] for i in range(len(texts))] == brute_repeats_of_texts(texts, length)
 
 
 def test_stretches_of_a_long_text_have_the_same_segments():
