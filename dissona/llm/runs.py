@@ -180,10 +180,9 @@ def merge_equal(runs: DataFrame, strings: int = RANGE, rows: int = 1 << 14) -> D
     edges = sorted({bytes(heads[i * len(heads) // parts]) for i in range(1, parts)}) if heads else []
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each block to its range, cut where it meets more; known places go anywhere."""
+        """Each block to its range, cut where it meets more."""
         for batch in batches:
-            to = [bisect_right(edges, head) if n else i % parts for i, (n, head) in enumerate(zip(batch["n"].to_pylist(), batch["head"].to_pylist(), strict=True))]
-            last = [bisect_right(edges, x) if n else t for t, n, x in zip(to, batch["n"].to_pylist(), batch["last"].to_pylist(), strict=True)]
+            to, last = ([bisect_right(edges, s) for s in batch[c].to_pylist()] for c in ("head", "last"))
             within = [i for i, (t, e) in enumerate(zip(to, last, strict=True)) if t == e]
             yield pa.RecordBatch.from_arrays([pa.array([to[i] for i in within], pa.int32()), *batch.take(pa.array(within, pa.int32())).columns], ["part", *_NAMES])
             for i in sorted(set(range(len(to))) - set(within)):
@@ -203,12 +202,7 @@ def merge_equal(runs: DataFrame, strings: int = RANGE, rows: int = 1 << 14) -> D
 
         for batch in batches:
             for r in batch.to_pylist():
-                if r["n"]:
-                    by.setdefault(r["part"], {}).setdefault(r["run"], []).append(r)
-                else:
-                    keys += r["keys"]
-                    firsts += r["firsts"]
-            yield from full(rows)
+                by.setdefault(r["part"], {}).setdefault(r["run"], []).append(r)
         for own in by.values():
             places = [[(b"", 0, 0)] for _ in own]
             held: list[tuple[bytes, int, int]] = []
@@ -226,8 +220,9 @@ def merge_equal(runs: DataFrame, strings: int = RANGE, rows: int = 1 << 14) -> D
                 firsts.extend(f for _, f, _ in held)
         yield from full(1)
 
-    dealt = runs.mapInArrow(deal, f"part int, {_SCHEMA}").repartitionById(parts, "part")
-    return dealt.mapInArrow(merge, "key binary, first long")
+    dealt = runs.filter("n > 0").mapInArrow(deal, f"part int, {_SCHEMA}").repartitionById(parts, "part")
+    known = runs.filter("n = 0").select(F.explode(F.arrays_zip("keys", "firsts")).alias("x")).select(F.col("x.keys").alias("key"), F.col("x.firsts").alias("first"))
+    return dealt.mapInArrow(merge, "key binary, first long").unionByName(known)
 
 
 def equal_places(rows: DataFrame, suffixes: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[bytes, bytes, int]]], keep: Callable[[DataFrame], DataFrame], run: int = RUN, block: int = BLOCK, strings: int = RANGE) -> DataFrame:
