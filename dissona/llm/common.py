@@ -26,6 +26,25 @@ def map_rows(df: DataFrame, function: Callable[[list[list]], list[list]], schema
     return df.mapInArrow(run, schema)
 
 
+def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], rows: int = 1024) -> DataFrame:
+    """df with some rows left out or values replaced, by a function of at most `rows` rows at a time; columns count by place, whatever their names."""
+    ship(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield function(batch.slice(at, rows))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def replaced(batch: pa.RecordBatch, at: int, values: pa.Array) -> pa.RecordBatch:
+    """batch with another column at a place, cast to its type."""
+    columns = list(batch.columns)
+    columns[at] = values.cast(batch.schema.field(at).type)
+    return pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+
 def id_and_text(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The two columns an operator reads, renamed; other columns, whatever their names, stay out of the plan."""
     return docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"))

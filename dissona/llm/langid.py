@@ -14,7 +14,6 @@ results; an empty table gives an empty result; other columns are ignored; texts
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dissona.runtime import ship
+from dissona.runtime import rows_bound, ship
 
-from .common import map_rows
+from .common import map_batches, map_rows, replaced
 
 BUCKETS = 4096
-LETTER = re.compile(r"[^\W\d_]")
+MOST_LANGUAGES = 1000
 _A, _B, _C = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
 
 
@@ -53,7 +52,10 @@ class Languages:
 
 
 def learn(docs: DataFrame, *, text_column: str = "text", lang_column: str = "lang", buckets: int = BUCKETS, smoothing: float = 0.5) -> Languages:
-    """From every row with a text and a language. What comes to the driver is languages x buckets counts."""
+    """From every row with a text and a language. What comes to the driver is languages x buckets counts.
+
+    A column of more than MOST_LANGUAGES different values isn't one of languages: a ValueError, before anything is collected.
+    """
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,6 +72,8 @@ def learn(docs: DataFrame, *, text_column: str = "text", lang_column: str = "lan
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(v[at], pa.int64())], ["lang", "bucket", "n"])
 
     rows = docs.select(F.col(f"`{lang_column}`").cast("string").alias("lang"), F.col(f"`{text_column}`").cast("string").alias("text")).filter("lang is not null and text is not null")
+    if not rows_bound(rows.select("lang").distinct(), MOST_LANGUAGES):
+        raise ValueError(f"{lang_column} has more than {MOST_LANGUAGES} different values")
     got = rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
     names = sorted({r["lang"] for r in got})
     p = np.full((len(names), buckets), smoothing)
@@ -119,6 +123,21 @@ def predict_counts(c: np.ndarray, model: Languages, most: int | None = None, rou
     return shares.argmax(1), np.clip(score, 0, 1), shares
 
 
+def predict_texts(texts: list[str | None], model: Languages, most: int | None = None) -> tuple[list[str], list[float], list[list[dict]]]:
+    """Of each text the language, the score and the chosen set by share."""
+    there = [i for i, t in enumerate(texts) if t is not None and any(map(str.isalpha, t))] if model.names else []
+    names, scores, sets = ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
+    done = 0
+    for counts in ngram_counts([texts[i] for i in there], model.p.shape[1]):
+        best, score, shares = predict_counts(counts, model, most)
+        for j in range(len(counts)):
+            i = there[done + j]
+            names[i], scores[i] = model.names[best[j]], round(float(score[j]), 6)
+            sets[i] = [{"lang": model.names[k], "share": round(float(shares[j, k]), 6)} for k in np.argsort(-shares[j], kind="stable") if shares[j, k] > 0]
+        done += len(counts)
+    return names, scores, sets
+
+
 def predict_languages(docs: DataFrame, model: Languages, *, keep: tuple[str, ...] = ("doc_id",), text_column: str = "text", most: int | None = None) -> DataFrame:
     """The columns `keep`, lang_pred, score, and languages ARRAY<STRUCT<lang, share>> of the chosen set, by share. No shuffle."""
     kept = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_column}`").cast("string").alias("__text"))
@@ -126,19 +145,20 @@ def predict_languages(docs: DataFrame, model: Languages, *, keep: tuple[str, ...
     from pyspark.sql.pandas.types import to_arrow_type
 
     def run(columns: list[list]) -> list[list]:
-        texts = columns[-1]
-        there = [i for i, t in enumerate(texts) if t is not None and LETTER.search(t)] if model.names else []
-        names, scores, sets = ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
-        done = 0
-        for counts in ngram_counts([texts[i] for i in there], model.p.shape[1]):
-            best, score, shares = predict_counts(counts, model, most)
-            for j in range(len(counts)):
-                i = there[done + j]
-                names[i], scores[i] = model.names[best[j]], round(float(score[j]), 6)
-                sets[i] = [{"lang": model.names[k], "share": round(float(shares[j, k]), 6)} for k in np.argsort(-shares[j], kind="stable") if shares[j, k] > 0]
-            done += len(counts)
-        return [*columns[:-1], names, scores, sets]
+        return [*columns[:-1], *predict_texts(columns[-1], model, most)]
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in types.fields[:-1]) + "lang_pred string, score double, languages array<struct<lang:string,share:double>>"
     fields = [to_arrow_type(f.dataType) for f in types.fields[:-1]] + [pa.string(), pa.float64(), pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))]
     return map_rows(kept, run, schema.replace("`", "") if all(c.isidentifier() for c in keep) else schema, fields, 256)
+
+
+def keep_languages(docs: DataFrame, model: Languages, *, text_column: str = "text", lang_column: str = "lang", least_score: float = 0.4) -> DataFrame:
+    """The rows of docs, all their columns, whose text has a learned language with this score at least; lang_column is set to it. No shuffle."""
+    at, lang = docs.columns.index(text_column), docs.columns.index(lang_column)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        names, scores, _ = predict_texts(batch.column(at).to_pylist(), model)
+        good = pa.array([n != "und" and s >= least_score for n, s in zip(names, scores, strict=True)], pa.bool_())
+        return replaced(batch, lang, pa.array(names, pa.string())).filter(good)
+
+    return map_batches(docs, run, 256)
