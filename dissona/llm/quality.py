@@ -157,14 +157,18 @@ def fit(x: np.ndarray, y: np.ndarray, *, monotone: tuple[int, ...] | None = None
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", fit_rows: int = FIT_ROWS) -> Trees | None:
-    """Trees from the labelled documents; None if there aren't two classes."""
-    chosen = labels.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{label_column}`").cast("int").alias("y")).filter("doc_id is not null and y is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(fit_rows)
-    rows = id_and_text(docs, id_column, text_column).join(F.broadcast(chosen), "doc_id").select("y", "text")  # at most fit_rows small rows
+    """Trees from labelled documents, of which those with the fit_rows least hashes of their identifiers; None if there aren't two classes.
+
+    An identifier counts once: with its least label, and of rows that share it with the least statistics.
+    """
+    chosen = labels.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{label_column}`").cast("int").alias("y")).filter("doc_id is not null").groupBy("doc_id").agg(F.min("y").alias("y")).filter("y is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    rows = id_and_text(docs, id_column, text_column).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")  # at most fit_rows small rows
 
     def run(columns: list[list]) -> list[list]:
-        return [columns[0], [statistics(t)[1] for t in columns[1]]]
+        return [columns[0], columns[1], [statistics(t)[1] for t in columns[2]]]
 
-    got = map_rows(rows, run, "y int, x array<double>", [pa.int32(), pa.list_(pa.float64())]).limit(2 * fit_rows).collect()
+    found = map_rows(rows, run, "doc_id long, y int, x array<double>", [pa.int64(), pa.int32(), pa.list_(pa.float64())])
+    got = found.groupBy("doc_id").agg(F.min(F.struct("y", "x")).alias("r")).select("r.*").collect()  # at most fit_rows
     y = np.array([r["y"] > 0 for r in got], float)
     if len(set(y.tolist())) < 2:
         return None
