@@ -7,7 +7,7 @@ holds all hits of a match. Bands that meet the bound are verified by banded alig
 stretch of the region), which also gives the span.
 
 Text and passages are compared with letters lowered and each white-space character as a space. The edit budget is a share of m.
-Passages are the query set: they go to all tasks in blocks of bounded size, one scan of the texts a block.
+Passages are the query set: they go to all tasks, in blocks of bounded size if they are many; the texts are scanned once.
 
 Defined cases: a null or empty text has no hits; a null or blank passage is left out; a passage whose bound isn't positive for its
 budget gets the largest budget for which it is, one shorter than q is found if it stands verbatim; a null identifier stays
@@ -17,14 +17,22 @@ whole.
 
 from __future__ import annotations
 
+import pickle
+import uuid
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from dissona.runtime import durable, remove, shared_dir, ship
 
-from .common import id_and_text, map_rows
+from .common import id_and_text
 
-Q, RATE, BLOCK_CHARS = 8, 0.10, 4 << 20
+Q, RATE, BLOCK_CHARS, STRETCH = 8, 0.10, 4 << 20, 32 << 20
 _M1, _M2, _M4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 BITS = 20
 
@@ -167,42 +175,96 @@ class Passages:
         return sorted(kept, key=lambda x: (x[1], x[0], x[2]))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", passage_column: str = "text", q: int = Q, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """doc_id, contaminated, item_ids (distinct, ascending), hits ARRAY<STRUCT<item_id, start, end, edits>>. One block of passages, no shuffle; more are merged by an aggregate on a row number."""
-    passages = benchmark.select(F.col(f"`{item_column}`").cast("long").alias("i"), F.col(f"`{passage_column}`").cast("string").alias("t")).filter("t is not null and trim(t) <> ''")
-    blocks = 1 + int(passages.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]) // block_chars
-    rows = id_and_text(docs, id_column, text_column)
-    hit = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int64())]))
-    kind = "array<struct<item_id:long,start:long,end:long,edits:long>>"
+class _Blocks:
+    """Passages in blocks of bounded size: one block travels with the code, more are files in a shared folder, read one at a time."""
 
-    def one(part: DataFrame, source: DataFrame, key: str) -> DataFrame:
-        table = Passages(sorted(((r["i"], r["t"]) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1])), q, rate)  # at most block_chars and one passage
-        return map_rows(source, lambda c: [c[0], [[{"item_id": table.ids[i], "start": s, "end": e, "edits": d} for i, s, e, d in table.find(t)] for t in c[1]]], f"{key} long, hits {kind}", [pa.int64(), hit])
+    def __init__(self, benchmark: DataFrame, item_column: str, passage_column: str, q: int, rate: float, block_chars: int):
+        self.q, self.rate, self.folder = q, rate, None
+        spark = benchmark.sparkSession
+        passages = benchmark.select(F.col(f"`{item_column}`").cast("long").alias("i"), F.col(f"`{passage_column}`").cast("string").alias("t")).filter("t is not null and trim(t) <> ''")
+        self.n = 1 + int(passages.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]) // block_chars
+        if self.n == 1:
+            self.only = Passages(self.items(passages), q, rate)
+            return
+        self.folder = f"{shared_dir(spark).rstrip('/')}/passages-{uuid.uuid4().hex}"
+        store, base = fs.FileSystem.from_uri(self.folder)
+        store.create_dir(base)
+        numbered = durable(passages.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(self.n))))
+        for b in range(self.n):
+            with store.open_output_stream(f"{base}/{b}") as out:
+                out.write(pickle.dumps(self.items(numbered.filter(F.col("b") == b))))
 
-    if blocks == 1:
-        found = one(passages, rows, "doc_id")
-    else:
-        numbered = rows.withColumn("row", F.monotonically_increasing_id())
-        parts = [one(passages.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b), numbered.select("row", "text"), "row") for b in range(blocks)]
-        found = parts[0]
-        for p in parts[1:]:
-            found = found.unionByName(p)
-        merged = found.filter(F.size("hits") > 0).groupBy("row").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
-        found = numbered.select("row", "doc_id").join(merged, "row", "left").select("doc_id", F.coalesce("hits", F.array().cast(kind)).alias("hits"))
-    return found.select("doc_id", (F.size("hits") > 0).alias("contaminated"), F.array_sort(F.array_distinct(F.col("hits.item_id"))).alias("item_ids"), "hits")
+    def items(self, passages: DataFrame) -> list[tuple[int | None, str]]:
+        return sorted(((r["i"], r["t"]) for r in passages.select("i", "t").collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))  # about block_chars
+
+    def tables(self) -> Iterator[Passages]:
+        for b in range(self.n):
+            if self.folder is None:
+                yield self.only
+            else:
+                store, base = fs.FileSystem.from_uri(self.folder)
+                with store.open_input_file(f"{base}/{b}") as f:
+                    yield Passages(pickle.loads(f.read()), self.q, self.rate)
+
+    def hits(self, texts: list[str | None]) -> list[list[dict]]:
+        """Of each text, by place."""
+        found: list[list[dict]] = [[] for _ in texts]
+        for table in self.tables():
+            for own, t in zip(found, texts, strict=True):
+                own += [{"item_id": table.ids[i], "start": s, "end": e, "edits": d} for i, s, e, d in table.find(t)]
+        order = lambda h: (h["start"], h["item_id"] is not None, h["item_id"] or 0, h["end"])
+        return [sorted(own, key=order) for own in found]
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.Table]:
+    """Batches together, until their texts have `limit` bytes: what a block of passages is looked for in at a time."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(column).nbytes
+        if size >= limit:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
 
 
-def brute(text: str | None, items: list[tuple[int, str]], q: int = Q, rate: float = RATE) -> set[int]:
-    """Items whose best match in the text is within the budget, by full dynamic programming."""
-    out, flat = set(), plain(text or "").tolist()
-    for i, t in items:
-        t = plain(t).tolist()
-        e = budget(len(t), q, rate)[0] if len(t) >= q else 0
-        row = [0] * (len(flat) + 1)
-        for a, c in enumerate(t, 1):
-            before, row = row, [a] + [0] * len(flat)
-            for b, d in enumerate(flat, 1):
-                row[b] = min(before[b - 1] + (c != d), before[b] + 1, row[b - 1] + 1)
-        if min(row) <= e:
-            out.add(i)
+def _scan(docs: DataFrame, blocks: _Blocks, column: int, function: Callable[[pa.RecordBatch, list[list[dict]]], pa.RecordBatch], schema: str | T.StructType, rows: int = 1024) -> DataFrame:
+    """One pass over docs: function gets some rows and their texts' hits. With several blocks of passages the texts of STRETCH bytes are held while each block is read."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if blocks.n == 1:
+            for batch in batches:
+                for at in range(0, batch.num_rows, rows):
+                    part = batch.slice(at, rows)
+                    yield function(part, blocks.hits(part.column(column).to_pylist()))
+        else:
+            for table in _stretches(batches, column, STRETCH):
+                found, at = blocks.hits(table.column(column).to_pylist()), 0
+                for part in table.to_batches(rows):
+                    yield function(part, found[at : at + part.num_rows])
+                    at += part.num_rows
+
+    out = docs.mapInArrow(run, schema)
+    if blocks.folder is None:
+        return out
+    out = durable(out)
+    remove(docs.sparkSession, blocks.folder)
     return out
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", passage_column: str = "text", q: int = Q, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """doc_id, contaminated, item_ids (distinct, ascending), hits ARRAY<STRUCT<item_id, start, end, edits>> by start. One scan, no shuffle."""
+    hit = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int64())]))
+    function = lambda batch, hits: pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits, hit)], ["doc_id", "hits"])
+    blocks = _Blocks(benchmark, item_column, passage_column, q, rate, block_chars)
+    found = _scan(id_and_text(docs, id_column, text_column), blocks, 1, function, "doc_id long, hits array<struct<item_id:long,start:long,end:long,edits:long>>")
+    return found.select("doc_id", (F.size("hits") > 0).alias("contaminated"), F.array_sort(F.array_distinct(F.col("hits.item_id"))).alias("item_ids"), "hits")
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, text_column: str = "text", item_column: str = "item_id", passage_column: str = "text", q: int = Q, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of docs, all their columns, whose text holds no passage; each row is judged by its own text, whatever its identifier. One scan, no shuffle."""
+    blocks = _Blocks(benchmark, item_column, passage_column, q, rate, block_chars)
+    function = lambda batch, hits: batch.filter(pa.array([not h for h in hits], pa.bool_()))
+    return _scan(docs, blocks, docs.columns.index(text_column), function, docs.schema)
