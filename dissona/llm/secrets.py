@@ -12,7 +12,6 @@ an empty result; other columns are ignored; texts are processed whole, in time p
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from bisect import bisect_left, bisect_right
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, map_rows
+from .common import id_and_text, map_batches, map_rows, replaced
 
 KINDS = ("assign", "access", "hex", "ident", "blob", "endpoint")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -136,15 +135,20 @@ def redact_text(text: str | None, reach: int | None = None) -> str | None:
     return "".join([*out, text[at:]])
 
 
+def redact(docs: DataFrame, *, text_column: str = "text", length_column: str | None = "n_chars") -> DataFrame:
+    """docs with each span of the text replaced by <secret>, and the text's length in code points set where that column is there. No shuffle."""
+    at, length = docs.columns.index(text_column), docs.columns.index(length_column) if length_column in docs.columns else None
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [redact_text(t) for t in batch.column(at).to_pylist()]
+        batch = replaced(batch, at, pa.array(texts, pa.string()))
+        return batch if length is None else replaced(batch, length, pa.array([None if t is None else len(t) for t in texts], pa.int64()))
+
+    return map_batches(docs, run)
+
+
 def digest(spans: DataFrame) -> DataFrame:
     """The columns of op5 from scan_secrets()'s spans."""
     line = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     return spans.select("doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"), F.sha2(line(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
-
-
-def brute_base(text: str | None) -> str:
-    """The base contract read literally, for tests."""
-    text = text or ""
-    rules = ((ASSIGN, lambda m: len(m[2]) >= 6), (re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20), (re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24))
-    return hashlib.sha256(written(sorted((m.start(), k, m.end()) for k, (p, ok) in enumerate(rules) for m in p.finditer(text) if ok(m))).encode()).hexdigest()

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dissona.runtime import durable, rows_bound, ship
@@ -29,7 +29,7 @@ from dissona.runtime import durable, rows_bound, ship
 from .common import id_and_text, map_rows
 from .graph import components
 
-TILE, HOT_ROWS = 1024, 50_000
+TILE, HOT_ROWS, BROADCAST_ROWS = 1024, 50_000, 200_000
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -138,12 +138,45 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
+def _least(found: DataFrame, least: Column, radius: int, tile: int) -> DataFrame:
+    """fp and, of all rows in its component, the least value of a column."""
+    by = durable(found.groupBy("fp").agg(F.min(least).alias("least")))
+    roots = components(links(by.select("fp"), radius, tile))
+    named = by.join(roots, by.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return named.drop("least").join(named.groupBy("root").agg(F.min("least").alias("least")), "root").select("fp", "least")
+
+
 def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", words: int = 3, radius: int = 3, tile: int = TILE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the least doc_id reachable by links."""
     found = durable(fingerprints(docs, id_column=id_column, text_column=text_column, words=words))
-    by = durable(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(by.select("fp"), radius, tile))
-    named = by.join(roots, by.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = named.join(ids, "root").select("fp", "component_id")
+    classes = _least(found, F.col("doc_id"), radius, tile).withColumnRenamed("least", "component_id")
     return found.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def drop_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", words: int = 3, radius: int = 3, tile: int = TILE) -> DataFrame:
+    """One row of docs of each component, all its columns: one with the least identifier (a null one last), and of these the least hash of the text.
+
+    Rows that agree in both are one document; which of them stays is undefined. What goes is looked up by identifier and hash;
+    if it is counted to be few rows it is broadcast, else the documents are dealt out.
+    """
+    who = (F.col(f"`{id_column}`").cast("long"), F.xxhash64(F.col(f"`{text_column}`").cast("string")))
+    rows = docs.select(who[0].alias("i"), who[1].alias("t"), F.col(f"`{text_column}`").cast("string").alias("text"))
+
+    def run(columns: list[list]) -> list[list]:
+        return [columns[0], columns[1], np.array([fingerprint(t, words) for t in columns[2]], np.uint64).view(np.int64)]
+
+    found = durable(map_rows(rows, run, "i long, t long, fp long", [pa.int64()] * 3))
+    first = _least(found, F.struct(F.col("i").isNull().alias("n"), "i", "t"), radius, tile)
+    counted = found.groupBy("i", "t", "fp").count().join(first, "fp").select("i", "t", "count", (F.col("i").eqNullSafe(F.col("least.i")) & (F.col("t") == F.col("least.t"))).alias("stays"))
+    counted = durable(counted.filter("not stays or count > 1"))
+    whole = docs.select(F.struct("*").alias("row"), who[0].alias("i"), who[1].alias("t"))
+
+    def by(part: DataFrame, how: str) -> DataFrame:
+        other = part.select(F.col("i").alias("i2"), F.col("t").alias("t2"))
+        if rows_bound(other, BROADCAST_ROWS):
+            other = F.broadcast(other)
+        return whole.join(other, whole.i.eqNullSafe(other.i2) & (whole.t == other.t2), how)
+
+    again = counted.filter("stays")
+    left = by(counted, "left_anti").select("row.*")
+    return left if again.isEmpty() else left.unionByName(by(again, "left_semi").dropDuplicates(["i", "t"]).select("row.*"))

@@ -60,14 +60,6 @@ def test_empty_table(spark, awkward, tmp_path):
     assert set(got.values()) == {0}
 
 
-@pytest.fixture(scope="session")
-def library():
-    """The tokenizer as its file has it, with nothing set."""
-    from tokenizers import Tokenizer
-
-    return lambda text, read=Tokenizer.from_file(default_path()): np.array(read.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-
 def test_ids_are_those_of_whole_texts(coder, library):
     assert coder.regular and coder.added
     assert library("a <|endoftext|> b") == np.array([64, 220, 50256, 275], "<u4").tobytes() == coder.ids("a <|endoftext|> b")
@@ -284,13 +276,51 @@ def test_credentials_are_linked_over_a_whole_paragraph():
         assert secrets.scan_text(f"client_id: {blob} host: db.example.com")[1] == []
 
 
+def brute_secrets(text):
+    """The contract's expressions, written out anew."""
+    rules = (
+        ("assign", "(" + "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token")) + r"""|[aA][pP][iI]_?[kK][eE][yY])["']?[ ]*[:=][ ]*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6),
+        ("access", "AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20),
+        ("hex", "[0-9a-f]+", lambda m: len(m[0]) >= 24),
+    )
+    found = sorted((m.start(), k, m.end()) for k, (_, p, ok) in enumerate(rules) for m in re.finditer(p, text) if ok(m))
+    return ",".join(f"{rules[k][0]}:{s}:{e}" for s, k, e in found)
+
+
+def brute_links(text):
+    """Which weak candidates are linked, by looking at every other candidate of the paragraph."""
+    base = secrets.base_spans(text)
+    weak = secrets.weak_spans(text, base)
+    paragraph = lambda x: len(re.findall(r"\n[ \t\r]*\n", text[: x[0]]))
+    role = {"assign": "secret", "access": "identifier", "hex": "secret", "ident": "identifier", "blob": "secret", "endpoint": "endpoint"}
+    out = []
+    for x in weak:
+        beside = {role[secrets.KINDS[y[1]]] for y in base + weak if y != x and paragraph(y) == paragraph(x)}
+        if {"ident": {"secret"}, "blob": {"identifier"}, "endpoint": {"identifier", "secret"}}[secrets.KINDS[x[1]]] <= beside:
+            out.append(x)
+    return out
+
+
+def test_links_against_all_pairs():
+    rng = random.Random(12)
+    blob = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    bits = [blob, "aB3" + blob[::-1], "client_id: jane77", "user=bob", "host: db.example.com", "https://x.example.com/a", "password = hunter22", "AKIA" + "A1B2C3D4E5F6G7H8", "0f" * 16, "and", "so on", "\n", "\n\n", "\n \t\n"]
+    linked = 0
+    for _ in range(3000):
+        t = " ".join(rng.choices(bits, k=rng.randint(0, 9)))
+        got = secrets.scan_text(t)[1]
+        assert got == brute_links(t), t
+        linked += len(got)
+    assert linked > 1000
+
+
 def test_secret_base_against_the_contract():
     rng = random.Random(3)
     bits = ["token", "Secret", "api_key", "apikey", "passwd", " ", "=", ":", '"', "'", "abc", "0123456789abcdef" * 2, "AKIA", "ABCD1234" * 2, "é", "\n", "x", "/+-._", "ſecret", "toKen"]
     for _ in range(5000):
         t = "".join(rng.choices(bits, k=rng.randint(0, 12)))
         base, more = secrets.scan_text(t)
-        assert hashlib.sha256(secrets.written(base).encode()).hexdigest() == secrets.brute_base(t), t
+        assert secrets.written(base) == brute_secrets(t), t
 
 
 def test_runs_and_loser_tree():
@@ -372,6 +402,15 @@ def test_mixture_finds_both_languages(spark, docs):
     assert {x["lang"] for x in got[1]["languages"]} == {a, b} and abs(got[1]["score"] - 0.5) < 0.2
     assert [x["lang"] for x in got[2]["languages"]] == [a]
     assert (got[3]["lang_pred"], got[3]["score"], got[4]["lang_pred"]) == ("und", 0.0, "und")
+    signs = spark.createDataFrame([(1, "½ ² Ⅷ ① ٣"), (2, "Ⅷ é"), (3, " 1_0")], "doc_id long, text string")
+    assert [r["lang_pred"] == "und" for r in sorted(langid.predict_languages(signs, model).collect())] == [True, False, True]
+
+
+def test_a_column_without_languages_is_refused(spark):
+    rows = spark.range(langid.MOST_LANGUAGES + 1).selectExpr("cast(id as string) lang", "'text' text")
+    with pytest.raises(ValueError, match="different values"):
+        langid.learn(rows)
+    assert len(langid.learn(rows.limit(5)).names) == 5
 
 
 def test_mixture_of_all_languages(spark, docs):
@@ -438,6 +477,14 @@ def test_trees_are_monotone_and_flat_nodes_agree():
     assert ((m.scores(x) > 0.5) == y).mean() > 0.85
 
 
+def test_repeated_documents_and_labels_train_once(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    once = quality.train(docs, labels)
+    again = quality.train(docs.unionByName(docs).unionByName(docs), labels.unionByName(labels))
+    assert all(np.array_equal(getattr(once, f), getattr(again, f)) for f in ("feature", "threshold", "left", "right", "value", "roots"))
+    assert quality.train(docs, labels, fit_rows=60) is not None
+
+
 def test_quality_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = quality.train(docs, labels.filter("doc_id % 2 = 0"))
@@ -501,6 +548,22 @@ def test_each_disguise_of_an_address_alone_and_with_others():
         assert pii.scan_text(clean)[1] == [], clean
 
 
+def brute_leaks(text, items, q=8, rate=0.10):
+    """Items whose best match in the text is within the budget, by full dynamic programming over plainly lowered texts."""
+    out, flat = set(), re.sub(r"\s", " ", text.lower())
+    for i, t in items:
+        t = re.sub(r"\s", " ", t.lower())
+        e = max(0, min(int(rate * len(t)), (len(t) - q) // q)) if len(t) >= q else 0
+        row = [0] * (len(flat) + 1)
+        for a, c in enumerate(t, 1):
+            before, row = row, [a] + [0] * len(flat)
+            for b, d in enumerate(flat, 1):
+                row[b] = min(before[b - 1] + (c != d), before[b] + 1, row[b - 1] + 1)
+        if min(row) <= e:
+            out.add(i)
+    return out
+
+
 def test_leaks_against_full_alignment():
     rng = random.Random(2)
     words = "tion er the and of re on ing al en th".split()
@@ -524,7 +587,7 @@ def test_leaks_against_full_alignment():
         i, x = rng.choice(items)
         e = decon.budget(len(x), 8, 0.08)[0] if len(x) >= 8 else 0
         t = prose(20) + " " + edited(x.upper() if rng.random() < 0.2 else x, rng.randint(0, e + 1)) + prose(10)
-        assert {table.ids[n] for n, *_ in table.find(t)} == decon.brute(t, items), (t, x)
+        assert {table.ids[n] for n, *_ in table.find(t)} == brute_leaks(t, items), (t, x)
 
 
 def test_leaks_in_blocks(spark, docs):
@@ -534,3 +597,6 @@ def test_leaks_in_blocks(spark, docs):
     planted = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(10**6, f"Before {item['text']} after")], "doc_id long, text string"))
     one = key(decon.find_leaks(planted, b))
     assert one[-1] == (10**6, True, (item["item_id"],)) and one == key(decon.find_leaks(planted, b, block_chars=3000))
+    left = sorted(d for d, hit, _ in one if not hit)
+    for chars in (decon.BLOCK_CHARS, 3000):
+        assert sorted(r["doc_id"] for r in decon.drop_leaks(planted, b, block_chars=chars).collect()) == left

@@ -36,7 +36,25 @@ def test_near_duplicates_keep_one_of_repeated_rows(spark, awkward):
     docs = awkward.select("doc_id", "text", "lang", "source", "n_chars")
     got = corpus_pipeline.near_duplicates(spark, docs, SF)
     ids = sorted((r["doc_id"] for r in got.collect()), key=str)
-    assert ids.count(1) == 1 and ids.count(None) == 2 and len(set(ids)) == len(ids) - 1
+    assert ids == sorted([1, 2, 3, 5, 6, -9, None], key=str) or ids == sorted([1, 3, 5, 6, -9, None], key=str)  # the tail may or may not be near
+    assert sorted(got.columns) == sorted(docs.columns)
+
+
+def test_rows_are_judged_one_by_one(spark):
+    """Null and shared identifiers, and columns with the names that stages use."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    own = spark.read.parquet(f"{SF}/documents.parquet").filter("n_chars between 300 and 900").limit(4).collect()
+    rows = [(None, own[0]["text"] + " " + item), (7, own[1]["text"]), (7, own[2]["text"] + " " + item), (None, own[1]["text"]), (None, own[3]["text"]), (7, own[1]["text"])]
+    data = [(i, t, "en", "s", len(t), 1.0, ["x"], "y", "z", 2, "w") for i, t in rows]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars int, score double, languages array<string>, lang_pred string, __text string, row int, i string")
+    kept = corpus_pipeline.decontaminate(spark, docs, SF)
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == sorted((str(i), t) for i, t in rows if item not in t)
+    once = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert sorted((str(r["doc_id"]), r["text"]) for r in once.collect()) == sorted({(str(i), t) for i, t in rows if (i, t) != (None, own[1]["text"])})
+    for stage in (corpus_pipeline.language, corpus_pipeline.near_duplicates, corpus_pipeline.decontaminate, corpus_pipeline.redact_secrets):
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns and [f.dataType for f in got.schema] == [f.dataType for f in docs.schema]
+        assert {(r["score"], r["lang_pred"], r["__text"], r["row"], r["i"]) for r in got.collect()} == {(1.0, "y", "z", 2, "w")}
 
 
 @pytest.mark.parametrize("part", ["empty", "awkward"])
@@ -46,5 +64,65 @@ def test_awkward_tables_go_through(spark, awkward, tmp_path, part):
     assert got[-1].count() == 0 if part == "empty" else got[-1].count() > 0
 
 
-def test_run(spark):
-    assert corpus_pipeline.run(spark, SF).count() > 0
+def brute_stages(spark):
+    """doc_id to text after the four filters, each written out anew on plain lists."""
+    import re
+
+    from test_llm_operators import brute_components, brute_fingerprint, brute_leaks, brute_links, brute_secrets
+
+    from dissona.llm import langid, secrets
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.learn(docs)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    names, scores, _ = langid.predict_texts([t for _, t in rows], model)
+    rows = [r for r, n, s in zip(rows, names, scores, strict=True) if n != "und" and s >= 0.4]
+    groups = dict(brute_components([(i, brute_fingerprint(t)) for i, t in rows]))
+    rows = [(i, t) for i, t in rows if groups[i] == i]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    grams = {x: {t[k : k + 8] for k in range(len(t) - 7)} for x, t in ((x, re.sub(r"\s", " ", t.lower())) for x, t in items)}
+
+    def leaks(text):
+        flat = re.sub(r"\s", " ", text.lower())
+        near = [(x, t) for x, t in items if sum(g in flat for g in grams[x]) >= len(grams[x]) / 20]  # by far fewer shared q-grams than any match has
+        return bool(near) and bool(brute_leaks(text, near))
+
+    out = {}
+    for i, t in rows:
+        if not leaks(t):
+            spans = sorted([(int(s), int(e)) for _, s, e in (x.split(":") for x in brute_secrets(t).split(",") if x)] + [(s, e) for s, _, e in brute_links(t)])
+            new, at = "", 0
+            for s, e in spans:
+                if s >= at:
+                    new += t[at:s] + "<secret>"
+                at = max(at, e)
+            out[i] = new + t[at:]
+    return out
+
+
+def test_stages_against_brute_force(spark, tmp_path):
+    got = stages(spark, spark.read.parquet(f"{SF}/documents.parquet"), str(tmp_path))
+    assert {r["doc_id"]: r["text"] for r in got[4].collect()} == brute_stages(spark)
+
+
+def test_run(spark, library, tmp_path):
+    import zlib
+
+    import corpus_pipeline as p
+
+    docs = stages(spark, spark.read.parquet(f"{SF}/documents.parquet"), str(tmp_path))[4]
+    want = {r["doc_id"]: library(r["text"]) + bytes(4) for r in docs.collect()}
+    got = {}
+    for r in p.run(spark, SF).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    assert got.keys() == want.keys()
+    for i, parts in got.items():
+        at = 0
+        for r in sorted(parts, key=lambda r: r["start"]):
+            assert r["start"] == at and r["ids_crc32"] == zlib.crc32(want[i][4 * at : 4 * (at + r["length"])])
+            at += r["length"]
+        assert 4 * at == len(want[i])
+    import os
+
+    shared = spark.conf.get("spark.checkpoint.dir")
+    assert not [f for f in os.listdir(shared) if f.startswith(("pipeline-", "table-", "dissona_"))]
