@@ -1,8 +1,8 @@
 """Corpus pipeline: language, near-duplicates, benchmark leaks, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; each is written as Parquet and read again as the next one's docs. All but
-the last keep the columns of documents. Stages keep the columns of their own name only; further columns of docs pass through the
-filters unread. Null texts have no language and end at the first stage; an empty table stays empty.
+the last keep the columns of documents, in place and type; further columns of docs, whatever their names, go along with their rows.
+Decisions are made for rows, not identifiers. Null texts have no language and end at the first stage; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -10,61 +10,29 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from dissona.llm import decon, langid, packing, secrets, simhash
-from dissona.llm.common import map_rows
-from dissona.runtime import durable, rows_bound, shared_dir, table
-
-BROADCAST_ROWS = 200_000
-
-
-def _semi(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """docs with (left_semi) or without (left_anti) the ids; the ids are broadcast where few."""
-    ids = durable(ids.distinct())
-    return docs.join(F.broadcast(ids) if rows_bound(ids, BROADCAST_ROWS) else ids, "doc_id", how)
+from dissona.runtime import durable, remove, shared_dir, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents of a learned language, set to lang; without a letter or without a leading language they go."""
-    model = langid.learn(docs)
-    names = docs.columns
-    found = langid.predict_languages(docs, model, keep=tuple(names))
-    return found.filter("lang_pred <> 'und' and score >= 0.4").withColumn("lang", F.col("lang_pred")).select(*names)
+    return langid.keep_languages(docs, langid.learn(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group: the one with the least doc_id; of rows that share it, one. A row without doc_id can't be named and stays."""
-    classes = durable(simhash.near_duplicates(docs))
-    gone = classes.filter("doc_id <> component_id").select("doc_id")
-    repeated = durable(classes.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"))
-    if repeated.isEmpty():
-        return _semi(docs, gone, "left_anti")
-    once = _semi(docs, gone.unionByName(repeated), "left_anti")
-    kept = classes.filter("doc_id = component_id").select("doc_id").distinct().join(repeated, "doc_id", "left_semi")
-    return once.unionByName(docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    """Keeps one row of each group that op3's links make (3-word shingles, 3 of 64 bits): one with the least doc_id."""
+    return simhash.drop_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark passage."""
-    leaks = decon.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    return _semi(docs, leaks.filter("contaminated").select("doc_id"), "left_anti")
+    return decon.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets by a mark; n_chars follows."""
-    names = docs.columns
-    schema = docs.schema
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    at = names.index("text")
-
-    def run(columns: list[list]) -> list[list]:
-        columns[at] = [secrets.redact_text(t) for t in columns[at]]
-        return columns
-
-    out = map_rows(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields), [to_arrow_type(f.dataType) for f in schema.fields])
-    return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)).select(*names)
+    return secrets.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,10 +45,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each written to the shared folder and read again."""
+    """The stages applied to documents, each written to the shared folder and read again; the folders go when the result is there."""
     folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
-    return docs
+    try:
+        for k, (name, stage) in enumerate(STAGES):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
+            docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            if k:
+                remove(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
+        return durable(docs)
+    finally:
+        remove(spark, folder)
