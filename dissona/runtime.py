@@ -14,8 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
-#: Rows of an Arrow batch: Spark's default and this package's, as texts are long.
-BATCH_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2048")
+#: Settings of the session by Spark's default and this package's, as texts are long: rows (and bytes) of an Arrow batch, rows of a Parquet reader's.
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "512"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": (None, str(4 << 20)),
+    "spark.sql.parquet.columnarReaderBatchSize": ("4096", "512"),
+}
+#: Bytes of a row group in tables that only the next step reads. A writer holds a row group of long texts in memory.
+ROW_GROUP = ("parquet.block.size", str(8 << 20))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,11 +30,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, for functions that run in Python there, and keep Arrow batches of texts small."""
+    """Send this package to the executors once per application, for functions that run in Python there, and keep batches of texts small.
+
+    BATCHES are settings of the session: what it has set to other than Spark's default stays, and the others hold from then on.
+    """
     sc = spark.sparkContext
-    if spark.conf.get(BATCH_ROWS[0], BATCH_ROWS[1]) == BATCH_ROWS[1]:  # unless the session says otherwise
-        spark.conf.set(BATCH_ROWS[0], BATCH_ROWS[2])
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        for name, (default, own) in BATCHES.items():
+            if default is None or spark.conf.get(name, default) == default:
+                spark.conf.set(name, own)
     if sc.applicationId in _shipped:
         return
     target = os.path.join(tempfile.mkdtemp(prefix="dissona"), f"dissona_{sc.applicationId.replace('-', '_')}.zip")
@@ -61,7 +71,7 @@ def stored(df: DataFrame) -> Iterator[DataFrame]:
     """df as a Parquet table in the shared folder, compressed by column, for as long as the block runs."""
     spark = df.sparkSession
     folder = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(folder)
+    df.write.option("compression", "zstd").option(*ROW_GROUP).parquet(folder)
     try:
         yield spark.read.schema(df.schema).parquet(folder)
     finally:
@@ -84,7 +94,7 @@ def bucketed(df: DataFrame, key: str) -> Iterator[DataFrame]:
     name = f"dissona_{uuid.uuid4().hex}"
     folder = f"{shared_dir(spark).rstrip('/')}/{name}"
     buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)
-    df.write.bucketBy(buckets, key).sortBy(key).option("compression", "zstd").option("path", folder).saveAsTable(name)
+    df.write.bucketBy(buckets, key).sortBy(key).option("compression", "zstd").option(*ROW_GROUP).option("path", folder).saveAsTable(name)
     try:
         yield spark.read.table(name)
     finally:
@@ -95,3 +105,25 @@ def bucketed(df: DataFrame, key: str) -> Iterator[DataFrame]:
 def rows_bound(df: DataFrame, bound: int) -> bool:
     """Whether df has at most `bound` rows, read without counting further than that."""
     return df.limit(bound + 1).count() <= bound
+
+
+# Fixed value: what the models of a check take on the driver's machine, in MB.
+MODELS_MB = 2500
+
+
+def available_memory_mb() -> int | None:
+    """What this machine has left, or None where it can't be told."""
+    try:
+        return next(int(line.split()[1]) >> 10 for line in Path("/proc/meminfo").read_text().splitlines() if line.startswith("MemAvailable:"))
+    except (OSError, StopIteration):
+        return None
+
+
+def preflight_memory(least_mb: int | None = None) -> str | None:
+    """A warning where the models may not fit, None where they do or nothing is known; under least_mb, if given, a ValueError."""
+    left = available_memory_mb()
+    if left is None:
+        return None
+    if least_mb is not None and left < least_mb:
+        raise ValueError(f"{left} MB are available, below max_memory_mb={least_mb}; close other processes, lower it, or take a smaller model")
+    return f"{left} MB are available; the models of a check take about {MODELS_MB}, so it may run out of memory" if left < MODELS_MB else None
