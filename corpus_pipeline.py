@@ -3,6 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; each is written as Parquet and read again as the next one's docs. All but
 the last keep the columns of documents, in place and type; further columns of docs, whatever their names, go along with their rows.
 Decisions are made for rows, not identifiers. Null texts have no language and end at the first stage; an empty table stays empty.
+
+Each stage's table is for the next one to read, and its rows are long: stages ask the session for row groups of 8 MB (`ROW_GROUP`,
+unless it has a size of its own), since a writer holds a whole row group in memory.
 """
 
 from __future__ import annotations
@@ -12,11 +15,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from dissona.llm import decon, langid, packing, secrets, simhash
-from dissona.runtime import durable, remove, shared_dir, table
+from dissona.runtime import ROW_GROUP, durable, remove, shared_dir, table
+
+
+def small_row_groups(spark: SparkSession) -> None:
+    if spark.conf.get(ROW_GROUP[0], None) is None:
+        spark.conf.set(*ROW_GROUP)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents of a learned language, set to lang; without a letter or without a leading language they go."""
+    small_row_groups(spark)
     return langid.keep_languages(docs, langid.learn(docs))
 
 
