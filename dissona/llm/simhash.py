@@ -17,6 +17,7 @@ an empty result; other columns are ignored; texts are hashed whole.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -169,14 +170,16 @@ def drop_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     first = _least(found, F.struct(F.col("i").isNull().alias("n"), "i", "t"), radius, tile)
     counted = found.groupBy("i", "t", "fp").count().join(first, "fp").select("i", "t", "count", (F.col("i").eqNullSafe(F.col("least.i")) & (F.col("t") == F.col("least.t"))).alias("stays"))
     counted = durable(counted.filter("not stays or count > 1"))
-    whole = docs.select(F.struct("*").alias("row"), who[0].alias("i"), who[1].alias("t"))
+    mark = uuid.uuid4().hex  # in names that no column of docs has
+    keys = [f"i_{mark}", f"t_{mark}"]
+    whole = docs.withColumns(dict(zip(keys, who, strict=True)))
 
     def by(part: DataFrame, how: str) -> DataFrame:
-        other = part.select(F.col("i").alias("i2"), F.col("t").alias("t2"))
+        other = part.select("i", "t").toDF("i2", "t2")
         if rows_bound(other, BROADCAST_ROWS):
             other = F.broadcast(other)
-        return whole.join(other, whole.i.eqNullSafe(other.i2) & (whole.t == other.t2), how)
+        return whole.join(other, whole[keys[0]].eqNullSafe(other.i2) & (whole[keys[1]] == other.t2), how)
 
     again = counted.filter("stays")
-    left = by(counted, "left_anti").select("row.*")
-    return left if again.isEmpty() else left.unionByName(by(again, "left_semi").dropDuplicates(["i", "t"]).select("row.*"))
+    left = by(counted, "left_anti").drop(*keys)
+    return left if again.isEmpty() else left.unionByName(by(again, "left_semi").dropDuplicates(keys).drop(*keys))
