@@ -20,6 +20,9 @@ COMMANDS = {
     "delete": ["corpus"],
     "reassign": ["where", "corpus"],
     "clear-stuck": ["corpus"],
+    "orphans": [],
+    "active-corpus": ["?corpus"],
+    "compare-baseline": ["runs", "labels"],
 }
 
 
@@ -39,8 +42,9 @@ def parser() -> argparse.ArgumentParser:
 
 def main(arguments: list[str] | None = None, spark=None) -> int:
     """Runs a command; what it says goes to standard output. Errors that a user can mend give 2."""
-    from dissona.plans import plugins
+    from dissona.plans import harness, plugins
     from dissona.plans.workspace import Workspace
+    from dissona.runtime import preflight_memory
     from dissona.sources import sinks
     from dissona.sources.readers import Config
 
@@ -60,6 +64,8 @@ def main(arguments: list[str] | None = None, spark=None) -> int:
             case "ingest":
                 print(w.ingest(a.folder, a.corpus, config=config))
             case "check":
+                if warning := preflight_memory(config.max_memory_mb):
+                    print(f"warning: {warning}", file=sys.stderr)
                 print(w.check(a.corpus, judge=plugins.make_judge(config.judge_provider, {"fixture": lambda: plugins.FixtureJudge({})}), config=config))
             case "estimate-cost":
                 show(w.estimate(a.corpus, config))
@@ -88,6 +94,12 @@ def main(arguments: list[str] | None = None, spark=None) -> int:
                 w.reassign(a.where, a.corpus)
             case "clear-stuck":
                 print(w.clear_stuck(a.corpus))
+            case "orphans":
+                show(w.orphans())
+            case "active-corpus":
+                print(w.active_corpus(a.corpus) or "none")
+            case "compare-baseline":
+                print(harness.compare_baseline(spark, a.runs, a.labels))
     except ValueError as e:
         print(f"error: {e}", file=sys.stderr)
         return 2

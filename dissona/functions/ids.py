@@ -29,6 +29,12 @@ def is_pair_key(key: Column | str) -> Column:
     return (F.col(key) if isinstance(key, str) else key).rlike(r"^[0-9a-f]{16}(:[0-9a-f]{16})+\z")
 
 
+def checked_pair_key(key: Column | str) -> Column:
+    """The key; one that isn't segments of 16 hex digits joined by colons raises."""
+    key = F.col(key) if isinstance(key, str) else key
+    return F.when(is_pair_key(key), key).otherwise(F.raise_error(F.concat(F.lit("not a pair key: "), F.coalesce(key, F.lit("null")))))
+
+
 def unordered_finding_id(doc_a: Column, span_a: Column, doc_b: Column, span_b: Column) -> Column:
     """The same for (a, b) and (b, a): a hash over the two sorted (document, span) pairs, parts joined by a bar."""
     sides = F.array_sort(F.array(F.struct(doc_a.alias("d"), span_a.alias("s")), F.struct(doc_b.alias("d"), span_b.alias("s"))))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dissona.functions.ids import hash_id, pair_key_of
-from dissona.functions.text import doc_label
+from dissona.functions.text import doc_label, eta_text, percent
 
 from .store import latest_wins
 
@@ -77,6 +77,56 @@ def with_reviews(findings: DataFrame, reviews: DataFrame) -> DataFrame:
     return findings.withColumn("pair_key", key).withColumn("detector_type", F.coalesce("detector_type", F.lit("contradiction"))).join(r, ["pair_key", "detector_type"], "left")
 
 
+def multi_party_findings(multi: DataFrame, *, run_id: str | None = None, verdict: str | None = None) -> DataFrame:
+    """Findings on several assertions of a run, with a verdict."""
+    return filtered_findings(multi, run_id=run_id, verdict=verdict)
+
+
+def with_multi_reviews(multi: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Findings on several assertions with the reviewer's verdict on their sorted ids, null where there is none."""
+    r = reviews.filter("detector_type = 'multi_party'").select("pair_key", F.col("verdict").alias("reviewer_verdict"))
+    return multi.withColumn("pair_key", pair_key_of("assertion_ids")).withColumn("detector_type", F.lit("multi_party")).join(r, "pair_key", "left")
+
+
+def reviewed_rows(findings: DataFrame, multi: DataFrame, reviews: DataFrame) -> DataFrame:
+    """detector_type, judge_verdict, reviewer_verdict of all findings that a reviewer has seen, of pairs and of several assertions."""
+    kept = ["detector_type", "judge_verdict", "reviewer_verdict"]
+    return with_reviews(findings, reviews).select(*kept).unionByName(with_multi_reviews(multi, reviews).select(*kept)).filter("reviewer_verdict is not null")
+
+
+def drawer(reviewed: DataFrame, *, show_reviewed: bool = False) -> DataFrame:
+    """What is still to be reviewed; everything with show_reviewed."""
+    return reviewed if show_reviewed else reviewed.filter("reviewer_verdict is null")
+
+
+def assertion_detail(assertions: DataFrame, documents: DataFrame, assertion_id) -> DataFrame:
+    """One assertion with its document's label; the id stands for a document that is gone."""
+    label = documents.select("doc_id", doc_label("title", "source_path", "doc_id").alias("doc_label"))
+    return assertions.filter(F.col("assertion_id") == assertion_id).join(label, "doc_id", "left").withColumn("doc_label", F.coalesce("doc_label", F.col("doc_id").cast("string")))
+
+
+def active_corpus(corpora: DataFrame, runs: DataFrame, requested=None) -> DataFrame:
+    """corpus_id: the requested one if there is such a corpus, else that of the run that ended last, else the first by name; none without corpora."""
+    asked = corpora.filter(F.col("corpus_id") == F.lit(requested)).select("corpus_id", F.lit(0).alias("rank"), F.lit(None).cast("timestamp").alias("at"), "corpus_name")
+    last = runs.filter("finished_at is not null and corpus_id is not null").groupBy("corpus_id").agg(F.max("finished_at").cast("timestamp").alias("at"))
+    # a corpus that is gone gives way to the first, not to the next run
+    latest = last.orderBy(F.desc("at"), "corpus_id").limit(1).join(corpora.select("corpus_id", "corpus_name"), "corpus_id").select("corpus_id", F.lit(1).alias("rank"), "at", "corpus_name")
+    first = corpora.select("corpus_id", F.lit(2).alias("rank"), F.lit(None).cast("timestamp").alias("at"), "corpus_name").orderBy("corpus_name", "corpus_id").limit(1)
+    return asked.unionByName(latest).unionByName(first).orderBy("rank").limit(1).select("corpus_id")
+
+
+def live_counters(run: DataFrame, findings: DataFrame, multi: DataFrame) -> DataFrame:
+    """A run's counters with its findings by kind, a percentage and the time that is left; run: run_id, run_status, n_pairs_gated, n_pairs_judged, elapsed (seconds)."""
+    own = findings.groupBy("run_id").agg(F.count_if(F.col("detector_type") == "definition_inconsistency").alias("n_definition_pairs_judged"), F.count_if(F.col("judge_verdict") == "definition_divergent").alias("n_definition_findings"))
+    more = multi.groupBy("run_id").agg(F.count("*").alias("n_multi_party_findings"))
+    counts = ["n_definition_pairs_judged", "n_definition_findings", "n_multi_party_findings"]
+    gated, judged = F.coalesce("n_pairs_gated", F.lit(0)), F.coalesce("n_pairs_judged", F.lit(0))
+    done = F.when((gated > 0) & (judged > 0), percent(judged, gated)).when(F.col("run_status") == "done", 100).otherwise(0)
+    label = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for x in ("pending", "Queued", "running", "Running", "done", "Done", "failed", "Failed"))), F.col("run_status")), F.lit("Unknown"))
+    x = run.join(own, "run_id", "left").join(more, "run_id", "left")
+    return x.select(*run.columns, *(F.coalesce(c, F.lit(0)).alias(c) for c in counts), done.alias("percent"), eta_text(gated, judged, F.col("elapsed")).alias("time_left"), label.alias("label"))
+
+
 def not_false_positive(reviewed: DataFrame) -> DataFrame:
     """Without what reviewers called a false positive; what none has seen stays."""
     return reviewed.filter("reviewer_verdict is distinct from 'false_positive'")

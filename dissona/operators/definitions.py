@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dissona.functions.ids import mined_pair_id
 from dissona.functions.terms import canonical_term, comparable_definition, is_definitional, organisation_key
 
 
@@ -28,6 +29,39 @@ def definition_pairs(defs: DataFrame, *, across_organisations: bool = True) -> D
     return a.join(b, "term_key").filter("a_id < b_id").select("a_id", "b_id", "term_key", hidden.alias("suppressed"), (F.col("a_norm") == F.col("b_norm")).alias("same_text"))
 
 
+def definition_classes(defs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What definition_pairs says, in size of the different definitions: a hot term's copies make no pairs.
+
+    Members: assertion_id, class_id (definitions of one term, text and organisation). Pairs: class_a <= class_b of one term, n_pairs of
+    assertions between them, cross_org (both organisations known and different), same_text. A class meets itself if it has two members.
+    """
+    x = defs.filter("term_key <> ''").select("assertion_id", "term_key", "org_key", comparable_definition("assertion_text").alias("norm"))
+    x = x.withColumn("class_id", F.sha2(F.concat_ws("\u0001", "term_key", "org_key", "norm"), 256))
+    c = x.groupBy("class_id", "term_key", "org_key", "norm").agg(F.count("*").alias("n"))
+    side = lambda p: c.select("term_key", *(F.col(f).alias(f"{f}_{p}") for f in ("class_id", "org_key", "norm", "n")))
+    both = side("a").join(side("b"), "term_key").filter("class_id_a <= class_id_b")
+    itself = F.col("class_id_a") == F.col("class_id_b")
+    n = F.when(itself, F.col("n_a") * (F.col("n_a") - 1) / 2).otherwise(F.col("n_a") * F.col("n_b")).cast("long")
+    cross = (F.col("org_key_a") != "") & (F.col("org_key_b") != "") & (F.col("org_key_a") != F.col("org_key_b"))
+    pairs = both.select("term_key", F.col("class_id_a").alias("class_a"), F.col("class_id_b").alias("class_b"), n.alias("n_pairs"), cross.alias("cross_org"), (F.col("norm_a") == F.col("norm_b")).alias("same_text")).filter("n_pairs > 0")
+    return x.select("assertion_id", "class_id"), pairs
+
+
+def pass_counts(found: DataFrame) -> DataFrame:
+    """n_judged, n_divergent, n_short_circuited, n_suppressed of a definition pass's findings."""
+    v = F.col("judge_verdict")
+    short = v == "definition_consistent_auto"
+    return found.agg(F.count_if(v.isNotNull() & ~short).alias("n_judged"), F.count_if(v == "definition_divergent").alias("n_divergent"), F.count_if(short).alias("n_short_circuited"), F.count_if(F.col("suppressed")).alias("n_suppressed"))
+
+
+def candidate_lines(mined: DataFrame, defs: DataFrame) -> DataFrame:
+    """One JSON line for each mined pair, its label empty: pair_id, category, term, both texts."""
+    text = defs.select("assertion_id", "assertion_text")
+    x = mined.join(text.toDF("a_id", "def_a"), "a_id").join(text.toDF("b_id", "def_b"), "b_id")
+    category = F.when(F.col("same_text"), "identical").otherwise("review")
+    return x.select(F.to_json(F.struct(mined_pair_id(F.col("term_key"), F.col("a_id").cast("string"), F.col("b_id").cast("string")).alias("pair_id"), category.alias("category"), F.col("term_key").alias("term"), "def_a", "def_b", F.lit("").alias("label"))).alias("value"))
+
+
 def definition_pair_counts(defs: DataFrame, *, across_organisations: bool = True) -> DataFrame:
     """n_pairs, n_suppressed, n_short_circuited, n_to_judge without making a pair: from counts by term, organisation and text."""
     x = defs.filter("term_key <> ''").select("term_key", "org_key", comparable_definition("assertion_text").alias("norm"))

@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dissona.runtime import ship
+from dissona.runtime import durable, ship
 
-MATRIX_BYTES, BLOCK_ROWS = 128 << 20, 4096
+MATRIX_BYTES, BLOCK_ROWS, PIVOTS = 128 << 20, 4096, 2048
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -41,11 +41,11 @@ def nearest(ids: np.ndarray, rows: np.ndarray, all_ids: np.ndarray, all_rows: np
     return ids[source[keep]], all_ids[target[keep]], value[keep]
 
 
-def top_neighbours(vectors: DataFrame, k: int, *, id_column: str = "id", vector_column: str = "embedding", matrix_bytes: int = MATRIX_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def top_neighbours(vectors: DataFrame, k: int, *, id_column: str = "id", vector_column: str = "embedding", least: float | None = None, matrix_bytes: int = MATRIX_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """src, dst, score: for each vector its k + 1 nearest by cosine over all vectors, itself among them. Ids are longs; null vectors are left out.
 
-    The whole matrix goes to the executors if it is counted to fit in matrix_bytes. Otherwise vectors are dealt into blocks, each pair of
-    blocks is one group, and the best of each group meet in a rank by source.
+    With `least`, pairs less similar may be left out, as they come after all others. The whole matrix goes to the executors if it is
+    counted to fit in matrix_bytes; otherwise see `_by_pivots`.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -54,30 +54,73 @@ def top_neighbours(vectors: DataFrame, k: int, *, id_column: str = "id", vector_
     schema, names = "src long, dst long, score double", ["src", "dst", "score"]
     if not n:
         return spark.createDataFrame([], schema)
-    if n * width * 8 <= matrix_bytes:
-        found = rows.toArrow().combine_chunks()
-        all_ids, whole = found.column(0).to_numpy(), _unit(_matrix(found.column(1).combine_chunks(), width))
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for at in range(0, b.num_rows, 1024):
-                    part = b.slice(at, 1024)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in nearest(part.column(0).to_numpy(), _unit(_matrix(part.column(1), width)), all_ids, whole, k + 1)], names)
-
-        return rows.repartition(spark.sparkContext.defaultParallelism).mapInArrow(scan, schema)
-    blocks = -(-n // block_rows)
-    numbered = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.lit(int(blocks) - 1)))
-    both = numbered.select("id", "v", F.col("block").alias("q"), others.alias("t"), F.lit(True).alias("asks")).unionByName(numbered.select("id", "v", others.alias("q"), F.col("block").alias("t"), F.lit(False).alias("asks")))
+    if n * width * 8 > matrix_bytes:
+        return _by_pivots(rows, k, n, width, least, block_rows)
+    found = rows.toArrow().combine_chunks()
+    all_ids, whole = found.column(0).to_numpy(), _unit(_matrix(found.column(1).combine_chunks(), width))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in nearest(part.column(0).to_numpy(), _unit(_matrix(part.column(1), width)), all_ids, whole, k + 1)], names)
+
+    return rows.repartition(spark.sparkContext.defaultParallelism).mapInArrow(scan, schema)
+
+
+def _by_pivots(rows: DataFrame, k: int, n: int, width: int, least: float | None, block_rows: int) -> DataFrame:
+    """top_neighbours in blocks, exactly.
+
+    A sample of the vectors, bounded by PIVOTS, are pivots. Every vector belongs to its nearest pivot; a pivot's radius is the
+    greatest angle of its vectors to it. A vector asks only the pivots whose vectors can be as near as `least` by the triangle
+    inequality of angles (all of them without a positive `least`). Where a pivot has more than block_rows vectors or askers, they
+    are cut into blocks of that size by hash, and each block of askers meets each block of vectors in a group of its own: no group
+    grows with the data. The best of each group meet in a rank by source, of which Spark keeps k + 1 before the shuffle.
+    """
+    pruned = least is not None and least > 0
+    reach = np.arccos(np.clip(least - 1e-9, -1, 1)) + 1e-7 if pruned else np.inf
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, -(-n // block_rows))).toArrow().combine_chunks()
+    pivots = _unit(_matrix(sample.column(1).combine_chunks(), width))
+
+    def angles(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors that may have neighbours, and their angles to all pivots."""
+        m = _unit(_matrix(batch.column(1), width))
+        there = m.any(1) if pruned else np.ones(len(m), bool)  # a zero vector is as near as 0 to all
+        return there, np.arccos(np.clip(m @ pivots.T, -1, 1))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            there, a = angles(b)
+            b, a = b.filter(pa.array(there)), a[there]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(a.argmin(1), pa.int32()), pa.array(a.min(1) if len(a) else [], pa.float64())], ["id", "v", "q", "angle"])
+
+    own = durable(rows.mapInArrow(assign, "id long, v array<double>, q int, angle double"))
+    radius, size = np.full(len(pivots), -np.inf), np.zeros(len(pivots), np.int64)
+    for r in own.groupBy("q").agg(F.max("angle").alias("r"), F.count("*").alias("n")).collect():  # a row for each pivot
+        radius[r["q"]], size[r["q"]] = r["r"], r["n"]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            _, a = angles(b)
+            at, q = np.nonzero((a <= radius + reach) & (size > 0))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(q, pa.int32())], ["id", "v", "q"])
+
+    asking = own.select("id", "v").mapInArrow(ask, "id long, v array<double>, q int")
+    askers = {r["q"]: r["n"] for r in asking.groupBy("q").agg(F.count("*").alias("n")).collect()}
+    cuts = rows.sparkSession.createDataFrame([(q, int(-(-size[q] // block_rows)), int(-(-m // block_rows))) for q, m in askers.items()], "q int, own int, asked int")
+    block = lambda m: F.pmod(F.xxhash64("id"), F.col(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+    left = asking.join(F.broadcast(cuts), "q").select("id", "v", "q", block("asked").alias("s"), every("own").alias("t"), F.lit(True).alias("asks"))
+    right = own.join(F.broadcast(cuts), "q").select("id", "v", "q", every("asked").alias("s"), block("own").alias("t"), F.lit(False).alias("asks"))
+    names, kinds = ["src", "dst", "score"], [pa.int64(), pa.int64(), pa.float64()]
 
     def meet(group: pa.Table) -> pa.Table:
         asks = group.column("asks").to_numpy()
         ids, m = group.column("id").to_numpy(), _unit(_matrix(group.column("v").combine_chunks(), width))
-        if not asks.any() or asks.all():
-            return pa.table({x: pa.array([], t) for x, t in zip(names, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
-        return pa.table(dict(zip(names, map(pa.array, nearest(ids[asks], m[asks], ids[~asks], m[~asks], k + 1)), strict=True)))
+        found = nearest(ids[asks], m[asks], ids[~asks], m[~asks], k + 1) if asks.any() and not asks.all() else [[], [], []]
+        return pa.table(dict(zip(names, (pa.array(x, t) for x, t in zip(found, kinds, strict=True)), strict=True)))
 
-    best = both.groupBy("q", "t").applyInArrow(meet, schema)
+    best = left.unionByName(right).groupBy("q", "s", "t").applyInArrow(meet, "src long, dst long, score double")
     rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), "dst"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k + 1).drop("rank")
 
@@ -87,7 +130,7 @@ def ann_gate(vectors: DataFrame, *, k: int = 20, threshold: float = 0.7, id_colu
 
     Filters come after the choice of neighbours, so rows of one's own document use up places.
     """
-    near = top_neighbours(vectors, k, id_column=id_column, vector_column=vector_column).filter((F.col("src") != F.col("dst")) & (F.col("score") >= threshold))
+    near = top_neighbours(vectors, k, id_column=id_column, vector_column=vector_column, least=threshold).filter((F.col("src") != F.col("dst")) & (F.col("score") >= threshold))
     pairs = near.groupBy(F.least("src", "dst").alias("a_id"), F.greatest("src", "dst").alias("b_id")).agg(F.max("score").alias("score"))
     docs = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(doc_column).alias("doc"))
     a, b = docs.select(F.col("id").alias("a_id"), F.col("doc").alias("a_doc")), docs.select(F.col("id").alias("b_id"), F.col("doc").alias("b_doc"))

@@ -144,3 +144,29 @@ def payload_assertions(payloads: DataFrame) -> DataFrame:
     all_ = F.concat(F.transform(F.coalesce("claims", F.array().cast("array<string>")), claim), F.transform("definitions", define))
     rows = payloads.select("doc_id", "chunk_id", F.posexplode(all_).alias("seq", "x")).filter("trim(x.text) <> ''").select("doc_id", "chunk_id", "seq", "x.kind", F.col("x.text").alias("assertion_text"), "x.term", "x.definition_text")
     return first_wins(rows.withColumn("assertion_id", hash_id("doc_id", "assertion_text")), ["assertion_id"], ["chunk_id", "seq"])
+
+
+def orphans(child: DataFrame, parent: DataFrame, key: str, parent_key: str | None = None) -> DataFrame:
+    """Rows of child whose key, if it has one, isn't in parent."""
+    there = parent.select(F.col(parent_key or key).alias("__k")).distinct()
+    return child.filter(F.col(key).isNotNull()).join(there, F.col(key) == F.col("__k"), "left_anti")
+
+
+def any_rows(*tables: DataFrame) -> DataFrame:
+    """there: whether any of the tables has a row; one row of each is read."""
+    one = [t.limit(1).select(F.lit(1).alias("x")) for t in tables]
+    both = one[0]
+    for t in one[1:]:
+        both = both.unionAll(t)
+    return both.agg((F.count("*") > 0).alias("there"))
+
+
+def vector_of(embeddings: DataFrame, assertion_id) -> DataFrame:
+    """The vector of an assertion."""
+    return embeddings.filter(F.col("assertion_id") == assertion_id).select("assertion_id", "embedding")
+
+
+def checked_vectors(vectors: DataFrame, width: int) -> DataFrame:
+    """The vectors; one of another width, or null, raises."""
+    ok = F.col("embedding").isNotNull() & (F.size("embedding") == width)
+    return vectors.filter(F.assert_true(ok, F.concat(F.lit(f"a vector has {width} numbers, not "), F.coalesce(F.size("embedding").cast("string"), F.lit("null")))).isNull())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dissona.functions.ids import unordered_finding_id
@@ -10,6 +10,7 @@ from dissona.functions.quantities import extract_quantities, numeric_context, sh
 from dissona.operators import evaluation
 from dissona.operators.definitions import comparable_definition
 from dissona.runtime import durable
+from dissona.sources import readers, sinks
 
 from .plugins import Judge, verdict
 
@@ -58,3 +59,12 @@ def definition_pairs(pairs: DataFrame, judge: Judge) -> tuple[DataFrame, DataFra
 def with_finding_ids(findings: DataFrame) -> DataFrame:
     """Run findings with ids that don't depend on which side comes first."""
     return findings.withColumn("finding_id", unordered_finding_id(F.col("doc_a"), F.col("span_a"), F.col("doc_b"), F.col("span_b")))
+
+
+def compare_baseline(spark: SparkSession, runs: str, labels: str | None = None) -> str:
+    """Markdown that compares run files (a folder or a pattern) with each other and with a labelled sheet."""
+    found = with_finding_ids(readers.baseline_run(spark, runs))
+    marks = readers.finding_labels(spark, labels) if labels else spark.createDataFrame([], "finding_id string, label string")
+    first = found.agg(F.min("corpus_name").alias("corpus")).first()["corpus"] or ""
+    cost = found.groupBy("run_id").agg(F.max("cost_usd").alias("c")).agg(F.sum("c").alias("c")).first()["c"]
+    return sinks.comparison_markdown(first, evaluation.comparison(found, marks), cost)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dissona.functions.ids import hash_id
 from dissona.functions.quantities import extract_quantities, numeric_context, short_circuit, sign_flips, value_disagreements
 from dissona.operators import definitions as defs
 from dissona.operators.audit import finding_id, suppressed_findings
-from dissona.operators.chunking import sentence_spans
+from dissona.operators.chunking import sentences
 from dissona.operators.evaluation import best_label, stronger_direction
 from dissona.operators.gate import ann_gate, within_corpus
 from dissona.runtime import durable
@@ -53,11 +53,16 @@ def gated_pairs(assertions: DataFrame, *, members: DataFrame | None = None, k: i
     return pairs if members is None else within_corpus(pairs, members, "assertion_id")
 
 
+def with_term(term: Column) -> Column:
+    """The term that two definitions are judged on; a missing one raises."""
+    return F.when(term.isNotNull() & (term != ""), term).otherwise(F.raise_error(F.lit("definitions are judged on a term")))
+
+
 def definition_pass(assertions: DataFrame, documents: DataFrame, *, run_id: str, judge: Judge, scoped: bool = False) -> DataFrame:
     """Findings of definition pairs: kept apart by organisation, equal in text, or judged."""
     found = defs.with_organisation(defs.definitions(assertions), documents)
     pairs = durable(defs.definition_pairs(found, across_organisations=not scoped))
-    live = candidate_rows(pairs.filter("not suppressed"), assertions).withColumn("context", F.col("term_key"))
+    live = candidate_rows(pairs.filter("not suppressed"), assertions).withColumn("context", with_term(F.col("term_key")))
     same = live.filter("same_text").withColumn("v", F.struct(F.lit("definition_consistent_auto").alias("verdict"), F.lit("Definitions are equal but for case, spaces and marks at the ends.").alias("rationale"), F.array().cast("array<string>").alias("evidence_spans")))
     rest = live.filter("not same_text")
     judged = durable(rest.withColumn("v", verdict(rest, "a_text", "b_text", "context", judge)))
@@ -68,7 +73,8 @@ def definition_pass(assertions: DataFrame, documents: DataFrame, *, run_id: str,
 def nli_over_sentences(pairs: DataFrame, premise: str, hypothesis: str, checker: NliChecker, *, key: str, max_chars: int = 1500) -> DataFrame:
     """key, p: the checker's answer; of a premise over its limit that of the sentence which contradicts most."""
     x = pairs.select(key, F.col(premise).alias("whole"), F.col(hypothesis).alias("h"))
-    spans = F.when(F.length("whole") > max_chars, sentence_spans(F.col("whole"))).otherwise(F.array(F.struct(F.lit(0).alias("s"), F.length("whole").alias("e"))))
+    long = F.length("whole") > max_chars
+    spans = F.when(long, sentences(x, F.when(long, F.col("whole")))).otherwise(F.array(F.struct(F.lit(0).alias("s"), F.length("whole").alias("e"))))
     parts = x.withColumn("w", F.explode(spans)).select(key, "h", F.trim(F.substring("whole", F.col("w.s") + 1, F.col("w.e") - F.col("w.s"))).alias("part"), "w.s")
     scored = durable(parts.withColumn("p", nli(parts, "part", "h", checker)))
     return scored.groupBy(key).agg(F.max_by("p", F.struct(F.col("p.p_contradiction"), -F.col("s"))).alias("p"))
@@ -82,7 +88,7 @@ def judged_triangles(found: DataFrame, assertions: DataFrame, run_id: str, judge
     x = x.withColumn("texts", F.array("a_text", "b_text", "c_text"))
     asked = durable(x.withColumn("v", multi_verdict(x, "texts", judge)))
     rows = triangle_findings(asked, run_id)
-    verdicts = asked.select(F.array("a_id", "b_id", "c_id").alias("assertion_ids"), F.col("v.verdict").alias("judge_verdict"), F.col("v.rationale").alias("judge_rationale"), F.col("v.evidence_spans").alias("evidence_spans"))
+    verdicts = asked.select(F.array("a_id", "b_id", "c_id").alias("assertion_ids"), F.col("v.verdict").alias("judge_verdict"), F.col("v.rationale").alias("judge_rationale"), F.col("v.evidence_spans").alias("evidence_spans"), F.col("v.contradicting_subset").alias("contradicting_subset"))
     return rows.join(verdicts, "assertion_ids")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -11,11 +12,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dissona.functions import responses
 from dissona.runtime import ship
 
 NLI_TYPE = "struct<p_contradiction:double,p_entailment:double,p_neutral:double>"
 VERDICT_TYPE = "struct<verdict:string,rationale:string,evidence_spans:array<string>>"
+MULTI_TYPE = "struct<verdict:string,rationale:string,evidence_spans:array<string>,contradicting_subset:array<string>>"
+EXTRACTION_TYPE = "struct<claims:array<string>,definitions:array<struct<term:string,definition_text:string,containing_sentence:string>>>"
 TRIES = 3
+# Fixed value: characters of a document that its organisation is sought in.
+ORG_CHARS = 2000
 
 
 class Embedder(Protocol):
@@ -24,7 +30,17 @@ class Embedder(Protocol):
     def embed(self, texts: list[str]) -> np.ndarray: ...
 
 
+class Extractor(Protocol):
+    """extract: a chunk's claims, and its definitions as dicts of term, definition_text, containing_sentence. identify: label and reason for a title and the beginning of a text."""
+
+    def extract(self, text: str) -> tuple[list[str], list[dict[str, str]]]: ...
+
+    def identify(self, title: str | None, beginning: str) -> tuple[str | None, str]: ...
+
+
 class NliChecker(Protocol):
+    """release, if there is one, is called when a partition is done."""
+
     def score(self, pairs: list[tuple[str, str]]) -> list[tuple[float, float, float]]: ...
 
 
@@ -33,7 +49,21 @@ class Judge(Protocol):
 
 
 class MultiPartyJudge(Protocol):
-    def judge(self, texts: list[str]) -> tuple[str, str, list[str]]: ...
+    """A fourth part of the answer, if given, are the letters (A, B, C) of the texts that contradict each other."""
+
+    def judge(self, texts: list[str]) -> tuple: ...
+
+
+class Provider(Protocol):
+    """A vendor's client: an answer (JSON text of a payload) to a prompt. Clients themselves live outside."""
+
+    def request_payload(self, system: str, user: str) -> str: ...
+
+
+class Gate(Protocol):
+    """Candidate pairs (a_id, b_id, score) of assertions (id, doc_id, embedding)."""
+
+    def pairs(self, assertions: DataFrame) -> DataFrame: ...
 
 
 class HashEmbedder:
@@ -71,6 +101,79 @@ class FixtureJudge:
         return self.table.get((a, b), self.table.get((b, a), self.default))
 
 
+class FixtureExtractor:
+    """Answers from tables by text and title; others have no definitions, are one claim, and belong to no organisation."""
+
+    def __init__(self, table: dict[str, tuple[list[str], list[dict[str, str]]]] | None = None, labels: dict[str | None, tuple[str | None, str]] | None = None):
+        self.table, self.labels = table or {}, labels or {}
+
+    def extract(self, text: str) -> tuple[list[str], list[dict[str, str]]]:
+        return self.table.get(text, ([text.strip()], []))
+
+    def identify(self, title: str | None, beginning: str) -> tuple[str | None, str]:
+        return self.labels.get(title, (None, "no_org"))
+
+
+class ProviderJudge:
+    """A judge of pairs by a vendor's client: prompts are templates with {a}, {b} and {context}; an answer that is no payload is a ValueError, so it is asked for again."""
+
+    def __init__(self, provider: Provider, system: str, template: str, verdicts: tuple[str, ...] = responses.JUDGE_VERDICTS):
+        self.provider, self.system, self.template, self.verdicts = provider, system, template, verdicts
+
+    def judge(self, a: str, b: str, context: str | None) -> tuple[str, str, list[str]]:
+        user = self.template.replace("{a}", a).replace("{b}", b).replace("{context}", context or "")
+        return checked_answer(self.provider.request_payload(self.system, user), self.verdicts)
+
+
+def checked_answer(text: str, verdicts: tuple[str, ...]) -> tuple[str, str, list[str]]:
+    """functions.responses.verdict_payload for one answer inside a worker; what doesn't fit is a ValueError."""
+    x = json.loads(text)
+    if not isinstance(x, dict) or set(x) - {"verdict", "rationale", "evidence_spans"}:
+        raise ValueError("not a payload")
+    verdict, rationale, spans = x.get("verdict"), x.get("rationale"), x.get("evidence_spans", [])
+    if verdict not in verdicts or not isinstance(rationale, str) or not rationale or not isinstance(spans, list) or not all(isinstance(s, str) for s in spans):
+        raise ValueError("not a payload")
+    return verdict, rationale, spans
+
+
+def extracted(chunks: DataFrame, model: Extractor) -> DataFrame:
+    """doc_id, chunk_id, claims, definitions of chunks by an extractor: what Workspace.ingest takes as `extract`."""
+    ship(chunks.sparkSession)
+
+    @F.pandas_udf(EXTRACTION_TYPE)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            yield pd.DataFrame([model.extract(x or "") for x in t], columns=["claims", "definitions"])
+
+    made = chunks.select("doc_id", "chunk_id", run.asNondeterministic()(F.col("text")).alias("x"))
+    return made.select("doc_id", "chunk_id", "x.*")
+
+
+def identified(documents: DataFrame, model: Extractor) -> DataFrame:
+    """doc_id, org_label, org_reason: asked with the title and the first ORG_CHARS characters.
+
+    The reason is `truncated` where nothing was found and the text is longer; an answer that fails is asked for again, then llm_error.
+    """
+    ship(documents.sparkSession)
+
+    def one(title: str | None, text: str) -> tuple[str | None, str]:
+        for _ in range(TRIES):
+            try:
+                label, reason = model.identify(title, text[:ORG_CHARS])
+                return label, "truncated" if reason == "no_org" and len(text) > ORG_CHARS else reason
+            except ValueError:
+                continue
+        return None, "llm_error"
+
+    @F.pandas_udf("struct<org_label:string,org_reason:string>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for title, text in batches:
+            yield pd.DataFrame([one(a, b or "") for a, b in zip(title.where(title.notna(), None), text, strict=True)], columns=["org_label", "org_reason"])
+
+    made = documents.select("doc_id", run.asNondeterministic()(F.col("title"), F.substring("text", 1, ORG_CHARS + 1)).alias("x"))
+    return made.select("doc_id", "x.*")
+
+
 def embedding(df: DataFrame, text: str, model: Embedder) -> Column:
     """ARRAY<FLOAT> of a text column; one model per worker, texts in batches."""
     ship(df.sparkSession)
@@ -89,8 +192,11 @@ def nli(df: DataFrame, premise: str, hypothesis: str, model: NliChecker) -> Colu
 
     @F.pandas_udf(NLI_TYPE)
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for p, h in batches:
-            yield pd.DataFrame(model.score(list(zip(p, h, strict=True))), columns=["p_contradiction", "p_entailment", "p_neutral"])
+        try:
+            for p, h in batches:
+                yield pd.DataFrame(model.score(list(zip(p, h, strict=True))), columns=["p_contradiction", "p_entailment", "p_neutral"])
+        finally:
+            getattr(model, "release", lambda: None)()
 
     return run.asNondeterministic()(F.col(premise), F.col(hypothesis))
 
@@ -118,23 +224,37 @@ def verdict(df: DataFrame, a: str, b: str, context: str, model: Judge) -> Column
 
 
 def multi_verdict(df: DataFrame, texts: str, model: MultiPartyJudge) -> Column:
-    """VERDICT_TYPE of an array of texts; asked again as for pairs."""
+    """MULTI_TYPE of an array of texts; asked again as for pairs."""
     ship(df.sparkSession)
 
     class Paired:
-        def judge(self, a: list[str], b: None, context: None) -> tuple[str, str, list[str]]:
-            return model.judge(a)
+        def judge(self, a: list[str], b: None, context: None) -> tuple:
+            answer = model.judge(a)
+            if len(answer) > 3 and set(answer[3]) - {"A", "B", "C"}:
+                raise ValueError("a subset has the letters A, B and C")
+            return answer
 
-    @F.pandas_udf(VERDICT_TYPE)
+    @F.pandas_udf(MULTI_TYPE)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for t in batches:
-            yield pd.DataFrame([asked(Paired(), list(x), None, None) for x in t], columns=["verdict", "rationale", "evidence_spans"])
+            answers = [asked(Paired(), list(x), None, None) for x in t]
+            yield pd.DataFrame([(*a[:3], list(a[3]) if len(a) > 3 else []) for a in answers], columns=["verdict", "rationale", "evidence_spans", "contradicting_subset"])
 
     return run.asNondeterministic()(F.col(texts))
 
 
+KINDS = ("extractor", "embedder", "nli", "judge", "definition_judge", "multi_party_judge", "gate")
+
+
+def make(kind: str, provider: str, models: dict[tuple[str, str], Callable[[], object]]):
+    """A model of a kind by its provider's name; an unknown kind, or one that isn't plugged in, raises."""
+    if kind not in KINDS:
+        raise ValueError(f"no such kind of model: {kind}")
+    if (kind, provider) not in models:
+        raise ValueError(f"no {kind} for {provider}")
+    return models[kind, provider]()
+
+
 def make_judge(provider: str, models: dict[str, Callable[[], Judge]]) -> Judge:
     """A judge by its provider's name; one that isn't plugged in raises."""
-    if provider not in models:
-        raise ValueError(f"no judge for {provider}")
-    return models[provider]()
+    return make("judge", provider, {("judge", p): f for p, f in models.items()})

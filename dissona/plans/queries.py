@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dissona.functions import ids, junk, quantities, terms, text
-from dissona.operators import audit, chunking, definitions, evaluation, gate, organisations, store, triangles
+from dissona.operators import audit, chunking, definitions, evaluation, gate, numeric, organisations, store, triangles
 from dissona.runtime import table
 from dissona.sources import sinks
 
@@ -291,22 +291,19 @@ def quantity_tuples(spark: SparkSession, sf: str) -> DataFrame:
     return _sentences(spark, sf).select("o_orderkey", F.explode(quantities.extract_quantities("sentence")).alias("q")).select("o_orderkey", "q.*")
 
 
-def _sentence_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Sentences of one customer, in pairs."""
-    x = _sentences(spark, sf).select("o_custkey", "o_orderkey", quantities.extract_quantities("sentence").alias("q"))
-    a, b = x.select("o_custkey", F.col("o_orderkey").alias("a_key"), F.col("q").alias("qa")), x.select("o_custkey", F.col("o_orderkey").alias("b_key"), F.col("q").alias("qb"))
-    return a.join(b, "o_custkey").filter("a_key < b_key")
+def _sentence_quantities(spark: SparkSession, sf: str) -> DataFrame:
+    return _sentences(spark, sf).select("o_custkey", "o_orderkey", quantities.extract_quantities("sentence").alias("q"))
 
 
 @query(f"""WITH {_SENT_SQL} SELECT o_orderkey a_key, b_key, 'numeric_short_circuit' verdict, 'Numeric short-circuit: metric=' || metric || ', A=' || "value"::BIGINT || '.0million_usd, B=' || b_value::BIGINT || '.0million_usd, polarity mismatch.' rationale FROM pairs WHERE {_FLIP}""")
 def sign_flips(spark: SparkSession, sf: str) -> DataFrame:
-    x = _sentence_pairs(spark, sf).withColumn("v", quantities.short_circuit(quantities.sign_flips("qa", "qb"))).filter("v is not null")
+    x = numeric.flipping(_sentence_quantities(spark, sf), "o_custkey", "o_orderkey", "q").withColumn("v", quantities.short_circuit("d"))
     return x.select("a_key", "b_key", "v.verdict", "v.rationale")
 
 
 @query(f"""WITH {_SENT_SQL} SELECT o_orderkey a_key, b_key, round(abs("value" - b_value) / greatest("value", b_value), 6) difference, 'metric=' || metric || ': A=' || "value"::BIGINT || '.0, B=' || b_value::BIGINT || '.0 million_usd (' || scope || ')' context FROM pairs WHERE metric = b_metric AND scope = b_scope AND NOT ({_FLIP}) AND greatest("value", b_value) > 0 AND abs("value" - b_value) / greatest("value", b_value) >= 0.1""")
 def value_disagreements(spark: SparkSession, sf: str) -> DataFrame:
-    x = _sentence_pairs(spark, sf).withColumn("d", quantities.value_disagreements("qa", "qb")).filter("size(d) > 0")
+    x = numeric.disagreeing(_sentence_quantities(spark, sf), "o_custkey", "o_orderkey", "q")
     return x.select("a_key", "b_key", F.round(quantities.relative_difference(F.col("d")[0]["a"], F.col("d")[0]["b"]), 6).alias("difference"), quantities.numeric_context("d").alias("context"))
 
 

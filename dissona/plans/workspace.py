@@ -1,13 +1,19 @@
 """A workspace: the engine's tables in a folder, and the steps that change and read them.
 
-Tables are Parquet in versioned folders. A change writes the next version and then one small pointer file, so readers see a whole
-state or the one before; a step that is run again finds its rows there and adds nothing.
+Tables are Parquet in folders. A version is a small file that lists the folders it is made of: a change writes a new folder and then
+the next version, an append only the rows it adds, so readers see a whole state or the one before. Two writers can't make the same
+version: the later one gets a ConflictError. A step that is run again finds its rows there and adds nothing.
 """
 
 from __future__ import annotations
 
+import contextlib
+import json
 import re
+import threading
+import time
 import uuid
+from collections.abc import Callable, Iterator
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,15 +34,23 @@ MIGRATIONS = (
     (3, "embeddings", "assertion_id string, doc_id string, embedding array<float>, embedded_at timestamp_ntz"),
     (4, "run_events", "run_id string, corpus_id string, run_kind string, status string, seq long, at timestamp_ntz, message string"),
     (5, "findings", "finding_id string, run_id string, detector_type string, assertion_a_id string, assertion_b_id string, gate_score double, nli_label string, nli_p_contradiction double, nli_p_entailment double, nli_p_neutral double, judge_verdict string, judge_rationale string, evidence_spans array<string>, suppressed boolean"),
-    (6, "multi_party_findings", "finding_id string, run_id string, assertion_ids array<string>, edge_scores array<struct<a:string,b:string,score:double>>, judge_verdict string, judge_rationale string, evidence_spans array<string>"),
+    (6, "multi_party_findings", "finding_id string, run_id string, assertion_ids array<string>, edge_scores array<struct<a:string,b:string,score:double>>, judge_verdict string, judge_rationale string, evidence_spans array<string>, contradicting_subset array<string>"),
     (7, "verdict_events", "pair_key string, detector_type string, verdict string, note string, set_at timestamp_ntz"),
     (8, "corpora", "corpus_id string, corpus_name string, corpus_path string, judge_provider string, created_at timestamp_ntz"),
     (9, "junk_drops", "stage string, reason string, doc_id string, text_snippet string"),
+    (10, "run_counters", "run_id string, n_assertions long, n_pairs_gated long, n_pairs_judged long, n_findings long, n_files_total long, n_files_done long, notes string, at timestamp_ntz"),
 )
+# Of a table, the column that names a row of another.
+KEYS = (("documents", "corpus_id", "corpora"), ("assertions", "doc_id", "documents"), ("embeddings", "assertion_id", "assertions"), ("run_events", "corpus_id", "corpora"), ("findings", "run_id", "run_events"), ("multi_party_findings", "run_id", "run_events"))
+FOLDERS = 64  # that a version may have before an append makes one of them
 NAME = re.compile(r"[^\s/\\][^/\\]{0,99}")
 PROVIDERS = ("moonshot", "anthropic", "openai", "fixture")
 
 
+class ConflictError(RuntimeError):
+    """Another writer has made the next version of a table."""
+
+
 class ActiveRunError(RuntimeError):
     """A corpus has a run that hasn't ended."""
 
@@ -63,8 +77,33 @@ class Workspace:
         path = self._path(name)
         if not self._fs(path).exists(path):
             return None
-        marks = [s.getPath().getName() for s in self._fs(path).listStatus(path) if s.getPath().getName().startswith("CURRENT-")]
-        return max(marks).removeprefix("CURRENT-") if marks else None
+        marks = [s.getPath().getName() for s in self._fs(path).listStatus(path) if s.getPath().getName().startswith("VERSION-")]
+        return max(marks).removeprefix("VERSION-") if marks else None
+
+    def _folders(self, name: str, version: str) -> list[str]:
+        mark = self._path(name, f"VERSION-{version}")
+        stream = self._fs(mark).open(mark)
+        try:
+            return bytes(stream.readAllBytes()).decode().split()
+        finally:
+            stream.close()
+
+    def _commit(self, name: str, before: str | None, folders: list[str]) -> None:
+        """The version after `before`; a ConflictError if it is there already."""
+        mark = self._path(name, f"VERSION-{int(before or 0) + 1:08d}")
+        try:
+            stream = self._fs(mark).create(mark, False)
+        except Exception as e:
+            raise ConflictError(f"{name} has been changed by another writer") from e
+        stream.write("\n".join(folders).encode())
+        stream.close()
+
+    def _put(self, name: str, df: DataFrame) -> str:
+        """A new folder with the rows, in the table's columns."""
+        schema = self.spark.createDataFrame([], next(s for _, n, s in MIGRATIONS if n == name)).schema
+        there, folder = set(df.columns), uuid.uuid4().hex
+        df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in there else F.lit(None).cast(f.dataType).alias(f.name) for f in schema)).write.parquet(f"{self.folder}/{name}/{folder}")
+        return folder
 
     def migrate(self) -> list[int]:
         """Makes the tables that aren't there; gives the numbers of the changes that were new."""
@@ -77,23 +116,34 @@ class Workspace:
 
     def read(self, name: str) -> DataFrame:
         schema = next(s for _, n, s in MIGRATIONS if n == name)
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}/{self._version(name)}")
+        folders = self._folders(name, self._version(name))
+        return self.spark.read.schema(schema).parquet(*(f"{self.folder}/{name}/{f}" for f in folders))
 
     def write(self, name: str, df: DataFrame) -> None:
         """The next version: rows first, then its mark."""
         before = self._version(name)
-        version = f"{int(before) + 1 if before else 1:08d}"
-        schema = self.spark.createDataFrame([], next(s for _, n, s in MIGRATIONS if n == name)).schema
-        there = set(df.columns)
-        df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in there else F.lit(None).cast(f.dataType).alias(f.name) for f in schema)).write.mode("overwrite").parquet(f"{self.folder}/{name}/{version}")
-        mark = self._path(name, f"CURRENT-{version}")
-        self._fs(mark).create(mark, True).close()
+        self._commit(name, before, [self._put(name, df)])
 
     def append(self, name: str, df: DataFrame, key: str | None = None) -> None:
-        """Adds rows; with a key only those it lacks."""
-        old = self.read(name)
-        new = df if key is None else df.dropDuplicates([key]).join(old.select(key), key, "left_anti")
-        self.write(name, old.unionByName(new, allowMissingColumns=True))
+        """Adds rows; with a key only those it lacks. Only the new rows are written."""
+        before = self._version(name)
+        folders = self._folders(name, before)
+        new = df if key is None else df.dropDuplicates([key]).join(self.read(name).select(key), key, "left_anti")
+        if len(folders) >= FOLDERS:
+            self._commit(name, before, [self._put(name, self.read(name).unionByName(new, allowMissingColumns=True))])
+        else:
+            self._commit(name, before, [*folders, self._put(name, new)])
+
+    def orphans(self) -> DataFrame:
+        """table_name, key, n: rows that name a row of another table which isn't there."""
+        out = []
+        for table, key, parent in KEYS:
+            there = self.read(parent)
+            out.append(store.orphans(self.read(table), there, key).agg(F.count("*").alias("n")).select(F.lit(table).alias("table_name"), F.lit(key).alias("key"), "n"))
+        every = out[0]
+        for x in out[1:]:
+            every = every.unionByName(x)
+        return every.filter("n > 0")
 
     # Corpora
 
@@ -159,7 +209,7 @@ class Workspace:
 
     def begin(self, corpus_id: str, kind: str) -> str:
         """A run's id; raises while the corpus has another."""
-        if not self.runs().filter((F.col("corpus_id") == corpus_id) & F.col("run_status").isin("pending", "running")).isEmpty():
+        if not self.active_runs(corpus_id).isEmpty():
             raise ActiveRunError("the corpus has a run that hasn't ended")
         run_id = uuid.uuid4().hex[:16]
         self.event(run_id, corpus_id, kind, "running")
@@ -175,6 +225,58 @@ class Workspace:
 
     # Steps
 
+    def count(self, run_id: str, **counts) -> None:
+        """A run's counters, or some of them; the latest of each are its state."""
+        row = self.spark.range(1).select(F.lit(run_id).alias("run_id"), F.localtimestamp().alias("at"), *(F.lit(v).alias(k) for k, v in counts.items()))
+        self.append("run_counters", row)
+
+    def counters(self, run_id: str) -> dict:
+        """n_assertions, n_pairs_gated, n_pairs_judged, n_findings, n_files_total, n_files_done, notes of a run, null where they aren't known."""
+        names = ["n_assertions", "n_pairs_gated", "n_pairs_judged", "n_findings", "n_files_total", "n_files_done", "notes"]
+        rows = self.read("run_counters").filter(F.col("run_id") == run_id)
+        return rows.agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(c) for c in names)).first().asDict()
+
+    def progress(self, run_id: str) -> dict:
+        """A run's live counters (audit.live_counters)."""
+        c = self.counters(run_id)
+        run = self.runs().filter(F.col("run_id") == run_id).select("run_id", "corpus_id", "run_kind", "run_status", "started_at", "finished_at", F.timestamp_diff("SECOND", "started_at", F.coalesce("finished_at", F.localtimestamp())).alias("elapsed"), *(F.lit(v).cast("long" if k != "notes" else "string").alias(k) for k, v in c.items()))
+        return audit.live_counters(run, self.read("findings").filter(F.col("run_id") == run_id), self.read("multi_party_findings").filter(F.col("run_id") == run_id)).first().asDict()
+
+    def events(self, run_id: str, *, poll: float = 1.0, most: int = 3600, tail: float = 5.0) -> Iterator[dict]:
+        """A run's progress every `poll` seconds until it has ended, at most `most` times; the last state once more after `tail` seconds, then no more."""
+        for _ in range(most):
+            now = self.progress(run_id)
+            yield now
+            if now["run_status"] in audit.TERMINAL:
+                time.sleep(tail)
+                yield self.progress(run_id) | {"closed": True}
+                return
+            time.sleep(poll)
+
+    def in_background(self, step: Callable[[], object]) -> threading.Thread:
+        """A step (ingest or check) in a thread of its own; what it raises is in the run's events."""
+        def run() -> None:
+            with contextlib.suppress(Exception):  # written to the run by the step
+                step()
+
+        thread = threading.Thread(target=run, daemon=True)
+        thread.start()
+        return thread
+
+    def add_files(self, folder: str, corpus: str, *, new: bool = False, **options) -> threading.Thread:
+        """Ingests files into a corpus in the background; a name that is taken (new) or a run that hasn't ended raises first."""
+        own = self.create_corpus(corpus, folder, reuse=not new)
+        if not self.active_runs(own).isEmpty():
+            raise ActiveRunError("the corpus has a run that hasn't ended")
+        return self.in_background(lambda: self.ingest(folder, corpus, **options))
+
+    def active_runs(self, corpus_id: str) -> DataFrame:
+        return self.runs().filter((F.col("corpus_id") == corpus_id) & F.col("run_status").isin("pending", "running"))
+
+    def active_corpus(self, requested: str | None = None) -> str | None:
+        first = audit.active_corpus(self.read("corpora"), self.runs(), requested).first()
+        return first["corpus_id"] if first else None
+
     def ingest(self, folder: str, corpus: str, *, config: readers.Config | None = None, embedder: plugins.Embedder | None = None, extract=whole_chunk_claims, identify=None, loaders: dict | None = None) -> dict:
         """Files to documents, chunks, assertions and vectors; counts of them. Junk assertions are dropped and listed."""
         config = config or readers.Config()
@@ -183,6 +285,7 @@ class Workspace:
         try:
             now = F.localtimestamp()
             loaded = pipeline.durable(readers.load_corpus(self.spark, folder, loaders))
+            self.count(run, n_files_total=loaded.count(), n_files_done=0)
             docs = loaded.select("doc_id", F.lit(own).alias("corpus_id"), "source_path", "title", now.alias("ingested_at"))
             docs = docs if identify is None else docs.join(identify(loaded), "doc_id", "left")
             old = self.read("documents")
@@ -196,6 +299,8 @@ class Workspace:
                 self.append("junk_drops", sinks.junk_drops(found.withColumnRenamed("assertion_text", "text"), "assertion", junk_assertion("text")))
             self.append("assertions", kept.withColumn("created_at", now), "assertion_id")
             n = self.embed_pending(embedder or plugins.HashEmbedder())
+            empty = [r["source_path"] for r in readers.empty_texts(loaded).limit(1000).collect()]
+            self.count(run, n_files_done=loaded.count(), n_assertions=kept.count(), notes=json.dumps({"empty_text_files": empty}))
             self.event(run, own, "ingest", "done")
         except Exception as e:
             self.event(run, own, "ingest", "failed", str(e)[:500])
@@ -207,10 +312,9 @@ class Workspace:
         have = self.read("embeddings")
         todo = self.read("assertions").join(have.select("assertion_id"), "assertion_id", "left_anti").select("assertion_id", "doc_id", "assertion_text")
         made = pipeline.durable(todo.select("assertion_id", "doc_id", plugins.embedding(todo, "assertion_text", embedder).alias("embedding"), F.localtimestamp().alias("embedded_at")))
-        wide = made.filter(F.size("embedding") != embedder.width).count() + have.filter(F.size("embedding") != embedder.width).limit(1).count()
-        if wide:
+        if not have.filter(F.size("embedding") != embedder.width).isEmpty():
             raise ValueError("vectors of another width are there")
-        self.append("embeddings", made)
+        self.append("embeddings", store.checked_vectors(made, embedder.width))
         return made.count()
 
     def rebuild_index(self, embedder: plugins.Embedder) -> int:
@@ -243,19 +347,27 @@ class Workspace:
         audit.guard_cost(self.estimate(corpus, config), config.max_cost) if config.max_cost is not None else None
         run = self.begin(own, "check")
         try:
-            members, old = self._members(own), self.read("findings")
+            members = self._members(own)
+            n_assertions, gated = members.count(), 0
+            self.count(run, n_assertions=n_assertions)
             made = [pipeline.definition_pass(members, self.read("documents"), run_id=run, judge=judge, scoped=config.scope_definitions_by_org)]
             if config.pairwise_enabled:
                 strong = pipeline.durable(self._pairs(own, config))
+                gated = strong.count()
+                self.count(run, n_pairs_gated=gated)
                 made.append(pipeline.pairwise_pass(strong, members, run_id=run, checker=checker or plugins.FixtureNli({}), judge=judge, threshold=config.nli_contradiction_threshold))
                 if config.deep:
                     weak = self._pairs(own, config, 0.5, 50)
                     found = triangles.top_triangles(triangles.triangles(triangles.union_edges(strong, weak), members, id_column="assertion_id"), config.max_triangles_per_run)
                     found = triangles.with_strong_edges(found, strong)
                     self.append("multi_party_findings", pipeline.triangle_findings(found, run) if multi_judge is None else pipeline.judged_triangles(found, members, run, multi_judge), "finding_id")
-            for df in made:
-                old = old.unionByName(df, allowMissingColumns=True)
-            self.write("findings", old)
+            found = made[0]
+            for df in made[1:]:
+                found = found.unionByName(df, allowMissingColumns=True)
+            found = pipeline.durable(found)
+            self.append("findings", found)
+            n = found.filter("detector_type = 'contradiction'").agg(F.count("*").alias("judged"), F.count_if(F.col("judge_verdict").isin(*audit.FOUND)).alias("found")).first()
+            self.count(run, n_pairs_gated=gated, n_pairs_judged=n["judged"], n_findings=n["found"])
             self.event(run, own, "check", "done")
         except Exception as e:
             self.event(run, own, "check", "failed", str(e)[:500])
@@ -264,9 +376,13 @@ class Workspace:
 
     def review(self, a: str, b: str, detector: str, verdict: str | None, note: str = "") -> None:
         """A reviewer's verdict on a pair; None takes the last one back."""
+        self.review_all((a, b), detector, verdict, note)
+
+    def review_all(self, ids: tuple[str, ...], detector: str, verdict: str | None, note: str = "") -> None:
+        """A reviewer's verdict on assertions, of a pair or of more."""
         if verdict is not None and verdict not in audit.REVIEWS:
             raise ValueError(f"not a verdict: {verdict}")
-        self.append("verdict_events", self.spark.range(1).select(F.lit(":".join(sorted((a, b)))).alias("pair_key"), F.lit(detector).alias("detector_type"), F.lit(verdict).cast("string").alias("verdict"), F.lit(note).alias("note"), F.localtimestamp().alias("set_at")))
+        self.append("verdict_events", self.spark.range(1).select(F.lit(":".join(sorted(ids))).alias("pair_key"), F.lit(detector).alias("detector_type"), F.lit(verdict).cast("string").alias("verdict"), F.lit(note).alias("note"), F.localtimestamp().alias("set_at")))
 
     # Reading
 
@@ -283,16 +399,28 @@ class Workspace:
         if run_id is None:
             raise ValueError("there is no run")
         f = pipeline.durable(self.findings(run_id))
-        n = f.agg(F.count_if(F.col("detector_type") == "contradiction").alias("judged"), F.count_if(F.col("judge_verdict").isin("contradiction", "numeric_short_circuit")).alias("found")).first()
-        text = sinks.render_report({"run_id": run_id, "n_assertions": self.read("assertions").count(), "n_pairs_gated": n["judged"], "n_pairs_judged": n["judged"], "n_findings": n["found"]}, f)
+        counts = {k: v or 0 for k, v in self.counters(run_id).items()}
+        text = sinks.render_report({"run_id": run_id} | counts, f)
         terms = self.read("assertions").select(F.col("assertion_id").alias("assertion_a_id"), "term")
         multi = self.read("multi_party_findings").filter(F.col("run_id") == run_id)
         more = [sinks.appended_section("Multi-party findings", sinks.multi_party_sections(multi, self.read("assertions"))), sinks.appended_section("Definition findings", sinks.definition_sections(f.join(terms, "assertion_a_id")))]
         return "\n".join([text, *(m for m in more if m)])
 
     def precision(self, corpus: str | None = None) -> DataFrame:
-        f = self.read("findings") if corpus is None else self.read("findings").join(self.runs().filter(F.col("corpus_id") == self.corpus_id(corpus)).select("run_id"), "run_id", "left_semi")
-        return evaluation.detector_precision(audit.with_reviews(f, audit.current_reviews(self.read("verdict_events"))))
+        f = self.read("findings").join(self._own_runs(corpus), "run_id", "left_semi")
+        multi = self.read("multi_party_findings").join(self._own_runs(corpus), "run_id", "left_semi")
+        return evaluation.detector_precision(audit.reviewed_rows(f, multi, audit.current_reviews(self.read("verdict_events"))))
+
+    def _own_runs(self, corpus: str | None) -> DataFrame:
+        r = self.runs() if corpus is None else self.runs().filter(F.col("corpus_id") == self.corpus_id(corpus))
+        return r.select("run_id")
+
+    def assertion(self, assertion_id: str) -> DataFrame:
+        """An assertion with its document's label."""
+        return audit.assertion_detail(self.read("assertions"), self.read("documents"), assertion_id)
+
+    def vector(self, assertion_id: str) -> DataFrame:
+        return store.vector_of(self.read("embeddings"), assertion_id)
 
     def stats(self) -> DataFrame:
         a = self.read("assertions").join(self.read("embeddings").select("assertion_id", "embedded_at"), "assertion_id", "left")

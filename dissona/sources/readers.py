@@ -18,6 +18,7 @@ from .documents import loader
 Loader = Callable[[DataFrame], DataFrame]
 # What an upload may have.
 UPLOAD_FILE, UPLOAD_COUNT, UPLOAD_TOTAL = 100 << 20, 100, 500 << 20
+LEAST_MEMORY = 512
 
 
 def plain_text(files: DataFrame) -> DataFrame:
@@ -138,6 +139,36 @@ def saved_labels(rows: DataFrame, candidates: DataFrame) -> DataFrame:
     return last
 
 
+def flat_settings(text: str) -> dict[str, str]:
+    """Settings of a YAML text by name, as strings. Where no YAML library is there, lines `name: value` are read, nested by indentation."""
+    try:
+        import yaml
+    except ImportError:
+        out, above = {}, []
+        for line in text.splitlines():
+            bare = line.split("#", 1)[0].rstrip()
+            if not bare.strip():
+                continue
+            indent, (name, _, value) = len(bare) - len(bare.lstrip()), bare.strip().partition(":")
+            above = [x for x in above if x[0] < indent]
+            if value.strip():
+                out["_".join([*(n for _, n in above), name.strip()])] = value.strip().strip("'\"")
+            else:
+                above.append((indent, name.strip()))
+        return out
+    loaded = yaml.safe_load(text) or {}
+    if not isinstance(loaded, dict):
+        raise ValueError("settings are names and values")
+
+    def walk(x: dict, head: tuple[str, ...]) -> dict[str, str]:
+        out = {}
+        for k, v in x.items():
+            out |= walk(v, (*head, str(k))) if isinstance(v, dict) else {"_".join((*head, str(k))): "" if v is None else str(v)}
+        return out
+
+    return walk(loaded, ())
+
+
 @dataclass(frozen=True)
 class Config:
     """Settings; unknown names raise. An environment variable CC_<NAME> goes before a file's value."""
@@ -155,25 +186,25 @@ class Config:
     deep: bool = False
     scope_definitions_by_org: bool = False
     max_cost: float | None = None
+    max_memory_mb: int | None = None
     extra: dict = field(default_factory=dict, repr=False)
 
     @classmethod
     def read(cls, text: str, environment: dict[str, str] | None = None) -> Config:
-        """From lines `name: value`, with the environment over them."""
+        """From YAML (of nested settings the names are joined by underscores), with the environment over them."""
         types = {f.name: f for f in fields(cls) if f.name != "extra"}
-        found: dict[str, str] = {}
-        for line in text.splitlines():
-            line = line.split("#", 1)[0].strip()
-            if line:
-                name, _, value = line.partition(":")
-                found[name.strip()] = value.strip().strip("'\"")
+        found = flat_settings(text)
         found |= {n: v for n in types if (v := (environment if environment is not None else os.environ).get(f"CC_{n.upper()}")) is not None}
         if unknown := set(found) - set(types):
             raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
         made = {}
         for n, v in found.items():
             default = types[n].default
-            made[n] = v.lower() in ("1", "true", "yes") if isinstance(default, bool) else type(default)(v) if default is not None else float(v)
+            if default is None and v.lower() in ("", "null", "none", "~"):
+                continue
+            made[n] = v.lower() in ("1", "true", "yes", "on") if isinstance(default, bool) else type(default)(v) if default is not None else int(v) if n == "max_memory_mb" else float(v)
+        if made.get("max_memory_mb", LEAST_MEMORY) < LEAST_MEMORY:
+            raise ValueError(f"max_memory_mb is {LEAST_MEMORY} or more")
         return cls(**made)
 
 

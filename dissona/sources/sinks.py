@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -151,6 +152,35 @@ def metrics_table(metrics: DataFrame) -> str:
     return "\n".join([f"| {' | '.join(metrics.columns)} |", f"|{' --- |' * len(metrics.columns)}", *(f"| {' | '.join(map(show, r))} |" for r in rows)]) + "\n"
 
 
+def comparison_markdown(corpus: str, comparison: DataFrame, cost: float | None = None) -> str:
+    """Markdown of evaluation.comparison's one row: counts, agreement, labels where there are any, costs where there are any."""
+    r = comparison.first().asDict()
+    percent = lambda v: "n/a" if v is None else f"{100 * v:.1f}%"
+    lines = [f"# Baseline: {corpus}", "", f"- Findings total (with duplicates across runs): **{r['n_total']}**", f"- Findings union: **{r['n_union']}**", f"- Findings intersection: **{r['n_intersection']}**", f"- Cross-run agreement: **{percent(r['agreement'])}**", ""]
+    if r["n_real"] or r["n_false_positive"]:
+        lines += ["## Labels", "", f"- Real: **{r['n_real']}**", f"- False positive: **{r['n_false_positive']}**", f"- Dismissed: **{r['n_dismissed']}**", f"- Precision on union: **{percent(r['precision'])}**", ""]
+    if cost:
+        lines += ["## Cost", "", f"- Total cost across runs: **${cost:.2f}**", f"- Cost per real finding: **{'n/a' if not r['n_real'] else f'${cost / r['n_real']:.2f}'}**", ""]
+    return "\n".join(lines).rstrip("\n") + "\n"
+
+
+def append_json(df: DataFrame, path: str) -> None:
+    """Adds JSON lines to a folder: events of OCR, drops of junk."""
+    df.write.mode("append").json(path)
+
+
+def rewrite_lines(lines: DataFrame, path: str) -> None:
+    """Replaces a folder of lines at once: they are written beside it, then take its place."""
+    spark = lines.sparkSession
+    beside = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    lines.write.text(beside)
+    here, new = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (path, beside))
+    store = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.delete(here, True)
+    if not store.rename(new, here):
+        raise OSError(f"{beside} can't take the place of {path}")
+
+
 def labelling_sheet(findings: DataFrame) -> DataFrame:
     """Findings of all runs for people to label, the label empty."""
     x = findings.select("finding_id", "doc_a", "span_a", "doc_b", "span_b", "type", "rationale", F.lit("").alias("label"), F.lit("").alias("notes"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from dissona.runtime import durable
 from dissona.sources.readers import load_files
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
@@ -17,14 +18,23 @@ def watch(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> Data
     return spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(folder)
 
 
+SLICES = 256
+
+
 def append_new(batch: DataFrame, target: str, key: str) -> None:
-    """Appends the rows whose key the table lacks; a batch that is run again adds nothing."""
+    """Appends the rows whose key the table lacks; a batch that is run again adds nothing.
+
+    The table is partitioned by a hash of the key, so of its keys only those in the batch's slices are read.
+    """
     spark = batch.sparkSession
-    fresh = batch.dropDuplicates([key])
+    part = F.pmod(F.xxhash64(key), F.lit(SLICES)).cast("int")
+    fresh = durable(batch.dropDuplicates([key]).withColumn("slice", part))
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
     if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        fresh = fresh.join(spark.read.parquet(target).select(key), key, "left_anti")
-    fresh.write.mode("append").parquet(target)
+        slices = [r["slice"] for r in fresh.select("slice").distinct().collect()]  # SLICES at most
+        there = spark.read.parquet(target).filter(F.col("slice").isin(slices)).select(key)
+        fresh = fresh.join(there, key, "left_anti")
+    fresh.write.mode("append").partitionBy("slice").parquet(target)
 
 
 def ingest(spark: SparkSession, folder: str, target: str, checkpoint: str, corpus_id: str) -> StreamingQuery:

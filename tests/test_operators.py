@@ -116,7 +116,7 @@ def _windows(spans, limit, overlap):
 def test_chunks(spark, overlap):
     texts = ["One two. Three four! Five?  Six seven eight nine ten.\nNext line here. " * 3, "x" * 90 + ". Short.", "no end", "", None, "a.b c.d", "\n\n"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
-    spans = {r["doc_id"]: [tuple(s) for s in r["s"]] for r in df.filter("text is not null").select("doc_id", chunking.sentence_spans(F.col("text")).alias("s")).collect()}
+    spans = {r["doc_id"]: [tuple(s) for s in r["s"]] for r in df.select("doc_id", chunking.sentences(df, F.col("text")).alias("s")).collect()}
     got = chunking.chunk_documents(df, max_chars=40, overlap_chars=overlap).collect()
     for i, t in enumerate(texts):
         own = sorted((r["char_start"], r["char_end"]) for r in got if r["doc_id"] == str(i))
@@ -130,6 +130,15 @@ def test_chunks(spark, overlap):
         chunking.chunk_documents(df, max_chars=0)
 
 
+def test_sentences():
+    cut = lambda t: [t[s:e] for s, e in chunking.sentence_spans(t)]
+    assert cut("One." + " " * 500 + "Two.  ") == ["One." + " " * 500, "Two.  "]
+    assert cut("Dr. Roe met J. Doe, e.g. at 3.5 p.m. in Rome. He left.") == ["Dr. Roe met J. Doe, e.g. at 3.5 p.m. ", "in Rome. ", "He left."]
+    assert cut('He said "no." Then\nnext line no.\nlast') == ['He said "no." ', "Then\n", "next line no.\n", "last"]
+    assert cut("") == [] and cut(" \n ") == [" \n "]
+    assert len(cut("a.\n" + "\n" * 200_000)) == 1
+
+
 def test_a_very_long_text_has_chunks(spark):
     df = spark.createDataFrame([(0, "word " * 40_000)], "doc_id int, text string")
     assert chunking.chunk_documents(df).count() == 1
@@ -180,3 +189,88 @@ def test_cost_guard(spark):
     audit.guard_cost(e, None)
     with pytest.raises(audit.CostCeilingError):
         audit.guard_cost(e, 1.0)
+
+
+@pytest.mark.parametrize("least", [None, 0.8])
+def test_neighbours_by_pivots(spark, least):
+    """Small blocks and a hot direction, against the whole matrix."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(6, 8))
+    v = np.concatenate([centres[rng.integers(0, 6, 120)] + 0.3 * rng.normal(size=(120, 8)), np.tile(centres[0], (60, 1)), np.zeros((2, 8))])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, embedding array<double>")
+    k = 200  # more than there are, so that ties at the edge don't matter
+    key = lambda d: sorted((r["src"], r["dst"], round(r["score"], 6)) for r in d.collect() if r["score"] >= (least if least is not None else -2))
+    whole = key(gate.top_neighbours(df, k, least=least))
+    assert key(gate.top_neighbours(df, k, least=least, matrix_bytes=0, block_rows=16)) == whole and len(whole) > 3000
+    few = gate.top_neighbours(df, 3, least=least, matrix_bytes=0, block_rows=16).groupBy("src").count().agg(F.max("count")).first()[0]
+    assert few == 4
+
+
+def test_definition_classes(spark):
+    rows_ = [(i, "t", ["acme", "", "blue"][i % 3], f'"T" means {i % 2}') for i in range(12)] + [(20, "u", "", '"U" means x'), (21, "", "", "no")]
+    d = spark.createDataFrame(rows_, "assertion_id long, term_key string, org_key string, assertion_text string")
+    members, classes = definitions.definition_classes(d)
+    member = members.collect()
+    by = {}
+    for r in member:
+        by.setdefault(r["class_id"], []).append(r["assertion_id"])
+    made = set()
+    for r in classes.collect():
+        a, b = by[r["class_a"]], by[r["class_b"]]
+        own = {(min(x, y), max(x, y), r["same_text"], r["cross_org"]) for x in a for y in b if x != y}
+        assert len(own) == r["n_pairs"]
+        made |= own
+    want = {(r["a_id"], r["b_id"], r["same_text"], r["suppressed"]) for r in definitions.definition_pairs(d, across_organisations=False).collect()}
+    assert made == want and len(member) == 13
+
+
+def test_meeting_quantities(spark):
+    from dissona.functions import quantities
+    from dissona.operators import numeric
+
+    texts = ["Revenue grew 12% in fiscal 2025. Costs fell $3 million.", "Revenue declined 5% in fiscal 2025.", "Revenue grew 20% in fiscal 2025.", "Costs rose $4 million.", "Nothing here."]
+    df = spark.createDataFrame([(g, i + 10 * g, t) for g in (1, 2) for i, t in enumerate(texts)], "g long, i long, t string").withColumn("q", quantities.extract_quantities("t"))
+    a, b = df.select("g", F.col("i").alias("a_key"), F.col("q").alias("qa")), df.select("g", F.col("i").alias("b_key"), F.col("q").alias("qb"))
+    pairs = a.join(b, "g").filter("a_key < b_key")
+    for got, want in ((numeric.flipping(df, "g", "i", "q"), quantities.sign_flips("qa", "qb")), (numeric.disagreeing(df, "g", "i", "q"), quantities.value_disagreements("qa", "qb"))):
+        full = pairs.withColumn("d", want).filter("size(d) > 0").select("g", "a_key", "b_key", "d")
+        assert sorted(map(str, got.select("g", "a_key", "b_key", "d").collect())) == sorted(map(str, full.collect())) and got.count()
+
+
+def test_reviewed_rows_of_pairs_and_triangles(spark):
+    from dissona.operators import audit, evaluation
+
+    f = spark.createDataFrame([("f1", "r", "contradiction", "a", "b", "contradiction"), ("f2", "r", None, "a", "c", "uncertain")], "finding_id string, run_id string, detector_type string, assertion_a_id string, assertion_b_id string, judge_verdict string")
+    m = spark.createDataFrame([("m1", "r", ["c", "a", "b"], "multi_party_contradiction"), ("m2", "r", ["a", "b", "d"], "uncertain")], "finding_id string, run_id string, assertion_ids array<string>, judge_verdict string")
+    reviews = spark.createDataFrame([("a:b", "contradiction", "confirmed"), ("a:b:c", "multi_party", "false_positive"), ("a:b:d", "contradiction", "confirmed")], "pair_key string, detector_type string, verdict string")
+    got = audit.reviewed_rows(f, m, reviews)
+    assert rows(got) == [("contradiction", "contradiction", "confirmed"), ("multi_party", "multi_party_contradiction", "false_positive")]
+    assert {(r["detector_type"], r["precision"]) for r in evaluation.detector_precision(got).collect()} == {("contradiction", 1.0), ("multi_party", 0.0)}
+    assert audit.multi_party_findings(m, run_id="r", verdict="uncertain").count() == 1
+    both = audit.with_multi_reviews(m, reviews)
+    assert audit.drawer(both).count() == 1 and audit.drawer(both, show_reviewed=True).count() == 2
+
+
+def test_active_corpus(spark):
+    from dissona.operators import audit
+
+    c = spark.createDataFrame([("1", "beta"), ("2", "alpha"), ("3", "gamma")], "corpus_id string, corpus_name string")
+    runs = lambda *x: spark.createDataFrame(list(x), "corpus_id string, finished_at string").withColumn("finished_at", F.to_timestamp("finished_at"))
+    one = lambda *a: [r["corpus_id"] for r in audit.active_corpus(*a).collect()]
+    some = runs(("1", "2024-01-01"), ("3", "2024-03-01"), ("2", None))
+    assert one(c, some, "2") == ["2"] and one(c, some, "nope") == ["3"] and one(c, some) == ["3"]
+    assert one(c, runs(("2", None))) == ["2"] and one(c, runs(("gone", "2025-01-01"), ("1", "2024-01-01"))) == ["2"]
+    assert one(c.limit(0), some) == []
+
+
+def test_probes_and_orphans(spark):
+    a, b = spark.range(3), spark.range(2).withColumnRenamed("id", "k")
+    assert store.any_rows(a.limit(0), b).first()["there"] and not store.any_rows(a.limit(0), b.limit(0)).first()["there"]
+    assert [r["id"] for r in store.orphans(a, b, "id", "k").collect()] == [2]
+    v = spark.createDataFrame([("x", [1.0, 2.0]), ("y", [1.0])], "assertion_id string, embedding array<float>")
+    assert store.vector_of(v, "x").first()["embedding"] == [1.0, 2.0]
+    assert store.checked_vectors(v.limit(1), 2).count() == 1
+    with pytest.raises(Exception, match="2 numbers"):
+        store.checked_vectors(v, 2).collect()

@@ -59,7 +59,7 @@ def place(spark, tmp_path):
     (folder / "a.txt").write_text('Terms follow. "Loan" means any advance. Revenue grew 12% in fiscal 2025.')
     (folder / "b.md").write_text('Terms follow. "Loan" means any credit. Revenue declined 5% in fiscal 2025.')
     w = Workspace(spark, str(tmp_path / "w"))
-    assert w.migrate() == list(range(1, 10)) and w.migrate() == []
+    assert w.migrate() == list(range(1, 11)) and w.migrate() == []
     return w, str(folder)
 
 
@@ -127,3 +127,49 @@ def test_commands(spark, place, tmp_path, capsys):
     assert go("check", "nowhere") == 2
     assert go("export", "csv", str(tmp_path / "out")) == 0 and go("export", "xml", str(tmp_path / "o")) == 2
     assert go("delete", "main") == 2 and go("delete", "main", "--yes-i-mean-it") == 0
+
+
+def test_appends_add_folders_and_writers_do_not_lose_updates(spark, tmp_path):
+    from dissona.plans.workspace import FOLDERS, ConflictError
+
+    w = Workspace(spark, str(tmp_path / "w"))
+    w.migrate()
+    row = lambda i: spark.createDataFrame([(f"c{i}", f"n{i}")], "corpus_id string, corpus_name string")
+    for i in range(3):
+        w.append("corpora", row(i))
+    version = w._version("corpora")
+    assert len(w._folders("corpora", version)) == 4 and w.read("corpora").count() == 3
+    w.append("corpora", row(1), "corpus_id")
+    assert w.read("corpora").count() == 3
+    with pytest.raises(ConflictError):
+        w._commit("corpora", version, [])
+    before = w._version("corpora")
+    w._commit("corpora", before, w._folders("corpora", before) * (FOLDERS // 4))
+    w.append("corpora", row(9))
+    assert len(w._folders("corpora", w._version("corpora"))) == 1
+    assert w.orphans().count() == 0
+    w.append("documents", spark.createDataFrame([("d", "gone")], "doc_id string, corpus_id string"))
+    assert [(r["table_name"], r["n"]) for r in w.orphans().collect()] == [("documents", 1)]
+
+
+def test_runs_in_the_background(place):
+    w, folder = place
+    thread = w.add_files(folder, "later", new=True, config=readers.Config(max_chunk_chars=45))
+    thread.join(120)
+    run = w.runs().filter("run_kind = 'ingest'").first()["run_id"]
+    assert w.counters(run)["n_files_done"] == 2 and w.active_corpus() == w.corpus_id("later")
+    seen = list(w.events(run, poll=0, tail=0))
+    assert seen[-1]["closed"] and seen[-1]["run_status"] == "done" and seen[-1]["label"] == "Done" and seen[-1]["percent"] == 100
+    with pytest.raises(ValueError):
+        w.add_files(folder, "later", new=True)
+    w.begin(w.corpus_id("later"), "check")
+    with pytest.raises(ActiveRunError):
+        w.add_files(folder, "later")
+    w.clear_stuck("later")
+    done = w.check("later", judge=plugins.FixtureJudge({}), config=readers.Config(pairwise_enabled=True, gate_similarity_threshold=-1.0, nli_contradiction_threshold=0.0))
+    c = w.counters(done)
+    assert c["n_pairs_judged"] <= c["n_pairs_gated"] and c["n_assertions"] > 0
+    report = w.report(done)
+    assert f"Candidate pairs (gated): {c['n_pairs_gated']}" in report and f"Pairs judged: {c['n_pairs_judged']}" in report and f"Assertions scanned: {c['n_assertions']}" in report
+    some = w.read("assertions").first()
+    assert w.assertion(some["assertion_id"]).first()["doc_label"] and len(w.vector(some["assertion_id"]).first()["embedding"]) == 64
