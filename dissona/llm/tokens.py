@@ -1,7 +1,7 @@
 """Token ids of whole texts by the tokenizers library, with a cache of words.
 
-A byte-level BPE splits a text before each single space between two characters that aren't white space, whatever stands around,
-so the ids of a text are those of its space-separated pieces in order. Pieces recur; each worker keeps the ids of those it has
+A byte-level BPE splits a text before each single space, and around each single line end, between two characters that aren't white
+space, whatever stands around, so the ids of a text are those of its pieces between them in order. Pieces recur; each worker keeps the ids of those it has
 seen, up to a bound, and asks the library's model only for new ones. A text that holds the content of an added token, and every
 text under a tokenizer of another kind, goes to the library whole.
 """
@@ -14,7 +14,7 @@ import re
 
 import numpy as np
 
-CACHE = 400_000
+CACHE = 600_000
 _PIECE = re.compile(r"([^\W\d_]+)([.,;:!?%#*$&|()\[\]{}<>=+@^~/\\\"-]*)")
 _coders: dict[str, Coder] = {}
 
@@ -40,6 +40,7 @@ class Coder:
         self.alphabet = {b: b for b in kept} | {b: 256 + i for i, b in enumerate(rest)}
         self.blank = chr(self.alphabet[32])
         self.packed = [np.uint32(i).astype("<u4").tobytes() for i in range(self.library.get_vocab_size())]
+        self.line = self.whole("\n")
         self.pieces: dict[str, bytes] = {}
         self.units: dict[str, bytes] = {}
 
@@ -82,21 +83,28 @@ class Coder:
             return b""
         if not self.regular or any(t in text for t in self.added):
             return self.whole(text)
-        first, *rest = text.split(" ")
+        first, *rest = text.replace("\n", " \n").split(" ")  # a line's first word goes with the line end before it
         if not first or odd(first[-1]) or odd(first[0]):
             return self.irregular(text)
         known = self.pieces
         found = list(map(known.get, rest))
-        if None in found:
-            for i, x in enumerate(found):
-                if x is None:
-                    w = rest[i]
-                    if not w.isalpha() and (not w or odd(w[0]) or odd(w[-1])):
+        try:
+            return self.piece(first, False) + b"".join(found)
+        except TypeError:  # some aren't known
+            pass
+        for i, x in enumerate(found):
+            if x is None:
+                w = rest[i]
+                if (x := known.get(w)) is None:
+                    if w.isalpha():
+                        x = self.unit(w, self.blank)
+                    elif not w or odd(w[-1]) or odd(w[0]) and (w[0] != "\n" or odd(w[1])):
                         return self.irregular(text)  # such pieces are never kept, so they are always noticed here
-                    if (x := known.get(w)) is None:
-                        x = known[w] = self.piece(w, True)
-                    found[i] = x
-            self.bound()
+                    else:
+                        x = self.line + self.piece(w[1:], False) if w[0] == "\n" else self.piece(w, True)
+                    known[w] = x
+                found[i] = x
+        self.bound()
         return self.piece(first, False) + b"".join(found)
 
     def bound(self) -> None:
