@@ -15,6 +15,7 @@ from dissona.llm.runs import LoserTree, common, decoded, equal_places, front_cod
 from dissona.llm.tokens import Coder, default_path
 
 DATA = "/root/testdata"
+LEAST_TOLD_APART = 0.85  # of held-out documents of 20 words or more, true order against shuffled words
 
 
 @pytest.fixture(scope="session")
@@ -209,48 +210,98 @@ def test_a_long_chain_is_one_component(spark):
 
 def test_pseudo_likelihood_by_hand():
     """Each token from both sides only, and the sum of it over a text, as written out; probabilities of all tokens add up to one."""
-    net = mlm.untrained([("a", 5), ("b", 3), ("c", 2)], np.array([1, 1]), classes=3, width=4)
+    net = mlm.untrained([("a", 5), ("b", 3), ("c", 2)], np.array([1, 1]), width=4)
+    shares = np.array([5, 3, 2, 1, 1]) + 0.5
+    _, alone = mlm.score_texts(net, ["a", "b", "c"])
+    assert np.allclose(np.exp(alone), (shares / shares.sum())[:3], atol=1e-6)
     net.out[:] = np.random.default_rng(2).normal(size=net.out.shape)
     text = "a b zz A c"
     ids = [0, 1, 3 + zlib.crc32(b"zz") % 2, 0, 2]
     padded = [5, 5, *ids, 5, 5]
+
+    def probability(token, h):
+        p = 1.0
+        for k in range(net.first[token], net.first[token] + net.steps[token]):
+            p /= 1 + np.exp(-net.sides[k] * (h @ net.out[net.nodes[k]] + net.bias[net.nodes[k]]))
+        return p
+
     total = 0.0
     for i, own in enumerate(ids):
         h = np.tanh(sum(net.embed[padded[i + 2 + o]] * net.scale[k] for k, o in enumerate(mlm.OFFSETS)))
-        z = h @ net.out + net.bias
-        p = np.exp(z) / np.exp(z).sum()
-        assert abs(sum(p[net.class_of[t]] * np.exp(net.inside[t]) for t in range(5)) - 1) < 1e-5
-        total += np.log(p[net.class_of[own]]) + net.inside[own]
+        assert abs(sum(probability(t, h) for t in range(5)) - 1) < 1e-5
+        total += np.log(probability(own, h))
     counts, got = mlm.score_texts(net, [text, None, ""], rows=3)
     assert counts.tolist() == [5, 0, 0] and abs(got[0] - total) < 1e-4 and got[1] == got[2] == 0
 
 
-def test_training_helps(spark, docs):
+def test_a_step_follows_the_gradient():
+    """One step's gradient, taken from the sums of squares, against differences of the loss."""
+    rng = np.random.default_rng(1)
+    net = mlm.untrained([(w, 20 - i) for i, w in enumerate("abcdefgh")], np.array([3, 2, 2, 1, 1, 1, 1, 1]), width=3)
+    net.out[:] = rng.normal(size=net.out.shape)
+    flat, counts = net.tokens([" ".join(rng.choice(list("abcdefghxyz"), 40)) for _ in range(6)])
+    at = mlm.positions(counts)
+    loss = lambda: -float(net.log_probabilities(flat, 2, len(flat) - 2)[at - 2].sum(dtype=float)) / len(at)
+    slope = {}
+    for name, i in (("embed", (2, 1)), ("scale", (3, 0)), ("out", (4, 2)), ("bias", (5,))):
+        w = getattr(net, name)
+        w[i] += 0.01
+        up = loss()
+        w[i] -= 0.02
+        slope[name, i] = (up - loss()) / 0.02
+        w[i] += 0.01
+    sums = [np.zeros(p.shape, np.float32) for p in net.parts]
+    net.learn(flat, at, sums, 0.0)
+    for (name, i), d in slope.items():
+        assert abs(np.sqrt(sums[mlm.PARTS.index(name)][i]) - abs(d)) < 2e-3, name
+
+
+def test_every_position_is_masked_once():
+    texts = ["a b c d e f g", None, "", "h i j", "a b c d e f g"]
+    counts = np.array([7, 0, 0, 3, 7])
+    got = mlm.masked(texts, counts, 3)
+    assert len(got) == 17 and set(got.tolist()) <= {0, 1, 2}
+    assert got[:7].tolist() == got[10:].tolist() == mlm.masked(texts[:1], counts[:1], 3).tolist()
+    many = mlm.masked(["x " * 30_000], np.array([30_000]), 3)
+    assert all(abs((many == r).mean() - 1 / 3) < 0.02 for r in range(3))
+
+
+def test_word_counts(spark, docs):
     x = docs.select("doc_id", "text")
     words, by = mlm.word_counts(x)
     want = Counter(w for r in x.collect() for w in r["text"].lower().split())
     assert dict(words[:50]) == {w: want[w] for w, _ in words[:50]} and sum(n for _, n in words) + by.sum() == sum(want.values())
-    start = mlm.untrained(words, by)
-    texts = [r["text"] for r in x.collect()]
-    mean = lambda net: (lambda c, t: t.sum() / c.sum())(*mlm.score_texts(net, texts))
-    assert mean(mlm.train(x, start)) > mean(start) + 0.02
+
+
+def test_true_order_beats_shuffled_words(spark):
+    """Held-out documents against their own words in another order, by a network trained on the others."""
+    docs = spark.read.parquet(f"{DATA}/sf0.1/documents.parquet").select("doc_id", "text")
+    held = [r["text"] for r in docs.filter("doc_id % 25 = 0").collect() if len(r["text"].split()) >= 20]
+    others = docs.filter("doc_id % 25 <> 0").repartition(2)
+    start = mlm.untrained(*mlm.word_counts(others))
+    net = mlm.train(others, start)
+    rng = random.Random(8)
+    mixed = []
+    for t in held:
+        w = t.split()
+        rng.shuffle(w)
+        mixed.append(" ".join(w))
+    (n, own), (_, other), (_, before) = (mlm.score_texts(m, t) for m, t in ((net, held), (net, mixed), (start, held)))
+    assert own.sum() / n.sum() > before.sum() / n.sum() + 0.4
+    assert (own > other).mean() > LEAST_TOLD_APART
 
 
 def test_vocabulary_grows_and_a_word_is_told_from_its_like(spark):
-    """Two words of one frequency and one class, each in its own surroundings; exchanged, they are less likely."""
+    """Two words of one frequency, each in its own surroundings; exchanged, they are less likely."""
     rng = random.Random(6)
     texts = [" ".join(rng.choice(["red fox runs", "blue owl flies"]) for _ in range(40)) + f" rare{i}" for i in range(400)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    words, by = mlm.word_counts(df)
-    start = mlm.untrained(words, by)
-    net = mlm.train(df, mlm.untrained(words, by, classes=1))
-    assert len(start.bias) > 1 and net.class_of[net.words["fox"]] == net.class_of[net.words["owl"]]
+    net = mlm.train(df, mlm.untrained(*mlm.word_counts(df)))
     _, (own, other) = mlm.score_texts(net, ["red fox runs", "red owl runs"])
     assert own > other + 0.5
     more = spark.createDataFrame([(i, " ".join(f"w{int(rng.paretovariate(0.7)) % 10**6}" for _ in range(100))) for i in range(4000)], "doc_id long, text string")
     few, many = mlm.word_counts(more.limit(100)), mlm.word_counts(more)
     assert len(many[0]) > 2 * len(few[0]) and len(many[1]) > 2 * len(few[1])
-    assert len(mlm.untrained(*many).bias) > len(mlm.untrained(*few).bias)
 
 
 def test_secrets():
