@@ -101,6 +101,16 @@ class FixtureJudge:
         return self.table.get((a, b), self.table.get((b, a), self.default))
 
 
+class FixtureMultiJudge:
+    """One answer for all."""
+
+    def __init__(self, answer: tuple):
+        self.answer = answer
+
+    def judge(self, texts: list[str]) -> tuple:
+        return self.answer
+
+
 class FixtureExtractor:
     """Answers from tables by text and title; others have no definitions, are one claim, and belong to no organisation."""
 

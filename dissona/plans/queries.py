@@ -500,10 +500,10 @@ def category_accuracy(spark: SparkSession, sf: str) -> DataFrame:
 def _run_findings(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations' texts as findings of three runs."""
     c = table(spark, sf, "conversations")
-    return c.select(ids.unordered_finding_id(F.col("role"), F.substring("text", 1, 2), F.lit("b"), F.substring("role", 1, 1)).alias("finding_id"), (F.col("conv_id") % 3).alias("run_id"), "conv_id", "turn")
+    return c.select(ids.unordered_finding_id(F.col("role"), F.col("text"), F.lit("b"), F.col("role")).alias("finding_id"), (F.col("conv_id") % 3).alias("run_id"), "conv_id", "turn")
 
 
-_CONV_SQL = "f AS (SELECT substr(sha256(CASE WHEN (role, substr(text, 1, 2)) <= ('b', substr(role, 1, 1)) THEN role || '|' || substr(text, 1, 2) || '|b|' || substr(role, 1, 1) ELSE 'b|' || substr(role, 1, 1) || '|' || role || '|' || substr(text, 1, 2) END), 1, 16) finding_id, conv_id % 3 run_id, conv_id, turn FROM conversations)"
+_CONV_SQL = "f AS (SELECT substr(sha256(CASE WHEN (role, text) <= ('b', role) THEN role || '|' || text || '|b|' || role ELSE 'b|' || role || '|' || role || '|' || text END), 1, 16) finding_id, conv_id % 3 run_id, conv_id, turn FROM conversations)"
 
 
 @query(f"WITH {_CONV_SQL} SELECT finding_id, run_id, conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY finding_id ORDER BY conv_id, turn) r FROM f) WHERE r = 1")

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from dissona.plans import queries
+from dissona.plans import detector_queries, queries, round_trips  # noqa: F401
 
 DATA = "/root/testdata"
 SF = f"{DATA}/sf0.001"
