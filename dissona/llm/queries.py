@@ -58,5 +58,39 @@ def op10_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "contaminated", "item_ids", F.array_join(F.transform("hits", lambda h: F.concat_ws(":", h["item_id"], h["start"], h["end"], h["edits"])), ",").alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hierarchical_packing, op2_sstable_shards, op3_tiled_simhash, op4_masked_likelihood, op5_credential_linking, op6_suffix_runs, op7_language_mixture, op8_boosted_quality, op9_deobfuscated_pii, op10_qgram_decontamination)}
-ORACLE_SQL: dict[str, str] = {}
+def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op5's operator finds of the base kinds."""
+    return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents"))).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def personal_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op9's operator finds of the base kinds."""
+    return pii.digest(pii.scan_pii(table(spark, sf_dir, "documents"))).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8's counts and base rule, without a model."""
+    found = quality.judge_quality(table(spark, sf_dir, "documents"), None)
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+_SPACE = r"\x20\x09-\x0D"
+_OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
+_EITHER = "|".join("".join(f"[{c}{c.upper()}]" for c in w) for w in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY]"
+ORACLE_SQL: dict[str, str] = {
+    "secret_base_counts": rf"""WITH d AS (SELECT doc_id, coalesce(text, '') t FROM documents) SELECT doc_id,
+ len(list_filter(regexp_extract_all(t, '({_EITHER})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 6)) n_assign,
+ len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) n_access, len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 24)) n_hex FROM d""",
+    "personal_base_counts": rf"""WITH d AS (SELECT doc_id, coalesce(text, '') t FROM documents) SELECT doc_id,
+ len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')) n_email,
+ len(list_filter(regexp_extract_all(t, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)'), lambda x: regexp_full_match(x, '{_OCTET}(?:\.{_OCTET}){{3}}'))) n_ip,
+ len(list_filter(list_transform(regexp_extract_all(t, '[0-9](?:[\x20-]?[0-9])+'), lambda x: reverse(regexp_replace(x, '[^0-9]', '', 'g'))), lambda x: length(x) BETWEEN 13 AND 19
+  AND list_sum(list_transform(range(1, length(x) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(x, i, 1)::INT WHEN substr(x, i, 1)::INT > 4 THEN 2 * substr(x, i, 1)::INT - 9 ELSE 2 * substr(x, i, 1)::INT END)) % 10 = 0)) n_card,
+ len(list_filter(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) BETWEEN 9 AND 15)) n_phone FROM d""",
+    "quality_base_counts": rf"""WITH d AS (SELECT doc_id, coalesce(text, '') t FROM documents), w AS (SELECT doc_id, t, regexp_extract_all(t, '[^{_SPACE}]+') words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{_SPACE}]')) rows FROM d),
+ windows AS (SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') x FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) i FROM w)), twice AS (SELECT doc_id, x FROM windows GROUP BY 1, 2 HAVING count(*) > 1),
+ places AS (SELECT DISTINCT doc_id, unnest(range(i, i + 8)) p FROM windows JOIN twice USING (doc_id, x)), n AS (SELECT doc_id, count(*) n FROM places GROUP BY 1),
+ c AS (SELECT w.doc_id, len(words) n_words, length(regexp_replace(t, '[{_SPACE}]', '', 'g')) word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) n_symbols, len(rows) - len(list_distinct(rows)) n_dup_lines, coalesce(n, 0) n_repeat_words FROM w LEFT JOIN n USING (doc_id))
+ SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words base_failed FROM c""",
+}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hierarchical_packing, op2_sstable_shards, op3_tiled_simhash, op4_masked_likelihood, op5_credential_linking, op6_suffix_runs, op7_language_mixture, op8_boosted_quality, op9_deobfuscated_pii, op10_qgram_decontamination, secret_base_counts, personal_base_counts, quality_base_counts)}
