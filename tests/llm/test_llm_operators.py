@@ -296,7 +296,7 @@ def test_vocabulary_grows_and_a_word_is_told_from_its_like(spark):
     rng = random.Random(6)
     texts = [" ".join(rng.choice(["red fox runs", "blue owl flies"]) for _ in range(40)) + f" rare{i}" for i in range(400)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    net = mlm.train(df, mlm.untrained(*mlm.word_counts(df)))
+    net = mlm.train(df, mlm.untrained(*mlm.word_counts(df)), rounds=4, share=1.0, mixers=1)
     _, (own, other) = mlm.score_texts(net, ["red fox runs", "red owl runs"])
     assert own > other + 0.5
     more = spark.createDataFrame([(i, " ".join(f"w{int(rng.paretovariate(0.7)) % 10**6}" for _ in range(100))) for i in range(4000)], "doc_id long, text string")
