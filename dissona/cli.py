@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+from dataclasses import replace
 
 COMMANDS = {
     "init": [],
@@ -35,6 +36,8 @@ def parser() -> argparse.ArgumentParser:
         c = sub.add_parser(name)
         for a in arguments:
             c.add_argument(a.lstrip("?"), **({"nargs": "?"} if a[0] == "?" else {}))
+        if name in ("check", "estimate-cost"):
+            c.add_argument("--org-scope", action=argparse.BooleanOptionalAction, help="compare definitions within each organisation only")
         if name == "delete":
             c.add_argument("--yes-i-mean-it", action="store_true")
     return p
@@ -54,6 +57,8 @@ def main(arguments: list[str] | None = None, spark=None) -> int:
 
         spark = SparkSession.builder.appName("dissona").getOrCreate()
     config = Config.read(open(a.config).read() if a.config else "")
+    if getattr(a, "org_scope", None) is not None:
+        config = replace(config, scope_definitions_by_org=a.org_scope)
     w = Workspace(spark, a.workspace)
     new = w.migrate()
     show = lambda df: print("\n".join(str(r.asDict()) for r in df.collect()))  # noqa: E731  a few rows each
@@ -66,6 +71,8 @@ def main(arguments: list[str] | None = None, spark=None) -> int:
             case "check":
                 if warning := preflight_memory(config.max_memory_mb):
                     print(f"warning: {warning}", file=sys.stderr)
+                if message := w.warning(a.corpus, config):
+                    print(message, file=sys.stderr)
                 print(w.check(a.corpus, judge=plugins.make_judge(config.judge_provider, {"fixture": lambda: plugins.FixtureJudge({})}), config=config))
             case "estimate-cost":
                 show(w.estimate(a.corpus, config))

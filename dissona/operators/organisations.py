@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from dissona.functions.terms import organisation_key, pre_suffix_key
 
 
-def organisation_buckets(documents: DataFrame, order: Column) -> DataFrame:
-    """org_key, display (the label seen first), n_docs; documents without a label are the bucket ''."""
+def organisation_buckets(documents: DataFrame, order: Column, *, with_order: bool = False) -> DataFrame:
+    """org_key, display (the label seen first), n_docs, with_order also ord (of the first document); documents without a label are the bucket ''."""
     x = documents.select(organisation_key("org_label").alias("org_key"), F.nullif(F.trim("org_label"), F.lit("")).alias("label"), order.alias("ord"))
-    return x.groupBy("org_key").agg(F.coalesce(F.min_by("label", "ord"), F.lit("unknown")).alias("display"), F.count("*").alias("n_docs"))
+    first = [F.min("ord").alias("ord")] if with_order else []
+    return x.groupBy("org_key").agg(F.coalesce(F.min_by("label", "ord"), F.lit("unknown")).alias("display"), F.count("*").alias("n_docs"), *first)
 
 
 def organisation_fragments(buckets: DataFrame, order: Column) -> DataFrame:
@@ -38,8 +39,19 @@ def identification_failures(documents: DataFrame) -> DataFrame:
     return g.select("n_failed", "n_docs", F.bround(share * 100).cast("int").alias("pct"), (share > 0.20).alias("notice"))
 
 
+# The sentences of the warning on a corpus of several organisations.
+SPANS, UNKNOWN = "⚠ Corpus spans {n} organizations: {names}.", " Plus {n} with no identified organization."
+SCOPED = " Cross-org definition pairs are suppressed (--org-scope); pass --no-org-scope to compare across orgs."
+UNSCOPED = " Cross-org definition pairs are still compared; pass --org-scope to suppress them. Best results come from one organization's documents at a time."
+
+
 def corpus_warning(buckets: DataFrame, scoped: bool) -> DataFrame:
-    """n_known, message: empty where there is one organisation at most."""
-    known = buckets.filter("org_key <> ''").agg(F.count("*").alias("n_known"), F.array_join(F.array_sort(F.collect_list(F.concat("display", F.lit(" ("), F.col("n_docs").cast("string"), F.lit(")")))), ", ").alias("names"))  # a bucket a row: organisations, not documents
-    tail = "Definitions are compared within each organisation only." if scoped else "Definitions are compared across organisations."
-    return known.select("n_known", F.when(F.col("n_known") > 1, F.concat(F.lit("This corpus has documents of "), F.col("n_known").cast("string"), F.lit(" organisations: "), "names", F.lit(f". {tail}"))).otherwise("").alias("message"))
+    """n_known, message: empty where there is one organisation at most. Names come in the order of column ord, if buckets have it, else of their keys; the first says what is counted."""
+    known, n = F.col("org_key") != "", F.col("n_docs").cast("string")
+    names = F.array_sort(F.collect_list(F.when(known, F.struct(F.col("ord" if "ord" in buckets.columns else "org_key").alias("o"), "display", n.alias("n")))))  # a bucket a row: organisations, not documents
+    g = buckets.agg(F.count_if(known).alias("n_known"), names.alias("names"), F.coalesce(F.sum(F.when(~known, F.col("n_docs"))), F.lit(0)).alias("unknown"))
+    listed = F.array_join(F.transform("names", lambda x, i: F.concat(x["display"], F.lit(" ("), x["n"], F.when(i == 0, " docs").otherwise(""), F.lit(")"))), ", ")
+    head = F.replace(F.replace(F.lit(SPANS), F.lit("{n}"), F.col("n_known").cast("string")), F.lit("{names}"), listed)
+    count = F.concat(F.col("unknown").cast("string"), F.when(F.col("unknown") == 1, " doc").otherwise(" docs"))
+    extra = F.when(F.col("unknown") > 0, F.replace(F.lit(UNKNOWN), F.lit("{n}"), count)).otherwise("")
+    return g.select("n_known", F.when(F.col("n_known") > 1, F.concat(head, extra, F.lit(SCOPED if scoped else UNSCOPED))).otherwise("").alias("message"))

@@ -278,7 +278,8 @@ def org_failures(spark: SparkSession, sf: str) -> DataFrame:
     return organisations.identification_failures(_customers(spark, sf))
 
 
-@query(f"WITH {_CUST_SQL} SELECT count(*) n_known, 'This corpus has documents of ' || count(*) || ' organisations: ' || string_agg(display || ' (' || n_docs || ')', ', ' ORDER BY display || ' (' || n_docs || ')') || '. Definitions are compared within each organisation only.' message FROM buckets WHERE org_key <> ''")
+@query(f"""WITH {_CUST_SQL}, k AS (SELECT *, row_number() OVER (ORDER BY org_key) r FROM buckets WHERE org_key <> ''), u AS (SELECT coalesce(sum(n_docs), 0)::BIGINT u FROM buckets WHERE org_key = '')
+SELECT count(*) n_known, '⚠ Corpus spans ' || count(*) || ' organizations: ' || string_agg(display || ' (' || n_docs || (CASE WHEN r = 1 THEN ' docs' ELSE '' END) || ')', ', ' ORDER BY r) || '.' || any_value(CASE WHEN u > 0 THEN ' Plus ' || u || (CASE WHEN u = 1 THEN ' doc' ELSE ' docs' END) || ' with no identified organization.' ELSE '' END) || ' Cross-org definition pairs are suppressed (--org-scope); pass --no-org-scope to compare across orgs.' message FROM k, u""")
 def org_warning(spark: SparkSession, sf: str) -> DataFrame:
     return organisations.corpus_warning(organisations.organisation_buckets(_customers(spark, sf), F.col("doc_id")), True)
 

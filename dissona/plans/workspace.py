@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from dissona.functions.ids import hash_id
 from dissona.functions.junk import junk_assertion
-from dissona.operators import audit, definitions, evaluation, gate, store, triangles
+from dissona.operators import audit, definitions, evaluation, gate, organisations, store, triangles
 from dissona.operators.chunking import chunk_documents
 from dissona.sources import readers, sinks
 
@@ -277,15 +277,17 @@ class Workspace:
         first = audit.active_corpus(self.read("corpora"), self.runs(), requested).first()
         return first["corpus_id"] if first else None
 
-    def ingest(self, folder: str, corpus: str, *, config: readers.Config | None = None, embedder: plugins.Embedder | None = None, extract=whole_chunk_claims, identify=None, loaders: dict | None = None) -> dict:
-        """Files to documents, chunks, assertions and vectors; counts of them. Junk assertions are dropped and listed."""
+    def ingest(self, folder: str, corpus: str, *, config: readers.Config | None = None, embedder: plugins.Embedder | None = None, extract=whole_chunk_claims, identify=None, loaders: dict | None = None, progress: Callable[[int, int], None] | None = None) -> dict:
+        """Files to documents, chunks, assertions and vectors; counts of them. Junk assertions are dropped and listed. progress gets the files done and all files."""
         config = config or readers.Config()
         own = self.create_corpus(corpus, folder, config.judge_provider)
         run = self.begin(own, "ingest")
         try:
             now = F.localtimestamp()
             loaded = pipeline.durable(readers.load_corpus(self.spark, folder, loaders))
-            self.count(run, n_files_total=loaded.count(), n_files_done=0)
+            n_files, tell = loaded.count(), progress or (lambda done, every: None)
+            self.count(run, n_files_total=n_files, n_files_done=0)
+            tell(0, n_files)
             docs = loaded.select("doc_id", F.lit(own).alias("corpus_id"), "source_path", "title", now.alias("ingested_at"))
             docs = docs if identify is None else docs.join(identify(loaded), "doc_id", "left")
             old = self.read("documents")
@@ -300,8 +302,9 @@ class Workspace:
             self.append("assertions", kept.withColumn("created_at", now), "assertion_id")
             n = self.embed_pending(embedder or plugins.HashEmbedder())
             empty = [r["source_path"] for r in readers.empty_texts(loaded).limit(1000).collect()]
-            self.count(run, n_files_done=loaded.count(), n_assertions=kept.count(), notes=json.dumps({"empty_text_files": empty}))
+            self.count(run, n_files_done=n_files, n_assertions=kept.count(), notes=json.dumps({"empty_text_files": empty}))
             self.event(run, own, "ingest", "done")
+            tell(n_files, n_files)
         except Exception as e:
             self.event(run, own, "ingest", "failed", str(e)[:500])
             raise
@@ -422,6 +425,13 @@ class Workspace:
     def vector(self, assertion_id: str) -> DataFrame:
         return store.vector_of(self.read("embeddings"), assertion_id)
 
+    def warning(self, corpus: str, config: readers.Config | None = None) -> str:
+        """What to know before definitions of a corpus are compared; empty where there is nothing."""
+        config, own = config or readers.Config(), self.corpus_id(corpus)
+        docs = self.read("documents").filter(F.col("corpus_id") == own)
+        buckets = organisations.organisation_buckets(docs, F.struct("source_path", "doc_id"), with_order=True)
+        return organisations.corpus_warning(buckets, config.scope_definitions_by_org).first()["message"]
+
     def stats(self) -> DataFrame:
         a = self.read("assertions").join(self.read("embeddings").select("assertion_id", "embedded_at"), "assertion_id", "left")
         return store.store_stats(self.read("documents"), a)

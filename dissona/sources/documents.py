@@ -141,6 +141,12 @@ def ocr_events(loaded: DataFrame) -> DataFrame:
     return loaded.filter("status in ('escalated', 'ocr_error', 'ocr_failed')").groupBy("status").agg(F.count("*").alias("n"))
 
 
+def ocr_records(loaded: DataFrame) -> DataFrame:
+    """ts, event, path of each file that OCR was tried on: rows for sinks.append_json."""
+    tried = loaded.filter("status in ('escalated', 'ocr_error', 'ocr_failed')")
+    return tried.select(F.current_timestamp().alias("ts"), F.col("status").alias("event"), "path")
+
+
 def loader(kind: str, ocr: Parser | None = None) -> Callable[[DataFrame], DataFrame]:
     """For the loader registry: path, title, text."""
 

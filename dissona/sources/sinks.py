@@ -102,6 +102,12 @@ def finding_sections(hydrated: DataFrame) -> DataFrame:
     return x.select(F.struct(first["doc_a_id"].alias("a"), second["doc_a_id"].alias("b"), "finding_id").alias("ord"), F.concat(F.lit("### "), first["doc_a_label"], F.lit(" ⇄ "), second["doc_a_label"]).alias("heading"), text.alias("section"))
 
 
+def write_finding_sections(hydrated: DataFrame, path: str) -> None:
+    """Markdown of any number of findings, each under its pair of documents, in order, as a folder of text files."""
+    x = finding_sections(hydrated).orderBy("ord")
+    x.select(F.concat("heading", F.lit("\n\n"), "section").alias("value")).write.mode("overwrite").text(path)
+
+
 def render_report(run: dict, hydrated: DataFrame) -> str:
     """The Markdown report of one run; its size is that of its findings, so it is for people to read, and finding_sections is for more."""
     found = hydrated.filter("judge_verdict = 'contradiction'")

@@ -151,6 +151,8 @@ def test_organisations(spark):
     assert rows(organisations.organisation_fragments(b, F.col("org_key"))) == [("acme", "acme holdings")]
     assert rows(organisations.identification_failures(d)) == [(1, 4, 25, True)]
     assert organisations.corpus_warning(b.filter("org_key = ''"), False).first()["message"] == ""
+    said = organisations.corpus_warning(organisations.organisation_buckets(d, -F.col("doc_id"), with_order=True), False).first()["message"]
+    assert said.startswith("⚠ Corpus spans 2 organizations: Acme Holdings (1 docs), ACME (2). Plus 1 doc with no identified organization. Cross-org")
 
 
 def test_runs_reviews_and_precision(spark):

@@ -49,6 +49,8 @@ def test_ocr_states(spark, tmp_path):
 
     files = spark.read.format("binaryFile").load(str(tmp_path))
     got = {r["path"].rsplit("/", 1)[1]: r["status"] for r in documents.load_elements(files, ".pdf", ocr).collect()}
+    records = documents.ocr_records(documents.load_elements(files, ".pdf", ocr)).collect()
+    assert sorted(r["event"] for r in records) == ["escalated", "ocr_error", "ocr_failed"]
     assert got == {"good.pdf": "ok", "poor.pdf": "escalated", "bad.pdf": "ocr_failed", "short.pdf": "ok", "error.pdf": "ocr_error"}
 
 
@@ -173,3 +175,13 @@ def test_runs_in_the_background(place):
     assert f"Candidate pairs (gated): {c['n_pairs_gated']}" in report and f"Pairs judged: {c['n_pairs_judged']}" in report and f"Assertions scanned: {c['n_assertions']}" in report
     some = w.read("assertions").first()
     assert w.assertion(some["assertion_id"]).first()["doc_label"] and len(w.vector(some["assertion_id"]).first()["embedding"]) == 64
+
+
+def test_progress_and_warning(place):
+    w, folder = place
+    seen = []
+    identify = lambda loaded: loaded.select("doc_id", F.regexp_replace("title", "^", "Maker ").alias("org_label"), F.lit("org_found").alias("org_reason"))
+    w.ingest(folder, "two", progress=lambda *x: seen.append(x), identify=identify)
+    assert seen == [(0, 2), (2, 2)]
+    assert w.warning("two").startswith("⚠ Corpus spans 2 organizations: Maker a (1 docs), Maker b (1). Cross-org definition pairs are still compared")
+    assert "suppressed" in w.warning("two", readers.Config(scope_definitions_by_org=True))
