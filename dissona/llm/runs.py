@@ -200,6 +200,12 @@ def merge_equal(runs: DataFrame, strings: int = RANGE, rows: int = 1 << 14) -> D
                 keys.clear()
                 firsts.clear()
 
+        def settle(held: list[tuple[bytes, int, int]]) -> None:
+            """Places of one string: more than one, or one that was marked."""
+            if any(twice for *_, twice in held) or len({x[:2] for x in held}) > 1:
+                keys.extend(k for k, _, _ in held)
+                firsts.extend(f for _, f, _ in held)
+
         for batch in batches:
             for r in batch.to_pylist():
                 by.setdefault(r["part"], {}).setdefault(r["run"], []).append(r)
@@ -209,15 +215,11 @@ def merge_equal(runs: DataFrame, strings: int = RANGE, rows: int = 1 << 14) -> D
             size = -1
             for i, s, shared in LoserTree([_run(sorted(b, key=lambda r: r["number"]), p) for b, p in zip(own.values(), places, strict=True)]):
                 if not (shared == len(s) == size):
-                    if len(held) > 1 or held and held[0][2]:
-                        keys.extend(k for k, _, _ in held)
-                        firsts.extend(f for _, f, _ in held)
-                        yield from full(rows)
+                    settle(held)
+                    yield from full(rows)
                     held, size = [], len(s)
                 held.append(places[i][0])
-            if len(held) > 1 or held and held[0][2]:
-                keys.extend(k for k, _, _ in held)
-                firsts.extend(f for _, f, _ in held)
+            settle(held)
         yield from full(1)
 
     dealt = runs.filter("n > 0").mapInArrow(deal, f"part int, {_SCHEMA}").repartitionById(parts, "part")

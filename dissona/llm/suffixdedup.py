@@ -16,8 +16,9 @@ Each step asks of a key only whether it has two distinct places, by least and gr
 group of copies meets in one task. Of segments and blocks with one content, one goes on as partner of the others. Identical texts
 are one text; if there are two, all of it is repeated. Strings are compared by 128-bit hashes of their bytes (steps 1 and 2).
 
-Texts are dealt out once: the distinct ones go to a table bucketed by the hash of the text. What a later step has to look up in
-them is dealt by the same hash, so its joins move no text, whatever the size; nothing is broadcast.
+Texts are dealt out once, each text once from each task: they go to a table bucketed by the hash of the text. What a later step has
+to look up in them is dealt by the same hash, so its joins move no text, whatever the size; nothing is broadcast. Places are named
+by the text's hash, so a text that comes from several tasks is still at one place.
 
 Defined cases: a null text is empty; a null doc_id stays null; repeated rows repeat each other; texts shorter than `length` lose
 nothing; an empty table gives an empty result; other columns are ignored; a long text is cut into overlapping stretches for the
@@ -38,7 +39,7 @@ from dissona.runtime import bucketed, durable, ship, stored
 
 from .runs import equal_places
 
-LENGTH, GRAM, BLOCK, STRETCH = 400, 48, 16, 1 << 22
+LENGTH, GRAM, BLOCK, STRETCH, SEEN = 400, 48, 16, 1 << 22, 1_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLE = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -118,11 +119,11 @@ def _settle(blocks: DataFrame, payload: list[str]) -> tuple[DataFrame, DataFrame
     cores = durable(classes.groupBy("core").agg(F.count("*").alias("n"), F.max(once).alias("open")).filter("n > 1 and open").select("core"))
     twice = classes.filter(~once).select("full")
     left = classes.join(cores, "core", "left_semi").select("one.*", "core")
-    return durable(blocks.join(twice, "full", "left_semi").select("key", "first", "end")), durable(left.select("key", "anchor", "first", "end", "core"))
+    return blocks.join(twice, "full", "left_semi").select("key", "first", "end"), left.select("key", "anchor", "first", "end", "core")
 
 
 def repeated_windows(texts: DataFrame, *, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
-    """texts (key BINARY, data BINARY; a row for each key): key, first, end of windows that start at another place too."""
+    """texts (key BINARY, data BINARY; equal keys have equal data): key, first, end of windows that start at another place too."""
     ship(texts.sparkSession)
     b16, i64 = pa.binary(), pa.int64()
 
@@ -189,16 +190,28 @@ def remove_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: s
     rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), data.alias("data")).select("doc_id", "data", F.unhex(F.md5("data")).alias("key"))
     names = rows.select("doc_id", "key")
 
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each text of a task once, as far as SEEN keys can tell."""
+        seen: set[bytes] = set()
+        for batch in batches:
+            new = []
+            for i, key in enumerate(batch.column(0).to_pylist()):
+                if key not in seen:
+                    new.append(i)
+                    if len(seen) < SEEN:
+                        seen.add(key)
+            yield batch if len(new) == batch.num_rows else batch.take(pa.array(new, pa.int32()))
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
         kinds = [pa.binary(), *[pa.int64()] * 3, pa.string(), pa.binary()]
         for batch in batches:
             rows: list[list] = [[] for _ in fields]
-            for key, data, copies, parts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for key, data, parts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 data = data.as_py()
                 kept, at, n = [], 0, 0
                 spans = sorted((p["first"], p["end"] + length - 1) for p in parts or [])
-                if copies > 1:
+                if spans and spans[0][0] < 0:  # the whole text is there twice
                     spans = [(0, len(data))] if len(data) >= length else []
                 for s, e in spans:
                     if s > at or not n:
@@ -210,9 +223,11 @@ def remove_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: s
                     c.append(v)
             yield _batch(fields, kinds, rows)
 
-    with bucketed(rows.groupBy("key").agg(F.first("data").alias("data"), F.count("*").alias("copies")), "key") as texts:
-        spans = repeated_windows(texts.select("key", "data"), length=length, gram=gram, block=block)
-        parts = spans.groupBy("key").agg(F.collect_set(F.struct("first", "end")).alias("parts"))
-        own = texts.join(parts, "key", "left").select("key", "data", "copies", "parts")
-        by_key = durable(own.mapInArrow(cut, "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"))
+    distinct = rows.select("key", "data").mapInArrow(once, "key binary, data binary")
+    with bucketed(distinct.repartition("key"), "key") as texts:
+        spans = repeated_windows(texts, length=length, gram=gram, block=block)
+        copies = names.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", F.lit(-1).cast("long").alias("first"), F.lit(-1).cast("long").alias("end"))
+        parts = spans.unionByName(copies).groupBy("key").agg(F.collect_set(F.struct("first", "end")).alias("parts"))
+        own = texts.join(parts, "key", "left").select("key", "data", "parts")
+        by_key = durable(own.mapInArrow(cut, "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").dropDuplicates(["key"]))
     return names.join(by_key, "key").drop("key")
