@@ -3,8 +3,9 @@
 Fingerprints: words `[^\\x20\\x09-\\x0D]+` of the text with A-Z lowered, 3-word shingles with repeats, joined by spaces (fewer
 words: all of them as one shingle; none: fingerprint 0), XXH64 with seed 42 of each; a bit is set if over half the hashes have it.
 
-Only distinct fingerprints are compared. Within the radius r, two fingerprints cut into r + 1 blocks agree in at least one block,
-so each goes once to a tile group for each block (block number and its bits); no link is lost. A group of up to `tile` members is
+Only distinct fingerprints are compared. Within the radius r, two fingerprints cut into r + k blocks agree in at least k of them, so
+each goes once to a tile group for each choice of k blocks (the choice and its bits); no link is lost. With k = 1, 16 bits name a
+group; beyond FINE fingerprints, of which such groups would hold hundreds each, k = 3 is taken: 20 choices of 32 bits. A group of up to `tile` members is
 one tile. A larger group is cut into cells by population count, cells into tiles; only tile pairs whose counts differ by no more
 than the radius are laid out, each a task's unit of its own, so a hot group spreads. Within a unit numpy compares all by exclusive-or
 and bit counts, and a breadth-first search over the comparison matrix gives a forest of the unit's links: fewer links than
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from dissona.runtime import durable, rows_bound, ship
 from .common import id_and_text, map_rows
 from .graph import components
 
-TILE, HOT_ROWS, BROADCAST_ROWS = 1024, 50_000, 200_000
+TILE, HOT_ROWS, BROADCAST_ROWS, FINE = 1024, 50_000, 200_000, 1 << 24
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -62,10 +64,11 @@ def fingerprints(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
     return map_rows(id_and_text(docs, id_column, text_column), run, "doc_id long, fp long", [pa.int64(), pa.int64()])
 
 
-def masks(radius: int) -> list[int]:
-    """radius + 1 blocks of the 64 bits."""
-    edges = [round(64 * i / (radius + 1)) for i in range(radius + 2)]
-    return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
+def masks(radius: int, k: int = 1) -> list[int]:
+    """The 64 bits in radius + k blocks: the bits of each choice of k of them."""
+    edges = [round(64 * i / (radius + k)) for i in range(radius + k + 1)]
+    blocks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
+    return [sum(c) for c in combinations(blocks, k)]
 
 
 def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -90,10 +93,10 @@ def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def links(distinct: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
+def links(distinct: DataFrame, radius: int = 3, tile: int = TILE, k: int = 1) -> DataFrame:
     """a, b: links whose components are those of all links among distinct fingerprints (column fp)."""
     ship(distinct.sparkSession)
-    parts = masks(radius)
+    parts = masks(radius, k)
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     keyed = distinct.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("block"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("bits")) for i, m in enumerate(parts)))).alias("k")).select("fp", "k.block", "k.bits", F.bit_count("fp").cast("int").alias("ones"))
     cells = keyed.groupBy("block", "bits", "ones").count()
@@ -142,7 +145,7 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 def _least(found: DataFrame, least: Column, radius: int, tile: int) -> DataFrame:
     """fp and, of all rows in its component, the least value of a column."""
     by = durable(found.groupBy("fp").agg(F.min(least).alias("least")))
-    roots = components(links(by.select("fp"), radius, tile))
+    roots = components(links(by.select("fp"), radius, tile, 1 if by.count() <= FINE else 3))
     named = by.join(roots, by.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     return named.drop("least").join(named.groupBy("root").agg(F.min("least").alias("least")), "root").select("fp", "least")
 

@@ -176,9 +176,9 @@ def brute_components(rows):
     return sorted(((d, least.get(root(i))) for i, (d, _) in enumerate(rows)), key=str)
 
 
-@pytest.mark.parametrize("tile", [4, 1024])
-def test_links_and_components(spark, tile):
-    """Small tiles lay hot groups out in pairs."""
+@pytest.mark.parametrize(("tile", "k"), [(4, 1), (1024, 1), (4, 3), (1024, 2)])
+def test_links_and_components(spark, tile, k):
+    """Small tiles lay hot groups out in pairs; finer groups lose no link."""
     rng = random.Random(9)
     fps = [rng.getrandbits(64) for _ in range(40)]
     for _ in range(260):
@@ -189,7 +189,7 @@ def test_links_and_components(spark, tile):
     df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in set(fps)], "fp long").repartition(3)
     from dissona.llm.graph import components
 
-    found = {r["node"]: r["root"] for r in components(simhash.links(df, 3, tile)).collect()}
+    found = {r["node"]: r["root"] for r in components(simhash.links(df, 3, tile, k)).collect()}
     numbers = [int(np.uint64(f).view(np.int64)) for f in set(fps)]
     want = brute_components([(n, int(np.int64(n).view(np.uint64))) for n in numbers])
     assert sorted(((n, found.get(n, n)) for n in numbers), key=str) == want
