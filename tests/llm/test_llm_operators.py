@@ -55,6 +55,30 @@ def test_awkward_table(spark, awkward, tmp_path):
     assert set(got.values()) == {n}
 
 
+def test_awkward_values(spark, awkward):
+    """What each operator says of nulls, empty and long texts, ties and repeated rows, row by row."""
+    rows = awkward.collect()
+    of = lambda df, *columns: sorted(map(str, (tuple(r[c] for c in columns) for r in df.collect())))
+    want = lambda f: sorted(map(str, ((r["doc_id"], *f(r["text"] or "")) for r in rows)))
+    assert of(secrets.digest(secrets.scan_secrets(awkward)), "doc_id", "n_assign", "spans") == want(lambda t: (brute_secrets(t).count("assign:"), brute_secrets(t)))
+    assert of(pii.digest(pii.scan_pii(awkward)), "doc_id", "n_email", "spans") == want(lambda t: (0, ""))
+    repeats = brute_repeats_of_texts([r["text"] for r in rows], 400)
+    assert of(suffixdedup.remove_repeats(awkward), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(str((r["doc_id"], *x)) for r, x in zip(rows, repeats, strict=True))
+    said = langid.predict_languages(awkward, langid.learn(awkward), keep=("doc_id", "text")).collect()
+    assert all((r["lang_pred"] == "und" and r["score"] == 0) != any(map(str.isalpha, r["text"] or "")) for r in said) and {r["lang_pred"] for r in said} <= {"en", "fr", "und"}
+    counts = lambda t: (len(t.split()), len(re.sub(r"[ \t\n\v\f\r]", "", t)), len(t.split()) < 20 or 100 * brute_repeats(t.split()) > 30 * len(t.split()))
+    short = [r for r in rows if len(r["text"] or "") < 5000]  # brute_repeats is quadratic
+    got = quality.judge_quality(awkward, None).filter("n_words < 1000")
+    assert of(got, "doc_id", "n_words", "word_chars", "base_failed") == sorted(str((r["doc_id"], *counts(r["text"] or ""))) for r in short)
+    scored = mlm.score_documents(awkward).collect()
+    assert sorted(str((r["doc_id"], r["n_tokens"])) for r in scored) == sorted(str((r["doc_id"], len((r["text"] or "").split()))) for r in rows)
+    assert all((r["mean_log_likelihood"] is None) == (r["n_tokens"] == 0) and r["log_likelihood"] <= 0 for r in scored)
+    assert len({r["log_likelihood"] for r in scored if r["doc_id"] == 1}) == 1
+    benchmark = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "naïve straße été on")], "item_id long, text string")
+    items = [(r["item_id"], r["text"]) for r in benchmark.collect()]
+    assert of(decon.find_leaks(awkward, benchmark), "doc_id", "item_ids") == want(lambda t: (sorted(brute_leaks(t, items)),))
+
+
 def test_empty_table(spark, awkward, tmp_path):
     none = awkward.limit(0)
     got = run_all(spark, none, spark.createDataFrame([], "doc_id long, quality int"), spark.createDataFrame([], "item_id long, text string"), f"file://{tmp_path}/s")
@@ -488,6 +512,35 @@ def test_mixture_against_plain_expectation_maximisation():
     assert np.allclose(got[0], pi, atol=1e-6) and np.isclose(ll[0], (c[0] * np.log(pi @ p)).sum())
 
 
+def test_the_set_of_languages_is_that_of_the_best_penalised_likelihood():
+    """All sizes written out, without the bound that leaves some of them out."""
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet(np.ones(60) * 0.4, 4) + 1e-4
+    p /= p.sum(1, keepdims=True)
+    shares = [rng.dirichlet(np.ones(4) * a) for a in (0.1, 0.3, 1, 5) for _ in range(25)]
+    c = np.stack([rng.multinomial(rng.integers(20, 900), x @ p) for x in shares])
+    model = langid.Languages(list("abcd"), p)
+    _, _, got = langid.predict_counts(c, model)
+    sizes = set()
+    for row, found in zip(c.astype(float), got, strict=True):
+        full = langid.mixtures(row[None], p, np.ones((1, 4)), 10)[0][0]
+        order = np.argsort(-full, kind="stable")
+        single = row @ np.log(p).T / 3
+        best, chosen = single.max(), {int(single.argmax())}
+        for size in (2, 3, 4):
+            allowed = np.zeros((1, 4))
+            allowed[0, order[:size]] = 1
+            value = langid.mixtures(row[None], p, allowed, 10)[1][0] / 3 - (size - 1) * 0.5 * np.log(row.sum())
+            if value > best + 1e-3:
+                best, chosen = value, set(order[:size].tolist())
+            elif abs(value - best) <= 1e-3:
+                break  # too near to call
+        else:
+            assert set(np.flatnonzero(found > 0).tolist()) == chosen
+            sizes.add(len(chosen))
+    assert sizes == {1, 2, 3, 4}
+
+
 def brute_repeats(words):
     n = len(words) - 7
     windows = [tuple(words[i : i + 8]) for i in range(max(n, 0))]
