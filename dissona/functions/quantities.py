@@ -106,9 +106,14 @@ def same_subject(a: Column, b: Column) -> Column:
     return (a["metric"] == b["metric"]) & a["scope"].eqNullSafe(b["scope"]) & a["unit"].eqNullSafe(b["unit"])
 
 
-def is_sign_flip(a: Column, b: Column) -> Column:
+def opposite(a: Column, b: Column) -> Column:
+    """One goes up and the other down."""
     up, down = ("up", "pos"), ("down", "neg")
-    return same_subject(a, b) & ((a["polarity"].isin(*up) & b["polarity"].isin(*down)) | (a["polarity"].isin(*down) & b["polarity"].isin(*up)))
+    return (a["polarity"].isin(*up) & b["polarity"].isin(*down)) | (a["polarity"].isin(*down) & b["polarity"].isin(*up))
+
+
+def is_sign_flip(a: Column, b: Column) -> Column:
+    return same_subject(a, b) & opposite(a, b)
 
 
 def relative_difference(a: Column, b: Column) -> Column:

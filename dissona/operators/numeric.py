@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dissona.functions.quantities import is_sign_flip, relative_difference
+from dissona.functions.quantities import opposite, relative_difference
+from dissona.runtime import durable
 
 
 def meeting_quantities(items: DataFrame, group: str, item: str, quantities: str, on: Column) -> DataFrame:
     """group, a_key < b_key, and d, the array of (a, b) of their quantities that `on` accepts, in the order of a, then b.
 
     Only quantities of one group, metric, scope and unit (none equals none) meet; items without a common subject make no row
-    anywhere. `on` is a condition on the columns a and b. A hot subject's rows are split by adaptive execution.
+    anywhere. `on` is a condition on the columns a and b. Quantities are extracted once, and checkpointed for both sides. A hot
+    subject's rows are split by adaptive execution.
     """
-    x = items.select(F.col(group).alias("g"), F.col(item).alias("key"), F.posexplode(quantities).alias("at", "q"))
+    x = items.select(F.col(group).alias("g"), F.col(item).alias("key"), F.posexplode_outer(quantities).alias("at", "q")).filter("q is not null")  # the plain form would infer filters that extract anew
+    x = durable(x)
     side = lambda p: x.select("g", F.col("q.metric").alias("metric"), F.col("q.scope").alias("scope"), F.col("q.unit").alias("unit"), F.col("key").alias(f"{p}_key"), F.col("at").alias(f"{p}_at"), F.col("q").alias(p)).alias(p)
     a, b = side("a"), side("b")
     same = (F.col("a.g") == F.col("b.g")) & (F.col("a.metric") == F.col("b.metric")) & F.col("a.scope").eqNullSafe(F.col("b.scope")) & F.col("a.unit").eqNullSafe(F.col("b.unit"))
@@ -25,7 +28,7 @@ def meeting_quantities(items: DataFrame, group: str, item: str, quantities: str,
 
 def flipping(items: DataFrame, group: str, item: str, quantities: str) -> DataFrame:
     """Pairs of items of a group with quantities of opposite direction."""
-    return meeting_quantities(items, group, item, quantities, is_sign_flip(F.col("a"), F.col("b")))
+    return meeting_quantities(items, group, item, quantities, opposite(F.col("a"), F.col("b")))
 
 
 def disagreeing(items: DataFrame, group: str, item: str, quantities: str, threshold: float = 0.10) -> DataFrame:
@@ -33,4 +36,4 @@ def disagreeing(items: DataFrame, group: str, item: str, quantities: str, thresh
     if threshold < 0:
         raise ValueError("the threshold can't be negative")
     a, b = F.col("a"), F.col("b")
-    return meeting_quantities(items, group, item, quantities, ~is_sign_flip(a, b) & F.coalesce(relative_difference(a, b) >= threshold, F.lit(False)))
+    return meeting_quantities(items, group, item, quantities, ~opposite(a, b) & F.coalesce(relative_difference(a, b) >= threshold, F.lit(False)))

@@ -289,7 +289,7 @@ def org_warning(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f'WITH {_SENT_SQL} SELECT o_orderkey, metric, "value", unit, polarity, scope FROM sent')
 def quantity_tuples(spark: SparkSession, sf: str) -> DataFrame:
-    return _sentences(spark, sf).select("o_orderkey", F.explode(quantities.extract_quantities("sentence")).alias("q")).select("o_orderkey", "q.*")
+    return _sentences(spark, sf).select("o_orderkey", F.explode_outer(quantities.extract_quantities("sentence")).alias("q")).filter("q is not null").select("o_orderkey", "q.*")
 
 
 def _sentence_quantities(spark: SparkSession, sf: str) -> DataFrame:
