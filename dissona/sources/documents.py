@@ -1,7 +1,8 @@
 """PDF and DOCX files as elements, with an optional OCR step for files that hold hardly any text.
 
-A file is parsed in one task: DOCX through its XML, PDF through its page content streams (plain or deflated, simple fonts). Other
-parsers and an OCR engine plug in as functions from bytes to elements.
+A file is parsed in one task: DOCX through its XML, PDF through its page content streams (plain or deflated), its fonts' maps to
+Unicode and its compressed objects; an encrypted file is one that can't be parsed. Other parsers and an OCR engine plug in as
+functions from bytes to elements.
 """
 
 from __future__ import annotations
@@ -45,36 +46,80 @@ def docx_elements(content: bytes) -> Elements:
     return out
 
 
-_STREAM = re.compile(rb"(<<(?:[^<>]|<<[^<>]*>>|<[^<>]*>)*>>)\s*stream\r?\n(.*?)\r?\nendstream", re.S)
-_SHOW = re.compile(rb"\[((?:\((?:\\.|[^\\()])*\)|[^\]()])*)\]\s*TJ|(\((?:\\.|[^\\()])*\))\s*(?:Tj|')|(T\*|\bT[dDm]\b|\bET\b)", re.S)
-_STRING = re.compile(rb"\(((?:\\.|[^\\()])*)\)", re.S)
+_OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)(?=\bendobj\b)", re.S)
+_STREAM = re.compile(rb"\bstream\r?\n(.*?)\r?\nendstream", re.S)
+_SHOW = re.compile(rb"\[((?:\((?:\\.|[^\\()])*\)|[^\]()])*)\]\s*TJ|(\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>)\s*(?:Tj|')|(T\*|\bT[dDm]\b|\bET\b)|/([^\s/<>\[\]()]+)\s+[-0-9.]+\s+Tf\b", re.S)
+_STRING = re.compile(rb"\(((?:\\.|[^\\()])*)\)|<([0-9A-Fa-f\s]*)>", re.S)
 _ESCAPE = re.compile(rb"\\([0-7]{1,3}|.)", re.S)
 _NAMED = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+Codes = dict[bytes, str]
 
 
-def _unescaped(s: bytes) -> str:
-    return _ESCAPE.sub(lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else _NAMED.get(m[1], m[1]), s).decode("cp1252", "replace")
+def _objects(content: bytes) -> Iterator[tuple[int, bytes, bytes | None]]:
+    """Number, dictionary and decoded stream (None without one) of a file's objects, those in compressed object streams too."""
+    if b"/Encrypt" in content:
+        raise ValueError("an encrypted file")
+    for number, body in _OBJECT.findall(content):
+        found = _STREAM.search(body)
+        head, data = (body[: found.start()], found[1]) if found else (body, None)
+        if data is not None and b"/FlateDecode" in head:
+            try:
+                data = zlib.decompressobj().decompress(data)
+            except zlib.error:
+                data = b""
+        yield int(number), head, data
+        first = re.search(rb"/First\s+(\d+)", head)
+        if data and first and re.search(rb"/Type\s*/ObjStm", head):
+            index = [int(x) for x in data[: int(first[1])].split()]
+            starts = [*index[1::2], len(data)]
+            for n, s, e in zip(index[::2], starts, starts[1:], strict=False):
+                yield n, data[int(first[1]) + s : int(first[1]) + e], None
+
+
+def _codes(cmap: bytes) -> Codes:
+    """What a font's codes stand for, from its ToUnicode map."""
+    text = lambda h: bytes.fromhex(h.decode()).decode("utf-16-be", "replace")
+    out: Codes = {}
+    for block in re.findall(rb"beginbfchar(.*?)endbfchar", cmap, re.S):
+        out |= {bytes.fromhex(a.decode()): text(b) for a, b in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", block)}
+    for block in re.findall(rb"beginbfrange(.*?)endbfrange", cmap, re.S):
+        for a, b, to in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", block):
+            width, first, last, base = len(a) // 2, int(a, 16), int(b, 16), text(to)
+            out |= {k.to_bytes(width, "big"): base[:-1] + chr(ord(base[-1]) + k - first) for k in range(first, min(last, first + 0xFFFF) + 1)}
+    return out
+
+
+def _shown(string: tuple[bytes, bytes], codes: Codes | None) -> str:
+    """A literal or hexadecimal string of a content stream, in the codes of its font."""
+    literal, digits = string
+    digits = re.sub(rb"\s", b"", digits)
+    raw = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()) if digits else _ESCAPE.sub(lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else _NAMED.get(m[1], m[1]), literal)
+    if not codes:
+        return raw.decode("cp1252", "replace")
+    width = max(map(len, codes))
+    return "".join(codes.get(raw[i : i + width], "") for i in range(0, len(raw), width))
 
 
 def pdf_elements(content: bytes) -> Elements:
-    """Lines of the content streams; a move of the text position ends a line."""
+    """Lines of the content streams; a move of the text position ends a line. Fonts with a ToUnicode map are read through it, others as Western single bytes."""
+    objects = list(_objects(content))
+    streams = {n: data for n, _, data in objects if data}
+    maps = {n: int(m[1]) for n, head, _ in objects if (m := re.search(rb"/ToUnicode\s+(\d+)\s+\d+\s+R", head))}
+    fonts = {name: _codes(streams.get(maps[int(n)], b"")) for _, head, _ in objects for x in re.findall(rb"/Font\s*<<(.*?)>>", head, re.S) for name, n in re.findall(rb"/([^\s/<>]+)\s+(\d+)\s+\d+\s+R", x) if int(n) in maps}
     out: Elements = []
-    for head, data in _STREAM.findall(content):
-        if b"/FlateDecode" in head:
-            try:
-                data = zlib.decompress(data)
-            except zlib.error:
-                continue
-        if b"BT" not in data:
+    for data in streams.values():
+        if b"BT" not in data or b"begincmap" in data:
             continue
-        line = ""
-        for several, single, move in _SHOW.findall(data):
-            if move:
+        line, codes = "", None
+        for several, single, move, font in _SHOW.findall(data):
+            if font:
+                codes = fonts.get(font)
+            elif move:
                 if line.strip():
                     out.append(("NarrativeText", line))
                 line = ""
             else:
-                line += "".join(map(_unescaped, _STRING.findall(several or single)))
+                line += "".join(_shown(x, codes) for x in _STRING.findall(several or single))
         if line.strip():
             out.append(("NarrativeText", line))
     return out
@@ -82,7 +127,12 @@ def pdf_elements(content: bytes) -> Elements:
 
 def pdf_pages(content: bytes) -> int:
     """Pages of a PDF, 0 where that can't be read."""
-    return len(re.findall(rb"/Type\s*/Page(?![A-Za-z])", content)) if content[:5] == b"%PDF-" else 0
+    if content[:5] != b"%PDF-":
+        return 0
+    try:
+        return sum(len(re.findall(rb"/Type\s*/Page(?![A-Za-z])", head)) for _, head, _ in _objects(content))
+    except ValueError:
+        return 0
 
 
 PARSERS: dict[str, Parser] = {".docx": docx_elements, ".pdf": pdf_elements}

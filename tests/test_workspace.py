@@ -37,6 +37,20 @@ def test_docx_and_pdf(spark, tmp_path):
     assert [spans["text"][s["char_start"] : s["char_end"]] for s in spans["spans"]] == ["Heading", "First part.", "a b"]
 
 
+def test_pdf_with_mapped_fonts_and_compressed_objects():
+    cmap = b"begincmap 1 beginbfchar <0003> <0020> endbfchar 1 beginbfrange <0024> <0026> <0041> endbfrange endcmap"
+    text = b"BT /F1 12 Tf <0024 0025> Tj [<0003> -250 <0026>] TJ 0 -14 Td /F2 9 Tf (plain \\(one\\)) Tj <21> Tj ET"
+    inner = b"<< /Type /Page /Resources << /Font << /F1 3 0 R /F2 4 0 R >> >> >> << /Type /Font /ToUnicode 5 0 R >>"
+    index = b"2 0 3 %d " % inner.index(b"<< /Type /Font")
+    packed = zlib.compress(index + inner)
+    stream = lambda n, head, data: b"%d 0 obj << %s /Length %d >>\nstream\n%s\nendstream\nendobj\n" % (n, head, len(data), data)
+    whole = b"%PDF-1.5\n" + stream(7, b"/Type /ObjStm /N 2 /First %d /Filter /FlateDecode" % len(index), packed) + stream(5, b"", cmap) + stream(6, b"/Filter /FlateDecode", zlib.compress(text))
+    assert documents.pdf_elements(whole) == [("NarrativeText", "AB C"), ("NarrativeText", "plain (one)!")]
+    assert documents.pdf_pages(whole) == 1 and documents.pdf_pages(b"no") == 0
+    with pytest.raises(ValueError, match="encrypted"):
+        documents.pdf_elements(whole + b"trailer << /Encrypt 9 0 R >>")
+
+
 def test_ocr_states(spark, tmp_path):
     for name, lines, pages, size in (("good", ["x" * 200], 2, 200_000), ("poor", ["x"], 2, 200_000), ("bad", ["y"], 2, 200_000), ("short", ["z"], 1, 10), ("error", ["w"], 2, 200_000)):
         (tmp_path / f"{name}.pdf").write_bytes(pdf(lines, pages, size))
