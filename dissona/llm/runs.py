@@ -1,8 +1,8 @@
 """Front-coded sorted runs, and their merge by loser trees that know common prefixes.
 
 A distributed merge sort of byte strings. Each task sorts what it holds, a bounded run at a time, and writes the run as front-coded
-blocks (of each string the number of bytes it shares with the one before, and the rest). The blocks' first strings are a sparse
-index: a bounded sample of them gives the borders of ranges. Each block goes to its range, cut where it meets more than one; a
+blocks (of each string the number of bytes it shares with the one before, and the rest), with a sample of their strings, by hash: a
+bounded part of the samples gives the borders of ranges. Each block goes to its range, cut where it meets more than one; a
 receiving task merges the blocks of its range by a loser tree. Equal strings of a run are one from the start,
 so a string that a third of all places hold is sent once a run, and ranges are cut by whole strings, so many strings with a common
 beginning spread over ranges like any others. The number of ranges follows the number of strings.
@@ -10,6 +10,7 @@ beginning spread over ranges like any others. The number of ranges follows the n
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from itertools import groupby
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from dissona.runtime import stored
 
-RUN, BLOCK, RANGE, HEADS = 200_000, 1024, 1 << 20, 200_000
+RUN, BLOCK, RANGE, SAMPLE, SAMPLES = 200_000, 1024, 1 << 20, 32, 200_000
 
 
 def common(a: bytes, b: bytes, at: int = 0) -> int:
@@ -103,13 +104,13 @@ class LoserTree:
                 node >>= 1
 
 
-_NAMES = ["run", "number", "n", "head", "last", "shared", "sizes", "rest", "twice", "keys", "firsts"]
-_KINDS = [pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 6, pa.list_(pa.binary()), pa.list_(pa.int64())]
-_SCHEMA = "run long, number int, n int, head binary, last binary, shared binary, sizes binary, rest binary, twice binary, keys array<binary>, firsts array<long>"
+_NAMES = ["run", "number", "n", "head", "last", "shared", "sizes", "rest", "twice", "keys", "firsts", "samples"]
+_KINDS = [pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 6, pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.binary())]
+_SCHEMA = "run long, number int, n int, head binary, last binary, shared binary, sizes binary, rest binary, twice binary, keys array<binary>, firsts array<long>, samples array<binary>"
 
 
 def sorted_runs(rows: DataFrame, suffixes: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[bytes, bytes, int]]], run: int = RUN, block: int = BLOCK) -> DataFrame:
-    """Blocks of runs: run, number (in it), n strings, the first and last of them, shared, sizes, rest (front-coded), twice (a byte each: seen at two places already), keys and firsts of the places.
+    """Blocks of runs: run, number (in it), n strings, the first and last of them, shared, sizes, rest (front-coded), twice (a byte each: seen at two places already), keys and firsts of the places, samples of the strings.
 
     suffixes gives string, key, first. Equal strings of a run are one; their further places come out in blocks without strings,
     as they are known to be repeated.
@@ -128,8 +129,11 @@ def sorted_runs(rows: DataFrame, suffixes: Callable[[Iterator[pa.RecordBatch]],
             if others:
                 more[0].extend(k for k, _ in others)
                 more[1].extend(f for _, f in others)
-        out = [[name, number, len(strings[i : i + block]), strings[i], strings[min(i + block, len(strings)) - 1], *front_code(strings[i : i + block]), bytes(twice[i : i + block]), keys[i : i + block], firsts[i : i + block]] for number, i in enumerate(range(0, len(strings), block))]
-        out += [[name, -1, 0, b"", b"", b"", b"", b"", b"", more[0][i : i + block], more[1][i : i + block]] for i in range(0, len(more[0]), block)]
+        out = []
+        for number, i in enumerate(range(0, len(strings), block)):
+            own = strings[i : i + block]
+            out.append([name, number, len(own), own[0], own[-1], *front_code(own), bytes(twice[i : i + block]), keys[i : i + block], firsts[i : i + block], [s for s in own if zlib.crc32(s) % SAMPLE == 0]])
+        out += [[name, -1, 0, b"", b"", b"", b"", b"", b"", more[0][i : i + block], more[1][i : i + block], []] for i in range(0, len(more[0]), block)]
         for i in range(0, len(out), 16):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 16], strict=True), _KINDS, strict=True)], _NAMES)
 
@@ -174,8 +178,9 @@ def _cut(block: dict, edges: list[bytes]) -> Iterator[tuple[int, dict]]:
 def merge_equal(runs: DataFrame, strings: int = RANGE, rows: int = 1 << 14) -> DataFrame:
     """key, first: the places of strings that have another place. runs: from sorted_runs(), in a table that reads alike each time. A range has about `strings` strings."""
     spark = runs.sparkSession
-    total, blocks = runs.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    heads = sorted(r["head"] for r in runs.filter("n > 0").filter(F.pmod(F.xxhash64("run", "number"), F.lit(1 + blocks // HEADS)) == 0).select("head").collect())  # about HEADS at most
+    total, found = runs.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.size("samples")), F.lit(0))).first()
+    samples = runs.select("run", F.explode("samples").alias("s")).filter(F.pmod(F.xxhash64("run", "s"), F.lit(1 + found // SAMPLES)) == 0)
+    heads = sorted(r["s"] for r in samples.select("s").collect())  # about SAMPLES at most
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // strings))
     edges = sorted({bytes(heads[i * len(heads) // parts]) for i in range(1, parts)}) if heads else []
 
@@ -222,7 +227,8 @@ def merge_equal(runs: DataFrame, strings: int = RANGE, rows: int = 1 << 14) -> D
             settle(held)
         yield from full(1)
 
-    dealt = runs.filter("n > 0").mapInArrow(deal, f"part int, {_SCHEMA}").repartitionById(parts, "part")
+    bare = runs.filter("n > 0").withColumn("samples", F.array().cast("array<binary>"))
+    dealt = bare.mapInArrow(deal, f"part int, {_SCHEMA}").repartitionById(parts, "part")
     known = runs.filter("n = 0").select(F.explode(F.arrays_zip("keys", "firsts")).alias("x")).select(F.col("x.keys").alias("key"), F.col("x.firsts").alias("first"))
     return dealt.mapInArrow(merge, "key binary, first long").unionByName(known)
 
