@@ -174,7 +174,7 @@ def vector_of_assertion(spark: SparkSession, sf: str) -> DataFrame:
     return store.vector_of(e, 11).select("assertion_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("s"))
 
 
-@query("SELECT doc_id, 0 first, length(text) AS \"end\", length(text)::BIGINT covered FROM documents WHERE text <> ''")
+@query("SELECT doc_id, 0 first, length(text)::INT AS \"end\", length(text)::BIGINT covered FROM documents WHERE text <> ''")
 def chunk_cover(spark: SparkSession, sf: str) -> DataFrame:
     """Windows without overlap cover each document."""
     c = chunking.chunk_documents(table(spark, sf, "documents"), max_chars=1000)

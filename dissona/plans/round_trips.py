@@ -143,7 +143,7 @@ def definitions_csv(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.definition_export(a, d).select("assertion_id", "document", "definition")
 
 
-@query("SELECT p_partkey assertion_id, p_brand AS \"document\", p_name assertion_text, 0 char_start, length(p_name) char_end FROM part")
+@query("SELECT p_partkey assertion_id, p_brand AS \"document\", p_name assertion_text, 0 char_start, length(p_name)::INT char_end FROM part")
 def assertions_table(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part")
     a = p.select(F.col("p_partkey").alias("assertion_id"), F.col("p_brand").alias("doc_id"), F.col("p_name").alias("assertion_text"), F.lit("claim").alias("kind"), F.lit("").alias("term"), F.lit(0).alias("char_start"), F.length("p_name").alias("char_end"))
