@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dissona.runtime import table
 
-from . import decon, langid, mlm, packing, pii, quality, secrets, simhash, sstable, suffixdedup
+from . import decon, langid, mlm, negatives, packing, pii, quality, secrets, sharding, simhash, sstable, suffixdedup, whitening
 
 
 def op1_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,20 @@ def op10_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "contaminated", "item_ids", F.array_join(F.transform("hits", lambda h: F.concat_ws(":", h["item_id"], h["start"], h["end"], h["edits"])), ",").alias("spans"))
 
 
+def op11_voronoi_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = F.col("vec_id")
+    label = F.when(own % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), own % 50 == 0, label)
+
+
+def op12_chan_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents"))
+
+
 def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op5's operator finds of the base kinds."""
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents"))).select("doc_id", "n_assign", "n_access", "n_hex")
@@ -93,4 +107,4 @@ ORACLE_SQL: dict[str, str] = {
  c AS (SELECT w.doc_id, len(words) n_words, length(regexp_replace(t, '[{_SPACE}]', '', 'g')) word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) n_symbols, len(rows) - len(list_distinct(rows)) n_dup_lines, coalesce(n, 0) n_repeat_words FROM w LEFT JOIN n USING (doc_id))
  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words base_failed FROM c""",
 }
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hierarchical_packing, op2_sstable_shards, op3_tiled_simhash, op4_masked_likelihood, op5_credential_linking, op6_suffix_runs, op7_language_mixture, op8_boosted_quality, op9_deobfuscated_pii, op10_qgram_decontamination, secret_base_counts, personal_base_counts, quality_base_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hierarchical_packing, op2_sstable_shards, op3_tiled_simhash, op4_masked_likelihood, op5_credential_linking, op6_suffix_runs, op7_language_mixture, op8_boosted_quality, op9_deobfuscated_pii, op10_qgram_decontamination, op11_voronoi_negatives, op12_chan_whitening, op13_sampled_splitters, secret_base_counts, personal_base_counts, quality_base_counts)}
