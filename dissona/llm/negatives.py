@@ -38,8 +38,8 @@ from dissona.runtime import durable
 
 from .vectors import integer_vectors, largest_inner, packed, unpacked
 
-#: Pivots at the most. Anchors of a group and a block, rows of a slice, about. Classes of labels.
-PIVOTS, ANCHORS, SLICE, CLASSES, SCALE = 256, 512, 4096, 16, 256
+#: Pivots at the most, sampled rows for each. Anchors of a group and a block, rows of a slice, about. Classes of labels.
+PIVOTS, SEEDS, ANCHORS, SLICE, CLASSES, SCALE = 256, 16, 512, 4096, 16, 256
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -141,11 +141,12 @@ _ROW = "row long, id long, label long, x binary"
 
 
 def _space(base: DataFrame, kind: str, width: int, n: int, pivots: int) -> Space:
-    """The sample is as many rows, by hash, as the square root of all says, pivots at the most."""
+    """Pivots are as many rows, by hash, as the square root of all says, at most `pivots`; the sample, for first bounds, SEEDS times as many."""
     top = base.select(F.max("norm")).first()[0]
-    drawn = base.orderBy(F.xxhash64("row"), "row").limit(int(min(pivots, max(1, round(n**0.5))))).select("row", "label", "x").toArrow()
+    own = int(min(pivots, max(1, round(n**0.5))))
+    drawn = base.orderBy(F.xxhash64("row"), "row").limit(own * SEEDS).select("row", "label", "x").toArrow()
     x = unpacked(drawn.column(2), kind, width)
-    return Space(kind, width, x, drawn.column(1).to_numpy(), drawn.column(0).to_numpy(), np.unique(x, axis=0), float(top))
+    return Space(kind, width, x, drawn.column(1).to_numpy(), drawn.column(0).to_numpy(), np.unique(x[:own], axis=0), float(top))
 
 
 def _serve(base: DataFrame, asking: DataFrame, space: Space, by_class: bool, anchors: int, rows: int) -> DataFrame:

@@ -95,7 +95,7 @@ def test_far_groups_are_not_served(spark):
         negatives._serve = plain
     assert got == brute_negatives(rows)
     groups = sent[0].filter("asks").select("g").distinct().count()
-    assert groups > 1 and sent[0].filter("not asks").count() <= 300 * groups
+    assert groups > 1 and sent[0].filter("not asks").count() < 0.7 * len(rows) * groups
 
 
 def test_large_components_stay_exact(spark):
