@@ -2,21 +2,30 @@
 
 A passage of m characters that a text holds with at most e edits shares at least m + 1 - q - q * e of its q-grams with it, all on
 diagonals (place in the text less place in the passage) at most e apart. Each text's q-grams are looked up in a table of the
-passages' q-grams; hits are counted by passage and diagonal band. Bands are 2 * (2e + 1) wide and overlap by half, so some band
-holds all hits of a match. Bands that meet the bound are verified by banded alignment (least edits of the passage against any
-stretch of the region), which also gives the span.
+passages' q-grams; places of a passage are counted by diagonal band, each place once. Bands are 2e + 1 wide and count with their
+neighbour, so some pair holds all hits of a match. The diagonals of bands that meet the bound are verified by banded alignment (least
+edits of the passage against any stretch of the text), which also gives the span.
 
-Text and passages are compared with letters lowered and each white-space character as a space. The edit budget is a share of m.
-Passages are the query set: they go to all tasks, in blocks of bounded size if they are many; the texts are scanned once.
+The budget e is a share of m, rounded down, for passages of every length: one too short for its bound to be positive with q is looked
+up by the largest smaller q for which it is.
 
-Defined cases: a null or empty text has no hits; a null or blank passage is left out; a passage whose bound isn't positive for its
-budget gets the largest budget for which it is, one shorter than q is found if it stands verbatim; a null identifier stays
-null; repeated rows give repeated results; an empty table gives an empty result; other columns are ignored; texts are scanned
-whole.
+The work is bounded where a q-gram is everywhere (blanks, rules, indentation). A run of one q-gram in the text is laid out once for
+each band, not for each place. A passage that would still fill more than WORK cells in a stretch of the text gives up the q-grams
+laid out most often, and its bound falls by as many, so nothing is lost; if none is left, it is aligned along all diagonals of the
+stretch, of which those beyond the budget are dropped as the alignment goes. Cells are made WORK at a time, whole passages together.
+
+Text and passages are compared with letters lowered and each white-space character as a space.
+Passages are the query set: they go to all tasks, in blocks of bounded size if they are many (a block holds one passage at least,
+however long); the texts are scanned once.
+
+Defined cases: a null or empty text has no hits; a null or blank passage is left out; a passage too short for an edit (below 10
+characters) is found if it stands verbatim; a null identifier stays null; repeated rows give repeated results; an empty table
+gives an empty result; other columns are ignored; texts are scanned whole.
 """
 
 from __future__ import annotations
 
+import bisect
 import pickle
 import uuid
 from collections.abc import Callable, Iterator
@@ -33,6 +42,8 @@ from dissona.runtime import durable, remove, shared_dir, ship
 from .common import id_and_text
 
 Q, RATE, BLOCK_CHARS, STRETCH = 8, 0.10, 4 << 20, 32 << 20
+#: Characters of a text that are looked at in one go, and cells (passages' places by bands) laid out in one go.
+STRETCH_CHARS, WORK = 1 << 16, 1 << 20
 _M1, _M2, _M4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 BITS = 20
 
@@ -67,112 +78,216 @@ def grams(c: np.ndarray, q: int) -> np.ndarray:
     return h * _M2
 
 
-def budget(m: int, q: int, rate: float) -> tuple[int, int]:
-    """Edits allowed, and the q-grams that are then shared at least."""
-    e = max(0, min(int(rate * m), (m - q) // q))
-    return e, m + 1 - q - q * e
+def budget(m: int, q: int, rate: float) -> tuple[int, int, int]:
+    """Edits allowed in a passage of m characters, the q that it is looked up by (q at most), and the q-grams that are then shared at least."""
+    e = int(rate * m)
+    q = min(q, m // (e + 1))
+    return e, q, m + 1 - q - q * e
+
+
+def expanded(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For counts n: the number of each count's owner, once for each, and 0, 1, ... within the owner."""
+    owner = np.repeat(np.arange(len(n)), n)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
 
 
-def align(item: np.ndarray, region: np.ndarray, low: int, high: int, e: int) -> tuple[int, int, int] | None:
-    """Least edits of the item against any stretch of the region, along diagonals low..high: edits, start, end; None beyond e."""
-    width, m, n = high - low + 1, len(item), len(region)
-    far = np.int64(1 << 30)
-    k = np.arange(width)
-    at = low + k  # the place in the region before which the row stands
-    cost = np.where((at >= 0) & (at <= n), 0, far)
-    start = at.copy()
+def verbatim(item: np.ndarray, region: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Those of the places at which the item stands in the region."""
+    at, done = at[(at >= 0) & (at + len(item) <= len(region))], 0
+    while len(at) and done < len(item):
+        piece = item[done : done + max(1, WORK // len(at))]
+        at = at[(region[at[:, None] + np.arange(done, done + len(piece))] == piece).all(1)]
+        done += len(piece)
+    return at
+
+
+def align(item: np.ndarray, region: np.ndarray, at: np.ndarray, e: int) -> list[tuple[int, int, int]]:
+    """Stretches of the region within e edits of the item, by dynamic programming along ascending diagonals: edits, start, end for each end.
+
+    A diagonal that is beyond e, with all that it could reach, is left out for the rest.
+    """
+    m, n, far = len(item), len(region), np.int64(1 << 30)
+    at = at[(at >= -e) & (at <= n)]
+    cost, start = np.where(at >= 0, 0, far), at.copy()
     for i in range(m):
-        j = at + i  # the region character that a diagonal step would take
+        if not i % 4 and i:
+            alive = at[cost <= e]
+            if not len(alive):
+                return []
+            if 4 * len(alive) < len(at):
+                near = np.searchsorted(alive, at - e)
+                keep = alive[np.minimum(near, len(alive) - 1)] - at <= e
+                keep &= near < len(alive)
+                at, cost, start = at[keep], cost[keep], start[keep]
+        j = at + i  # the region's character that a diagonal step would take
         inside = (j >= 0) & (j < n)
-        same = np.zeros(width, bool)
-        same[inside] = region[j[inside]] == item[i]
-        step = np.where(inside, cost + ~same, far)
-        drop = np.append(cost[1:] + 1, far)  # the item's character is left out: the next diagonal down
-        fresh = np.where(step <= drop, step, drop)
+        step = np.where(inside, cost + (region[np.where(inside, j, 0)] != item[i]) if n else far, far)
+        next_to = np.append(np.diff(at) == 1, False)
+        drop = np.where(next_to, np.append(cost[1:], far) + 1, far)  # the item's character is left out: the next diagonal down
+        lifted = np.minimum(step, drop) - at
         begun = np.where(step <= drop, start, np.append(start[1:], 0))
-        lifted = fresh - k
         run = np.minimum.accumulate(lifted)  # characters of the region left out, along the row
-        source = np.maximum.accumulate(np.where((lifted == run) & np.append(True, run[1:] < run[:-1]), k, 0))
-        ok = (j + 1 >= 0) & (j + 1 <= n)
-        cost, start = np.where(ok, run + k, far), begun[source]
-        if cost.min() > e:
-            return None
-    best = int(cost.argmin())
-    return (int(cost[best]), int(start[best]), int(at[best] + m)) if cost[best] <= e else None
+        source = np.maximum.accumulate(np.where((lifted == run) & np.append(True, run[1:] < run[:-1])[: len(run)], np.arange(len(at)), 0))
+        cost, start = np.where((j >= -1) & (j < n), run + at, far), begun[source]
+        cost = np.where(cost > e, far, cost)
+    good = cost <= e
+    return list(zip(cost[good].tolist(), start[good].tolist(), (at[good] + m).tolist(), strict=True))
+
+
+def apart(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of edits, start, end the best of those that overlap: fewer edits, then the earlier start, then the earlier end."""
+    starts: list[int] = []
+    ends: list[int] = []
+    out = []
+    for x in sorted(set(found)):
+        k = bisect.bisect_left(starts, x[2])  # those before begin before its end
+        if k == 0 or ends[k - 1] <= x[1]:
+            starts.insert(k, x[1])
+            ends.insert(k, x[2])
+            out.append(x)
+    return out
 
 
-class Passages:
-    """The table of a block of passages."""
-
-    def __init__(self, items: list[tuple[int | None, str]], q: int = Q, rate: float = RATE):
-        self.q, self.ids, self.codes = q, [i for i, _ in items], [plain(t) for _, t in items]
-        self.short = [n for n, t in enumerate(self.codes) if len(t) < q]
-        self.budget = np.array([budget(len(t), q, rate) for t in self.codes], np.int64).reshape(-1, 2)
-        parts = [grams(c, q) for c in self.codes]
-        h = np.concatenate([np.empty(0, np.uint64), *parts])
+class _Table:
+    """The q-grams of passages that are looked up by one q. An entry is a place of a passage; entries are sorted by q-gram."""
+
+    def __init__(self, q: int, items: list[int], codes: list[np.ndarray], edits: np.ndarray, bounds: np.ndarray):
+        self.q, self.items, self.codes, self.edits, self.bounds = q, items, codes, edits, bounds
+        parts = [grams(c, q) for c in codes]
+        h = np.concatenate(parts)
         item = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        place = np.concatenate([np.empty(0, np.int64), *(np.arange(len(p)) for p in parts)])
+        place = np.concatenate([np.arange(len(p)) for p in parts])
         order = np.argsort(h, kind="stable")
         self.item, self.place = item[order], place[order]
         self.keys, self.first, self.count = np.unique(h[order], return_index=True, return_counts=True)
+        self.key = np.repeat(np.arange(len(self.keys)), self.count)
+        self.unit = 2 * edits + 1
         self.map = np.zeros(1 << BITS, bool)
         self.map[(self.keys >> np.uint64(64 - BITS)).astype(np.int64)] = True
 
-    def find(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """item number, start, end, edits of each match; the best of those that overlap."""
-        if not text:
-            return []
-        c = plain(text)
-        out = []
-        for n in self.short:
-            item = self.codes[n]
-            same = np.ones(max(0, len(c) - len(item) + 1), bool)
-            for i, x in enumerate(item):
-                same &= c[i : i + len(same)] == x
-            out += [(n, s, s + len(item), 0) for s in np.flatnonzero(same).tolist()]
+    def find(self, c: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """item number, edits, start, end of what a stretch holds."""
         h = grams(c, self.q)
         at = np.flatnonzero(self.map[(h >> np.uint64(64 - BITS)).astype(np.int64)])
-        if not len(at) or not len(self.keys):
-            return out
+        if not len(at):
+            return []
         k = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
         hit = self.keys[k] == h[at]
         at, k = at[hit], k[hit]
-        n = self.count[k]
-        if not len(n):
-            return out
-        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        entry = np.repeat(self.first[k], n) + inner
-        item, place = self.item[entry], self.place[entry]
-        diagonal = np.repeat(at, n) - place
-        unit, span = 2 * self.budget[item, 0] + 1, 2 * len(c) + 4
-        key = item * span + diagonal // unit + len(c)
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        keys, first, counts = np.unique(key, return_index=True, return_counts=True)
-        after = np.searchsorted(keys, keys + 1)  # the band from a unit takes in the next unit's hits
-        there = after < len(keys)
-        there[there] = keys[after[there]] == keys[there] + 1
-        both = counts + np.where(there, counts[np.minimum(after, len(keys) - 1)], 0)
-        bands = [(int(keys[j]), int(first[j]), int(first[j] + both[j])) for j in np.flatnonzero((both >= self.budget[keys // span, 1]))]
-        for value, s, e in bands:
-            i, rows = value // span, order[s:e]
-            if len(np.unique(place[rows])) < self.budget[i, 1]:
-                continue
-            edits, m = int(self.budget[i, 0]), len(self.codes[i])
-            best, votes = np.unique(diagonal[rows], return_counts=True)
-            d = int(best[votes.argmax()])
-            if d >= 0 and d + m <= len(c) and np.array_equal(c[d : d + m], self.codes[i]):
-                out.append((i, d, d + m, 0))
+        if not len(at):
+            return []
+        begins = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (at[1:] != at[:-1] + 1)))
+        by_key = np.argsort(k[begins], kind="stable")  # runs of one q-gram, as of blanks: one for all its places
+        begins, lasts = begins[by_key], (np.append(begins[1:], len(at)) - 1)[by_key]
+        low, high, k = at[begins], at[lasts], k[begins]
+        own, run0, runs = np.unique(k, return_index=True, return_counts=True)
+        longer = np.add.reduceat(high - low, run0)
+        of, inner = expanded(self.count[own])  # the entries whose q-gram is there, by passage
+        entry, order = self.first[own][of] + inner, None
+        order = np.argsort(self.item[entry], kind="stable")
+        entry, of = entry[order], of[order]
+        item = self.item[entry]
+        items, item0, there = np.unique(item, return_index=True, return_counts=True)
+        work = runs[of] + longer[of] // self.unit[item] + 1
+        total = np.add.reduceat(work, item0)
+        enough = there >= self.bounds[items]
+        need, out = self.bounds[items].copy(), []
+        laid = np.repeat(enough, there)
+        whole = []
+        for x in np.flatnonzero(enough & (total > WORK)).tolist():  # leave out the q-grams that would be laid out most often, if the bound allows it
+            mine = np.arange(item0[x], item0[x] + there[x])
+            by_work = mine[np.argsort(-work[mine], kind="stable")]
+            left = total[x] - np.cumsum(work[by_work])
+            drop = int(np.argmax(left <= WORK)) + 1
+            laid[by_work[:drop]] = False
+            need[x] -= drop
+            if need[x] < 1:
+                laid[mine] = False
+                whole.append(x)
+        chosen = np.flatnonzero(laid)
+        bands: dict[int, np.ndarray] = {x: np.arange(-int(self.edits[items[x]]), len(c) + 1) for x in whole}
+        number = np.repeat(np.arange(len(items)), there)
+        chunk = (np.cumsum(work[chosen]) - 1) // WORK
+        chunk = chunk[np.searchsorted(number[chosen], number[chosen])]  # a passage's entries stay together
+        for part in np.split(chosen, np.flatnonzero(np.diff(chunk)) + 1) if len(chosen) else []:
+            for x, diagonals in self._bands(part, entry, of, number, items, need, low, high, run0, runs, len(c)):
+                bands[x] = diagonals
+        for x, diagonals in bands.items():
+            i, e = int(items[x]), int(self.edits[items[x]])
+            code = self.codes[i]
+            same = np.empty(0, np.int64)
+            if there[x] == len(code) + 1 - self.q:  # all its q-grams are there, so it may stand verbatim: seek it from the rarest
+                mine = np.arange(item0[x], item0[x] + there[x])
+                rare = mine[np.argmin((runs + longer)[of[mine]])]
+                r = slice(run0[of[rare]], run0[of[rare]] + runs[of[rare]])
+                owner, inner = expanded(high[r] - low[r] + 1)
+                same = verbatim(code, c, np.sort(low[r][owner] + inner - self.place[entry[rare]]))
+            out += [(i, 0, s, s + len(code)) for s in same.tolist()]
+            if not e:
                 continue
-            low = (value % span - len(c)) * (2 * edits + 1)
-            got = align(self.codes[i], c, low - edits, low + 2 * (2 * edits + 1) - 1 + edits, edits)  # a path with a hit in the band may leave it by as many diagonals as edits
-            if got:
-                out.append((i, got[1], got[2], got[0]))
-        kept: list[tuple[int, int, int, int]] = []
-        for x in sorted(set(out), key=lambda x: (x[0], x[3], x[1], x[2])):
-            if all(x[0] != y[0] or x[2] <= y[1] or y[2] <= x[1] for y in kept):
-                kept.append(x)
-        return sorted(kept, key=lambda x: (x[1], x[0], x[2]))
+            if len(same):  # what overlaps a verbatim passage by all means is no better
+                after = np.searchsorted(same, diagonals, side="right")
+                before, behind = same[np.maximum(after - 1, 0)], same[np.minimum(after, len(same) - 1)]
+                m = len(code)
+                covered = ((after > 0) & (diagonals - before < m - 4 * e - 1)) | ((after < len(same)) & (behind - diagonals < m - 4 * e - 1))
+                diagonals = diagonals[~covered]
+            out += [(i, *x) for x in align(code, c, diagonals, e)] if len(diagonals) else []
+        return out
+
+    def _bands(self, part: np.ndarray, entry: np.ndarray, of: np.ndarray, number: np.ndarray, items: np.ndarray, need: np.ndarray, low: np.ndarray, high: np.ndarray, run0: np.ndarray, runs: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Passages' numbers and the diagonals of their bands with enough q-grams, for some entries: whole passages."""
+        who, inner = expanded(runs[of[part]])
+        run = run0[of[part]][who] + inner
+        place = self.place[entry[part]][who]
+        unit = self.unit[items[number[part]]][who]
+        first = (low[run] - place) // unit
+        again, inner = expanded((high[run] - place) // unit - first + 1)
+        band = first[again] + inner
+        base = int(band.min())
+        span = int(band.max()) - base + 2  # a gap between passages
+        cell = (number[part][who][again] - number[part[0]]) * span + band - base
+        cell = np.unique(cell * len(part) + who[again]) // len(part)  # a place counts once for a band
+        cells, counts = np.unique(cell, return_counts=True)
+        nth, band = cells // span + number[part[0]], cells % span + base
+        both = counts + np.where(np.append(np.diff(cells) == 1, False), np.append(counts[1:], 0), 0)  # a match's q-grams lie in two neighbouring bands
+        alone = np.append(True, np.diff(cells) > 1)  # the band before has none, so its pair with this one is not in the list
+        good = both >= need[nth]
+        nth = np.concatenate([nth[good], nth[alone & (counts >= need[nth])]])
+        band = np.concatenate([band[good], band[alone & (counts >= need[cells // span + number[part[0]]])] - 1])
+        for x in np.unique(nth).tolist():
+            e, unit = int(self.edits[items[x]]), int(self.unit[items[x]])
+            starts = np.unique(band[nth == x]) * unit - e  # a path with a hit in the band may leave it by as many diagonals as edits
+            yield x, np.unique((starts[:, None] + np.arange(2 * unit + 2 * e)).ravel())
+
+
+class Passages:
+    """The tables of a block of passages, one for each q that some are looked up by."""
+
+    def __init__(self, items: list[tuple[int | None, str]], q: int = Q, rate: float = RATE, stretch: int = STRETCH_CHARS):
+        if not 0 <= rate < 1:
+            raise ValueError("the edit budget is a share of a passage, below 1")
+        codes = [(i, c) for i, c in ((i, plain(t)) for i, t in items) if (c != 32).any()]
+        self.ids, self.codes = [i for i, _ in codes], [c for _, c in codes]
+        limits = np.array([budget(len(c), q, rate) for c in self.codes], np.int64).reshape(-1, 3)
+        self.tables = []
+        for own in np.unique(limits[:, 1]).tolist():
+            mine = np.flatnonzero(limits[:, 1] == own)
+            self.tables.append(_Table(own, mine.tolist(), [self.codes[i] for i in mine], limits[mine, 0], limits[mine, 2]))
+        self.overlap = max((len(c) + int(e) for c, e in zip(self.codes, limits[:, 0], strict=True)), default=0)
+        self.stretch = max(stretch, 2 * self.overlap)
+
+    def find(self, text: str | None) -> list[tuple[int, int, int, int]]:
+        """item number, start, end, edits of each match; the best of those that overlap. Long texts go by stretches, which overlap by the longest passage."""
+        if not text:
+            return []
+        c = plain(text)
+        by_item: dict[int, list[tuple[int, int, int]]] = {}
+        for at in range(0, len(c), self.stretch):
+            part = c[at : at + self.stretch + self.overlap]
+            for t in self.tables:
+                for i, edits, s, e in t.find(part):
+                    by_item.setdefault(t.items[i], []).append((edits, s + at, e + at))
+        return sorted(((i, s, e, d) for i, own in by_item.items() for d, s, e in apart(own)), key=lambda x: (x[1], x[0], x[2]))
 
 
 class _Blocks:
@@ -189,13 +304,24 @@ class _Blocks:
         self.folder = f"{shared_dir(spark).rstrip('/')}/passages-{uuid.uuid4().hex}"
         store, base = fs.FileSystem.from_uri(self.folder)
         store.create_dir(base)
-        numbered = durable(passages.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(self.n))))
-        for b in range(self.n):
-            with store.open_output_stream(f"{base}/{b}") as out:
-                out.write(pickle.dumps(self.items(numbered.filter(F.col("b") == b))))
+        folder, ordered = self.folder, self.ordered
+
+        def write(key: tuple[pa.Scalar], group: pa.Table) -> pa.Table:
+            """A block's file, by the task that has the block."""
+            store, base = fs.FileSystem.from_uri(folder)
+            with store.open_output_stream(f"{base}/{key[0].as_py()}") as out:
+                out.write(pickle.dumps(ordered(zip(group.column("i").to_pylist(), group.column("t").to_pylist(), strict=True))))
+            return pa.table({"n": pa.array([group.num_rows], pa.int64())})
+
+        ship(spark)
+        passages.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(self.n))).groupBy("b").applyInArrow(write, "n long").agg(F.sum("n")).collect()
+
+    @staticmethod
+    def ordered(items: Iterator[tuple[int | None, str]]) -> list[tuple[int | None, str]]:
+        return sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
 
     def items(self, passages: DataFrame) -> list[tuple[int | None, str]]:
-        return sorted(((r["i"], r["t"]) for r in passages.select("i", "t").collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))  # about block_chars
+        return self.ordered((r["i"], r["t"]) for r in passages.select("i", "t").collect())  # about block_chars
 
     def tables(self) -> Iterator[Passages]:
         for b in range(self.n):
@@ -203,6 +329,8 @@ class _Blocks:
                 yield self.only
             else:
                 store, base = fs.FileSystem.from_uri(self.folder)
+                if store.get_file_info(f"{base}/{b}").type == fs.FileType.NotFound:
+                    continue  # no passage has this hash
                 with store.open_input_file(f"{base}/{b}") as f:
                     yield Passages(pickle.loads(f.read()), self.q, self.rate)
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -652,12 +653,12 @@ def test_each_disguise_of_an_address_alone_and_with_others():
         assert pii.scan_text(clean)[1] == [], clean
 
 
-def brute_leaks(text, items, q=8, rate=0.10):
-    """Items whose best match in the text is within the budget, by full dynamic programming over plainly lowered texts."""
+def brute_leaks(text, items):
+    """Items whose best match in the text is within a tenth of edits, by full dynamic programming over plainly lowered texts."""
     out, flat = set(), re.sub(r"\s", " ", text.lower())
     for i, t in items:
         t = re.sub(r"\s", " ", t.lower())
-        e = max(0, min(int(rate * len(t)), (len(t) - q) // q)) if len(t) >= q else 0
+        e = int(0.10 * len(t))
         row = [0] * (len(flat) + 1)
         for a, c in enumerate(t, 1):
             before, row = row, [a] + [0] * len(flat)
@@ -668,11 +669,15 @@ def brute_leaks(text, items, q=8, rate=0.10):
     return out
 
 
-def test_leaks_against_full_alignment():
+@pytest.mark.parametrize("work", [decon.WORK, 40])
+def test_leaks_against_full_alignment(monkeypatch, work):
+    """With little work allowed, q-grams are given up and passages aligned along all diagonals; the finds are the same."""
+    monkeypatch.setattr(decon, "WORK", work)
     rng = random.Random(2)
     words = "tion er the and of re on ing al en th".split()
     prose = lambda n: "".join(rng.choice(words) + rng.choice(["", "", " "]) for _ in range(n))
-    items = [(i, prose(rng.randint(2, 40))) for i in range(20)] + [(99, "ab")]
+    items = [(i, prose(rng.randint(2, 40))) for i in range(20)] + [(99, "ab"), (98, "-" * 30), (97, "x" + " " * 14 + "return value"), (96, "- " * 20)]
+    assert {10, 20, 30} <= {len(t) // 10 * 10 for _, t in items}  # passages of every short length
     table = decon.Passages(items)
 
     def edited(t, k):
@@ -687,13 +692,53 @@ def test_leaks_against_full_alignment():
                 t.insert(i, rng.choice("abc"))
         return "".join(t)
 
-    for _ in range(200):
+    for _ in range(150):
         i, x = rng.choice(items)
-        e = decon.budget(len(x), 8, 0.08)[0] if len(x) >= 8 else 0
-        t = prose(20) + " " + edited(x.upper() if rng.random() < 0.2 else x, rng.randint(0, e + 1)) + prose(10)
+        t = prose(20) + " " * rng.choice([0, 0, 30]) + "-" * rng.choice([0, 0, 40]) + " " + edited(x.upper() if rng.random() < 0.2 else x, rng.randint(0, len(x) // 10 + 1)) + prose(10)
         assert {table.ids[n] for n, *_ in table.find(t)} == brute_leaks(t, items), (t, x)
 
 
+def test_budget_is_whole_for_every_length():
+    for m in range(1, 400):
+        e, q, least = decon.budget(m, decon.Q, 0.10)
+        assert e == int(0.10 * m) and 1 <= q <= decon.Q and least >= 1
+
+
+def test_spans_in_long_texts(monkeypatch):
+    """Passages across the borders of stretches are found where they stand, once."""
+    rng = random.Random(8)
+    prose = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    items = [(i, prose(60)) for i in range(5)]
+    text, want = "", []
+    for i in rng.choices(range(5), k=60):
+        text += prose(rng.randrange(20, 70))
+        want.append((i, len(text), len(text) + 60))
+        text += items[i][1]
+    whole = decon.Passages(items)
+    cut = decon.Passages(items, stretch=10)
+    assert cut.stretch < len(text) // 10
+    assert [x[:3] for x in whole.find(text)] == want and cut.find(text) == whole.find(text)
+
+
+@pytest.mark.parametrize("piece", [" ", "-", "- ", "=-+"])
+def test_a_q_gram_that_is_everywhere(piece):
+    """Blanks and rules in a text against passages with some of them: the work stays bounded, and a passage among them is found."""
+    rng = random.Random(3)
+    prose = lambda: "".join(rng.choices("abcdefgh", k=30))
+    items = [(i, prose() + piece * 12 + prose()) for i in range(200)]
+    table = decon.Passages(items)
+    text = "abc " + piece * (20_000 // len(piece)) + items[7][1][:40] + "X" + items[7][1][41:] + piece * 500
+    began = time.perf_counter()
+    assert [(table.ids[n], text[s:e].count("X"), d) for n, s, e, d in table.find(text)] == [(7, 1, 1)]
+    assert time.perf_counter() - began < 20  # some seconds at the most, where hours were
+
+
+def test_many_copies_of_a_short_passage():
+    table = decon.Passages([(1, "ab"), (2, "zz zz zz zz")])
+    found = table.find("ab" * 20_000)
+    assert len(found) == 20_000 and found[-1] == (0, 39_998, 40_000, 0)
+
+
 def test_leaks_in_blocks(spark, docs):
     b = spark.read.parquet(f"{DATA}/sf0.001/benchmark.parquet")
     key = lambda df: sorted((r["doc_id"], r["contaminated"], tuple(r["item_ids"])) for r in df.collect())
