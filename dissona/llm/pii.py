@@ -2,7 +2,8 @@
 
 The base detectors run on each text as it stands. Then a transducer rewrites disguises and keeps, for every character it puts
 out, the source interval it came from: look-alike letters and digits of other scripts become ASCII, invisible characters vanish,
-runs of spelled digits become digits, `(at)`, `[dot]`, ` at ... dot ` and the like become @ and a full stop. The same detectors run on
+runs of spelled digits become digits, `(at)`, `[dot]`, ` at ... dot ` and the like become @ and a full stop, and so does a spelled
+`dot` or `point` between the numbers, spelled or not, of an address of four or more. The same detectors run on
 the rewritten text; each find goes back through the intervals to a source span and is reported if a rewriting had a part in it
 and no base span covers it. Kinds of added spans are those of the base.
 
@@ -75,11 +76,16 @@ def detect(text: str) -> list[Span]:
 
 # Spelled digits, letters of other scripts that look like ASCII ones, and endings of host names.
 SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "plus": "+", "dash": "-"}
-LOOKALIKES = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h", "ӏ": "l", "ո": "n", "α": "a", "ο": "o", "ν": "v", "ι": "i", "ρ": "p", "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "Ο": "O", "Α": "A", "Β": "B", "Ε": "E", "‚": ",", "․": ".", "。": ".", "‐": "-", "‑": "-", "–": "-", "−": "-"}
+LOOKALIKES = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h", "ӏ": "l", "ո": "n", "α": "a", "ο": "o", "ν": "v", "ι": "i", "ρ": "p", "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "Ο": "O", "Α": "A", "Β": "B", "Ε": "E", "‚": ",", "․": ".", "。": ".", "‐": "-", "‑": "-", "–": "-", "−": "-", "¹": "1", "²": "2", "³": "3"}
 INVISIBLE = "​‌‍⁠﻿­"
 WORD = "|".join(SPELLED)
 RUN = re.compile(rf"(?<![^\W_])(?:{WORD})(?:[\x20,.-]{{1,3}}(?:{WORD}|[0-9]+)){{5,}}(?![^\W_])", re.I)
 ONE = re.compile(rf"(?<![^\W_])(?:{WORD}|[0-9]+)(?![^\W_])", re.I)
+DIGIT_WORD = "|".join(w for w, d in SPELLED.items() if d.isdigit())
+NUMBER = rf"(?:[0-9]+|(?:{DIGIT_WORD})(?:[\x20-]{{1,3}}(?:{DIGIT_WORD}|[0-9])){{0,3}})(?![^\W_])"  # a part of an address has few digits
+POINT = r"(?:dot|point|punkt|punto)"
+QUAD = re.compile(rf"(?<![^\W_])(?<![0-9]\.){NUMBER}(?:(?:\x20+{POINT}\x20+|\.){NUMBER}){{3,}}", re.I)
+PART = re.compile(rf"(\x20+{POINT}\x20+)|({NUMBER})", re.I)
 DIRECT = re.compile(r"[\x20\t]*[\[({<][\x20\t]*(at|dot|punkt|punto|point|arroba|@|\.)[\x20\t]*[\])}>][\x20\t]*", re.I)
 ENDINGS = frozenset(
     "com net org edu gov mil int info biz name io ai app dev pro xyz online site store shop tech cloud club live blog top world email agency digital media jobs mobi cat coop aero museum travel asia post tel arpa test example invalid local "
@@ -89,7 +95,7 @@ ENDINGS = frozenset(
 )
 PLAIN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(@|\x20+at\x20+)[A-Za-z0-9-]+(?:(?:\x20+dot\x20+|\.)[A-Za-z0-9-]+)+", re.I)
 DOT = re.compile(r"(\x20+dot\x20+|\.)([A-Za-z0-9-]+)", re.I)
-SIGNS = re.compile(rf"[\[({{<][\x20\t]*(?:at|dot|punkt|punto|point|arroba|@|\.)[\x20\t]*[\])}}>]|\bdot\b|(?<![^\W_])(?:{WORD})[\x20,.-]{{1,3}}(?:{WORD}|[0-9])|[^\x00-ɏ—‘’“”…]|\xad", re.I)
+SIGNS = re.compile(rf"[\[({{<][\x20\t]*(?:at|dot|punkt|punto|point|arroba|@|\.)[\x20\t]*[\])}}>]|\bdot\b|\b{POINT}\x20+(?:{WORD}|[0-9])|(?<![^\W_])(?:{WORD})[\x20,.-]{{1,3}}(?:{WORD}|[0-9])|[^\x00-ɏ—‘’“”…]|[\xad¹²³]", re.I)
 
 
 class Mapped:
@@ -149,6 +155,14 @@ def transduce(text: str) -> Mapped:
         edits += spelled
     out.rewrite(edits)
     edits = []
+    for m in QUAD.finditer(out.text):
+        for x in PART.finditer(out.text, m.start(), m.end()):
+            if x[1]:
+                edits.append((x.start(), x.end(), "."))
+            elif not x[2].isdigit():
+                edits.append((x.start(), x.end(), "".join(SPELLED.get(w[0].lower(), w[0]) for w in ONE.finditer(out.text, x.start(), x.end()))))
+    out.rewrite(edits)
+    edits = []
     for m in RUN.finditer(out.text):
         digits = "".join(SPELLED.get(w[0].lower(), w[0]) for w in ONE.finditer(out.text, m.start(), m.end()))
         edits.append((m.start(), m.end(), digits))

@@ -639,6 +639,26 @@ def test_numbers_spelled_without_three_seven_eight(text, part):
     assert base == [] and [text[s:e] for _, s, e in more] == [part or text[5:]]
 
 
+@pytest.mark.parametrize("part", [
+    "192 dot 168 dot 10 dot 1", "one nine two dot one six eight dot zero dot one", "192[.]168 dot 1 (dot) 1", "192.168 dot 10.7", "one nine two dot 168[dot]zero dot 1",
+    "１９２ dot 168 point 1 punto ¹", "One-nine-two dot one six 8 Dot 0 dot oh", "192\u200b dot 168 dot 1 dot 1", "10 dot 0 dot 0 dot 1 dot 9",
+])
+def test_spelled_dots_between_numbers(part):
+    text = f"host 7.8, {part}, and 1.2.3.4 dot"
+    base, more = pii.scan_text(text)
+    assert [text[s:e] for _, s, e in base] == ["1.2.3.4"] and base == pii.detect(text)
+    assert [(pii.KINDS[k], text[s:e]) for k, s, e in more] == [("ip", part.removesuffix(" dot 9"))]
+
+
+def test_words_between_numbers_that_are_no_address():
+    for clean in ("1 dot 2 dot 3", "256 dot 1 dot 1 dot 1", "one dot, two dot, three dot, four", "a1 dot 2 dot 3 dot 4", "1 dot 2 dot 3 dot 4th", "x² + y²", "six point five of ten points"):
+        assert pii.scan_text(clean) == ([], []), clean
+    for long in ("one " * 30_000, "one dot " * 20_000, "1 dot " * 20_000, "9" * 50_000 + " dot 1"):
+        began = time.perf_counter()
+        pii.scan_text(long)
+        assert time.perf_counter() - began < 10  # linear: a fraction of a second
+
+
 def test_each_disguise_of_an_address_alone_and_with_others():
     for at in ("@", " at ", " (at) ", "[at]"):
         for dots in [(a, b) for a in (".", " dot ", " [dot] ", "(.)") for b in (".", " dot ", " [dot] ", "(.)")]:
