@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dissona.functions.ids import mined_pair_id
 from dissona.functions.terms import canonical_term, comparable_definition, is_definitional, organisation_key
+from dissona.functions.text import col, strip
 
 
 def definitions(assertions: DataFrame) -> DataFrame:
@@ -54,14 +55,6 @@ def pass_counts(found: DataFrame) -> DataFrame:
     return found.agg(F.count_if(v.isNotNull() & ~short).alias("n_judged"), F.count_if(v == "definition_divergent").alias("n_divergent"), F.count_if(short).alias("n_short_circuited"), F.count_if(F.col("suppressed")).alias("n_suppressed"))
 
 
-def candidate_lines(mined: DataFrame, defs: DataFrame) -> DataFrame:
-    """One JSON line for each mined pair, its label empty: pair_id, category, term, both texts."""
-    text = defs.select("assertion_id", "assertion_text")
-    x = mined.join(text.toDF("a_id", "def_a"), "a_id").join(text.toDF("b_id", "def_b"), "b_id")
-    category = F.when(F.col("same_text"), "identical").otherwise("review")
-    return x.select(F.to_json(F.struct(mined_pair_id(F.col("term_key"), F.col("a_id").cast("string"), F.col("b_id").cast("string")).alias("pair_id"), category.alias("category"), F.col("term_key").alias("term"), "def_a", "def_b", F.lit("").alias("label"))).alias("value"))
-
-
 def definition_pair_counts(defs: DataFrame, *, across_organisations: bool = True) -> DataFrame:
     """n_pairs, n_suppressed, n_short_circuited, n_to_judge without making a pair: from counts by term, organisation and text."""
     x = defs.filter("term_key <> ''").select("term_key", "org_key", comparable_definition("assertion_text").alias("norm"))
@@ -81,11 +74,50 @@ def definition_pair_counts(defs: DataFrame, *, across_organisations: bool = True
     return one.select((F.col("t") - hide * F.col("tx")).alias("n_pairs"), (hide * F.col("tx")).alias("n_suppressed"), (F.col("s") - hide * F.col("sx")).alias("n_short_circuited"), (F.col("t") - hide * F.col("tx") - F.col("s") + hide * F.col("sx")).alias("n_to_judge"))
 
 
-CROSS_REFERENCE = r"(?i)(?:has|have|having)\s+the\s+meaning|as\s+defined\s+in|set\s+forth\s+in"
+# How a definition text begins that only points elsewhere.
+CROSS_REFERENCE = (
+    r"^\s*(?:has|have|having|shall\s+have)\s+the\s+meanings?\s+(?:set\s+forth|given|assigned|specified|ascribed|attributed|provided|referred)",
+    r"^\s*the\s+meanings?\s+(?:set\s+forth|given|assigned|specified|ascribed|attributed|provided)",
+    r"^\s*as\s+(?:defined|set\s+forth)\b",
+)
+
+
+def is_cross_reference(x: Column | str) -> Column:
+    """The definition only points elsewhere. False for a missing text."""
+    return F.coalesce(F.regexp(col(x), F.lit("(?iuU)" + "|".join(CROSS_REFERENCE))), F.lit(False))
+
 
+def _first_rows(rows: DataFrame, cap: int) -> DataFrame:
+    """Enough of each term's definitions for the first cap pairs in the order of mined_pairs, however many share a term, document or text.
 
-def mined_pairs(pairs: DataFrame, defs: DataFrame, cap: int) -> DataFrame:
-    """Pairs to label: no cross-references, those across documents first, to be judged before identical ones, then by term and ids."""
-    clean = defs.filter(~F.col("assertion_text").rlike(CROSS_REFERENCE)).select("assertion_id", "doc_id")
-    a, b = clean.select(F.col("assertion_id").alias("a_id"), F.col("doc_id").alias("a_doc")), clean.select(F.col("assertion_id").alias("b_id"), F.col("doc_id").alias("b_doc"))
-    return pairs.join(a, "a_id").join(b, "b_id").withColumn("cross_doc", F.col("a_doc") != F.col("b_doc")).orderBy(F.desc("cross_doc"), "same_text", "term_key", "a_id", "b_id").limit(cap)
+    With n = cap + 1 these are, each by id among those that the step before left: n of a term, document and text, 2n of a term and
+    text, 2n of a term and document, 5n of a term. A row beyond n has n pairs of its own kind before each of its own. Of a row's 2n
+    predecessors in a text (or document) n at most share its partner's document (or text), so n pairs of its kind or a better one
+    come first; of 5n in a term, 2n at most share the partner's text and 2n its document.
+    """
+    n = cap + 1
+    for keys, most in ((["term_key", "doc_id", "body"], n), (["term_key", "body"], 2 * n), (["term_key", "doc_id"], 2 * n), (["term_key"], 5 * n)):
+        rows = rows.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy("assertion_id"))).filter(F.col("__r") <= most).drop("__r")
+    return rows
+
+
+def mined_pairs(assertions: DataFrame, cap: int) -> DataFrame:
+    """Pairs of definitions to label: a_id, b_id, term_key, category, term (of the lesser id), def_a, def_b, doc_a, doc_b.
+
+    assertions have definition_text; those whose text is missing, blank or a cross-reference are left out. The first cap pairs: those
+    across documents before others, texts that differ (review) before equal ones (identical), then by term and ids.
+    """
+    whole = assertions.filter((F.col("kind") == "definition") & is_definitional("term", "assertion_text") & ~is_cross_reference(strip("definition_text")))
+    rows = whole.select("assertion_id", "doc_id", "term", canonical_term("term").alias("term_key"), strip("definition_text").alias("body")).filter("term_key <> '' and body <> ''")
+    x = _first_rows(rows, cap)
+    side = lambda p: x.select("term_key", F.col("assertion_id").alias(f"{p}_id"), F.col("doc_id").alias(f"doc_{p}"), F.col("body").alias(f"def_{p}"), F.col("term").alias(f"term_{p}"))
+    category = F.when(F.col("def_a") == F.col("def_b"), "identical").otherwise("review")
+    pairs = side("a").join(side("b").drop("term_b"), "term_key").filter("a_id < b_id").withColumn("category", category)
+    order = [F.col("doc_a") == F.col("doc_b"), F.col("category") == "identical", "term_key", "a_id", "b_id"]
+    return pairs.orderBy(*order).limit(cap).select("a_id", "b_id", "term_key", "category", F.col("term_a").alias("term"), "def_a", "def_b", "doc_a", "doc_b")
+
+
+def candidate_lines(mined: DataFrame) -> DataFrame:
+    """One JSON line for each mined pair, its label empty."""
+    name = mined_pair_id(F.col("term_key"), F.col("a_id").cast("string"), F.col("b_id").cast("string"))
+    return mined.select(F.to_json(F.struct(name.alias("pair_id"), "category", "term", "def_a", "def_b", F.col("doc_a").cast("string").alias("doc_a"), F.col("doc_b").cast("string").alias("doc_b"), F.lit("").alias("label"))).alias("value"))

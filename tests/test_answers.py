@@ -1,6 +1,7 @@
 """Structured answers, models as plug-ins, settings."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -155,10 +156,37 @@ def test_lines_are_replaced_at_once(spark, tmp_path):
 def test_candidate_lines(spark):
     from dissona.operators import definitions
 
-    d = spark.createDataFrame([("a", 1, "t", "", "A"), ("b", 2, "t", "", "B")], "assertion_id string, doc_id long, term_key string, org_key string, assertion_text string")
-    lines = definitions.candidate_lines(definitions.mined_pairs(definitions.definition_pairs(d), d, 5), d).collect()
+    d = spark.createDataFrame([("a", 1, "The Terms", '"The Terms" means A', "definition", " A"), ("b", 2, "term", '"term" means B', "definition", "B "), ("c", 3, "term", '"term" means B', "definition", None), ("d", 4, "term", '"term" has B', "definition", "B"), ("e", 5, "term", '"term" means B', "claim", "B")], "assertion_id string, doc_id long, term string, assertion_text string, kind string, definition_text string")
+    lines = definitions.candidate_lines(definitions.mined_pairs(d, 5)).collect()
     got = json.loads(lines[0]["value"])
-    assert got.pop("pair_id").startswith("t_") and got == {"category": "review", "term": "t", "def_a": "A", "def_b": "B", "label": ""}
+    assert len(lines) == 1 and got.pop("pair_id").startswith("term_") and got == {"category": "review", "term": "The Terms", "def_a": "A", "def_b": "B", "doc_a": "1", "doc_b": "2", "label": ""}
+
+
+@pytest.mark.parametrize(("text", "points"), [
+    ("has the meaning assigned in Section 3", True), ("Shall  have the meanings\nset forth herein", True), ("having the meaning referred to", True), ("the meaning given", True), ("as set  forth in A", True), ("As defined", True), ("", False), (None, False),
+    ("the amounts set forth in Schedule A", False), ("has the meaning intended", False), ("the meaning referred to", False), ("as definedly", False), ("it has the meaning assigned in Section 3", False),
+])
+def test_cross_references(spark, text, points):
+    from dissona.operators import definitions
+
+    assert spark.createDataFrame([(text,)], "t string").select(definitions.is_cross_reference("t")).first()[0] == points
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_mined_pairs_against_all_pairs(spark, seed):
+    """Few and many texts and documents, hot ones among them: the first pairs are those of the whole list."""
+    from dissona.operators import definitions
+
+    rng = random.Random(seed)
+    hot = lambda n: 0 if rng.random() < 0.6 else rng.randrange(n)
+    texts, docs = rng.choice([(1, 1), (1, 50), (50, 1), (4, 4), (60, 60)])
+    rows = [(f"{i:03}", f"d{hot(docs)}", f"term{hot(3)}", f"text {hot(texts)}") for i in range(120)]
+    df = spark.createDataFrame([(i, d, t, f'"{t}" means', "definition", x) for i, d, t, x in rows], "assertion_id string, doc_id string, term string, assertion_text string, kind string, definition_text string")
+    pairs = sorted((a[1] == b[1], a[3] == b[3], a[2], a[0], b[0]) for i, a in enumerate(rows) for b in rows[i + 1 :] if a[2] == b[2])
+    for cap in (1, 3, 10):
+        got = [(r.doc_a == r.doc_b, r.category == "identical", r.term, r.a_id, r.b_id) for r in definitions.mined_pairs(df, cap).collect()]
+        assert got == pairs[:cap]
+        assert definitions._first_rows(df.select("assertion_id", "doc_id", F.col("term").alias("term_key"), F.col("definition_text").alias("body")), cap).count() <= 15 * (cap + 1)
 
 
 def test_comparison_markdown(spark, tmp_path):
