@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from dissona.runtime import durable, ship
+from dissona.runtime import durable, remove, shared_dir, ship
 
-MATRIX_BYTES, BLOCK_ROWS, PIVOTS = 128 << 20, 4096, 2048
+#: Bytes of a matrix that goes along with the code, of a block of similarities, of a block of vectors in a file, and of the rows a task holds against them.
+MATRIX_BYTES, SIMS_BYTES, BLOCK_BYTES, HELD_BYTES, PIVOTS = 16 << 20, 16 << 20, 8 << 20, 16 << 20, 1024
+_NEAR, _NAMES = "src long, dst long, score double", ["src", "dst", "score"]
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -20,109 +26,140 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(n == 0, 1, n)
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, width)
+def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    flat = pa.chunked_array([c.flatten() for c in column.chunks], column.type.value_type) if isinstance(column, pa.ChunkedArray) else column.flatten()
+    return np.asarray(flat.to_numpy(zero_copy_only=False) if isinstance(flat, pa.Array) else flat.to_numpy(), np.float64).reshape(-1, width)
 
 
-def nearest(ids: np.ndarray, rows: np.ndarray, all_ids: np.ndarray, all_rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """source, target, similarity (nine decimals) of the n most similar targets of each row, the lesser id first among equals."""
-    sims = np.round(rows @ all_rows.T, 9)
-    n = min(n, len(all_ids))
-    if n < len(all_ids):
-        edge = -np.partition(-sims, n - 1, axis=1)[:, n - 1 : n]
-        source, target = np.nonzero(sims >= edge)
-    else:
-        source, target = np.nonzero(np.ones_like(sims, bool))
-    value = sims[source, target]
-    order = np.lexsort([all_ids[target], -value, source])
-    source, target, value = source[order], target[order], value[order]
-    first = np.searchsorted(source, np.arange(len(ids)))
-    keep = np.arange(len(source)) - first[source] < n
-    return ids[source[keep]], all_ids[target[keep]], value[keep]
+def _first(source: np.ndarray, target_ids: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n entries of each source that come first: more similar, then the lesser id; by source."""
+    order = np.lexsort([target_ids, -value, source])
+    s = source[order]
+    begin = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.empty(0, np.int64)
+    within = np.arange(len(s)) - np.repeat(begin, np.diff(np.append(begin, len(s))))
+    return order[within < n]
 
 
-def top_neighbours(vectors: DataFrame, k: int, *, id_column: str = "id", vector_column: str = "embedding", least: float | None = None, matrix_bytes: int = MATRIX_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def nearest(rows: np.ndarray, all_ids: np.ndarray, all_rows: np.ndarray, n: int, sims_bytes: int = SIMS_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row number, target id, similarity (nine decimals) of the n most similar targets of each row, the lesser id first among equals.
+
+    Similarities are laid out in blocks of sims_bytes, however many targets there are.
+    """
+    parts, step = [], max(1, sims_bytes // (8 * max(1, len(all_ids))))
+    for at in range(0, len(rows), step):
+        sims = rows[at : at + step] @ all_rows.T
+        np.round(sims, 9, out=sims)
+        if n < len(all_ids):
+            edge = np.partition(sims, len(all_ids) - n, axis=1)[:, [len(all_ids) - n]]
+            source, target = np.nonzero(sims >= edge)
+        else:
+            source, target = (x.ravel() for x in np.indices(sims.shape))
+        value = sims[source, target]
+        keep = _first(source, all_ids[target], value, n)
+        parts.append((source[keep] + at, all_ids[target[keep]], value[keep]))
+    if not parts:
+        return np.empty(0, np.int64), all_ids[:0], np.empty(0)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def top_neighbours(vectors: DataFrame, k: int, *, id_column: str = "id", vector_column: str = "embedding", least: float | None = None, matrix_bytes: int = MATRIX_BYTES, block_bytes: int = BLOCK_BYTES, held_bytes: int = HELD_BYTES) -> DataFrame:
     """src, dst, score: for each vector its k + 1 nearest by cosine over all vectors, itself among them. Ids are longs; null vectors are left out.
 
     With `least`, pairs less similar may be left out, as they come after all others. The whole matrix goes to the executors if it is
-    counted to fit in matrix_bytes; otherwise see `_by_pivots`.
+    counted to fit in matrix_bytes; otherwise see `_streamed`.
     """
     spark = vectors.sparkSession
     ship(spark)
-    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v")).filter("id is not null and v is not null")
+    kind = "array<float>" if vectors.schema[vector_column].dataType == T.ArrayType(T.FloatType()) else "array<double>"
+    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast(kind).alias("v")).filter("id is not null and v is not null")
     n, width = rows.agg(F.count("*"), F.max(F.size("v"))).first()
-    schema, names = "src long, dst long, score double", ["src", "dst", "score"]
     if not n:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], _NEAR)
     if n * width * 8 > matrix_bytes:
-        return _by_pivots(rows, k, n, width, least, block_rows)
-    found = rows.toArrow().combine_chunks()
-    all_ids, whole = found.column(0).to_numpy(), _unit(_matrix(found.column(1).combine_chunks(), width))
+        return _streamed(rows, k, n, width, kind, least, block_bytes, held_bytes)
+    found = rows.toArrow()
+    all_ids, whole = found.column(0).to_numpy(), _unit(_matrix(found.column(1), width))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in nearest(part.column(0).to_numpy(), _unit(_matrix(part.column(1), width)), all_ids, whole, k + 1)], names)
+            source, target, value = nearest(_unit(_matrix(b.column(1), width)), all_ids, whole, k + 1)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(source)), pa.array(target), pa.array(value)], _NAMES)
 
-    return rows.repartition(spark.sparkContext.defaultParallelism).mapInArrow(scan, schema)
+    return rows.repartition(spark.sparkContext.defaultParallelism).mapInArrow(scan, _NEAR)
 
 
-def _by_pivots(rows: DataFrame, k: int, n: int, width: int, least: float | None, block_rows: int) -> DataFrame:
-    """top_neighbours in blocks, exactly.
+def _streamed(rows: DataFrame, k: int, n: int, width: int, kind: str, least: float | None, block_bytes: int, held_bytes: int) -> DataFrame:
+    """top_neighbours over vectors that are kept once, as files of blocks in the shared folder, exactly.
 
-    A sample of the vectors, bounded by PIVOTS, are pivots. Every vector belongs to its nearest pivot; a pivot's radius is the
-    greatest angle of its vectors to it. A vector asks only the pivots whose vectors can be as near as `least` by the triangle
-    inequality of angles (all of them without a positive `least`). Where a pivot has more than block_rows vectors or askers, they
-    are cut into blocks of that size by hash, and each block of askers meets each block of vectors in a group of its own: no group
-    grows with the data. The best of each group meet in a rank by source, of which Spark keeps k + 1 before the shuffle.
+    A sample of the vectors, bounded by PIVOTS, are pivots. Vectors are dealt out once, by their nearest pivot, so a file holds vectors
+    that point the same way; a small table says which pivots' vectors a file has and how far they are from theirs. A task holds
+    held_bytes of rows and reads the files one by one, keeping the best k + 1 of each row so far. With a positive `least` a row
+    passes over the files in which nothing can be as near by the triangle inequality of angles. No vector is sent to more than one
+    task by a shuffle, and nothing in a task grows with the data but the table of files, a row for block_bytes of vectors.
     """
+    spark = rows.sparkSession
     pruned = least is not None and least > 0
-    reach = np.arccos(np.clip(least - 1e-9, -1, 1)) + 1e-7 if pruned else np.inf
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, -(-n // block_rows))).toArrow().combine_chunks()
-    pivots = _unit(_matrix(sample.column(1).combine_chunks(), width))
-
-    def angles(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        """Vectors that may have neighbours, and their angles to all pivots."""
-        m = _unit(_matrix(batch.column(1), width))
-        there = m.any(1) if pruned else np.ones(len(m), bool)  # a zero vector is as near as 0 to all
-        return there, np.arccos(np.clip(m @ pivots.T, -1, 1))
+    reach = float(np.arccos(np.clip(least - 1e-9, -1, 1))) + 1e-7 if pruned else np.inf
+    per_file = max(1, block_bytes // (8 * width))
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, -(-n // per_file))).toArrow()
+    pivots = _unit(_matrix(sample.column(1), width))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The nearest pivot and the angle to it. With a positive `least`, zero vectors have no neighbours."""
         for b in batches:
-            there, a = angles(b)
-            b, a = b.filter(pa.array(there)), a[there]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(a.argmin(1), pa.int32()), pa.array(a.min(1) if len(a) else [], pa.float64())], ["id", "v", "q", "angle"])
-
-    own = durable(rows.mapInArrow(assign, "id long, v array<double>, q int, angle double"))
-    radius, size = np.full(len(pivots), -np.inf), np.zeros(len(pivots), np.int64)
-    for r in own.groupBy("q").agg(F.max("angle").alias("r"), F.count("*").alias("n")).collect():  # a row for each pivot
-        radius[r["q"]], size[r["q"]] = r["r"], r["n"]
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m = _unit(_matrix(b.column(1), width))
+            if pruned:
+                there = m.any(1)
+                b, m = b.filter(pa.array(there)), m[there]
+            a = np.arccos(np.clip(m @ pivots.T, -1, 1))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(a.argmin(1) if len(a) else [], pa.int32()), pa.array(a.min(1) if len(a) else [], pa.float64())], ["id", "v", "q", "angle"])
+
+    folder = f"{shared_dir(spark).rstrip('/')}/vectors-{uuid.uuid4().hex}"
+    spread = max(spark.sparkContext.defaultParallelism, -(-n // per_file))
+    placed = rows.mapInArrow(assign, f"id long, v {kind}, q int, angle double")
+    placed.repartitionByRange(spread, "q", F.xxhash64("id")).sortWithinPartitions("q", "angle").write.option("maxRecordsPerFile", per_file).parquet(folder)
+    stored = spark.read.schema(f"id long, v {kind}, q int, angle double").parquet(folder)
+    files: dict[str, list[tuple[int, float]]] = {}
+    for r in stored.groupBy(F.col("_metadata.file_name").alias("f"), "q").agg(F.max("angle").alias("r")).collect():  # a row for each file, and for each pivot
+        files.setdefault(r["f"], []).append((r["q"], r["r"]))
+    listed = [(f, np.array([q for q, _ in own]), np.array([r for _, r in own])) for f, own in sorted(files.items())]
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids and vectors of held_bytes of rows at a time."""
+        ids, parts, size = [], [], 0
         for b in batches:
-            _, a = angles(b)
-            at, q = np.nonzero((a <= radius + reach) & (size > 0))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(q, pa.int32())], ["id", "v", "q"])
-
-    asking = own.select("id", "v").mapInArrow(ask, "id long, v array<double>, q int")
-    askers = {r["q"]: r["n"] for r in asking.groupBy("q").agg(F.count("*").alias("n")).collect()}
-    cuts = rows.sparkSession.createDataFrame([(q, int(-(-size[q] // block_rows)), int(-(-m // block_rows))) for q, m in askers.items()], "q int, own int, asked int")
-    block = lambda m: F.pmod(F.xxhash64("id"), F.col(m)).cast("int")
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
-    left = asking.join(F.broadcast(cuts), "q").select("id", "v", "q", block("asked").alias("s"), every("own").alias("t"), F.lit(True).alias("asks"))
-    right = own.join(F.broadcast(cuts), "q").select("id", "v", "q", every("asked").alias("s"), block("own").alias("t"), F.lit(False).alias("asks"))
-    names, kinds = ["src", "dst", "score"], [pa.int64(), pa.int64(), pa.float64()]
-
-    def meet(group: pa.Table) -> pa.Table:
-        asks = group.column("asks").to_numpy()
-        ids, m = group.column("id").to_numpy(), _unit(_matrix(group.column("v").combine_chunks(), width))
-        found = nearest(ids[asks], m[asks], ids[~asks], m[~asks], k + 1) if asks.any() and not asks.all() else [[], [], []]
-        return pa.table(dict(zip(names, (pa.array(x, t) for x, t in zip(found, kinds, strict=True)), strict=True)))
-
-    best = left.unionByName(right).groupBy("q", "s", "t").applyInArrow(meet, "src long, dst long, score double")
-    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), "dst"))
-    return best.withColumn("rank", rank).filter(F.col("rank") <= k + 1).drop("rank")
+            ids.append(b.column(0).to_numpy())
+            parts.append(_unit(_matrix(b.column(1), width)))
+            size += parts[-1].nbytes
+            if size >= held_bytes:
+                yield np.concatenate(ids), np.concatenate(parts)
+                ids, parts, size = [], [], 0
+        if size:
+            yield np.concatenate(ids), np.concatenate(parts)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(folder)
+        for ids, m in held(batches):
+            far = np.arccos(np.clip(m @ pivots.T, -1, 1)) if pruned else None
+            source, target, value = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+            for name, q, radius in listed:
+                at = np.flatnonzero((far[:, q] <= radius + reach).any(1)) if pruned else np.arange(len(m))
+                if not len(at):
+                    continue
+                with store.open_input_file(f"{base}/{name}") as f:
+                    block = pq.read_table(f, columns=["id", "v"])
+                s, t, v = nearest(m[at], block.column(0).to_numpy(), _unit(_matrix(block.column(1), width)), k + 1)
+                if pruned:
+                    near = v >= least
+                    s, t, v = s[near], t[near], v[near]
+                source, target, value = (np.concatenate(x) for x in ((source, at[s]), (target, t), (value, v)))
+                keep = _first(source, target, value, k + 1)
+                source, target, value = source[keep], target[keep], value[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[source]), pa.array(target), pa.array(value)], _NAMES)
+
+    out = durable(stored.select("id", "v").mapInArrow(scan, _NEAR))
+    remove(spark, folder)
+    return out
 
 
 def ann_gate(vectors: DataFrame, *, k: int = 20, threshold: float = 0.7, id_column: str = "id", doc_column: str = "doc_id", vector_column: str = "embedding") -> DataFrame:

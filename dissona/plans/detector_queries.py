@@ -54,7 +54,7 @@ SELECT substr(sha256('{RUN}' || a_id || b_id || c_id), 1, 16) finding_id, 'multi
 def triangle_detector(spark: SparkSession, sf: str) -> DataFrame:
     """Triangles of the weak gate, the best 100, and a judge that finds the first two texts in conflict."""
     weak = _edges(spark, sf, WEAK)
-    found = triangles.top_triangles(triangles.triangles(weak, _vectors(spark, sf)), 100)
+    found = triangles.best_triangles(weak, _vectors(spark, sf), 100)
     texts = table(spark, sf, "embeddings").select(F.col("vec_id").alias("assertion_id"), F.concat(F.lit("item "), "vec_id").alias("assertion_text"))
     judge = plugins.FixtureMultiJudge(("multi_party_contradiction", "They differ.", [], ["A", "B"]))
     out = pipeline.judged_triangles(found, texts, RUN, judge)

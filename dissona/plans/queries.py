@@ -151,15 +151,14 @@ _TRI_SQL = """tri AS (SELECT ab.a_id, ab.b_id, bc.b_id c_id, least(ab.score, ac.
 
 @query(f"WITH {_edges_sql(WEAK)}, {_TRI_SQL.format('edges')} SELECT a_id, b_id, c_id, round(min_edge, 6) min_edge FROM tri ORDER BY tri.min_edge DESC, a_id, b_id, c_id LIMIT 100")
 def triangles_topn(spark: SparkSession, sf: str) -> DataFrame:
-    found = triangles.triangles(_edges(spark, sf, WEAK), _vectors(spark, sf))
-    return triangles.top_triangles(found, 100).select("a_id", "b_id", "c_id", F.round("min_edge", 6).alias("min_edge"))
+    return triangles.best_triangles(_edges(spark, sf, WEAK), _vectors(spark, sf), 100).select("a_id", "b_id", "c_id", F.round("min_edge", 6).alias("min_edge"))
 
 
 @query(f"""WITH {_edges_sql(WEAK)}, strong AS (SELECT * FROM edges WHERE score >= {STRONG}), {_TRI_SQL.format('edges')}, top AS (SELECT * FROM tri ORDER BY min_edge DESC, a_id, b_id, c_id LIMIT 100)
 SELECT a_id, b_id, c_id, n_strong FROM (SELECT t.*, (SELECT count(*) FROM strong s WHERE (s.a_id = t.a_id AND s.b_id = t.b_id) OR (s.a_id = t.a_id AND s.b_id = t.c_id) OR (s.a_id = t.b_id AND s.b_id = t.c_id))::INT n_strong FROM top t) WHERE n_strong >= 2""")
 def triangles_strong2(spark: SparkSession, sf: str) -> DataFrame:
     strong, weak = _edges(spark, sf), _edges(spark, sf, WEAK)
-    found = triangles.top_triangles(triangles.triangles(triangles.union_edges(strong, weak), _vectors(spark, sf)), 100)
+    found = triangles.best_triangles(triangles.union_edges(strong, weak), _vectors(spark, sf), 100)
     return triangles.with_strong_edges(found, strong).select("a_id", "b_id", "c_id", "n_strong")
 
 

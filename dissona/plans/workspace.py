@@ -360,8 +360,8 @@ class Workspace:
                 self.count(run, n_pairs_gated=gated)
                 made.append(pipeline.pairwise_pass(strong, members, run_id=run, checker=checker or plugins.FixtureNli({}), judge=judge, threshold=config.nli_contradiction_threshold))
                 if config.deep:
-                    weak = self._pairs(own, config, 0.5, 50)
-                    found = triangles.top_triangles(triangles.triangles(triangles.union_edges(strong, weak), members, id_column="assertion_id"), config.max_triangles_per_run)
+                    weak = self._pairs(own, config, config.triangle_weak_threshold, config.triangle_weak_top_k)
+                    found = triangles.best_triangles(triangles.union_edges(strong, weak), members, config.max_triangles_per_run, id_column="assertion_id")
                     found = triangles.with_strong_edges(found, strong)
                     self.append("multi_party_findings", pipeline.triangle_findings(found, run) if multi_judge is None else pipeline.judged_triangles(found, members, run, multi_judge), "finding_id")
             found = made[0]

@@ -180,6 +180,8 @@ class Config:
     gate_top_k: int = 20
     gate_similarity_threshold: float = 0.7
     nli_contradiction_threshold: float = 0.5
+    triangle_weak_top_k: int = 50
+    triangle_weak_threshold: float = 0.5
     max_triangles_per_run: int = 1000
     junk_filter_enabled: bool = True
     pairwise_enabled: bool = False

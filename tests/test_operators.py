@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ def test_gate_against_brute_force(spark, whole):
     m[7], m[9] = m[8], 0
     docs = (np.arange(60) // 3).tolist()
     df = spark.createDataFrame([(i, docs[i], [float(x) for x in m[i]]) for i in range(60)], "id long, doc_id int, embedding array<float>")
-    near = gate.top_neighbours(df, 5, **({} if whole else {"matrix_bytes": 0, "block_rows": 16}))
+    near = gate.top_neighbours(df, 5, **({} if whole else {"matrix_bytes": 0, "block_bytes": 1 << 10, "held_bytes": 1 << 11}))
     pairs = near.filter("src <> dst and score >= 0.2")
     n = np.sqrt((m.astype(np.float32).astype(float) ** 2).sum(1))
     u = m.astype(np.float32).astype(float) / np.where(n == 0, 1, n)[:, None]
@@ -51,6 +53,36 @@ def test_four_clique_has_four_triangles(spark):
     assert [r[:3] for r in rows(triangles.with_strong_edges(found, strong))] == [(0, 1, 2)]
 
 
+@pytest.mark.parametrize("text_ids", [False, True])
+def test_triangles_against_brute_force(spark, text_ids):
+    """Scores with ties, documents, ids of either type; the best are the first of all, from whatever shares."""
+    rng = np.random.default_rng(5)
+    name = (lambda i: f"n{i:02}") if text_ids else int
+    kind = "string" if text_ids else "long"
+    score = {(a, b): round(float(rng.random()), 1) for a in range(30) for b in range(a + 1, 30) if a == 0 or rng.random() < 0.4}
+    doc = {i: int(rng.integers(0, 3)) for i in range(30)}
+    edges = spark.createDataFrame([(name(b), name(a), s) if rng.random() < 0.5 else (name(a), name(b), s) for (a, b), s in score.items()], f"a_id {kind}, b_id {kind}, score double")
+    docs = spark.createDataFrame([(name(i), d) for i, d in doc.items()], f"id {kind}, doc_id int")
+    want = [(name(a), name(b), name(c), score[a, b], score[a, c], score[b, c], min(score[a, b], score[a, c], score[b, c])) for a in range(30) for b in range(a + 1, 30) for c in range(b + 1, 30) if {(a, b), (a, c), (b, c)} <= set(score) and len({doc[a], doc[b], doc[c]}) > 1]
+    assert rows(triangles.triangles(edges, docs)) == sorted(want)
+    ranked = sorted(want, key=lambda r: (-r[6], *r[:3]))
+    for cap in (0, 1, 7, 100, 10**6):
+        for shares in ((), (0.05, 0.3), (0.5,)):
+            assert [tuple(r) for r in triangles.best_triangles(edges, docs, cap, shares=shares).collect()] == ranked[:cap]
+    assert triangles.best_triangles(edges.limit(0), docs, 5).count() == 0
+    with pytest.raises(ValueError):
+        triangles.best_triangles(edges, docs, -1)
+
+
+def test_a_hub_makes_few_wedges(spark):
+    """A star of 20,000 leaves whose centre has the least id, and one triangle at it."""
+    edges = spark.range(1, 20_001).select(F.lit(0).cast("long").alias("a_id"), F.col("id").alias("b_id"), F.lit(0.5).alias("score")).unionByName(spark.createDataFrame([(1, 2, 0.9)], "a_id long, b_id long, score double"))
+    out = triangles._directed(triangles.canonical_edges(edges))
+    assert out.groupBy("x").count().agg(F.max("count")).first()[0] <= 2
+    docs = spark.range(0, 20_001).select("id", F.col("id").alias("doc_id"))
+    assert [tuple(r)[:3] for r in triangles.triangles(edges, docs).collect()] == [(0, 1, 2)]
+
+
 def test_definition_pairs_and_counts(spark):
     a = spark.createDataFrame(
         [("1", "d1", "Loan", '"Loan" means x.', "definition"), ("2", "d2", "the Loans", '"the Loans" means x', "definition"), ("3", "d3", "Loan", '"Loan" shall mean y', "definition"), ("4", "d4", "Loan", "repay the Loan", "definition"), ("5", "d4", "Loan", '"Loan" means z', "claim"), ("6", "d4", "Loan", '"LOAN" MEANS X', "definition")],
@@ -194,7 +226,7 @@ def test_cost_guard(spark):
 
 
 @pytest.mark.parametrize("least", [None, 0.8])
-def test_neighbours_by_pivots(spark, least):
+def test_neighbours_from_streamed_blocks(spark, least):
     """Small blocks and a hot direction, against the whole matrix."""
     import numpy as np
 
@@ -205,9 +237,42 @@ def test_neighbours_by_pivots(spark, least):
     k = 200  # more than there are, so that ties at the edge don't matter
     key = lambda d: sorted((r["src"], r["dst"], round(r["score"], 6)) for r in d.collect() if r["score"] >= (least if least is not None else -2))
     whole = key(gate.top_neighbours(df, k, least=least))
-    assert key(gate.top_neighbours(df, k, least=least, matrix_bytes=0, block_rows=16)) == whole and len(whole) > 3000
-    few = gate.top_neighbours(df, 3, least=least, matrix_bytes=0, block_rows=16).groupBy("src").count().agg(F.max("count")).first()[0]
+    assert key(gate.top_neighbours(df, k, least=least, matrix_bytes=0, block_bytes=1 << 10, held_bytes=1 << 11)) == whole and len(whole) > 3000
+    few = gate.top_neighbours(df, 3, least=least, matrix_bytes=0, block_bytes=1 << 10, held_bytes=1 << 11).groupBy("src").count().agg(F.max("count")).first()[0]
     assert few == 4
+    assert not [p for p in os.listdir(spark.conf.get("spark.checkpoint.dir")) if p.startswith("vectors-")]
+
+
+def test_blocks_of_similarities_are_bounded():
+    """However many targets there are, a worker lays out SIMS_BYTES of them at a time."""
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    ids = np.arange(gate.MATRIX_BYTES // (8 * 16))
+    whole = gate._unit(rng.normal(size=(len(ids), 16)))
+    tracemalloc.start()
+    source, target, value = gate.nearest(whole[:512], ids, whole, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * gate.SIMS_BYTES and len(source) == 2048 and (target[::4] == np.arange(512)).all() and (value[::4] == 1).all()
+    exact = np.round(whole[:512] @ whole.T, 9)
+    assert (np.sort(exact, 1)[:, :-5:-1].ravel() == value).all()
+
+
+def test_far_blocks_change_nothing(spark):
+    """Two bundles of directions: with a threshold, rows of one pass over the files of the other, and find what they find without."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    v = np.concatenate([[1, 0, 0, 0] + 0.01 * rng.normal(size=(200, 4)), [0, 1, 0, 0] + 0.01 * rng.normal(size=(200, 4))])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, embedding array<float>")
+    got = gate.top_neighbours(df, 3, least=0.7, matrix_bytes=0, block_bytes=64 * 32)
+    assert got.filter("(src < 200) <> (dst < 200)").count() == 0 and got.count() == 1600
+    whole = gate.top_neighbours(df, 3, least=0.7)
+    key = lambda d: sorted((r["src"], round(r["score"], 6)) for r in d.collect())
+    assert key(got) == key(whole)
 
 
 def test_definition_classes(spark):
