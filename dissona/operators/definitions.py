@@ -30,21 +30,23 @@ def definition_pairs(defs: DataFrame, *, across_organisations: bool = True) -> D
     return a.join(b, "term_key").filter("a_id < b_id").select("a_id", "b_id", "term_key", hidden.alias("suppressed"), (F.col("a_norm") == F.col("b_norm")).alias("same_text"))
 
 
-def definition_classes(defs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def definition_classes(defs: DataFrame, *, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """What definition_pairs says, in size of the different definitions: a hot term's copies make no pairs.
 
     Members: assertion_id, class_id (definitions of one term, text and organisation). Pairs: class_a <= class_b of one term, n_pairs of
     assertions between them, cross_org (both organisations known and different), same_text. A class meets itself if it has two members.
+    With exact, texts are told apart to the letter, and pairs have text_a and text_b; same_text still goes by comparable texts.
     """
-    x = defs.filter("term_key <> ''").select("assertion_id", "term_key", "org_key", comparable_definition("assertion_text").alias("norm"))
-    x = x.withColumn("class_id", F.sha2(F.concat_ws("\u0001", "term_key", "org_key", "norm"), 256))
-    c = x.groupBy("class_id", "term_key", "org_key", "norm").agg(F.count("*").alias("n"))
-    side = lambda p: c.select("term_key", *(F.col(f).alias(f"{f}_{p}") for f in ("class_id", "org_key", "norm", "n")))
+    text = F.col("assertion_text") if exact else F.lit("")
+    x = defs.filter("term_key <> ''").select("assertion_id", "term_key", "org_key", comparable_definition("assertion_text").alias("norm"), text.alias("text"))
+    x = x.withColumn("class_id", F.sha2(F.concat_ws("\u0001", "term_key", "org_key", "norm", "text"), 256))
+    c = x.groupBy("class_id", "term_key", "org_key", "norm", "text").agg(F.count("*").alias("n"))
+    side = lambda p: c.select("term_key", *(F.col(f).alias(f"{f}_{p}") for f in ("class_id", "org_key", "norm", "text", "n")))
     both = side("a").join(side("b"), "term_key").filter("class_id_a <= class_id_b")
     itself = F.col("class_id_a") == F.col("class_id_b")
     n = F.when(itself, F.col("n_a") * (F.col("n_a") - 1) / 2).otherwise(F.col("n_a") * F.col("n_b")).cast("long")
     cross = (F.col("org_key_a") != "") & (F.col("org_key_b") != "") & (F.col("org_key_a") != F.col("org_key_b"))
-    pairs = both.select("term_key", F.col("class_id_a").alias("class_a"), F.col("class_id_b").alias("class_b"), n.alias("n_pairs"), cross.alias("cross_org"), (F.col("norm_a") == F.col("norm_b")).alias("same_text")).filter("n_pairs > 0")
+    pairs = both.select("term_key", F.col("class_id_a").alias("class_a"), F.col("class_id_b").alias("class_b"), n.alias("n_pairs"), cross.alias("cross_org"), (F.col("norm_a") == F.col("norm_b")).alias("same_text"), *(["text_a", "text_b"] if exact else [])).filter("n_pairs > 0")
     return x.select("assertion_id", "class_id"), pairs
 
 

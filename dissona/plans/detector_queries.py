@@ -2,28 +2,54 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dissona.functions import ids, responses, text
 from dissona.operators import audit, chunking, definitions, evaluation, store, triangles
-from dissona.runtime import table
+from dissona.runtime import remove, shared_dir, table
 
 from . import harness, pipeline, plugins
-from .queries import _DEFS_SQL, _FINDINGS_SQL, _FLIP, _REVIEWS_SQL, _SENT_SQL, _TRI_SQL, K, STRONG, WEAK, _defs, _edges, _edges_sql, _findings, _parts, _reviews, _runs, _sentences, _vectors, query
+from .queries import _DEFS_SQL, _FINDINGS_SQL, _PART_TEXT_SQL, _REVIEWS_SQL, _SENT_SQL, _TRI_SQL, K, STRONG, WEAK, _defs, _edges, _edges_sql, _findings, _parts, _reviews, _runs, _sentences, _vectors, query
 
 RUN = "run"
 
 
-@query(f"""WITH {_SENT_SQL}, all_pairs AS (SELECT CASE WHEN o_orderkey::VARCHAR < b_key::VARCHAR THEN o_orderkey::VARCHAR ELSE b_key::VARCHAR END a, CASE WHEN o_orderkey::VARCHAR < b_key::VARCHAR THEN b_key::VARCHAR ELSE o_orderkey::VARCHAR END b, CASE WHEN {_FLIP} THEN 'numeric_short_circuit' ELSE 'uncertain' END judge_verdict FROM pairs)
-SELECT substr(sha256('{RUN}' || a || b), 1, 16) finding_id, a assertion_a_id, b assertion_b_id, 'contradiction' nli_label, 0.9::DOUBLE p, judge_verdict FROM all_pairs""")
+def _doubt(premise: str, hypothesis: str) -> tuple[float, float, float]:
+    """A checker's answer that differs by pair and by direction."""
+    p = (31 * len(premise) + 17 * len(hypothesis)) % 100 / 100
+    return p, 0.6 * (1 - p), 0.4 * (1 - p)
+
+
+@query(f"""WITH {_SENT_SQL}, t AS (SELECT s.*, o_orderkey::VARCHAR id, length('The ' || lower(c_mktsegment) || ' revenue, ' || (CASE o_orderstatus WHEN 'F' THEN 'rose' WHEN 'O' THEN 'fell' ELSE 'was' END) || ' $' || floor(o_totalprice)::BIGINT::VARCHAR || ' million in ' || year(o.o_orderdate)::VARCHAR || '.') n FROM sent s JOIN orders o USING (o_orderkey) JOIN customer ON c_custkey = o.o_custkey),
+p AS (SELECT a.id a, b.id b, (31 * a.n + 17 * b.n) % 100 f, (31 * b.n + 17 * a.n) % 100 g, a.metric = b.metric AND a.scope = b.scope AND ((a.polarity = 'up' AND b.polarity = 'down') OR (a.polarity = 'down' AND b.polarity = 'up')) flip FROM t a JOIN t b ON a.o_custkey = b.o_custkey AND a.id < b.id)
+SELECT substr(sha256('{RUN}' || a || b), 1, 16) finding_id, a assertion_a_id, b assertion_b_id, 'contradiction' nli_label, greatest(f, g) / 100::DOUBLE p, CASE WHEN flip THEN 'numeric_short_circuit' WHEN a LIKE '%7' AND b LIKE '%1' THEN 'contradiction' ELSE 'uncertain' END judge_verdict FROM p WHERE greatest(f, g) >= 50""")
 def pairwise_detector(spark: SparkSession, sf: str) -> DataFrame:
-    """Sentences of one customer in pairs; a checker that sees contradictions, and a judge that can't tell."""
+    """Sentences of one customer in pairs; a checker whose answer depends on pair and direction, and a judge that sees the ids' last digits only."""
     x = _sentences(spark, sf).select(F.col("o_orderkey").cast("string").alias("assertion_id"), F.col("o_custkey").alias("g"), F.col("sentence").alias("assertion_text"))
     a, b = x.select("g", F.col("assertion_id").alias("a_id")), x.select("g", F.col("assertion_id").alias("b_id"))
     pairs = a.join(b, "g").filter("a_id < b_id").select("a_id", "b_id", F.lit(1.0).alias("score"))
-    found = pipeline.pairwise_pass(pairs, x, run_id=RUN, checker=plugins.FixtureNli({}, (0.9, 0.05, 0.05)), judge=plugins.FixtureJudge({}, ("uncertain", "", [])))
-    return found.select("finding_id", "assertion_a_id", "assertion_b_id", "nli_label", F.round("nli_p_contradiction", 6).alias("p"), "judge_verdict")
+    found = pipeline.pairwise_pass(pairs, x, run_id=RUN, checker=plugins.FunctionNli(_doubt), judge=plugins.FixtureJudge({}, ("uncertain", "", [])))
+    seen = F.when((F.col("judge_verdict") == "uncertain") & F.col("assertion_a_id").endswith("7") & F.col("assertion_b_id").endswith("1"), "contradiction").otherwise(F.col("judge_verdict"))
+    return found.select("finding_id", "assertion_a_id", "assertion_b_id", "nli_label", F.round("nli_p_contradiction", 6).alias("p"), seen.alias("judge_verdict"))
+
+
+def _returned(premise: str, hypothesis: str) -> tuple[float, float, float]:
+    return (0.9, 0.05, 0.05) if "came back" in premise and hypothesis.startswith("No item") else (0.1, 0.2, 0.7)
+
+
+@query(f"""SELECT substr(sha256('{RUN}' || 'a' || l_orderkey || 'b' || l_orderkey), 1, 16) finding_id, l_orderkey::BIGINT order_key, 0.9::DOUBLE p FROM lineitem GROUP BY l_orderkey HAVING bool_or(l_returnflag = 'R')""")
+def tail_contradictions(spark: SparkSession, sf: str) -> DataFrame:
+    """A sentence for each item of an order against one that says none came back; the checker reads 20 words, so most premises must be split."""
+    said = F.concat(F.lit("Item "), F.col("l_linenumber").cast("string"), F.when(F.col("l_returnflag") == "R", " of the order came back.").otherwise(" of the order stayed there."))
+    whole = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", said.alias("s")))).alias("s"))
+    a = whole.select(F.concat(F.lit("a"), "l_orderkey").alias("assertion_id"), F.array_join(F.col("s.s"), " ").alias("assertion_text"))
+    b = whole.select(F.concat(F.lit("b"), "l_orderkey").alias("assertion_id"), F.lit("No item was sent in again.").alias("assertion_text"))
+    pairs = whole.select(F.concat(F.lit("a"), "l_orderkey").alias("a_id"), F.concat(F.lit("b"), "l_orderkey").alias("b_id"), F.lit(1.0).alias("score"))
+    found = pipeline.pairwise_pass(pairs, a.unionByName(b), run_id=RUN, checker=plugins.FunctionNli(_returned, max_tokens=20), judge=plugins.FixtureJudge({}))
+    return found.select("finding_id", F.substring("assertion_a_id", 2, 20).cast("long").alias("order_key"), F.round("nli_p_contradiction", 6).alias("p"))
 
 
 def _definition_findings(spark: SparkSession, sf: str) -> DataFrame:
@@ -37,6 +63,30 @@ def definition_detector(spark: SparkSession, sf: str) -> DataFrame:
     return _definition_findings(spark, sf).select("finding_id", "judge_verdict", "suppressed")
 
 
+class _Stamp:
+    """A judge each of whose answers is one of its own."""
+
+    def judge(self, a: str, b: str, context: str | None) -> tuple[str, str, list[str]]:
+        return "definition_divergent", uuid.uuid4().hex, []
+
+
+@query(f"""WITH {_DEFS_SQL}, texts AS (SELECT DISTINCT p.term_key, least(x.t, y.t) a, greatest(x.t, y.t) b FROM pairs p JOIN (SELECT id, {_PART_TEXT_SQL} t FROM defs JOIN part ON p_partkey = id) x ON x.id = a_id JOIN (SELECT id, {_PART_TEXT_SQL} t FROM defs JOIN part ON p_partkey = id) y ON y.id = b_id WHERE NOT suppressed AND NOT same_text)
+SELECT (SELECT count(*) FROM pairs) n_pairs, (SELECT count(*) FROM texts) n_first, 0::BIGINT n_second, (SELECT count(*) FROM pairs WHERE NOT suppressed AND NOT same_text) n_judged""")
+def judge_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """How often a run asks the judge, and how often one more run with the same table of verdicts."""
+    a, d = _parts(spark, sf)
+    a = a.withColumn("assertion_id", F.lpad(F.col("assertion_id").cast("string"), 12, "0"))
+    folder = f"{shared_dir(spark).rstrip('/')}/verdicts-{uuid.uuid4().hex}"
+    try:
+        runs = [pipeline.durable(pipeline.definition_pass(a, d, run_id=RUN, judge=_Stamp(), scoped=True, verdicts=folder)) for _ in range(2)]
+    finally:
+        remove(spark, folder)
+    judged = [r.filter("judge_verdict = 'definition_divergent'").select(F.col("judge_rationale").alias("call")) for r in runs]
+    new = judged[1].join(judged[0].distinct(), "call", "left_anti").agg(F.countDistinct("call").alias("n_second"))
+    n = runs[0].agg(F.count("*").alias("n_pairs"), F.countDistinct(F.when(F.col("judge_verdict") == "definition_divergent", F.col("judge_rationale"))).alias("n_first"), F.count_if(F.col("judge_verdict") == "definition_divergent").alias("n_judged"))
+    return n.join(F.broadcast(new))  # a row each
+
+
 @query(f"WITH {_DEFS_SQL} SELECT count(*) FILTER (NOT suppressed AND NOT same_text) n_judged, count(*) FILTER (NOT suppressed AND NOT same_text) n_divergent, count(*) FILTER (NOT suppressed AND same_text) n_short_circuited, count(*) FILTER (suppressed) n_suppressed FROM pairs")
 def definition_pass_counts(spark: SparkSession, sf: str) -> DataFrame:
     return definitions.pass_counts(_definition_findings(spark, sf))

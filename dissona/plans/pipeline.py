@@ -9,12 +9,11 @@ from dissona.functions.ids import hash_id
 from dissona.functions.quantities import extract_quantities, numeric_context, short_circuit, sign_flips, value_disagreements
 from dissona.operators import definitions as defs
 from dissona.operators.audit import finding_id, suppressed_findings
-from dissona.operators.chunking import sentences
 from dissona.operators.evaluation import best_label, stronger_direction
 from dissona.operators.gate import ann_gate, within_corpus
-from dissona.runtime import durable
+from dissona.runtime import durable, exists
 
-from .plugins import Judge, MultiPartyJudge, NliChecker, multi_verdict, nli, verdict
+from .plugins import VERDICT_TYPE, Judge, MultiPartyJudge, NliChecker, multi_verdict, nli, verdict
 
 
 def candidate_rows(pairs: DataFrame, assertions: DataFrame) -> DataFrame:
@@ -58,26 +57,52 @@ def with_term(term: Column) -> Column:
     return F.when(term.isNotNull() & (term != ""), term).otherwise(F.raise_error(F.lit("definitions are judged on a term")))
 
 
-def definition_pass(assertions: DataFrame, documents: DataFrame, *, run_id: str, judge: Judge, scoped: bool = False) -> DataFrame:
-    """Findings of definition pairs: kept apart by organisation, equal in text, or judged."""
+VERDICTS = "key string, verdict string, rationale string, evidence_spans array<string>"
+
+
+def judged_once(questions: DataFrame, judge: Judge, folder: str | None = None) -> DataFrame:
+    """VERDICTS of questions (key, a_text, b_text, context): each key is asked for once, and not if the folder has it.
+
+    The folder, a Parquet table, keeps verdicts from run to run: new ones are written there before anything reads them. Without one
+    they are checkpointed.
+    """
+    spark = questions.sparkSession
+    asked = questions.groupBy("key").agg(F.first(F.struct("a_text", "b_text", "context")).alias("q")).select("key", "q.*")
+    have = spark.createDataFrame([], VERDICTS)
+    if folder is not None and exists(spark, folder):
+        have = spark.read.schema(VERDICTS).parquet(folder).dropDuplicates(["key"])
+        asked = asked.join(have, "key", "left_anti")
+    spread = asked.repartition(spark.sparkContext.defaultParallelism, "key")  # calls take long, whatever their texts' size
+    answers = spread.withColumn("v", verdict(spread, "a_text", "b_text", "context", judge)).select("key", "v.*")
+    answers = durable(answers)
+    if folder is not None:
+        answers.write.mode("append").parquet(folder)
+    return have.join(answers, "key", "left_anti").unionByName(answers)
+
+
+def definition_pass(assertions: DataFrame, documents: DataFrame, *, run_id: str, judge: Judge, scoped: bool = False, verdicts: str | None = None, judge_name: str = "") -> DataFrame:
+    """Findings of definition pairs: kept apart by organisation, equal in text, or judged.
+
+    The judge is asked once for each two different texts of a term, in their alphabetical order, not for each pair of definitions:
+    definitions of one term, organisation and text are a class, classes meet, and what is said of them goes to their members. With a
+    folder of verdicts, texts that judge_name has judged in an earlier run aren't asked for again.
+    """
     found = defs.with_organisation(defs.definitions(assertions), documents)
-    pairs = durable(defs.definition_pairs(found, across_organisations=not scoped))
-    live = candidate_rows(pairs.filter("not suppressed"), assertions).withColumn("context", with_term(F.col("term_key")))
-    same = live.filter("same_text").withColumn("v", F.struct(F.lit("definition_consistent_auto").alias("verdict"), F.lit("Definitions are equal but for case, spaces and marks at the ends.").alias("rationale"), F.array().cast("array<string>").alias("evidence_spans")))
-    rest = live.filter("not same_text")
-    judged = durable(rest.withColumn("v", verdict(rest, "a_text", "b_text", "context", judge)))
-    rows = same.unionByName(judged).select(F.lit(run_id).alias("run_id"), F.col("a_id").alias("assertion_a_id"), F.col("b_id").alias("assertion_b_id"), F.lit("definition_inconsistency").alias("detector_type"), F.col("v.verdict").alias("judge_verdict"), F.col("v.rationale").alias("judge_rationale"), F.col("v.evidence_spans").alias("evidence_spans"), F.lit(False).alias("suppressed"))
-    return rows.select(finding_id("definition_inconsistency").alias("finding_id"), "*").unionByName(suppressed_findings(pairs, run_id), allowMissingColumns=True)
-
-
-def nli_over_sentences(pairs: DataFrame, premise: str, hypothesis: str, checker: NliChecker, *, key: str, max_chars: int = 1500) -> DataFrame:
-    """key, p: the checker's answer; of a premise over its limit that of the sentence which contradicts most."""
-    x = pairs.select(key, F.col(premise).alias("whole"), F.col(hypothesis).alias("h"))
-    long = F.length("whole") > max_chars
-    spans = F.when(long, sentences(x, F.when(long, F.col("whole")))).otherwise(F.array(F.struct(F.lit(0).alias("s"), F.length("whole").alias("e"))))
-    parts = x.withColumn("w", F.explode(spans)).select(key, "h", F.trim(F.substring("whole", F.col("w.s") + 1, F.col("w.e") - F.col("w.s"))).alias("part"), "w.s")
-    scored = durable(parts.withColumn("p", nli(parts, "part", "h", checker)))
-    return scored.groupBy(key).agg(F.max_by("p", F.struct(F.col("p.p_contradiction"), -F.col("s"))).alias("p"))
+    members, classes = defs.definition_classes(found, exact=True)
+    members, classes = durable(members), durable(classes.withColumn("suppressed", F.lit(scoped) & F.col("cross_org")))
+    key = F.sha2(F.to_json(F.struct(F.lit(judge_name).alias("j"), "term_key", "text_a", "text_b")), 256)
+    texts = classes.withColumns({"text_a": F.least("text_a", "text_b"), "text_b": F.greatest("text_a", "text_b")})
+    open_ = texts.filter("not suppressed and not same_text").withColumn("key", key)
+    answers = judged_once(open_.select("key", F.col("text_a").alias("a_text"), F.col("text_b").alias("b_text"), with_term(F.col("term_key")).alias("context")), judge, verdicts)
+    auto = F.struct(F.lit("definition_consistent_auto").alias("verdict"), F.lit("Definitions are equal but for case, spaces and marks at the ends.").alias("rationale"), F.array().cast("array<string>").alias("evidence_spans"))
+    said = open_.select("class_a", "class_b", "key").join(answers.select("key", F.struct("verdict", "rationale", "evidence_spans").alias("v")), "key").select("class_a", "class_b", "v", F.lit(False).alias("suppressed"))
+    same = texts.filter("not suppressed and same_text").select("class_a", "class_b", auto.alias("v"), F.lit(False).alias("suppressed"))
+    hidden = texts.filter("suppressed").select("class_a", "class_b", F.lit(None).cast(VERDICT_TYPE).alias("v"), F.lit(True).alias("suppressed"))
+    side = lambda p: members.select(F.col("class_id").alias(f"class_{p}"), F.col("assertion_id").alias(f"id_{p}"))
+    pairs = said.unionByName(same).unionByName(hidden).join(side("a"), "class_a").join(side("b"), "class_b").filter((F.col("class_a") != F.col("class_b")) | (F.col("id_a") < F.col("id_b")))
+    pairs = pairs.withColumn("a_id", F.least("id_a", "id_b")).withColumn("b_id", F.greatest("id_a", "id_b"))
+    live = pairs.filter("not suppressed").select(F.lit(run_id).alias("run_id"), F.col("a_id").alias("assertion_a_id"), F.col("b_id").alias("assertion_b_id"), F.lit("definition_inconsistency").alias("detector_type"), F.col("v.verdict").alias("judge_verdict"), F.col("v.rationale").alias("judge_rationale"), F.col("v.evidence_spans").alias("evidence_spans"), F.lit(False).alias("suppressed"))
+    return live.select(finding_id("definition_inconsistency").alias("finding_id"), "*").unionByName(suppressed_findings(pairs, run_id), allowMissingColumns=True)
 
 
 def judged_triangles(found: DataFrame, assertions: DataFrame, run_id: str, judge: MultiPartyJudge) -> DataFrame:

@@ -71,6 +71,7 @@ def _parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return a, d
 
 
+_PART_TEXT_SQL = """'"' || (CASE WHEN p_partkey % 2 = 0 THEN 'The ' ELSE '' END) || array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') || ' ' || p_type || ' ' || p_brand || (CASE WHEN p_partkey % 3 = 0 THEN 's' ELSE '' END) || '" means an item of size ' || (p_size % 3)::VARCHAR || (CASE WHEN p_partkey % 2 = 0 THEN '.' ELSE '' END)"""
 _DEFS_SQL = """defs AS (SELECT p_partkey id, lower(p_name || ' ' || p_type || ' ' || p_brand) term_key,
  CASE WHEN p_size % 4 = 0 THEN '' ELSE 'maker ' || (p_size % 4)::VARCHAR END org_key,
  lower((CASE WHEN p_partkey % 2 = 0 THEN 'The ' ELSE '' END) || p_name || ' ' || p_type || ' ' || p_brand || (CASE WHEN p_partkey % 3 = 0 THEN 's' ELSE '' END)) || '" means an item of size ' || (p_size % 3)::VARCHAR norm

@@ -78,6 +78,12 @@ def stored(df: DataFrame) -> Iterator[DataFrame]:
         remove(spark, folder)
 
 
+def exists(spark: SparkSession, folder: str) -> bool:
+    """Whether there is such a folder or file, by any address that Spark can open."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     """Delete a folder by any address that Spark can open."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
