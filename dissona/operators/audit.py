@@ -13,6 +13,7 @@ from .store import latest_wins
 # States, verdicts, prices of a call.
 TERMINAL = ("done", "failed")
 REVIEWS = ("confirmed", "false_positive", "dismissed")
+DETECTORS = ("contradiction", "definition_inconsistency", "multi_party")
 FOUND = ("contradiction", "numeric_short_circuit", "definition_divergent", "multi_party_contradiction", "multi_party_conditional_contradiction")
 CALL_COST = {"anthropic": (0.003, 0.010), "openai": (0.003, 0.010), "moonshot": (0.0001, 0.001), "fixture": (0.0, 0.0)}
 
@@ -179,9 +180,9 @@ def cost_estimate(n_pairs: DataFrame, n_definitions: DataFrame, provider: str =
     return n_pairs.select("n").join(F.broadcast(n_definitions.select(F.col("n").alias("m")))).select(n.alias("n_calls"), F.round(n * low, 6).alias("cost_low"), F.round(n * high, 6).alias("cost_high"))
 
 
-def run_cost_bound(counters: DataFrame, provider: str = "moonshot") -> DataFrame:
-    """cost_high of a run: its judged pairs (n_judged) and definition findings (n_definitions) at the high price."""
-    return counters.select(F.round((F.col("n_judged") + F.col("n_definitions")) * CALL_COST[provider][1], 6).alias("cost_high"))
+def run_cost_bound(counters: DataFrame, provider: str = "moonshot", keys: tuple[str, ...] = ()) -> DataFrame:
+    """cost_high of a run, with its keys: its judged pairs (n_judged) and definition findings (n_definitions) at the high price."""
+    return counters.select(*keys, F.round((F.col("n_judged") + F.col("n_definitions")) * CALL_COST[provider][1], 6).alias("cost_high"))
 
 
 class CostCeilingError(RuntimeError):
@@ -194,6 +195,16 @@ def guard_cost(estimate: DataFrame, ceiling: float | None) -> None:
         raise CostCeilingError(f"the estimate, {high:.2f}, is above {ceiling:.2f}")
 
 
+def last_check(runs: DataFrame) -> DataFrame:
+    """The check that began last, of equals that with the greatest run_id: a row, or none."""
+    return runs.filter("run_kind = 'check'").orderBy(F.desc("started_at"), F.desc("run_id")).limit(1)
+
+
+def of_corpora(findings: DataFrame, runs: DataFrame) -> DataFrame:
+    """Findings with the corpus_id of their run; those of no known run are left out."""
+    return findings.join(runs.select("run_id", "corpus_id"), "run_id")
+
+
 def sidebar(corpora: DataFrame, documents: DataFrame, assertions: DataFrame, runs: DataFrame) -> DataFrame:
     """corpus_id, corpus_name, n_assertions, n_runs, active: corpora without any stay."""
     a = assertions.join(documents.select("doc_id", "corpus_id"), "doc_id").groupBy("corpus_id").agg(F.count("*").alias("n_assertions"))

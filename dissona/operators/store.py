@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from dissona.runtime import remove, rename
+
 
 class CrossCorpusDocumentError(ValueError):
     """A document belongs to another corpus already."""
@@ -25,6 +28,11 @@ def latest_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return best.select(*keys, *(F.col("m")[c].alias(c) for c in rest))
 
 
+def backfilled(rows: DataFrame, **values: object) -> DataFrame:
+    """The rows with a value wherever a column has none, as for rows from before there was the column."""
+    return rows.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in values.items()})
+
+
 def insert_or_ignore(existing: DataFrame, new: DataFrame, key: str, order: list[Column | str]) -> DataFrame:
     """The table with the new rows whose key it lacks; among new ones the first wins."""
     fresh = first_wins(new, [key], order).select(*existing.columns)
@@ -120,18 +128,66 @@ def store_stats(documents: DataFrame, assertions: DataFrame) -> DataFrame:
     return documents.agg(F.count("*").alias("n_documents")).join(F.broadcast(a))
 
 
+#: Places of a document whose running sums one task makes.
+SLICE = 4096
+
+
 def element_text(elements: DataFrame) -> DataFrame:
     """elements (doc_id, idx, text): for each kept element its place in the document's text, elements apart by a blank line.
 
-    Blank and junk elements are left out; char_start, char_end are code points, end exclusive.
+    Blank and junk elements are left out; char_start, char_end are code points, end exclusive. Sums run within slices of a document's
+    places; the slices' own sums run within a document, a row for SLICE places, and are added. Both come from one shuffle by slice.
     """
     from dissona.functions.junk import junk_line
     from dissona.functions.text import strip
 
     kept = elements.withColumn("text", strip("text")).filter((F.col("text") != "") & junk_line("text").isNull())
-    w = Window.partitionBy("doc_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("text") + 2).over(w), F.lit(0))
-    return kept.withColumn("char_start", start).withColumn("char_end", start + F.length("text"))
+    dealt = kept.withColumn("__slice", F.floor(F.col("idx") / SLICE)).repartition("doc_id", "__slice")
+    size = F.length("text") + 2
+    within = Window.partitionBy("doc_id", "__slice").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    slices = dealt.groupBy("doc_id", "__slice").agg(F.sum(size).alias("__size"))
+    before = F.coalesce(F.sum("__size").over(Window.partitionBy("doc_id").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begins = slices.select("doc_id", "__slice", before.alias("__before"))
+    placed = dealt.withColumn("__own", F.coalesce(F.sum(size).over(within), F.lit(0))).join(begins, ["doc_id", "__slice"])
+    start = F.col("__before") + F.col("__own")
+    return placed.withColumn("char_start", start).withColumn("char_end", start + F.length("text")).select(*elements.columns, "char_start", "char_end")
+
+
+class RefusedError(ValueError):
+    """Rows that a table doesn't take: how many, by column."""
+
+    def __init__(self, counts: dict[str, int]):
+        super().__init__("refused: " + ", ".join(f"{n} in {c}" for c, n in counts.items() if n))
+        self.counts = counts
+
+
+def write_checked(rows: DataFrame, target: str, allowed: dict[str, tuple[str, ...]], *, nullable: tuple[str, ...] = ()) -> int:
+    """Appends a batch to the table at target if all its rows fit; their number. Otherwise RefusedError, and nothing of it stays.
+
+    allowed: the values that columns may have; null is none of them, unless the column is nullable. Rows are counted while they are
+    written, to a folder that readers pass over; it gets its name as a part of the table once the counts are there.
+    """
+    spark = rows.sparkSession
+    name = uuid.uuid4().hex
+    aside, final = f"{target.rstrip('/')}/_{name}", f"{target.rstrip('/')}/batch={name}"
+    seen = Observation()
+    fits = lambda c, values: F.coalesce(F.col(c).isin(*values), F.lit(c in nullable) & F.col(c).isNull())
+    watched = rows.observe(seen, F.count(F.lit(1)).alias("n"), *(F.count_if(~fits(c, values)).alias(f"bad_{i}") for i, (c, values) in enumerate(allowed.items())))
+    try:
+        watched.write.parquet(aside)
+        counts = {c: seen.get[f"bad_{i}"] for i, c in enumerate(allowed)}
+        if any(counts.values()):
+            raise RefusedError(counts)
+        rename(spark, aside, final)
+    except BaseException:
+        remove(spark, aside)
+        raise
+    return seen.get["n"]
+
+
+def read_checked(spark: SparkSession, target: str) -> DataFrame:
+    """What write_checked has put there, without the batches' names."""
+    return spark.read.parquet(target).drop("batch")
 
 
 def payload_assertions(payloads: DataFrame) -> DataFrame:

@@ -111,24 +111,26 @@ def triangle_detector(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("finding_id", "judge_verdict", F.array_join("contradicting_subset", ",").alias("subset"), F.array_join(F.transform("assertion_ids", lambda x: x.cast("string")), ":").alias("members"))
 
 
-@query(f"WITH {_edges_sql(STRONG)}, {_DEFS_SQL} SELECT n + m n_calls, round((n + m) * 0.010::DOUBLE, 6) cost_high, round((n + m) * 0.010::DOUBLE, 6) > 1e9 stopped FROM (SELECT count(*) n FROM edges), (SELECT count(*) m FROM pairs WHERE NOT suppressed AND NOT same_text)")
+@query(f"WITH {_edges_sql(STRONG)}, {_DEFS_SQL} SELECT n + m n_calls, round((n + m) * 0.010::DOUBLE, 6) cost_high, c ceiling, round((n + m) * 0.010::DOUBLE, 6) > c stopped FROM (SELECT count(*) n FROM edges), (SELECT count(*) m FROM pairs WHERE NOT suppressed AND NOT same_text), (SELECT unnest([0.01::DOUBLE, 1e9]) c)")
 def cost_preflight(spark: SparkSession, sf: str) -> DataFrame:
-    """The estimate that a check looks at before it begins."""
+    """The estimate that a check looks at before it begins, under a ceiling that it meets and one that stops it."""
     n = definitions.definition_pair_counts(_defs(spark, sf), across_organisations=False).select(F.col("n_to_judge").alias("n"))
-    estimate = audit.cost_estimate(_edges(spark, sf).agg(F.count("*").alias("n")), n, "openai")
-    try:
-        audit.guard_cost(estimate, 1e9)
-        stopped = False
-    except audit.CostCeilingError:
-        stopped = True
-    return estimate.select("n_calls", "cost_high", F.lit(stopped).alias("stopped"))
+    estimate = pipeline.durable(audit.cost_estimate(_edges(spark, sf).agg(F.count("*").alias("n")), n, "openai"))
+    stopped = []
+    for ceiling in (0.01, 1e9):
+        try:
+            audit.guard_cost(estimate, ceiling)
+            stopped.append((ceiling, False))
+        except audit.CostCeilingError:
+            stopped.append((ceiling, True))
+    return estimate.select("n_calls", "cost_high").join(F.broadcast(spark.createDataFrame(stopped, "ceiling double, stopped boolean")))  # one row by two
 
 
 @query(f"WITH {_FINDINGS_SQL} SELECT run_id, round((count(*) FILTER (NOT suppressed) + count(*) FILTER (detector_type = 'definition_inconsistency')) * 0.001::DOUBLE, 6) cost_high FROM findings GROUP BY 1")
 def run_cost(spark: SparkSession, sf: str) -> DataFrame:
     f = _findings(spark, sf)
     counts = f.groupBy("run_id").agg(F.count_if(~F.col("suppressed")).alias("n_judged"), F.count_if(F.col("detector_type") == "definition_inconsistency").alias("n_definitions"))
-    return counts.select("run_id", F.round((F.col("n_judged") + F.col("n_definitions")) * audit.CALL_COST["moonshot"][1], 6).alias("cost_high"))
+    return audit.run_cost_bound(counts, "moonshot", ("run_id",))
 
 
 _MULTI_SQL = "multi AS (SELECT l_orderkey finding_id, list_sort(list_distinct(list('p' || l_partkey))) m, CASE WHEN l_orderkey % 2 = 0 THEN 'uncertain' ELSE 'multi_party_contradiction' END judge_verdict FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_partkey) >= 3)"
@@ -183,8 +185,8 @@ def active_corpus(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_FINDINGS_SQL} SELECT corpus, count(*) n FROM findings JOIN (SELECT o_orderkey, o_custkey corpus FROM orders) ON o_orderkey = run_id GROUP BY 1")
 def findings_by_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    runs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("corpus"))
-    return _findings(spark, sf).join(runs, "run_id").groupBy("corpus").agg(F.count("*").alias("n"))
+    runs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("corpus_id"))
+    return audit.of_corpora(_findings(spark, sf), runs).groupBy(F.col("corpus_id").alias("corpus")).agg(F.count("*").alias("n"))
 
 
 @query("""SELECT run_id, percent, label, CASE WHEN l < 60 THEN round_even(l, 0)::INT::VARCHAR || 's' WHEN l < 3600 THEN round_even(l / 60, 0)::INT::VARCHAR || 'm' WHEN l IS NOT NULL THEN round_even(l / 3600, 0)::INT::VARCHAR || 'h' END time_left, n_definition_pairs_judged FROM
@@ -264,7 +266,7 @@ def pair_documents(spark: SparkSession, sf: str) -> DataFrame:
 def legacy_backfill(spark: SparkSession, sf: str) -> DataFrame:
     """Rows from before there were corpora go to one."""
     x = table(spark, sf, "orders").select(F.col("o_orderkey").alias("corpus_id"), F.col("o_custkey").alias("owner"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("corpus"))
-    return x.withColumn("corpus", F.coalesce("corpus", F.lit("legacy")))
+    return store.backfilled(x, owner=-1, corpus="legacy")
 
 
 @query(f"WITH {_edges_sql(STRONG)}, m AS (SELECT vec_id FROM embeddings WHERE label < 5) SELECT a_id, b_id FROM edges WHERE a_id IN (FROM m) AND b_id IN (FROM m)")
@@ -277,4 +279,4 @@ def gated_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT user_id corpus_id, event_id run_id FROM events WHERE event_type <> 'signup' ORDER BY ts DESC, event_id DESC LIMIT 1")
 def latest_check(spark: SparkSession, sf: str) -> DataFrame:
-    return _runs(spark, sf).filter("run_kind = 'check'").orderBy(F.desc("started_at"), F.desc("run_id")).limit(1).select("corpus_id", "run_id")
+    return audit.last_check(_runs(spark, sf)).select("corpus_id", "run_id")

@@ -184,8 +184,7 @@ def doc_hash_ids(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) r FROM documents) WHERE r = 1")
 def doc_dedup_first(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("h"))
-    best = d.groupBy("h").agg(F.min(F.struct("doc_id", "lang")).alias("m"))
-    return best.select("m.doc_id", "m.lang")
+    return store.first_wins(d, ["h"], ["doc_id"]).select("doc_id", "lang")
 
 
 @query(rf"""WITH {_LINES_SQL}, bare AS (SELECT {_BARE} t FROM lines) SELECT reason, count(*) n FROM (SELECT CASE WHEN t = '' THEN NULL WHEN regexp_matches(t, '^(page\s+)?\d{{1,4}}$', 'i') OR regexp_matches(t, '^[-–—]\s*\d{{1,4}}\s*[-–—]$') THEN 'page_number' WHEN regexp_matches(t, '\.{{5,}}') THEN 'dot_leader' WHEN length(t) >= 8 AND {_ALPHA.format('t')} / length(t)::DOUBLE < 0.15 THEN 'mostly_non_alpha' END reason FROM bare) GROUP BY 1""")
@@ -193,9 +192,15 @@ def junk_lines(spark: SparkSession, sf: str) -> DataFrame:
     return _lines(spark, sf).groupBy(junk.junk_line("text").alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query(rf"""WITH {_LINES_SQL}, bare AS (SELECT {_BARE} t FROM lines) SELECT reason, count(*) n FROM (SELECT CASE WHEN regexp_matches(t, '\.{{5,}}') THEN 'dot_fragment' WHEN length(t) >= 8 AND {_ALPHA.format('t')} / length(t)::DOUBLE < 0.15 THEN 'mostly_non_alpha' WHEN {_ALPHA.format('t')} < 10 THEN 'near_empty' END reason FROM bare) GROUP BY 1""")
+_POINTING = ("See Section {}.", "as defined in Article {}", "AS SET FORTH herein {}", "As provided above, {} of the agreement is ended", "See you there, {}", "described in Section {}", "as describedly in Section {}")
+
+
+@query(rf"""WITH {_LINES_SQL}, bare AS (SELECT {_BARE} t FROM lines UNION ALL SELECT replace(p, '{{}}', c_custkey::VARCHAR) FROM customer, (SELECT unnest({list(_POINTING)}) p)) SELECT reason, count(*) n FROM (SELECT CASE WHEN regexp_matches(t, '\.{{5,}}') THEN 'dot_fragment' WHEN length(t) >= 8 AND {_ALPHA.format('t')} / length(t)::DOUBLE < 0.15 THEN 'mostly_non_alpha' WHEN {_ALPHA.format('t')} < 10 THEN 'near_empty'
+ WHEN regexp_matches(t, '^(as\s+(defined|set\s+forth|described|provided|used|referenced)|see)\b', 'i') AND regexp_matches(t, '\b(article|section|paragraph|clause|bylaws?|agreement|exhibit|schedule|herein|hereof|hereunder|above|below)\b', 'i') AND {_ALPHA.format('t')} < 30 THEN 'cross_reference' END reason FROM bare) GROUP BY 1""")
 def junk_assertions(spark: SparkSession, sf: str) -> DataFrame:
-    return _lines(spark, sf).groupBy(junk.junk_assertion("text").alias("reason")).agg(F.count("*").alias("n"))
+    """Lines of documents, and for each customer sentences that only point elsewhere, or look like it."""
+    planted = table(spark, sf, "customer").select(F.explode(F.array(*(F.replace(F.lit(p), F.lit("{}"), F.col("c_custkey").cast("string")) for p in _POINTING))).alias("text"))
+    return _lines(spark, sf).select("text").unionByName(planted).groupBy(junk.junk_assertion("text").alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query(rf"SELECT doc_id, {_ALPHA.format('text')} n_alpha, round({_ALPHA.format('text')} / length(text)::DOUBLE, 6) ratio, {_ALPHA.format('text')} < 100 looks_empty, {_ALPHA.format('text')} < 100 AND doc_id % 3 >= 2 AND n_chars * 1000 >= 100000 needs_ocr FROM documents".replace("n_alpha,", "n_alpha,"))
@@ -210,7 +215,26 @@ def element_offsets(spark: SparkSession, sf: str) -> DataFrame:
     return store.element_text(_lines(spark, sf)).select("doc_id", F.col("idx").cast("long").alias("idx"), F.col("char_start").cast("long").alias("char_start"), F.col("char_end").cast("long").alias("char_end"))
 
 
-@query()
+_BLANK = r"\t\x0b\x0c\r \x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"  # white space but for the line's end
+_OPENING = "(\"''“‘\\["
+_ABBREVIATED = "|".join(sorted(w.replace(".", r"\.") for w in chunking.ABBREVIATIONS))
+
+
+def _chunks_sql(max_chars: int, overlap: int) -> str:
+    """Sentences: pieces between a mark or a line's end and what follows it, put together where a piece ends in an abbreviation. Windows: one after the other."""
+    return rf"""WITH RECURSIVE d AS (SELECT doc_id::VARCHAR doc_id, text, regexp_replace(text, '[\n{_BLANK}]+$', '') whole FROM documents WHERE text <> ''),
+p AS (SELECT doc_id, text, string_split(regexp_replace(whole, '([.!?]["''”’)\]]{{0,3}}[\n{_BLANK}]+|\n[\n{_BLANK}]*)', '\1' || chr(1), 'g'), chr(1)) parts FROM d),
+u AS (SELECT doc_id, unnest(parts) part, generate_subscripts(parts, 1) i, len(parts) n FROM p),
+v AS (SELECT doc_id, i, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i) e, i = n OR NOT regexp_matches(part, '(^|[\n{_BLANK}{_OPENING}])((?i:{_ABBREVIATED})|\p{{Lu}})\.[{_BLANK}]+$') ends FROM u),
+s AS (SELECT doc_id, list(e ORDER BY i) e FROM v WHERE ends GROUP BY 1),
+t AS (SELECT doc_id, text, list_concat([0], e[1:len(e) - 1]) starts, list_concat(e[1:len(e) - 1], [length(text)]) ends FROM s JOIN d USING (doc_id)),
+w AS (SELECT doc_id, 1 f, greatest(1, len(list_filter(ends, lambda x: x <= {max_chars}))) l, starts, ends FROM t
+ UNION ALL SELECT doc_id, f, greatest(i, len(list_filter(ends, lambda x: x - starts[f] <= {max_chars}))) l, starts, ends FROM
+  (SELECT doc_id, CASE WHEN tail = f THEN i ELSE tail END f, i, starts, ends FROM (SELECT *, l + 1 i, CASE WHEN {overlap} = 0 THEN l + 1 ELSE greatest(f, least(l + 1, len(list_filter(starts, lambda x: x < ends[l] - {overlap})) + 1)) END tail FROM w WHERE l < len(ends))))
+SELECT substr(sha256(doc_id || starts[f]::VARCHAR || ends[l]::VARCHAR), 1, 16) chunk_id, doc_id, substr(text, starts[f]::BIGINT + 1, (ends[l] - starts[f])::BIGINT) AS text, starts[f]::INT char_start, ends[l]::INT char_end FROM w JOIN (SELECT doc_id, text FROM t) USING (doc_id)"""
+
+
+@query(_chunks_sql(1000, 200))
 def chunk_windows(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.chunk_documents(table(spark, sf, "documents"), max_chars=1000, overlap_chars=200)
 
@@ -521,10 +545,10 @@ def category_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.category_accuracy(_labelled(spark, sf).withColumnRenamed("bucket", "category"))
 
 
-def _run_findings(spark: SparkSession, sf: str) -> DataFrame:
-    """Conversations' texts as findings of three runs."""
+def _run_findings(spark: SparkSession, sf: str, span: F.Column | None = None) -> DataFrame:
+    """Conversations' texts, or parts of them, as findings of three runs."""
     c = table(spark, sf, "conversations")
-    return c.select(ids.unordered_finding_id(F.col("role"), F.col("text"), F.lit("b"), F.col("role")).alias("finding_id"), (F.col("conv_id") % 3).alias("run_id"), "conv_id", "turn")
+    return c.select(ids.unordered_finding_id(F.col("role"), F.col("text") if span is None else span, F.lit("b"), F.col("role")).alias("finding_id"), (F.col("conv_id") % 3).alias("run_id"), "conv_id", "turn")
 
 
 _CONV_SQL = "f AS (SELECT substr(sha256(CASE WHEN (role, text) <= ('b', role) THEN role || '|' || text || '|b|' || role ELSE 'b|' || role || '|' || role || '|' || text END), 1, 16) finding_id, conv_id % 3 run_id, conv_id, turn FROM conversations)"
@@ -535,9 +559,10 @@ def runs_union(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.run_union(_run_findings(spark, sf), F.struct("conv_id", "turn"))
 
 
-@query(f"WITH {_CONV_SQL} SELECT finding_id FROM f GROUP BY 1 HAVING count(DISTINCT run_id) = (SELECT count(DISTINCT run_id) FROM f)")
+@query("SELECT substr(sha256(CASE WHEN (role, substr(text, 1, 1)) <= ('b', role) THEN role || '|' || substr(text, 1, 1) || '|b|' || role ELSE 'b|' || role || '|' || role || '|' || substr(text, 1, 1) END), 1, 16) finding_id FROM conversations GROUP BY 1 HAVING count(DISTINCT conv_id % 3) = (SELECT count(DISTINCT conv_id % 3) FROM conversations)")
 def runs_intersection(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluation.run_intersection(_run_findings(spark, sf))
+    """Findings by role and first letter of a text, so that some are in all three runs and some aren't."""
+    return evaluation.run_intersection(_run_findings(spark, sf, F.substring("text", 1, 1)))
 
 
 @query(f"WITH {_CONV_SQL}, g AS (SELECT finding_id, count(DISTINCT run_id) runs, count(*) n, CASE min(conv_id) % 4 WHEN 0 THEN 'real' WHEN 1 THEN 'false_positive' WHEN 2 THEN 'dismissed' END label FROM f GROUP BY 1) SELECT coalesce(sum(n), 0)::BIGINT n_total, count(*) n_union, count(*) FILTER (runs = (SELECT count(DISTINCT run_id) FROM f)) n_intersection, count(*) FILTER (label = 'real') n_real, count(*) FILTER (label = 'false_positive') n_false_positive, count(*) FILTER (label = 'dismissed') n_dismissed, round(count(*) FILTER (runs = (SELECT count(DISTINCT run_id) FROM f)) / count(*)::DOUBLE, 6) agreement, round(count(*) FILTER (label = 'real') / nullif(count(*) FILTER (label IN ('real', 'false_positive')), 0)::DOUBLE, 6) AS \"precision\" FROM g")

@@ -2,26 +2,52 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dissona.functions import ids
-from dissona.operators import audit, evaluation
-from dissona.runtime import durable, shared_dir, table
+from dissona.operators import audit, evaluation, store
+from dissona.runtime import durable, remove, shared_dir, table
 from dissona.sources import readers, sinks
 
 from . import harness, plugins
-from .queries import _FINDINGS_SQL, _REVIEWS_SQL, _findings, _reviewed, query
+from .queries import _FINDINGS_SQL, _REVIEWS_SQL, Query, _findings, _reviewed, _reviews, query
 from .workspace import Workspace
 
 
+_OPEN: list[str] = []
+
+
 def _folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/round-trip-{uuid.uuid4().hex}"
+    """A new folder in the shared one, for a query that is registered by `round_trip`."""
+    _OPEN.append(f"{shared_dir(spark).rstrip('/')}/round-trip-{uuid.uuid4().hex}")
+    return _OPEN[-1]
+
+
+def round_trip(sql: str | None = None) -> Callable[[Query], Query]:
+    """query() for one that writes into folders: its result is checkpointed, then they are removed."""
+
+    def put(f: Query) -> Query:
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            before = len(_OPEN)
+            try:
+                return durable(f(spark, sf))
+            finally:
+                while len(_OPEN) > before:
+                    remove(spark, _OPEN.pop())
+
+        return query(sql)(run)
 
+    return put
 
-@query("SELECT line, count(*) n FROM (SELECT c_name AS line FROM customer UNION ALL SELECT s_name FROM supplier) GROUP BY 1")
+
+@round_trip("SELECT line, count(*) n FROM (SELECT c_name AS line FROM customer UNION ALL SELECT s_name FROM supplier) GROUP BY 1")
 def files_read(spark: SparkSession, sf: str) -> DataFrame:
     """Text files in a folder, at two depths, loaded as documents; a file of another kind isn't."""
     folder = _folder(spark)
@@ -30,7 +56,7 @@ def files_read(spark: SparkSession, sf: str) -> DataFrame:
     table(spark, sf, "region").coalesce(1).write.json(f"{folder}/in/other")
     docs = readers.load_corpus(spark, f"{folder}/in")
     lines = docs.select(F.explode(F.split(F.rtrim(F.col("text"), F.lit("\n")), "\n")).alias("line"))
-    return durable(lines.filter("line <> ''").groupBy("line").agg(F.count("*").alias("n")))
+    return lines.filter("line <> ''").groupBy("line").agg(F.count("*").alias("n"))
 
 
 @query("SELECT path, CASE WHEN path NOT LIKE '%.txt' THEN 'extension' WHEN length > 100 * 1024 * 1024 THEN 'file_size' WHEN n > 100 THEN 'file_count' WHEN total > 500 * 1024 * 1024 THEN 'total_size' END reason FROM (SELECT path, length, count(*) FILTER (ok) OVER w n, sum(CASE WHEN ok THEN length ELSE 0 END) OVER w total FROM (SELECT *, path LIKE '%.txt' AND length <= 100 * 1024 * 1024 ok FROM (SELECT lpad(c_custkey::VARCHAR, 9, '0') || CASE WHEN c_custkey % 7 = 0 THEN '.exe' ELSE '.txt' END path, (c_custkey % 13) * 10 * 1024 * 1024 length FROM customer)) WINDOW w AS (ORDER BY path ROWS UNBOUNDED PRECEDING))")
@@ -40,7 +66,7 @@ def upload_caps(spark: SparkSession, sf: str) -> DataFrame:
     return readers.upload_decisions(files).select("path", "reason")
 
 
-@query("SELECT o_orderkey::VARCHAR finding_id, CASE o_orderstatus WHEN 'F' THEN 'real' ELSE 'false_positive' END label FROM orders WHERE o_orderstatus IN ('F', 'O')")
+@round_trip("SELECT o_orderkey::VARCHAR finding_id, CASE o_orderstatus WHEN 'F' THEN 'real' ELSE 'false_positive' END label FROM orders WHERE o_orderstatus IN ('F', 'O')")
 def labels_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """A labelling sheet, filled in, written as CSV and read: rows without a label are skipped."""
     folder = _folder(spark)
@@ -49,7 +75,7 @@ def labels_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     status = found.select("finding_id", "o_orderstatus")
     filled = sinks.labelling_sheet(found).join(status, "finding_id").withColumn("label", F.when(F.col("o_orderstatus") == "F", "real").when(F.col("o_orderstatus") == "O", "false_positive").otherwise("")).drop("o_orderstatus")
     sinks.write_csv(filled, f"{folder}/sheet")
-    return durable(readers.finding_labels(spark, f"{folder}/sheet").select("finding_id", "label"))
+    return readers.finding_labels(spark, f"{folder}/sheet").select("finding_id", "label")
 
 
 def _pairs_file(spark: SparkSession, sf: str, folder: str) -> None:
@@ -58,15 +84,15 @@ def _pairs_file(spark: SparkSession, sf: str, folder: str) -> None:
     sinks.write_json(c.select(F.col("c_custkey").cast("string").alias("pair_id"), F.col("c_name").alias("document_a"), F.col("c_mktsegment").alias("document_b"), gold.alias("label")), f"{folder}/pairs")
 
 
-@query("SELECT tp, 0::BIGINT fn, fp, 0::BIGINT tn, round(tp / (tp + fp)::DOUBLE, 6) AS \"precision\", 1.0::DOUBLE recall, round(2.0::DOUBLE * tp / (2 * tp + fp), 6) f1 FROM (SELECT count(*) FILTER (c_nationkey % 3 = 0) tp, count(*) FILTER (c_nationkey % 3 <> 0) fp FROM customer)")
+@round_trip("SELECT tp, 0::BIGINT fn, fp, 0::BIGINT tn, round(tp / (tp + fp)::DOUBLE, 6) AS \"precision\", 1.0::DOUBLE recall, round(2.0::DOUBLE * tp / (2 * tp + fp), 6) f1 FROM (SELECT count(*) FILTER (c_nationkey % 3 = 0) tp, count(*) FILTER (c_nationkey % 3 <> 0) fp FROM customer)")
 def document_pairs_scored(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled document pairs from a file, and a judge that always sees a contradiction."""
     folder = _folder(spark)
     _pairs_file(spark, sf, folder)
-    return durable(harness.document_pairs(readers.contradoc_pairs(spark, f"{folder}/pairs"), plugins.FixtureJudge({}, ("contradiction", "", []))))
+    return harness.document_pairs(readers.contradoc_pairs(spark, f"{folder}/pairs"), plugins.FixtureJudge({}, ("contradiction", "", [])))
 
 
-@query("SELECT CASE WHEN grouping(bucket) = 1 THEN NULL ELSE bucket END bucket, count(*) n, round(count(*) FILTER (gold = 'uncertain') / count(*)::DOUBLE, 6) accuracy, 0.0::DOUBLE fp_rate, CASE WHEN count(*) FILTER (gold = 'contradiction') > 0 THEN 0.0::DOUBLE END fn_rate, 1.0::DOUBLE abstain_rate FROM (SELECT CASE c_custkey % 3 WHEN 0 THEN 'rule_exception' WHEN 1 THEN 'modal_divergence' ELSE 'temporal_scope' END bucket, CASE c_nationkey % 3 WHEN 0 THEN 'contradiction' WHEN 1 THEN 'not_contradiction' ELSE 'uncertain' END gold FROM customer) GROUP BY GROUPING SETS ((bucket), ())")
+@round_trip("SELECT CASE WHEN grouping(bucket) = 1 THEN NULL ELSE bucket END bucket, count(*) n, round(count(*) FILTER (gold = 'uncertain') / count(*)::DOUBLE, 6) accuracy, 0.0::DOUBLE fp_rate, CASE WHEN count(*) FILTER (gold = 'contradiction') > 0 THEN 0.0::DOUBLE END fn_rate, 1.0::DOUBLE abstain_rate FROM (SELECT CASE c_custkey % 3 WHEN 0 THEN 'rule_exception' WHEN 1 THEN 'modal_divergence' ELSE 'temporal_scope' END bucket, CASE c_nationkey % 3 WHEN 0 THEN 'contradiction' WHEN 1 THEN 'not_contradiction' ELSE 'uncertain' END gold FROM customer) GROUP BY GROUPING SETS ((bucket), ())")
 def targeted_pairs_scored(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled assertion pairs from a file with blank lines and comments, and a judge that can't tell."""
     folder, c = _folder(spark), F.col("c_custkey")
@@ -74,7 +100,7 @@ def targeted_pairs_scored(spark: SparkSession, sf: str) -> DataFrame:
     row = F.struct(c.cast("string").alias("pair_id"), pick(c, "rule_exception", "modal_divergence", "temporal_scope").alias("bucket"), F.col("c_name").alias("assertion_a"), F.col("c_mktsegment").alias("assertion_b"), pick(F.col("c_nationkey"), "contradiction", "not_contradiction", "uncertain").alias("ground_truth"), F.lit("independent").alias("relation"))
     lines = table(spark, sf, "customer").select(F.explode(F.array(F.to_json(row), F.lit(""), F.lit("  // a comment"))).alias("value"))
     sinks.write_lines(lines, f"{folder}/pairs")
-    return durable(harness.targeted_pairs(readers.targeted_pairs(spark, f"{folder}/pairs"), plugins.FixtureJudge({}, ("uncertain", "", []))))
+    return harness.targeted_pairs(readers.targeted_pairs(spark, f"{folder}/pairs"), plugins.FixtureJudge({}, ("uncertain", "", [])))
 
 
 _DEF_EVAL_SQL = "x AS (SELECT p_brand category, p_size % 3 = 0 same, CASE WHEN p_partkey % 4 = 0 THEN 'divergent' ELSE 'consistent' END gold FROM part), y AS (SELECT category, gold, CASE WHEN same THEN 'consistent' ELSE 'divergent' END predicted FROM x)"
@@ -87,17 +113,17 @@ def _definition_eval(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame
     return harness.definition_pairs(readers.definition_pairs_file(spark, f"{folder}/pairs"), plugins.FixtureJudge({}, ("definition_divergent", "", [])))
 
 
-@query(f"WITH {_DEF_EVAL_SQL} SELECT category, count(*) n, round(avg((gold = predicted)::INT), 6) accuracy FROM y GROUP BY 1")
+@round_trip(f"WITH {_DEF_EVAL_SQL} SELECT category, count(*) n, round(avg((gold = predicted)::INT), 6) accuracy FROM y GROUP BY 1")
 def definition_eval_by_category(spark: SparkSession, sf: str) -> DataFrame:
-    return durable(_definition_eval(spark, sf)[1])
+    return _definition_eval(spark, sf)[1]
 
 
-@query(f"WITH {_DEF_EVAL_SQL}, c AS (SELECT count(*) FILTER (gold = 'divergent' AND predicted = 'divergent') tp, count(*) FILTER (gold <> 'divergent' AND predicted = 'divergent') fp, count(*) FILTER (gold = 'divergent' AND predicted <> 'divergent') fn, count(*) FILTER (gold <> 'divergent' AND predicted <> 'divergent') tn FROM y) SELECT tp, fp, fn, tn, round(tp / (tp + fp)::DOUBLE, 6) AS \"precision\", round(tp / (tp + fn)::DOUBLE, 6) recall, round(2.0::DOUBLE * tp / (2 * tp + fp + fn), 6) f1 FROM c")
+@round_trip(f"WITH {_DEF_EVAL_SQL}, c AS (SELECT count(*) FILTER (gold = 'divergent' AND predicted = 'divergent') tp, count(*) FILTER (gold <> 'divergent' AND predicted = 'divergent') fp, count(*) FILTER (gold = 'divergent' AND predicted <> 'divergent') fn, count(*) FILTER (gold <> 'divergent' AND predicted <> 'divergent') tn FROM y) SELECT tp, fp, fn, tn, round(tp / (tp + fp)::DOUBLE, 6) AS \"precision\", round(tp / (tp + fn)::DOUBLE, 6) recall, round(2.0::DOUBLE * tp / (2 * tp + fp + fn), 6) f1 FROM c")
 def definition_eval_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return durable(_definition_eval(spark, sf)[0])
+    return _definition_eval(spark, sf)[0]
 
 
-@query("SELECT run_id, count(*) n, count(DISTINCT finding_id) ids, min(finding_id) first FROM (SELECT 'run-' || n_regionkey run_id, substr(sha256(CASE WHEN n_name <= 'z' THEN n_name || '|span|z|other' ELSE 'z|other|' || n_name || '|span' END), 1, 16) finding_id FROM nation) GROUP BY 1")
+@round_trip("SELECT run_id, count(*) n, count(DISTINCT finding_id) ids, min(finding_id) first FROM (SELECT 'run-' || n_regionkey run_id, substr(sha256(CASE WHEN n_name <= 'z' THEN n_name || '|span|z|other' ELSE 'z|other|' || n_name || '|span' END), 1, 16) finding_id FROM nation) GROUP BY 1")
 def baseline_runs_read(spark: SparkSession, sf: str) -> DataFrame:
     """A run file for each region, its findings an array or, in a fence, a string of JSON."""
     folder, n = _folder(spark), F.col("n_regionkey")
@@ -108,10 +134,10 @@ def baseline_runs_read(spark: SparkSession, sf: str) -> DataFrame:
     whole = F.concat(head, F.when(n % 2 == 0, F.col("f")).otherwise(F.regexp_extract(fenced, r'^\{"x":(.*)\}$', 1)), F.lit("}"))
     g.select(whole.alias("value"), n.alias("r")).repartition("r").write.partitionBy("r").text(f"{folder}/runs")
     found = harness.with_finding_ids(readers.baseline_run(spark, f"{folder}/runs/*/*.txt"))
-    return durable(found.groupBy("run_id").agg(F.count("*").alias("n"), F.count_distinct("finding_id").alias("ids"), F.min("finding_id").alias("first")))
+    return found.groupBy("run_id").agg(F.count("*").alias("n"), F.count_distinct("finding_id").alias("ids"), F.min("finding_id").alias("first"))
 
 
-@query("SELECT pair_id, label FROM (SELECT user_id::VARCHAR pair_id, arg_max(event_type, event_id) FILTER (event_type <> 'view') label FROM events GROUP BY 1) WHERE label IS NOT NULL")
+@round_trip("SELECT pair_id, label FROM (SELECT user_id::VARCHAR pair_id, arg_max(event_type, event_id) FILTER (event_type <> 'view') label FROM events GROUP BY 1) WHERE label IS NOT NULL")
 def saved_labels_read(spark: SparkSession, sf: str) -> DataFrame:
     """Labels saved one after the other, the last that isn't empty counts; candidates of two files, the first of each."""
     folder, e = _folder(spark), table(spark, sf, "events")
@@ -121,17 +147,17 @@ def saved_labels_read(spark: SparkSession, sf: str) -> DataFrame:
     candidates = readers.candidate_pairs(spark, [f"{folder}/one", f"{folder}/two"])
     sinks.rewrite_lines(rows.select(F.to_json(F.struct("*")).alias("value")), f"{folder}/labels")
     saved = spark.read.schema("pair_id string, label string, seq long").json(f"{folder}/labels")
-    return durable(readers.saved_labels(saved, candidates.filter("category = 'one'")))
+    return readers.saved_labels(saved, candidates.filter("category = 'one'"))
 
 
-@query(f"WITH {_FINDINGS_SQL}, {_REVIEWS_SQL} SELECT finding_id, detector_type, judge_verdict verdict, coalesce(reviewer_verdict, '') reviewer FROM reviewed WHERE reviewer_verdict IS NULL OR reviewer_verdict <> 'x'")
+@round_trip(f"WITH {_FINDINGS_SQL}, {_REVIEWS_SQL} SELECT finding_id, detector_type, judge_verdict verdict, coalesce(reviewer_verdict, '') reviewer FROM reviewed WHERE reviewer_verdict IS NULL OR reviewer_verdict <> 'x'")
 def findings_csv(spark: SparkSession, sf: str) -> DataFrame:
     """The findings' export, written as CSV and read."""
     folder = _folder(spark)
     h = _reviewed(spark, sf).select("finding_id", "detector_type", "judge_verdict", "reviewer_verdict", F.col("assertion_a_id").alias("doc_a_label"), F.col("assertion_b_id").alias("doc_b_label"), F.lit('one, "two"').alias("a_text"), F.lit("three\nfour").alias("b_text"))
     sinks.write_csv(sinks.finding_export(h), f"{folder}/findings")
     got = spark.read.schema(", ".join(f"{c} string" for c in sinks.FINDING_COLUMNS)).option("header", "true").option("multiLine", "true").option("escape", '"').csv(f"{folder}/findings")
-    return durable(got.filter("text_a = 'one, \"two\"' and text_b = 'three\nfour'").select("finding_id", "detector_type", "verdict", F.coalesce("reviewer", F.lit("")).alias("reviewer")))
+    return got.filter("text_a = 'one, \"two\"' and text_b = 'three\nfour'").select("finding_id", "detector_type", "verdict", F.coalesce("reviewer", F.lit("")).alias("reviewer"))
 
 
 @query("SELECT p_partkey assertion_id, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE 'id-' || p_brand END AS \"document\", p_name AS \"definition\" FROM part WHERE p_size % 5 <> 0")
@@ -172,24 +198,24 @@ def definition_report(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.definition_sections(h).select(F.col("ord.b").alias("finding_id"), "heading", F.col("ord.a").alias("ord"))
 
 
-@query("SELECT 'element' stage, 'near_empty' reason, doc_id, substr(text, 1, 200) text_snippet FROM documents WHERE length(text) < 60")
+@round_trip("SELECT 'element' stage, 'near_empty' reason, doc_id, substr(text, 1, 200) text_snippet FROM documents WHERE length(text) < 60")
 def junk_drops_written(spark: SparkSession, sf: str) -> DataFrame:
     """What a junk rule drops, appended as JSON lines and read."""
     folder = _folder(spark)
     drops = sinks.junk_drops(table(spark, sf, "documents"), "element", F.when(F.length("text") < 60, "near_empty"))
     sinks.append_json(drops, f"{folder}/drops")
-    return durable(spark.read.schema("stage string, reason string, doc_id long, text_snippet string").json(f"{folder}/drops"))
+    return spark.read.schema("stage string, reason string, doc_id long, text_snippet string").json(f"{folder}/drops")
 
 
-@query(f"WITH {_FINDINGS_SQL}, {_REVIEWS_SQL}, g AS (SELECT detector_type, count(*) FILTER (reviewer_verdict = 'confirmed') c, count(*) FILTER (reviewer_verdict = 'false_positive') f FROM reviewed GROUP BY 1) SELECT detector_type, c::VARCHAR n_confirmed, coalesce(printf('%.6f', c / nullif(c + f, 0)::DOUBLE), '') AS \"precision\" FROM g")
+@round_trip(f"WITH {_FINDINGS_SQL}, {_REVIEWS_SQL}, g AS (SELECT detector_type, count(*) FILTER (reviewer_verdict = 'confirmed') c, count(*) FILTER (reviewer_verdict = 'false_positive') f FROM reviewed GROUP BY 1) SELECT detector_type, c::VARCHAR n_confirmed, coalesce(printf('%.6f', c / nullif(c + f, 0)::DOUBLE), '') AS \"precision\" FROM g")
 def precision_csv(spark: SparkSession, sf: str) -> DataFrame:
     folder = _folder(spark)
     sinks.write_csv(sinks.precision_rows(evaluation.detector_precision(_reviewed(spark, sf))), f"{folder}/precision")
     got = spark.read.schema("detector_type string, n_confirmed string, n_false_positive string, n_dismissed string, precision string").option("header", "true").csv(f"{folder}/precision")
-    return durable(got.select("detector_type", "n_confirmed", F.coalesce("precision", F.lit("")).alias("precision")))
+    return got.select("detector_type", "n_confirmed", F.coalesce("precision", F.lit("")).alias("precision"))
 
 
-@query("SELECT CASE r_name WHEN 'ASIA' THEN 'renamed' ELSE r_name END corpus_name, 0::BIGINT n_assertions, CASE WHEN r_regionkey < 2 THEN 1 ELSE 0 END::BIGINT n_runs, r_regionkey = 1 active FROM region WHERE r_name <> 'EUROPE'")
+@round_trip("SELECT CASE r_name WHEN 'ASIA' THEN 'renamed' ELSE r_name END corpus_name, 0::BIGINT n_assertions, CASE WHEN r_regionkey < 2 THEN 1 ELSE 0 END::BIGINT n_runs, r_regionkey = 1 active FROM region WHERE r_name <> 'EUROPE'")
 def workspace_corpora(spark: SparkSession, sf: str) -> DataFrame:
     """Corpora made, renamed and deleted, runs begun and cleared, and what the sidebar says."""
     w = Workspace(spark, _folder(spark))
@@ -203,10 +229,10 @@ def workspace_corpora(spark: SparkSession, sf: str) -> DataFrame:
             w.clear_stuck(name)
     w.rename_corpus("ASIA", "renamed")
     w.delete_corpus("EUROPE", sure=True)
-    return durable(w.sidebar().select("corpus_name", "n_assertions", "n_runs", "active"))
+    return w.sidebar().select("corpus_name", "n_assertions", "n_runs", "active")
 
 
-@query("SELECT sha id, n FROM (SELECT substr(sha256(c_name), 1, 16) sha, count(*) n FROM (SELECT c_mktsegment AS c_name FROM customer) GROUP BY 1)")
+@round_trip("SELECT sha id, n FROM (SELECT substr(sha256(c_name), 1, 16) sha, count(*) n FROM (SELECT c_mktsegment AS c_name FROM customer) GROUP BY 1)")
 def workspace_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Documents by the hash of their text: a workspace's table and the rows that would fall together."""
     w = Workspace(spark, _folder(spark))
@@ -217,10 +243,11 @@ def workspace_documents(spark: SparkSession, sf: str) -> DataFrame:
     w.append("documents", x, "doc_id")  # adds nothing
     counts = x.groupBy("doc_id").agg(F.count("*").alias("n"))
     assert w.orphans().isEmpty()
-    return durable(w.read("documents").join(counts, "doc_id").select(F.col("doc_id").alias("id"), "n"))
+    return w.read("documents").join(counts, "doc_id").select(F.col("doc_id").alias("id"), "n")
 
 
-@query("SELECT 2::BIGINT documents, 2::BIGINT assertions, 2::BIGINT embedded, 2::BIGINT files_done, 'done' status")
+@round_trip("""WITH t AS (SELECT string_agg(n_name, ' and ' ORDER BY n_name) x FROM nation UNION ALL SELECT string_agg(r_name, ' and ' ORDER BY r_name) FROM region)
+SELECT count(DISTINCT x) documents, count(DISTINCT trim(x)) assertions, count(DISTINCT trim(x)) embedded, count(*) files_done, CASE WHEN count(*) > 0 THEN 'done' ELSE 'pending' END status FROM t""")
 def workspace_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """Two text files, of all nations and all regions, through ingest: documents, chunks, assertions, vectors and the run's counters."""
     folder = _folder(spark)
@@ -243,7 +270,7 @@ def runs_by_end(spark: SparkSession, sf: str) -> DataFrame:
     return audit.run_states(ends).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("SELECT c_custkey::VARCHAR doc_id, 'main' corpus_id, c_name AS text FROM customer WHERE c_custkey IN (SELECT min(c_custkey) FROM customer GROUP BY c_name)")
+@round_trip("SELECT c_custkey::VARCHAR doc_id, 'main' corpus_id, c_name AS text FROM customer WHERE c_custkey IN (SELECT min(c_custkey) FROM customer GROUP BY c_name)")
 def replayed_batches(spark: SparkSession, sf: str) -> DataFrame:
     """Customers as documents that arrive in batches, two of them twice: each is there once."""
     from dissona.streaming import ingest
@@ -253,10 +280,10 @@ def replayed_batches(spark: SparkSession, sf: str) -> DataFrame:
     parts = [x.filter(F.col("doc_id").cast("long") % 3 == k) for k in range(3)]
     for part in (parts[0], parts[1], parts[0], parts[2], parts[1]):
         ingest.append_new(part, folder, "doc_id")
-    return durable(spark.read.parquet(folder).select("doc_id", "corpus_id", "text"))
+    return spark.read.parquet(folder).select("doc_id", "corpus_id", "text")
 
 
-@query("SELECT count(*) n, sum(length(c_name) + 1)::BIGINT chars FROM customer")
+@round_trip("SELECT count(*) n, sum(length(c_name) + 1)::BIGINT chars FROM customer")
 def streamed_files(spark: SparkSession, sf: str) -> DataFrame:
     """Files of a folder through the stream, in micro-batches, read and replayed without a second copy."""
     from dissona.streaming import ingest
@@ -266,4 +293,48 @@ def streamed_files(spark: SparkSession, sf: str) -> DataFrame:
     for k in range(2):
         ingest.ingest(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint{k}", "main").awaitTermination()
     docs = spark.read.parquet(f"{folder}/out/documents")
-    return durable(docs.select(F.length("text").alias("chars"), F.size(F.split(F.rtrim(F.col("text"), F.lit("\n")), "\n")).alias("n")).agg(F.sum("n").alias("n"), F.sum("chars").alias("chars")))
+    return docs.select(F.length("text").alias("chars"), F.size(F.split(F.rtrim(F.col("text"), F.lit("\n")), "\n")).alias("n")).agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+
+
+@round_trip("SELECT c_custkey::VARCHAR || ' ' || c_name || '.' assertion_text, 'claim' kind, 8::BIGINT width, 'part ' || c_custkey % 4 chunk_of FROM customer")
+def streamed_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """Files through the whole stream, broken off after a batch's chunks, taken up again, and replayed from the beginning: the same as in one batch."""
+    from dissona.streaming import ingest
+
+    folder, key = _folder(spark), F.col("c_custkey")
+    lines = table(spark, sf, "customer").select((key % 4).alias("part"), F.concat(key.cast("string"), F.lit(" "), "c_name", F.lit(".")).alias("value"), key)
+    heads = spark.range(4).select(F.col("id").alias("part"), F.concat(F.lit("part "), "id").alias("value"), F.lit(-1).cast("long").alias("c_custkey"))
+    lines.unionByName(heads).repartition(4, "part").sortWithinPartitions("part", "c_custkey").select("part", "value").write.partitionBy("part").text(f"{folder}/in")
+    steps = ingest.Steps(extract=lambda chunks: plugins.extracted(chunks, plugins.FixtureExtractor()), embed=lambda a: a.select("assertion_id", plugins.embedding(a, "assertion_text", plugins.HashEmbedder(8)).alias("embedding")), max_chars=1)
+    broken = []
+
+    def fail(stage: str, batch: int) -> None:
+        if (stage, batch) == ("chunks", 1) and not broken:
+            broken.append(batch)
+            raise RuntimeError("broken off")
+
+    for checkpoint, files in (("one", 2), ("one", 2), ("two", 4)):
+        try:
+            ingest.ingest_corpus(spark, f"{folder}/in", f"{folder}/out", f"{folder}/{checkpoint}", "main", steps, files_per_batch=files, slices=4, after=fail).awaitTermination()
+        except StreamingQueryException:
+            assert broken == [1]
+    a, e, c, d = (spark.read.parquet(f"{folder}/out/{t}") for t in ("assertions", "vectors", "chunks", "documents"))
+    first = d.select("doc_id", F.regexp_extract("text", "(part [0-9]+)", 1).alias("chunk_of"))
+    rows = a.join(e.select("assertion_id", F.size("embedding").cast("long").alias("width")), "assertion_id").join(c.select("chunk_id", "doc_id"), ["chunk_id", "doc_id"]).join(first, "doc_id")
+    return rows.filter("assertion_text not like 'part %'").select("assertion_text", "kind", "width", "chunk_of")
+
+
+@round_trip("""SELECT verdict, sum(n)::BIGINT n, (SELECT count(*) FROM events WHERE event_type = 'error' OR event_id % 97 = 0) refused FROM (SELECT CASE event_type WHEN 'view' THEN 'confirmed' WHEN 'click' THEN 'false_positive' WHEN 'purchase' THEN 'dismissed' WHEN 'signup' THEN 'confirmed' END verdict, 2 n FROM events WHERE event_type <> 'error') GROUP BY 1""")
+def checked_writes(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdicts of events, written with their lists of values enforced: two good batches arrive; one with missing and unknown verdicts raises and leaves nothing."""
+    folder = f"{_folder(spark)}/reviews"
+    e = _reviews(spark, sf).select("pair_key", "detector_type", "verdict", F.col("set_at.event_id").alias("seq"))
+    good = e.filter("verdict is not null")
+    bad = e.withColumn("verdict", F.when(F.col("seq") % 97 == 0, "maybe").otherwise(F.col("verdict")))
+    refused = 0
+    for rows in (good, bad, good):
+        try:
+            store.write_checked(rows, folder, {"verdict": audit.REVIEWS, "detector_type": audit.DETECTORS})
+        except store.RefusedError as x:
+            refused += x.counts["verdict"]
+    return store.read_checked(spark, folder).groupBy("verdict").agg(F.count("*").alias("n")).withColumn("refused", F.lit(refused).cast("long"))

@@ -193,7 +193,7 @@ class Workspace:
     def adopt_orphans(self, corpus: str) -> None:
         """Documents from before there were corpora go to one."""
         own = self.create_corpus(corpus)
-        self.write("documents", self.read("documents").withColumn("corpus_id", F.coalesce("corpus_id", F.lit(own))))
+        self.write("documents", store.backfilled(self.read("documents"), corpus_id=own))
 
     # Runs
 
@@ -391,7 +391,7 @@ class Workspace:
 
     def latest_run(self, corpus: str | None = None) -> str | None:
         r = self.runs() if corpus is None else self.runs().filter(F.col("corpus_id") == self.corpus_id(corpus))
-        first = r.filter("run_kind = 'check'").orderBy(F.desc("started_at"), F.desc("run_id")).first()
+        first = audit.last_check(r).first()
         return first["run_id"] if first else None
 
     def findings(self, run_id: str) -> DataFrame:
@@ -410,14 +410,10 @@ class Workspace:
         return "\n".join([text, *(m for m in more if m)])
 
     def precision(self, corpus: str | None = None) -> DataFrame:
-        f = self.read("findings").join(self._own_runs(corpus), "run_id", "left_semi")
-        multi = self.read("multi_party_findings").join(self._own_runs(corpus), "run_id", "left_semi")
+        runs = self.runs() if corpus is None else self.runs().filter(F.col("corpus_id") == self.corpus_id(corpus))
+        f, multi = audit.of_corpora(self.read("findings"), runs), audit.of_corpora(self.read("multi_party_findings"), runs)
         return evaluation.detector_precision(audit.reviewed_rows(f, multi, audit.current_reviews(self.read("verdict_events"))))
 
-    def _own_runs(self, corpus: str | None) -> DataFrame:
-        r = self.runs() if corpus is None else self.runs().filter(F.col("corpus_id") == self.corpus_id(corpus))
-        return r.select("run_id")
-
     def assertion(self, assertion_id: str) -> DataFrame:
         """An assertion with its document's label."""
         return audit.assertion_detail(self.read("assertions"), self.read("documents"), assertion_id)

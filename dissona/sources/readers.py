@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from dissona.functions.ids import hash_id
 from dissona.functions.text import newlines, without_fence
 from dissona.operators.store import first_wins
+from dissona.runtime import durable
 
 from .documents import loader
 
@@ -66,12 +67,20 @@ def load_path(spark: SparkSession, path: str, loaders: dict[str, Loader] | None
 
 
 def upload_decisions(files: DataFrame) -> DataFrame:
-    """path, length, reason: why a file of an upload isn't taken (extension, file_size, file_count, total_size), null if it is. In path order."""
+    """path, length, reason: why a file of an upload isn't taken (extension, file_size, file_count, total_size), null if it is. In path order.
+
+    Files are dealt out by ranges of paths; numbers and sizes run within a range, and the ranges' own sums, a row each, are added.
+    """
     ok = extension(F.col("path")).isin(*LOADERS) & (F.col("length") <= UPLOAD_FILE)
-    w = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, 0)  # one upload: a hundred files or so
-    x = files.withColumn("n", F.sum(ok.cast("int")).over(w)).withColumn("total", F.sum(F.when(ok, F.col("length")).otherwise(0)).over(w))
-    reason = F.when(~extension(F.col("path")).isin(*LOADERS), "extension").when(F.col("length") > UPLOAD_FILE, "file_size").when(F.col("n") > UPLOAD_COUNT, "file_count").when(F.col("total") > UPLOAD_TOTAL, "total_size")
-    return x.select("path", "length", reason.alias("reason"))
+    x = durable(files.select("path", "length", ok.cast("int").alias("ok")).repartitionByRange("path").withColumn("range", F.spark_partition_id()))
+    taken, size = F.col("ok"), F.when(F.col("ok") == 1, F.col("length")).otherwise(0)
+    within = Window.partitionBy("range").orderBy("path").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    sums = x.groupBy("range").agg(F.sum(taken).alias("n"), F.sum(size).alias("total")).select("range", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("n", "total")))
+    y = x.withColumns({"n": F.sum(taken).over(within), "total": F.sum(size).over(within)}).join(F.broadcast(sums), "range")
+    many, much = F.col("n") + F.col("n_before") > UPLOAD_COUNT, F.col("total") + F.col("total_before") > UPLOAD_TOTAL
+    reason = F.when(~extension(F.col("path")).isin(*LOADERS), "extension").when(F.col("length") > UPLOAD_FILE, "file_size").when(many, "file_count").when(much, "total_size")
+    return y.select("path", "length", reason.alias("reason"))
 
 
 def empty_texts(documents: DataFrame) -> DataFrame:
