@@ -19,8 +19,9 @@ from dissona.runtime import ROW_GROUP, durable, remove, shared_dir, table
 
 
 def small_row_groups(spark: SparkSession) -> None:
-    if spark.conf.get(ROW_GROUP[0], None) is None:
-        spark.conf.set(*ROW_GROUP)
+    for name, value in (ROW_GROUP, ("parquet.page.size", str(128 << 10))):
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ BATCHES = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "512"),
     "spark.sql.execution.arrow.maxBytesPerBatch": (None, str(4 << 20)),
     "spark.sql.parquet.columnarReaderBatchSize": ("4096", "512"),
+    "spark.sql.columnVector.offheap.enabled": ("false", "true"),
 }
 #: Bytes of a row group in tables that only the next step reads. A writer holds a row group of long texts in memory.
 ROW_GROUP = ("parquet.block.size", str(8 << 20))
@@ -84,6 +85,13 @@ def exists(spark: SparkSession, folder: str) -> bool:
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
 
+def rename(spark: SparkSession, folder: str, name: str) -> None:
+    """Another name for a folder, whose parent is there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    if not path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(path(folder), path(name)):
+        raise OSError(f"{folder} couldn't be renamed")
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     """Delete a folder by any address that Spark can open."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
