@@ -35,24 +35,29 @@ def _map(values: dict[str, str]) -> Column:
     return F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
 
 
+def _scope(found: Column) -> Column:
+    return F.when(found != "", F.regexp_replace(F.regexp_replace(F.lower(strip(found)), _SPACE, " "), "^(in|during) ", ""))
+
+
+def _masked(x: Column | str, found: Column) -> Column:
+    return F.when(found == "", col(x)).otherwise(F.overlay(col(x), F.repeat(F.lit(" "), F.length(found)), F.call_function("locate", found, col(x))))
+
+
 def scope_of(x: Column | str) -> Column:
     """The first time phrase, lower case, without in or during; null without one."""
-    found = F.regexp_extract(col(x), SCOPE, 1)
-    return F.when(found != "", F.regexp_replace(F.regexp_replace(F.lower(strip(found)), _SPACE, " "), "^(in|during) ", ""))
+    return let(F.regexp_extract(col(x), SCOPE, 1), _scope)
 
 
 def masked(x: Column | str) -> Column:
     """The text with its first time phrase blanked, at the same length."""
-    found = F.regexp_extract(col(x), SCOPE, 1)
-    at = F.call_function("locate", found, col(x))
-    return F.when(found == "", col(x)).otherwise(F.overlay(col(x), F.repeat(F.lit(" "), F.length(found)), at))
+    return let(F.regexp_extract(col(x), SCOPE, 1), lambda found: _masked(x, found))
 
 
 def unit_of(unit: Column, currency: Column) -> Column:
     """A unit's name; magnitudes take the currency with them, which alone is a unit too."""
-    name = F.try_element_at(_map(UNITS), F.regexp_replace(F.lower(strip(unit)), _SPACE, " "))
     money = F.try_element_at(_map(CURRENCIES), currency)
-    return F.when(unit == "", money).when(name.isin(*MAGNITUDES) & money.isNotNull(), F.concat_ws("_", name, money)).otherwise(name)
+    named = let(F.try_element_at(_map(UNITS), F.regexp_replace(F.lower(strip(unit)), _SPACE, " ")), lambda name: F.when(name.isin(*MAGNITUDES) & money.isNotNull(), F.concat_ws("_", name, money)).otherwise(name))
+    return F.when(unit == "", money).otherwise(named)
 
 
 def metric_of(x: Column) -> Column:
@@ -75,9 +80,9 @@ def extract_quantities(x: Column | str) -> Column:
 
     def sides(u: Column, at: Column) -> Column:
         verb = F.lower(F.regexp_replace(F.try_element_at(u["words"], F.when(at > 0, at)), "^[.,;:()'\"`]+|[.,;:()'\"`]+$", ""))
+        direction = let(verb, lambda v: F.when(v.isin(*UP), "up").when(v.isin(*DOWN), "down").otherwise("none"))
         subject = F.regexp_replace(F.array_join(F.slice(u["words"], F.lit(1), F.greatest(at - 1, F.lit(0))), " "), "[.,;:]+$", "")
         source = F.when(at > 0, F.array_join(F.slice(u["words"], at + 1, F.size(u["words"])), " ")).otherwise(u["text"])
-        direction = F.when(verb.isin(*UP), "up").when(verb.isin(*DOWN), "down").otherwise("none")
         return let(F.struct(u["scope"].alias("scope"), source.alias("source"), F.when(at > 0, metric_of(subject)).alias("subject"), direction.alias("direction")), numbers)
 
     def numbers(v: Column) -> Column:
@@ -96,7 +101,7 @@ def extract_quantities(x: Column | str) -> Column:
             n["scope"].alias("scope"),
         )
 
-    found = let(F.struct(scope_of(x).alias("scope"), masked(x).alias("text")), split_at_verb)
+    found = let(F.regexp_extract(col(x), SCOPE, 1), lambda f: let(F.struct(_scope(f).alias("scope"), _masked(x, f).alias("text")), split_at_verb))
     kept = F.filter(found.cast(TYPE), lambda q: q["value"].isNotNull() & (q["metric"] != "") & (q["unit"].isNotNull() | (q["polarity"] != "none")))
     return F.when(col(x).rlike(r"(?U)\d"), kept).otherwise(none)
 
