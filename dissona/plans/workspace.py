@@ -397,17 +397,23 @@ class Workspace:
     def findings(self, run_id: str) -> DataFrame:
         return audit.hydrated(audit.filtered_findings(self.read("findings"), run_id=run_id), self.read("assertions"), self.read("documents"), audit.current_reviews(self.read("verdict_events")))
 
-    def report(self, run_id: str | None = None) -> str:
+    def _report(self, run_id: str | None) -> DataFrame:
         run_id = run_id or self.latest_run()
         if run_id is None:
             raise ValueError("there is no run")
         f = pipeline.durable(self.findings(run_id))
         counts = {k: v or 0 for k, v in self.counters(run_id).items()}
-        text = sinks.render_report({"run_id": run_id} | counts, f)
         terms = self.read("assertions").select(F.col("assertion_id").alias("assertion_a_id"), "term")
         multi = self.read("multi_party_findings").filter(F.col("run_id") == run_id)
-        more = [sinks.appended_section("Multi-party findings", sinks.multi_party_sections(multi, self.read("assertions"))), sinks.appended_section("Definition findings", sinks.definition_sections(f.join(terms, "assertion_a_id")))]
-        return "\n".join([text, *(m for m in more if m)])
+        return sinks.report_lines({"run_id": run_id} | counts, f, sinks.multi_party_sections(multi, self.read("assertions")), sinks.definition_sections(f.join(terms, "assertion_a_id")))
+
+    def report(self, run_id: str | None = None, most: int = sinks.MOST_SHOWN) -> str:
+        """The report of a run, by default the latest check, as one string: of each part the first `most` findings."""
+        return sinks.shown_report(self._report(run_id), most)
+
+    def write_report(self, path: str, run_id: str | None = None) -> None:
+        """The whole report, as a folder of text files."""
+        sinks.write_report(self._report(run_id), path)
 
     def precision(self, corpus: str | None = None) -> DataFrame:
         runs = self.runs() if corpus is None else self.runs().filter(F.col("corpus_id") == self.corpus_id(corpus))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dissona.functions.text import doc_label, quoted_spans, score_text, slug
@@ -102,25 +103,70 @@ def finding_sections(hydrated: DataFrame) -> DataFrame:
     return x.select(F.struct(first["doc_a_id"].alias("a"), second["doc_a_id"].alias("b"), "finding_id").alias("ord"), F.concat(F.lit("### "), first["doc_a_label"], F.lit(" ⇄ "), second["doc_a_label"]).alias("heading"), text.alias("section"))
 
 
-def write_finding_sections(hydrated: DataFrame, path: str) -> None:
-    """Markdown of any number of findings, each under its pair of documents, in order, as a folder of text files."""
-    x = finding_sections(hydrated).orderBy("ord")
-    x.select(F.concat("heading", F.lit("\n\n"), "section").alias("value")).write.mode("overwrite").text(path)
-
-
-def render_report(run: dict, hydrated: DataFrame) -> str:
-    """The Markdown report of one run; its size is that of its findings, so it is for people to read, and finding_sections is for more."""
-    found = hydrated.filter("judge_verdict = 'contradiction'")
-    lines = ["# Consistency check report", "", f"- Run: `{run['run_id']}`", f"- Assertions scanned: {run['n_assertions']}", f"- Candidate pairs (gated): {run['n_pairs_gated']}", f"- Pairs judged: {run['n_pairs_judged']}", f"- Contradictions found: {run['n_findings']}", "", "## Summary", ""]
-    rows = found.filter("reviewer_verdict is distinct from 'false_positive'").select("finding_id", score_text("nli_p_contradiction").alias("p"), "doc_a_label", "doc_b_label", "judge_rationale").orderBy("finding_id").collect()
-    lines += ["| NLI(p_contradiction) | Doc A | Doc B | Rationale |", "| --- | --- | --- | --- |", *(f"| {r['p']} | {r['doc_a_label']} | {r['doc_b_label']} | {r['judge_rationale'] or ''} |" for r in rows), "", "## Findings", ""] if rows else ["No contradictions found.", ""]
-    heading = None
-    for r in finding_sections(found).orderBy("ord").collect():
-        if r["heading"] != heading:
-            heading = r["heading"]
-            lines += [heading, ""]
-        lines.append(r["section"])
-    return "\n".join(lines).rstrip("\n") + "\n"
+#: Findings of a part that a report in one string has at the most.
+MOST_SHOWN = 1000
+_LINE = "part int, a string, b string, c string, value string"
+
+
+def _under_headings(sections: DataFrame, part: int) -> DataFrame:
+    """Lines of sections (ord, heading, section): the first of a heading, next to each other in their order, has it above."""
+    by = ["ord.a", "ord.b"] if "finding_id" in sections.schema["ord"].dataType.names else ["ord.a"]
+    first = F.row_number().over(Window.partitionBy(*by, "heading").orderBy("ord")) == 1
+    own = F.col("ord.finding_id") if len(by) == 2 else F.lit("")
+    value = F.when(first, F.concat("heading", F.lit("\n\n"), "section")).otherwise(F.col("section"))
+    return sections.select(F.lit(part).alias("part"), F.col("ord.a").alias("a"), F.col("ord.b").alias("b"), own.alias("c"), value.alias("value"))
+
+
+def report_lines(run: dict, hydrated: DataFrame, multi: DataFrame | None = None, definitions: DataFrame | None = None) -> DataFrame:
+    """part, a, b, c, value: the Markdown report of one run as rows; ordered by the others, a value a line (or more) each, they are the report.
+
+    multi: multi_party_sections, definitions: definition_sections. Nothing comes to the driver but whether a part has rows.
+    """
+    spark = hydrated.sparkSession
+    found = hydrated.filter("judge_verdict = 'contradiction' and reviewer_verdict is distinct from 'false_positive'")
+    fixed = [(0, "\n".join(["# Consistency check report", "", f"- Run: `{run['run_id']}`", f"- Assertions scanned: {run['n_assertions']}", f"- Candidate pairs (gated): {run['n_pairs_gated']}", f"- Pairs judged: {run['n_pairs_judged']}", f"- Contradictions found: {run['n_findings']}", "", "## Summary", ""]))]
+    parts = []
+    if found.isEmpty():
+        fixed.append((1, "No contradictions found.\n"))
+    else:
+        fixed += [(1, "| NLI(p_contradiction) | Doc A | Doc B | Rationale |\n| --- | --- | --- | --- |"), (3, "\n## Findings\n")]
+        row = F.concat(F.lit("| "), score_text("nli_p_contradiction"), F.lit(" | "), "doc_a_label", F.lit(" | "), "doc_b_label", F.lit(" | "), F.coalesce("judge_rationale", F.lit("")), F.lit(" |"))
+        parts += [found.select(F.lit(2).alias("part"), F.col("finding_id").alias("a"), F.lit("").alias("b"), F.lit("").alias("c"), row.alias("value")), _under_headings(finding_sections(found), 4)]
+    if multi is not None and not multi.isEmpty():
+        fixed.append((5, "## Multi-party findings\n"))
+        parts.append(multi.select(F.lit(6).alias("part"), F.col("ord").alias("a"), F.lit("").alias("b"), F.lit("").alias("c"), F.col("section").alias("value")))
+    if definitions is not None and not definitions.isEmpty():
+        fixed.append((7, "## Definition findings\n"))
+        parts.append(_under_headings(definitions, 8))
+    out = spark.createDataFrame([(part, "", "", "", value) for part, value in fixed], _LINE)
+    for p in parts:
+        out = out.unionByName(p)
+    return out
+
+
+def write_report(lines: DataFrame, path: str) -> None:
+    """report_lines as a folder of text files, which are the report one after the other, in the order of their names. Any number of findings."""
+    lines.orderBy("part", "a", "b", "c").select("value").write.mode("overwrite").text(path)
+
+
+def shown_report(lines: DataFrame, most: int = MOST_SHOWN) -> str:
+    """report_lines as one string, for people to read: of each part the first `most` findings, and how many more there are."""
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("a", "b", "c"))
+    kept = lines.withColumn("rank", rank).filter(F.col("rank") <= most)
+    rows = kept.orderBy("part", "a", "b", "c").select("part", "value").collect()  # `most` of each part
+    out: list[str] = []
+    full = {p for p, n in Counter(r["part"] for r in rows).items() if n == most}
+    more = {r["part"]: r["n"] - most for r in lines.filter(F.col("part").isin(list(full))).groupBy("part").agg(F.count("*").alias("n")).collect() if r["n"] > most} if full else {}
+    for i, r in enumerate(rows):
+        out.append(r["value"])
+        if r["part"] in more and (i + 1 == len(rows) or rows[i + 1]["part"] != r["part"]):
+            out.append(f"… and {more[r['part']]} more\n")
+    return "\n".join(out).rstrip("\n") + "\n"
+
+
+def render_report(run: dict, hydrated: DataFrame, most: int = MOST_SHOWN) -> str:
+    """The Markdown report of one run in one string."""
+    return shown_report(report_lines(run, hydrated), most)
 
 
 def definition_sections(hydrated: DataFrame) -> DataFrame:
@@ -139,18 +185,6 @@ def multi_party_sections(findings: DataFrame, assertions: DataFrame) -> DataFram
     return x.select(F.col("finding_id").alias("ord"), F.concat(F.lit("#### Finding `"), "finding_id", F.lit("`\n\n"), body, F.lit("\n\n**Rationale.** "), F.coalesce("judge_rationale", F.lit("")), F.lit("\n")).alias("section"))
 
 
-def appended_section(title: str, sections: DataFrame) -> str:
-    """A report's further part; empty without rows."""
-    rows = sections.orderBy("ord").collect()
-    lines, heading = [f"## {title}", ""], None
-    for r in rows:
-        if "heading" in r and r["heading"] != heading:
-            heading = r["heading"]
-            lines += [heading, ""]
-        lines.append(r["section"])
-    return "\n".join(lines) if rows else ""
-
-
 def metrics_table(metrics: DataFrame) -> str:
     """A Markdown table of a small frame of measures: floats as percentages with one decimal, a dash where there is none."""
     show = lambda v: "—" if v is None else f"{100 * v:.1f}%" if isinstance(v, float) else str(v)

@@ -139,6 +139,24 @@ def test_report(spark):
     assert sinks.render_report({"run_id": "run", "n_assertions": 2, "n_pairs_gated": 1, "n_pairs_judged": 1, "n_findings": 1}, audit.hydrated(f, a, d, none)) == GOLDEN
 
 
+def test_report_of_many_findings(spark, tmp_path):
+    """Written by sorted partitions it is the string's text; the string shows the first of each part and counts the others."""
+    rows = [(f"f{i:03}", "contradiction", f"d{i % 7}", f"d{i % 5 + 3}", f"D{i % 7}", f"D{i % 5 + 3}") for i in range(60)]
+    f = spark.createDataFrame(rows, "finding_id string, judge_verdict string, doc_a_id string, doc_b_id string, doc_a_label string, doc_b_label string").select("*", F.lit(0.5).alias("nli_p_contradiction"), F.lit(0.5).alias("gate_score"), F.array().cast("array<string>").alias("evidence_spans"), F.lit("a").alias("a_text"), F.lit("b").alias("b_text"), F.lit(None).cast("string").alias("reviewer_verdict"), F.lit("r").alias("judge_rationale")).repartition(5)
+    run = {"run_id": "run", "n_assertions": 2, "n_pairs_gated": 1, "n_pairs_judged": 1, "n_findings": 60}
+    lines = sinks.report_lines(run, f)
+    sinks.write_report(lines, f"{tmp_path}/report")
+    text = "".join(p.read_text() for p in sorted((tmp_path / "report").glob("part-*")))
+    whole = sinks.render_report(run, f)
+    assert text.rstrip("\n") == whole.rstrip("\n") and whole.count("#### Finding") == 60
+    pairs = [tuple(sorted(r[2:4])) for r in rows]
+    assert whole.count("\n### ") == len(set(pairs))
+    want = [r[0] for _, r in sorted(zip(pairs, rows, strict=True), key=lambda x: (x[0], x[1][0]))]
+    assert [x.split("`")[0] for x in whole.split("#### Finding `")[1:]] == want
+    few = sinks.render_report(run, f, most=4)
+    assert few.count("#### Finding") == 4 and few.count("… and 56 more") == 2
+
+
 def test_exports(spark):
     a = spark.createDataFrame([("a1", "d", "t", "definition", "T", ""), ("a0", "d", "u", "claim", None, None)], "assertion_id string, doc_id string, assertion_text string, kind string, term string, definition_text string").withColumn("created_at", F.lit(1))
     d = spark.createDataFrame([("d", "", "p.md", None)], "doc_id string, title string, source_path string, doc_date string")

@@ -1,4 +1,5 @@
 import io
+import os
 import zipfile
 import zlib
 
@@ -95,7 +96,11 @@ def test_ingest_check_review_report(place):
     assert found.filter("judge_verdict = 'numeric_short_circuit'").count() == 1
     d = found.filter("detector_type = 'definition_inconsistency'").first()
     assert d["judge_verdict"] == "definition_divergent"
-    assert "### Loan" in w.report() and w.latest_run("main") == run
+    whole = w.report()
+    assert "### Loan" in whole and w.latest_run("main") == run
+    w.write_report(f"{w.folder}-report")
+    parts = sorted(p for p in os.listdir(f"{w.folder}-report") if p.startswith("part-"))
+    assert "".join(open(f"{w.folder}-report/{p}", encoding="utf-8").read() for p in parts).rstrip("\n") == whole.rstrip("\n")
     w.review(d["assertion_a_id"], d["assertion_b_id"], "definition_inconsistency", "false_positive")
     assert "### Loan" not in w.report()
     assert {r["detector_type"]: r["precision"] for r in w.precision("main").collect()}["definition_inconsistency"] == 0.0
