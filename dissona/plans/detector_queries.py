@@ -280,3 +280,54 @@ def gated_pairs(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT user_id corpus_id, event_id run_id FROM events WHERE event_type <> 'signup' ORDER BY ts DESC, event_id DESC LIMIT 1")
 def latest_check(spark: SparkSession, sf: str) -> DataFrame:
     return audit.last_check(_runs(spark, sf)).select("corpus_id", "run_id")
+
+
+@query("SELECT v verdict, count(*) n, CASE WHEN v IN ('contradiction', 'numeric_short_circuit') THEN 'contradiction' ELSE 'not_contradiction' END pair_label, CASE WHEN v = 'definition_divergent' THEN 'divergent' ELSE 'consistent' END definition_label FROM (SELECT CASE l_linenumber % 5 WHEN 0 THEN 'contradiction' WHEN 1 THEN 'numeric_short_circuit' WHEN 2 THEN 'definition_divergent' WHEN 3 THEN 'uncertain' ELSE 'definition_consistent' END v FROM lineitem) GROUP BY 1")
+def verdict_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdicts as the labels that harnesses score."""
+    n, v = F.col("l_linenumber") % 5, F.col("verdict")
+    verdict = F.when(n == 0, "contradiction").when(n == 1, "numeric_short_circuit").when(n == 2, "definition_divergent").when(n == 3, "uncertain").otherwise("definition_consistent")
+    x = table(spark, sf, "lineitem").select(verdict.alias("verdict"))
+    return x.select("verdict", evaluation.collapsed(v).alias("pair_label"), evaluation.collapsed(v, "divergent").alias("definition_label")).groupBy("verdict", "pair_label", "definition_label").agg(F.count("*").alias("n"))
+
+
+@query(r"SELECT o_orderkey, regexp_full_match(k, '[0-9a-f]{16}(:[0-9a-f]{16})+') fits FROM (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN h WHEN 1 THEN h || ':' || g WHEN 2 THEN upper(h) || ':' || g || 'x' WHEN 3 THEN h || ':' || g || ':' || h ELSE h || ':' || g || chr(10) END k FROM (SELECT o_orderkey, substr(sha256(o_orderkey::VARCHAR), 1, 16) h, substr(sha256(o_custkey::VARCHAR), 1, 16) g FROM orders))")
+def pair_key_format(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys of two and three assertions, and what looks like one."""
+    n, h, g = F.col("o_orderkey"), ids.hash_id(F.col("o_orderkey").cast("string")), ids.hash_id(F.col("o_custkey").cast("string"))
+    key = F.when(n % 5 == 0, h).when(n % 5 == 1, F.concat_ws(":", h, g)).when(n % 5 == 2, F.concat(F.upper(h), F.lit(":"), g, F.lit("x"))).when(n % 5 == 3, F.concat_ws(":", h, g, h)).otherwise(F.concat(h, F.lit(":"), g, F.lit("\n")))
+    return table(spark, sf, "orders").select("o_orderkey", ids.is_pair_key(key).alias("fits"))
+
+
+@query("SELECT o_orderkey::VARCHAR a_id, o_custkey::VARCHAR b_id, o_orderpriority a_text, c_name b_text FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey < 20")
+def pair_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs with both texts; pairs whose second assertion is gone are left out."""
+    o, c = table(spark, sf, "orders"), table(spark, sf, "customer").filter("c_nationkey < 20")
+    texts = o.select(F.concat(F.lit("o"), "o_orderkey").alias("assertion_id"), F.col("o_orderpriority").alias("assertion_text")).unionByName(c.select(F.concat(F.lit("c"), "c_custkey").alias("assertion_id"), F.col("c_name").alias("assertion_text")))
+    pairs = o.select(F.concat(F.lit("o"), "o_orderkey").alias("a_id"), F.concat(F.lit("c"), "o_custkey").alias("b_id"), F.lit(1.0).alias("score"))
+    return pipeline.candidate_rows(pairs, texts).select(F.substring("a_id", 2, 20).alias("a_id"), F.substring("b_id", 2, 20).alias("b_id"), "a_text", "b_text")
+
+
+@query("SELECT p_partkey::VARCHAR chunk_id, CASE WHEN p_name = 'red plate' THEN 'A plate is red.' ELSE p_name END claim, CASE WHEN p_name = 'red plate' THEN 'plate' END term FROM part")
+def extracted_claims(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks through an extractor: one name has an answer with a definition, the others are a claim each."""
+    known = {"  red plate ": (["A plate is red."], [{"term": "plate", "definition_text": "a red thing", "containing_sentence": '"plate" means a red thing'}])}
+    chunks = table(spark, sf, "part").select(F.lit("d").alias("doc_id"), F.col("p_partkey").cast("string").alias("chunk_id"), F.concat(F.lit("  "), "p_name", F.lit(" ")).alias("text"))
+    got = plugins.extracted(chunks, plugins.FixtureExtractor(known))
+    return got.select("chunk_id", F.get("claims", F.lit(0)).alias("claim"), F.get("definitions", F.lit(0))["term"].alias("term"))
+
+
+@query("SELECT doc_id::VARCHAR doc_id, CASE WHEN source = 'src0' THEN 'Wiki Ltd' END org_label, CASE WHEN source = 'src0' THEN 'org_found' WHEN length(text) > 2000 THEN 'truncated' ELSE 'no_org' END org_reason FROM documents")
+def identified_organisations(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents' organisations by their titles, here their sources; of long ones only the beginning is shown to the extractor."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source").alias("title"), "text")
+    return plugins.identified(d, plugins.FixtureExtractor(labels={"src0": ("Wiki Ltd", "org_found")})).select("doc_id", "org_label", "org_reason")
+
+
+@query("SELECT c_mktsegment, count(*) n, 8 width, 1.0::DOUBLE length, 1::BIGINT vectors FROM customer GROUP BY 1")
+def embedded_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Equal texts have one vector, of length one."""
+    c = table(spark, sf, "customer")
+    x = c.select("c_mktsegment", plugins.embedding(c, "c_mktsegment", plugins.HashEmbedder(8)).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double")))
+    return x.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width"), F.round(F.max(norm), 5).alias("length"), F.count_distinct(F.col("v").cast("string")).alias("vectors"))

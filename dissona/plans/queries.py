@@ -278,19 +278,25 @@ def definition_counts(spark: SparkSession, sf: str) -> DataFrame:
 _MEANINGS_SQL = "CASE p_partkey % 17 " + " ".join(f"WHEN {n} THEN " + ("NULL" if t is None else f"'{t}'") for n, t in _MEANINGS.items()) + " ELSE ' an item of size ' || p_partkey % 3 || (CASE WHEN p_partkey % 2 = 0 THEN ' ' ELSE '' END) END"
 
 
-@query(rf"""WITH d AS (SELECT p_partkey id, CASE WHEN p_partkey % 40 < 20 THEN 'base' ELSE 'doc' || p_partkey % 5 END doc, (CASE WHEN p_partkey % 2 = 0 THEN 'The ' ELSE '' END) || p_type || (CASE WHEN p_partkey % 3 = 0 THEN 's' ELSE '' END) term, lower(p_type) key, trim({_MEANINGS_SQL}) t FROM part WHERE p_partkey % 10 <> 0),
+_MINED_SQL = r"""WITH d AS (SELECT p_partkey id, CASE WHEN p_partkey % 40 < 20 THEN 'base' ELSE 'doc' || p_partkey % 5 END doc, (CASE WHEN p_partkey % 2 = 0 THEN 'The ' ELSE '' END) || p_type || (CASE WHEN p_partkey % 3 = 0 THEN 's' ELSE '' END) term, lower(p_type) key, trim(""" + _MEANINGS_SQL + r""") t FROM part WHERE p_partkey % 10 <> 0),
 k AS (SELECT * FROM d WHERE t <> '' AND NOT regexp_matches(t, '^(has|have|having|shall\s+have)\s+the\s+meanings?\s+(set\s+forth|given|assigned|specified|ascribed|attributed|provided|referred)', 'i') AND NOT regexp_matches(t, '^the\s+meanings?\s+(set\s+forth|given|assigned|specified|ascribed|attributed|provided)', 'i') AND NOT regexp_matches(t, '^as\s+(defined|set\s+forth)\b', 'i'))
-SELECT a.id a_id, b.id b_id, a.key term_key, CASE WHEN a.t = b.t THEN 'identical' ELSE 'review' END category, a.term, a.t def_a, b.t def_b, substr(a.key, 1, 24) || '_' || substr(sha256(least(a.id::VARCHAR, b.id::VARCHAR) || ':' || greatest(a.id::VARCHAR, b.id::VARCHAR)), 1, 10) pair_id
-FROM k a JOIN k b ON a.key = b.key AND a.id < b.id ORDER BY a.doc = b.doc, a.t = b.t, a.key, a.id, b.id LIMIT 3000""")
-def mined_definition_pairs(spark: SparkSession, sf: str) -> DataFrame:
+SELECT {0} FROM (SELECT a.id a_id, b.id b_id, a.key term_key, CASE WHEN a.t = b.t THEN 'identical' ELSE 'review' END category, a.term, a.t def_a, b.t def_b, substr(a.key, 1, 24) || '_' || substr(sha256(least(a.id::VARCHAR, b.id::VARCHAR) || ':' || greatest(a.id::VARCHAR, b.id::VARCHAR)), 1, 10) pair_id, a.doc doc_a, b.doc doc_b
+FROM k a JOIN k b ON a.key = b.key AND a.id < b.id ORDER BY a.doc = b.doc, a.t = b.t, a.key, a.id, b.id LIMIT 3000)"""
+
+
+def _mined(spark: SparkSession, sf: str) -> DataFrame:
     """Parts define the term of their type, in documents of which one has half of all; the first 3000 pairs."""
     key = F.col("p_partkey")
     term = F.concat(F.when(key % 2 == 0, "The ").otherwise(""), "p_type", F.when(key % 3 == 0, "s").otherwise(""))
     doc = F.when(key % 40 < 20, "base").otherwise(F.concat(F.lit("doc"), (key % 5).cast("string")))
     text = F.concat(F.lit('"'), term, F.when(key % 10 == 0, '" has the meaning set forth herein').otherwise('" means as follows.'))
     a = table(spark, sf, "part").select(key.alias("assertion_id"), doc.alias("doc_id"), term.alias("term"), text.alias("assertion_text"), F.lit("definition").alias("kind"), _meaning(key).alias("definition_text"))
-    mined = definitions.mined_pairs(a, 3000)
-    return mined.select("a_id", "b_id", "term_key", "category", "term", "def_a", "def_b", ids.mined_pair_id(F.col("term_key"), F.col("a_id").cast("string"), F.col("b_id").cast("string")).alias("pair_id"))
+    return definitions.mined_pairs(a, 3000)
+
+
+@query(_MINED_SQL.replace("{0}", "a_id, b_id, term_key, category, term, def_a, def_b, pair_id"))
+def mined_definition_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return _mined(spark, sf).select("a_id", "b_id", "term_key", "category", "term", "def_a", "def_b", ids.mined_pair_id(F.col("term_key"), F.col("a_id").cast("string"), F.col("b_id").cast("string")).alias("pair_id"))
 
 
 @query(f"WITH {_DEFS_SQL} SELECT substr(sha256('run' || 'definition_suppressed' || a_id::VARCHAR || b_id::VARCHAR), 1, 16) finding_id, a_id assertion_a_id, b_id assertion_b_id FROM pairs WHERE suppressed")

@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dissona.functions import ids
-from dissona.operators import audit, evaluation, store
+from dissona.operators import audit, definitions, evaluation, store
 from dissona.runtime import durable, remove, shared_dir, table
 from dissona.sources import readers, sinks
 
 from . import harness, plugins
-from .queries import _FINDINGS_SQL, _REVIEWS_SQL, Query, _findings, _reviewed, _reviews, query
+from .queries import _FINDINGS_SQL, _MINED_SQL, _REVIEWS_SQL, Query, _findings, _mined, _reviewed, _reviews, query
 from .workspace import Workspace
 
 
@@ -338,3 +338,35 @@ def checked_writes(spark: SparkSession, sf: str) -> DataFrame:
         except store.RefusedError as x:
             refused += x.counts["verdict"]
     return store.read_checked(spark, folder).groupBy("verdict").agg(F.count("*").alias("n")).withColumn("refused", F.lit(refused).cast("long"))
+
+
+@round_trip(_MINED_SQL.replace("{0}", "pair_id, category, term, def_a, def_b, doc_a, doc_b, '' AS label"))
+def candidate_lines_read(spark: SparkSession, sf: str) -> DataFrame:
+    """The miner's lines, written and read."""
+    path = f"{_folder(spark)}/candidates"
+    sinks.write_lines(definitions.candidate_lines(_mined(spark, sf)), path)
+    return spark.read.schema(", ".join(f"{c} string" for c in ("pair_id", "category", "term", "def_a", "def_b", "doc_a", "doc_b", "label"))).json(path)
+
+
+@round_trip(f"WITH {_FINDINGS_SQL}, {_REVIEWS_SQL} SELECT detector_type, count(*) FILTER (reviewer_verdict = 'confirmed') n_confirmed, count(*) FILTER (reviewer_verdict = 'false_positive') n_false_positive FROM reviewed WHERE reviewer_verdict IS NOT NULL GROUP BY 1")
+def metrics_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Measures, written as JSON and read."""
+    path = f"{_folder(spark)}/metrics"
+    sinks.write_json(evaluation.detector_precision(_reviewed(spark, sf)), path)
+    return spark.read.schema("detector_type string, n_confirmed long, n_false_positive long").json(path)
+
+
+@query("SELECT count(*) FILTER (c_custkey % 2 = 0 OR c_custkey % 3 = 0) n, count(*) FILTER (c_custkey % 3 = 0 AND c_custkey % 2 <> 0) n_new, true other_corpus, true no_corpus FROM customer")
+def inserted_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of one corpus, some of them there already; one of another corpus, and one of none, are refused."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), F.lit("main").alias("corpus_id"), F.col("c_name").alias("text"))
+    there, new = c.filter("doc_id % 2 = 0"), c.filter("doc_id % 3 = 0")
+    refused = []
+    for corpus in ("other", None):
+        try:
+            store.insert_documents(there, new.withColumn("corpus_id", F.lit(corpus).cast("string")), ["doc_id"]).count()
+            refused.append(False)
+        except (store.CrossCorpusDocumentError, ValueError):
+            refused.append(True)
+    out = store.insert_documents(there, new.unionByName(new), ["doc_id"])
+    return out.agg(F.count("*").alias("n"), F.count_if((F.col("doc_id") % 2) != 0).alias("n_new")).select("*", F.lit(refused[0]).alias("other_corpus"), F.lit(refused[1]).alias("no_corpus"))

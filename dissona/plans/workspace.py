@@ -7,8 +7,8 @@ version: the later one gets a ConflictError. A step that is run again finds its
 
 from __future__ import annotations
 
-import contextlib
 import json
+import logging
 import re
 import threading
 import time
@@ -254,10 +254,12 @@ class Workspace:
             time.sleep(poll)
 
     def in_background(self, step: Callable[[], object]) -> threading.Thread:
-        """A step (ingest or check) in a thread of its own; what it raises is in the run's events."""
+        """A step (ingest or check) in a thread of its own; what it raises is in the log, and in the run's events if it has begun one."""
         def run() -> None:
-            with contextlib.suppress(Exception):  # written to the run by the step
+            try:
                 step()
+            except Exception:
+                logging.getLogger("dissona").exception("a step in the background broke off")
 
         thread = threading.Thread(target=run, daemon=True)
         thread.start()
