@@ -40,6 +40,7 @@ from .vectors import integer_vectors, largest_inner, packed, unpacked
 
 #: Pivots at the most, sampled rows for each. Anchors of a group and a block, rows of a slice, about. Classes of labels.
 PIVOTS, SEEDS, ANCHORS, SLICE, CLASSES, SCALE = 256, 16, 512, 4096, 16, 256
+GROUP = ("g", "class", "block", "slice")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -117,7 +118,6 @@ class Groups:
     least: np.ndarray
     greatest: np.ndarray
     wants: np.ndarray
-    slices: np.ndarray | None = None
 
 
 def _chain(pivots: np.ndarray) -> np.ndarray:
@@ -223,33 +223,33 @@ def _serve(base: DataFrame, asking: DataFrame, space: Space, by_class: bool, anc
     for g, c, n in given.mapInArrow(counted, "g int, c int, n long").groupBy("g", "c").agg(F.sum("n")).collect():  # at most pivots times classes
         slices[g, c] = -(-n // rows)
 
-    key = "g int, class int, block int, slice int, "
-    keys = [f.split()[0] for f in key.rstrip(", ").split(", ")]
-
-    def spread(at: np.ndarray, g: np.ndarray, c: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def spread(times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each entry as often as `times` says, and the number of the copy."""
-        again = np.repeat(np.arange(len(at)), times)
+        again = np.repeat(np.arange(len(times)), times)
         return again, np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
 
+    def dealt(b: pa.RecordBatch, at: np.ndarray, *to: np.ndarray) -> pa.RecordBatch:
+        """Rows of a batch, each with its group, class, block and slice."""
+        return _batch([*(pa.array(v, pa.int32()) for v in to), *b.take(pa.array(at)).columns], [*GROUP, *b.schema.names])
+
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, g, own, row = served(b)
-            c = own[at]
-            again, block = spread(at, g, c, groups.blocks[g])
-            part = _hash(row[at]) % slices[g, c].astype(np.uint64)
-            yield _batch([*(pa.array(v[again] if v is not block else v, pa.int32()) for v in (g, c, block, part)), *b.take(pa.array(at[again])).columns], [*keys, *b.schema.names])
+            c, part = own[at], _hash(row[at])
+            again, block = spread(groups.blocks[g])
+            yield dealt(b, at[again], g[again], c[again], block, (part % slices[g, c].astype(np.uint64))[again])
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, cell, c = b.column(0).to_numpy(), b.column(b.num_columns - 2).to_numpy(), b.column(b.num_columns - 1).to_numpy()
-            g = of_cell[cell]
-            again, part = spread(row, g, c, slices[g, c])
-            block = _hash(row) % groups.blocks[g].astype(np.uint64)
-            yield _batch([*(pa.array(v[again] if v is not part else v, pa.int32()) for v in (g, c, block, part)), *b.take(pa.array(again)).columns[:-2]], [*keys, *b.schema.names[:-2]])
+            g, c = of_cell[b.column(b.num_columns - 2).to_numpy()], b.column(b.num_columns - 1).to_numpy()
+            again, part = spread(slices[g, c])
+            block = _hash(b.column(0).to_numpy()) % groups.blocks[g].astype(np.uint64)
+            yield dealt(b.select(range(b.num_columns - 2)), again, g[again], c[again], block[again], part)
 
     further = ", ".join(f"{f} {t}" for f, t in asking.dtypes[:-2])
-    left = asking.mapInArrow(asked, key + further).withColumn("asks", F.lit(True))
-    right = given.mapInArrow(sent, key + _ROW).withColumn("asks", F.lit(False))
+    key = ", ".join(f"{c} int" for c in GROUP)
+    left = asking.mapInArrow(asked, f"{key}, {further}").withColumn("asks", F.lit(True))
+    right = given.mapInArrow(sent, f"{key}, {_ROW}").withColumn("asks", F.lit(False))
     return left.unionByName(right, allowMissingColumns=True)
 
 
@@ -306,8 +306,7 @@ def hard_negatives(vectors: DataFrame, anchors: Column, label: Column, *, id_col
         source, target = first_of(s, allowed, b.column("id").to_numpy(), rows, positives)
         return pa.table({"a_row": a.column("row").to_numpy()[source], "p_id": b.column("id").to_numpy()[target], "p_row": rows[target], "score": s[source, target]})
 
-    groups = ["g", "class", "block", "slice"]
-    met = _serve(base, asking, space, True, block, slice_rows).groupBy(*groups).applyInArrow(meet_positives, "a_row long, p_id long, p_row long, score long")
+    met = _serve(base, asking, space, True, block, slice_rows).groupBy(*GROUP).applyInArrow(meet_positives, "a_row long, p_id long, p_row long, score long")
     best = _ranked(met, ["a_row"], "p_id", "p_row", positives)
     listed = best.groupBy("a_row").agg(F.array_sort(F.collect_list(F.struct("rank", "p_id", "score"))).alias("p"))  # a few each
     wanted = base.filter("anchor").select("row", "id", "label", "x").join(listed, F.col("row") == F.col("a_row")).select("row", "id", "label", "x", F.col("p.p_id").alias("p_ids"), F.col("p.score").alias("p_scores"))
@@ -352,6 +351,6 @@ def hard_negatives(vectors: DataFrame, anchors: Column, label: Column, *, id_col
                 own.extend(np.asarray(v).tolist())
         return pa.table({f: pa.array(v, pa.int64()) for f, v in zip(("a_row", "place", "anchor_id", "positive_id", "positive_score", "negative_id", "n_row", "score"), out, strict=True)})
 
-    met = _serve(base, needing, space, False, block, slice_rows).groupBy(*groups).applyInArrow(meet_negatives, "a_row long, place long, anchor_id long, positive_id long, positive_score long, negative_id long, n_row long, score long")
+    met = _serve(base, needing, space, False, block, slice_rows).groupBy(*GROUP).applyInArrow(meet_negatives, "a_row long, place long, anchor_id long, positive_id long, positive_score long, negative_id long, n_row long, score long")
     out = _ranked(met, ["a_row", "place"], "negative_id", "n_row", negatives)
     return out.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), "negative_id", "positive_score", F.col("score").alias("negative_score"))
