@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import alpha_count, alpha_ratio, strip
+from .text import alpha_count, alpha_ratio, let, strip
 
 # Patterns and thresholds of the reasons.
 PAGE = r"(?i)^(?:page\s+)?\d{1,4}$|^[-–—]\s*\d{1,4}\s*[-–—]$"
@@ -17,12 +17,14 @@ LONG, RATIO, FEW, POINTER_LETTERS = 8, 0.15, 10, 30
 
 def junk_line(x: Column | str) -> Column:
     """page_number, dot_leader or mostly_non_alpha; null for a clean, blank or missing line."""
-    bare = strip(x)
-    return F.when(bare == "", None).when(bare.rlike(PAGE), "page_number").when(bare.rlike(LEADER), "dot_leader").when((F.length(bare) >= LONG) & (alpha_ratio(bare) < RATIO), "mostly_non_alpha")
+    return let(strip(x), lambda bare: F.when(bare == "", None).when(bare.rlike(PAGE), "page_number").when(bare.rlike(LEADER), "dot_leader").when((F.length(bare) >= LONG) & (alpha_ratio(bare) < RATIO), "mostly_non_alpha"))
 
 
 def junk_assertion(x: Column | str) -> Column:
     """dot_fragment, mostly_non_alpha, near_empty or cross_reference; null for a clean or missing text."""
-    bare = strip(x)
-    pointer = bare.rlike(POINTER) & bare.rlike(TARGET) & (alpha_count(bare) < POINTER_LETTERS)
-    return F.when(bare.rlike(LEADER), "dot_fragment").when((F.length(bare) >= LONG) & (alpha_ratio(bare) < RATIO), "mostly_non_alpha").when(alpha_count(bare) < FEW, "near_empty").when(pointer, "cross_reference")
+
+    def reason(bare: Column) -> Column:
+        pointer = bare.rlike(POINTER) & bare.rlike(TARGET) & (alpha_count(bare) < POINTER_LETTERS)
+        return F.when(bare.rlike(LEADER), "dot_fragment").when((F.length(bare) >= LONG) & (alpha_ratio(bare) < RATIO), "mostly_non_alpha").when(alpha_count(bare) < FEW, "near_empty").when(pointer, "cross_reference")
+
+    return let(strip(x), reason)

@@ -6,12 +6,10 @@ the same expression, put together again up to that number.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col, strip
+from .text import col, let, strip
 
 # Direction verbs by direction, articles, scope and number patterns, unit names.
 UP = "grew grow grows growing rose rise rises rising risen increased increase increases increasing gained gain gains gaining expanded expand expands expanding jumped jump jumps jumping surged surge surges surging added adds adding climbed climb climbs climbing".split()
@@ -26,11 +24,6 @@ TYPE = "array<struct<metric:string,value:double,unit:string,polarity:string,scop
 _SPACE = r"(?U)\s+"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once: inside a lambda an expression would be computed at each of its places."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _map(values: dict[str, str]) -> Column:
     return F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
 

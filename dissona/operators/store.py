@@ -141,7 +141,9 @@ def element_text(elements: DataFrame) -> DataFrame:
     from dissona.functions.junk import junk_line
     from dissona.functions.text import strip
 
-    kept = elements.withColumn("text", strip("text")).filter((F.col("text") != "") & junk_line("text").isNull())
+    rest = [c for c in elements.columns if c != "text"]
+    made = elements.select(*rest, F.inline(F.array(F.struct(strip("text").alias("text"), junk_line("text").alias("__reason")))))  # a generator: a plain column would be computed anew in the filter
+    kept = made.filter("text <> '' and __reason is null").select(*elements.columns)
     dealt = kept.withColumn("__slice", F.floor(F.col("idx") / SLICE)).repartition("doc_id", "__slice")
     size = F.length("text") + 2
     within = Window.partitionBy("doc_id", "__slice").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
