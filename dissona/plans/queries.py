@@ -187,9 +187,15 @@ def doc_dedup_first(spark: SparkSession, sf: str) -> DataFrame:
     return store.first_wins(d, ["h"], ["doc_id"]).select("doc_id", "lang")
 
 
-@query(rf"""WITH {_LINES_SQL}, bare AS (SELECT {_BARE} t FROM lines) SELECT reason, count(*) n FROM (SELECT CASE WHEN t = '' THEN NULL WHEN regexp_matches(t, '^(page\s+)?\d{{1,4}}$', 'i') OR regexp_matches(t, '^[-–—]\s*\d{{1,4}}\s*[-–—]$') THEN 'page_number' WHEN regexp_matches(t, '\.{{5,}}') THEN 'dot_leader' WHEN length(t) >= 8 AND {_ALPHA.format('t')} / length(t)::DOUBLE < 0.15 THEN 'mostly_non_alpha' END reason FROM bare) GROUP BY 1""")
+_JUNK = ("Page {}", "  {}", "- {} -", "Chapter one ..... {}", "#{} 123-456 / 789", "plain line {}", "page {} of many")
+
+
+@query(rf"""WITH {_LINES_SQL}, bare AS (SELECT {_BARE} t FROM lines UNION ALL SELECT trim(replace(p, '{{}}', (c_custkey % 2000)::VARCHAR)) FROM customer, (SELECT unnest({list(_JUNK)}) p)) SELECT reason, count(*) n FROM (SELECT CASE WHEN t = '' THEN NULL WHEN regexp_matches(t, '^(page\s+)?\d{{1,4}}$', 'i') OR regexp_matches(t, '^[-–—]\s*\d{{1,4}}\s*[-–—]$') THEN 'page_number' WHEN regexp_matches(t, '\.{{5,}}') THEN 'dot_leader' WHEN length(t) >= 8 AND {_ALPHA.format('t')} / length(t)::DOUBLE < 0.15 THEN 'mostly_non_alpha' END reason FROM bare) GROUP BY 1""")
 def junk_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return _lines(spark, sf).groupBy(junk.junk_line("text").alias("reason")).agg(F.count("*").alias("n"))
+    """Lines of documents, and for each customer lines that are junk, or look like it."""
+    number = (F.col("c_custkey") % 2000).cast("string")
+    planted = table(spark, sf, "customer").select(F.explode(F.array(*(F.replace(F.lit(p), F.lit("{}"), number) for p in _JUNK))).alias("text"))
+    return _lines(spark, sf).select("text").unionByName(planted).groupBy(junk.junk_line("text").alias("reason")).agg(F.count("*").alias("n"))
 
 
 _POINTING = ("See Section {}.", "as defined in Article {}", "AS SET FORTH herein {}", "As provided above, {} of the agreement is ended", "See you there, {}", "described in Section {}", "as describedly in Section {}")
