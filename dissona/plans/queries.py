@@ -80,7 +80,7 @@ pairs AS (SELECT a.id a_id, b.id b_id, a.term_key, (a.org_key <> '' AND b.org_ke
 
 
 def _sentences(spark: SparkSession, sf: str) -> DataFrame:
-    o, c = table(spark, sf, "orders"), table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
+    o, c = table(spark, sf, "orders").repartition("o_custkey"), table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")  # a customer's orders together, as the join would have them
     verb = F.when(F.col("o_orderstatus") == "F", "rose").when(F.col("o_orderstatus") == "O", "fell").otherwise("was")
     sentence = F.concat(F.lit("The "), F.lower("c_mktsegment"), F.lit(" revenue, "), verb, F.lit(" $"), F.floor("o_totalprice").cast("long").cast("string"), F.lit(" million in "), F.year("o_orderdate").cast("string"), F.lit("."))
     return o.join(c, "o_custkey").select("o_orderkey", "o_custkey", "o_orderdate", sentence.alias("sentence"))
