@@ -323,13 +323,14 @@ def split_scores(model: NliChecker, pairs: list[tuple[str, str]]) -> list[tuple[
     sentence which contradicts most (the first of several), so that what stands in its tail is seen. One sentence goes as it is.
     """
     most = getattr(model, "max_tokens", None)
-    parts, owners = [], []
+    parts, owners, split = [], [], {}
     sizes = model.count_tokens([t for pair in pairs for t in pair]) if most is not None else []
     for i, (p, h) in enumerate(pairs):
         own = [p]
         if most is not None and sizes[2 * i] + sizes[2 * i + 1] + PAIR_TOKENS > most:
-            own = [t for s, e in sentence_spans(p) if (t := p[s:e].strip())]
-            own = own if len(own) > 1 else [p]
+            if p not in split:  # premises repeat within a batch
+                split[p] = [t for s, e in sentence_spans(p) if (t := p[s:e].strip())]
+            own = split[p] if len(split[p]) > 1 else [p]
         parts += [(t, h) for t in own]
         owners += [i] * len(own)
     order = sorted(range(len(parts)), key=lambda j: len(parts[j][0]) + len(parts[j][1]))
