@@ -50,11 +50,13 @@ def definition_classes(defs: DataFrame, *, exact: bool = False) -> tuple[DataFra
     return x.select("assertion_id", "class_id"), pairs
 
 
-def pass_counts(found: DataFrame) -> DataFrame:
-    """n_judged, n_divergent, n_short_circuited, n_suppressed of a definition pass's findings."""
+def pass_counts(found: DataFrame, n_pairs: str | None = None) -> DataFrame:
+    """n_judged, n_divergent, n_short_circuited, n_suppressed of a definition pass's findings, or of classes, whose rows stand for n_pairs each."""
     v = F.col("judge_verdict")
     short = v == "definition_consistent_auto"
-    return found.agg(F.count_if(v.isNotNull() & ~short).alias("n_judged"), F.count_if(v == "definition_divergent").alias("n_divergent"), F.count_if(short).alias("n_short_circuited"), F.count_if(F.col("suppressed")).alias("n_suppressed"))
+    n = F.lit(1) if n_pairs is None else F.col(n_pairs)
+    count = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0)).cast("long")
+    return found.agg(count(v.isNotNull() & ~short).alias("n_judged"), count(v == "definition_divergent").alias("n_divergent"), count(short).alias("n_short_circuited"), count(F.col("suppressed")).alias("n_suppressed"))
 
 
 def definition_pair_counts(defs: DataFrame, *, across_organisations: bool = True) -> DataFrame:
