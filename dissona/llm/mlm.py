@@ -11,8 +11,8 @@ Tokens are lowered words. Their number follows from the corpus: with n words in
 of the square root of n) or more stands by itself, the others by one of as many hash buckets.
 
 Training is numpy on the executors, over every document: each round masks other positions of it, chosen by a hash of the text and the
-place, so that no choice depends on where a document lies; all rounds together mask `share` of the positions (all of them with
-share 1). A task descends along the gradient of the losses by Adagrad, and sends its weights; they are averaged by tokens (iterative
+place, so that no choice depends on where a document lies; all rounds together mask `share` of the positions, all of them
+unless a caller asks for less. A task descends along the gradient of the losses by Adagrad, and sends its weights; they are averaged by tokens (iterative
 parameter mixing), from a task for each MIXER_BYTES of text, whatever the cluster, unless `mixers` says otherwise. Word counts and
 weights are summed by shuffles; what reaches the driver is as long as the vocabulary, which grows more slowly than the corpus. Tasks
 read the network from the shared folder, once for each Python worker.
@@ -44,7 +44,7 @@ from dissona.runtime import durable, remove, shared_dir, ship, stored
 from .common import id_and_text, map_rows
 
 WIDTH, WINDOW = 8, 2
-ROUNDS, SHARE, RATE, BATCH, FLUSH, DAMPING = 1, 0.5, 0.2, 4096, 500_000, 1e-6
+ROUNDS, SHARE, RATE, BATCH, FLUSH, DAMPING = 1, 1.0, 0.2, 4096, 500_000, 1e-6
 REMEMBERED, ROW, CHUNK, TOP = 300_000, 16, 2048, 64
 MIXER_BYTES = 128 << 20
 
