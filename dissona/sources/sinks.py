@@ -57,8 +57,8 @@ def junk_drops(elements: DataFrame, stage: str, reason) -> DataFrame:
     return elements.withColumn("reason", reason).filter("reason is not null").select(F.lit(stage).alias("stage"), "reason", "doc_id", F.substring("text", 1, 200).alias("text_snippet"))
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
+def write_csv(df: DataFrame, path: str, compression: str = "none") -> None:
+    df.write.mode("overwrite").option("header", "true").option("escape", '"').option("compression", compression).csv(path)
 
 
 def write_lines(df: DataFrame, path: str) -> None:
