@@ -140,10 +140,9 @@ def _streamed(rows: DataFrame, k: int, n: int, width: int, kind: str, least: flo
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder)
         for ids, m in held(batches):
-            far = np.arccos(np.clip(m @ pivots.T, -1, 1)) if pruned else None
             source, target, value = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
             for name, q, radius in listed:
-                at = np.flatnonzero((far[:, q] <= radius + reach).any(1)) if pruned else np.arange(len(m))
+                at = np.flatnonzero((np.arccos(np.clip(m @ pivots[q].T, -1, 1)) <= radius + reach).any(1)) if pruned else np.arange(len(m))  # a file's pivots only
                 if not len(at):
                     continue
                 with store.open_input_file(f"{base}/{name}") as f:
