@@ -7,7 +7,7 @@ the token's probability is the product of the decisions (Morin and Bengio, 2005)
 training they are the tokens' shares, whatever the context. A document's score is the sum of the logarithms of its tokens'
 conditional probabilities (its pseudo-log-likelihood), and the mean of them.
 
-Tokens are lowered words. Their number follows from the corpus: with n words in all, each that is there `rarest(n)` times (an eighth
+Tokens are lowered words, split and hashed by columns of Arrow and numpy as Python would one by one. Their number follows from the corpus: with n words in all, each that is there `rarest(n)` times (an eighth
 of the square root of n) or more stands by itself, the others by one of as many hash buckets.
 
 Training is numpy on the executors, over every document: each round masks other positions of it, chosen by a hash of the text and the
@@ -29,12 +29,12 @@ import math
 import pickle
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,9 +44,13 @@ from dissona.runtime import durable, remove, shared_dir, ship, stored
 from .common import id_and_text, map_rows
 
 WIDTH, WINDOW = 8, 2
-ROUNDS, SHARE, RATE, BATCH, FLUSH, DAMPING = 1, 1.0, 0.2, 4096, 500_000, 1e-6
-REMEMBERED, ROW, CHUNK, TOP = 300_000, 16, 2048, 64
-MIXER_BYTES = 128 << 20
+ROUNDS, SHARE, RATE, BATCH, DAMPING = 1, 1.0, 0.2, 4096, 1e-6
+ROW, CHUNK, TOP = 16, 8192, 16
+MIXER_BYTES, COUNTED_BYTES = 128 << 20, 64 << 20
+#: Letters that Arrow may lower in another way than Python, by context or by the version of Unicode.
+ODD = "[\u0130\u03a3\u1c80-\u1cff\ua640-\ua7ff\U00010000-\U0010ffff]"
+#: Words beyond so many bytes are hashed one by one.
+LONG = 256
 
 
 def rarest(n: int) -> int:
@@ -54,21 +58,64 @@ def rarest(n: int) -> int:
     return max(1, math.isqrt(n) // 8)
 
 
-class Vocabulary(dict):
-    """Token numbers of words: kept words have their own, others a bucket by hash. A bounded number of others is remembered."""
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, as Python lowers and splits them, and each text's count."""
+    texts = texts.fill_null("")
+    odd, low = pc.match_substring_regex(texts, ODD), pc.utf8_lower(texts)
+    if pc.any(odd).as_py():
+        low = pc.replace_with_mask(low, odd, pa.array([t.lower() for t in texts.filter(odd).to_pylist()], pa.string()))
+    parts = pc.utf8_split_whitespace(low)
+    words, lengths = parts.flatten(), pc.list_value_length(parts).to_numpy()
+    there = pc.greater(pc.binary_length(words), 0)
+    owner = np.repeat(np.arange(len(texts)), lengths)
+    return words.filter(there), np.bincount(owner[there.to_numpy(zero_copy_only=False)], minlength=len(texts))
+
+
+def _crc_table() -> np.ndarray:
+    t = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        t = np.where(t & 1, t >> 1 ^ np.uint32(0xEDB88320), t >> 1)
+    return t
+
+
+_CRC = _crc_table()
+
+
+def crc32(words: pa.Array) -> np.ndarray:
+    """zlib's crc32 of each word's bytes, a byte of all words at a time."""
+    if not len(words):
+        return np.empty(0, np.uint32)
+    _, ends, data = words.buffers()
+    ends = np.frombuffer(ends, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8)
+    length = np.diff(ends)
+    order = np.argsort(-np.minimum(length, LONG), kind="stable")
+    at, left = ends[:-1][order], length[order]
+    more = len(words) - np.searchsorted(left[::-1], np.arange(min(left.max(), LONG)), "right")  # words that have such a byte
+    state = np.full(len(words), 0xFFFFFFFF, np.uint32)
+    for k, m in enumerate(more.tolist()):
+        state[:m] = _CRC[(state[:m] ^ data[at[:m] + k]) & np.uint32(255)] ^ (state[:m] >> np.uint32(8))
+    got = np.empty_like(state)
+    got[order] = ~state
+    for i in np.flatnonzero(length > LONG).tolist():
+        got[i] = zlib.crc32(data[ends[i] : ends[i + 1]])
+    return got
 
-    def __init__(self, words: dict[str, int], buckets: int):
-        super().__init__(words)
-        self.size, self.buckets = len(words), buckets
 
-    def __missing__(self, word: str) -> int:
-        number = self.size + zlib.crc32(word.encode("utf-8", "surrogatepass")) % self.buckets
-        if len(self) < REMEMBERED:
-            self[word] = number
-        return number
-
-    def __reduce__(self):
-        return Vocabulary, ({w: i for w, i in self.items() if i < self.size}, self.buckets)
+@dataclass
+class Vocabulary:
+    """Token numbers of words: kept words have their own, others a bucket by hash."""
+
+    words: pa.Array
+    buckets: int
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        own = pc.index_in(words, value_set=self.words)
+        got = own.fill_null(0).to_numpy().astype(np.int64)
+        if own.null_count:
+            other = own.is_null()
+            got[other.to_numpy(zero_copy_only=False)] = len(self.words) + crc32(words.filter(other)) % np.uint32(self.buckets)
+        return got
 
 
 @dataclass
@@ -82,6 +129,15 @@ class Network:
     scale: np.ndarray  # offset x width
     out: np.ndarray  # node x width
     bias: np.ndarray  # of each node
+    high: np.ndarray = field(init=False, repr=False)  # token x TOP first nodes: the side where it is on the token's way, or else 0
+    low: np.ndarray = field(init=False, repr=False)  # of each token, how many steps of its way, all at its beginning, are beyond those
+
+    def __post_init__(self) -> None:
+        beyond = self.nodes >= TOP
+        self.low = np.add.reduceat(beyond, self.first, dtype=np.int64).astype(np.uint8 if self.steps.max() < 1 << 8 else np.int64)
+        self.high = np.zeros((len(self.steps), len(self.bias[:TOP])), np.int8)
+        at = np.flatnonzero(~beyond)
+        self.high[np.repeat(np.arange(len(self.steps)), self.steps)[at], self.nodes[at]] = self.sides[at]
 
     @property
     def parts(self) -> list[np.ndarray]:
@@ -89,94 +145,126 @@ class Network:
 
     def tokens(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Token numbers of all texts with `window` edges between, and each text's count."""
-        edge, number = [len(self.embed) - 1] * WINDOW, self.words.__getitem__
-        flat, counts = list(edge), []
-        for t in texts:
-            own = t.lower().split() if t else []
-            counts.append(len(own))
-            flat += map(number, own)
-            flat += edge
-        return np.array(flat, np.uint16 if len(self.embed) < 1 << 16 else np.int32), np.array(counts, np.int64)
-
-    def hidden(self, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """What both sides of some places say, and the embeddings it is made of."""
-        near = [self.embed.take(flat[at + o], axis=0) for o in OFFSETS]
+        words, counts = split(pa.array(texts, pa.string()))
+        flat = np.full(len(words) + WINDOW * (len(texts) + 1), len(self.embed) - 1, np.uint16 if len(self.embed) < 1 << 16 else np.int32)
+        flat[positions(counts)] = self.words.numbers(words)
+        return flat, counts
+
+    def hidden(self, near: list[np.ndarray]) -> np.ndarray:
+        """What both sides of some places say, by their embeddings."""
         total = near[0] * self.scale[0]
         for e, s in zip(near[1:], self.scale[1:], strict=True):
             total += e * s
-        return np.tanh(total, out=total), near
-
-    def decisions(self, h: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of all steps on the ways of some tokens, one way after the other: places of h, nodes, sides, log odds of the side taken, which nodes are beyond the TOP first; and where each way begins.
-
-        The TOP first nodes, half of all steps, come from one matrix product; rows are laid out only for the others.
-        """
-        steps = self.steps[token]
-        ends = np.cumsum(steps)
-        begin = ends - steps
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[token] - begin, steps)
-        place, node, side = np.repeat(np.arange(len(token)), steps), self.nodes[at], self.sides[at]
-        top = h @ self.out[:TOP].T
-        low = np.flatnonzero(node >= TOP)
-        z = top.take(place * top.shape[1] + np.minimum(node, top.shape[1] - 1))
-        z[low] = np.einsum("ij,ij->i", h.take(place[low], axis=0), self.out.take(node[low], axis=0))
-        z += self.bias[node]
+        return np.tanh(total, out=total)
+
+    def top(self, h: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the TOP first nodes, half of all steps: sides (0 where a node isn't on the way), and log odds of the side taken."""
+        side = self.high.take(token, axis=0).astype(np.float32)
+        z = h @ self.out[:TOP].T
+        z += self.bias[:TOP]
         z *= side
-        return place, node, side, np.clip(z, -30, 30, out=z), low, begin
+        return side, np.clip(z, -30, 30, out=z)
+
+    def levels(self, h: np.ndarray, token: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """The other steps, one of each token at a time: nodes, their rows of out, sides, log odds. Tokens come by falling number of these steps, so those of a level are the first ones."""
+        low = self.low[token]
+        first = self.first[token]
+        for k, m in enumerate((len(low) - np.searchsorted(low[::-1], np.arange(low[0] if len(low) else 0), "right")).tolist()):
+            at = first[:m] + k
+            node, side = self.nodes.take(at), self.sides.take(at)
+            row = self.out.take(node, axis=0)
+            z = np.einsum("ij,ij->i", h[:m], row)
+            z += self.bias.take(node)
+            z *= side
+            yield node, row, side, np.clip(z, -30, 30, out=z)
+
+    def falling(self, token: np.ndarray) -> np.ndarray:
+        """The order that `levels` asks for."""
+        return np.argsort(self.low[token], kind="stable")[::-1]
 
     def log_probabilities(self, flat: np.ndarray, start: int, end: int) -> np.ndarray:
         """Of the tokens at all places from start to end, edges among them."""
         got = np.empty(end - start, np.float32)
         for i in range(start, end, CHUNK):
             j = min(i + CHUNK, end)
-            h, _ = self.hidden(flat, np.arange(i, j))
-            _, _, _, z, _, begin = self.decisions(h, np.minimum(flat[i:j], len(self.steps) - 1))
-            got[i - start : j - start] = -np.add.reduceat(np.log1p(np.exp(-z)), begin)
+            token = np.minimum(flat[i:j], len(self.steps) - 1)
+            e = self.embed.take(flat[i - WINDOW : j + WINDOW], axis=0)
+            order = self.falling(token)
+            h, token = self.hidden([e[WINDOW + o : WINDOW + o + j - i] for o in OFFSETS]).take(order, axis=0), token[order]
+            side, z = self.top(h, token)
+            np.exp(np.negative(z, out=z), out=z)
+            z *= np.abs(side, out=side)
+            z += 1
+            loss = np.log(z, out=z).sum(1)
+            for *_, z in self.levels(h, token):
+                loss[: len(z)] += np.log1p(np.exp(-z))
+            got[order + (i - start)] = -loss
         return got
 
     def learn(self, flat: np.ndarray, at: np.ndarray, sums: list[np.ndarray], rate: float) -> None:
         """One step of Adagrad on the masked positions."""
-        h, near = self.hidden(flat, at)
-        place, node, side, z, low, _ = self.decisions(h, flat[at])
-        g = -side / (1 + np.exp(z))
-        g /= len(at)
-        n = len(self.out[:TOP])
-        high = np.flatnonzero(node < TOP)
-        top = np.bincount(place[high] * n + node[high], g[high], len(at) * n).astype(np.float32).reshape(-1, n)
-        back = top @ self.out[:n]
-        rows = np.arange(n)
+        if not len(at):
+            return
+        at = at[self.falling(flat[at])]
+        token = flat[at]
+        near = [self.embed.take(flat[at + o], axis=0) for o in OFFSETS]
+        h = self.hidden(near)
+        top, z = self.top(h, token)
+        np.exp(z, out=z)
+        z += 1
+        z *= -len(at)
+        top /= z
+        rows = np.arange(top.shape[1])
+        back = top @ self.out[:TOP]
+        nodes, slopes, rises = [], [], []
+        for node, row, side, z in self.levels(h, token):
+            g = -side / (1 + np.exp(z))
+            g /= len(at)
+            back[: len(g)] += row * g[:, None]
+            nodes.append(node)
+            slopes.append(g)
+            rises.append(h[: len(g)] * g[:, None])
         descend(self.bias, rows, top.sum(0), sums[3], rate)
         descend(self.out, rows, top.T @ h, sums[2], rate)
-        if len(low):
-            place, node, g = place[low], node[low], g[low, None]
-            begin = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-            back[place[begin]] += np.add.reduceat(self.out.take(node, axis=0) * g, begin, axis=0)
-            there, by, order = grouped(node)
-            descend(self.out, there, np.add.reduceat((h.take(place, axis=0) * g).take(order, axis=0), by, axis=0), sums[2], rate)
-            descend(self.bias, there, np.add.reduceat(g[order, 0], by), sums[3], rate)
+        if nodes:
+            there, group = grouped(np.concatenate(nodes), len(self.bias))
+            descend(self.out, there, summed(np.concatenate(rises), group, len(there)), sums[2], rate)
+            descend(self.bias, there, summed(np.concatenate(slopes)[:, None], group, len(there))[:, 0], sums[3], rate)
         h *= h
         back *= 1 - h
-        there, by, order = grouped(np.concatenate([flat[at + o] for o in OFFSETS]))
+        there, group = grouped(np.concatenate([flat[at + o] for o in OFFSETS]), len(self.embed))
         scale = np.stack([np.einsum("ij,ij->j", back, e) for e in near])
-        embed = np.add.reduceat(np.concatenate([back * s for s in self.scale]).take(order, axis=0), by, axis=0)
+        embed = summed(np.concatenate([back * s for s in self.scale]), group, len(there))
         embed[there == len(self.embed) - 1] = 0
         descend(self.embed, there, embed, sums[0], rate)
         descend(self.scale, np.arange(len(scale)), scale, sums[1], rate)
 
 
-def grouped(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The different values, where each begins in the sorted array, and the order that sorts it."""
-    order = np.argsort(x, kind="stable")
-    x = x[order]
-    by = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-    return x[by], by, order
+def grouped(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different values, all below size, and the place of each entry's among them; without sorting."""
+    at = np.arange(len(x), dtype=np.int32)
+    one = np.empty(size, np.int32)
+    one[x] = at
+    own = one[x]
+    new = own == at
+    return x[new].astype(np.int64), (np.cumsum(new) - 1)[own]
+
+
+def summed(x: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
+    """The sums of the rows of each group."""
+    return np.stack([np.bincount(group, c, n) for c in x.T], 1).astype(np.float32)
 
 
 def descend(w: np.ndarray, at: np.ndarray, g: np.ndarray, sums: np.ndarray, rate: float) -> None:
     """Adagrad, in place, for the rows that have a gradient: weights, the rows, their gradient, the sums of its squares."""
-    s = sums[at] + g * g
+    s = sums.take(at, axis=0)
+    s += g * g
     sums[at] = s
-    w[at] -= rate * g / (np.sqrt(s) + np.float32(1e-6))
+    np.sqrt(s, out=s)
+    s += np.float32(1e-6)
+    np.divide(g, s, out=s)
+    s *= np.float32(rate)
+    w[at] = w.take(at, axis=0) - s
 
 
 def tree(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -211,17 +299,19 @@ def word_counts(docs: DataFrame) -> tuple[list[tuple[str, int]], np.ndarray]:
     ship(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(c: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([*c], pa.string()), pa.array([*c.values()], pa.int64())], ["word", "n"])
+        def rows(held: list[pa.Array]) -> pa.RecordBatch:
+            found = pa.chunked_array(held, pa.string()).value_counts()
+            return pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["word", "n"])
 
-        c: Counter = Counter()
+        held: list[pa.Array] = []
+        size = 0
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                c.update(t.lower().split())
-                if len(c) > FLUSH:
-                    yield rows(c)
-                    c = Counter()
-        yield rows(c)
+            held.append(split(batch.column(0))[0])
+            size += held[-1].nbytes
+            if size > COUNTED_BYTES:
+                yield rows(held)
+                held, size = [], 0
+        yield rows(held)
 
     with stored(docs.select("text").filter("text is not null").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))) as sums:
         least = rarest(sums.agg(F.sum("n")).first()[0] or 0)
@@ -238,7 +328,7 @@ def untrained(words: list[tuple[str, int]], by: np.ndarray, width: int = WIDTH,
     first, steps, nodes, sides, odds = tree(counts)
     embed = np.random.default_rng(seed).normal(0, 0.3, (len(counts) + 1, width)).astype(np.float32)
     embed[-1] = 0
-    return Network(Vocabulary({w: i for i, (w, _) in enumerate(words)}, len(by)), first, steps, nodes, sides, embed, np.ones((2 * WINDOW, width), np.float32), np.zeros((len(counts) - 1, width), np.float32), odds)
+    return Network(Vocabulary(pa.array([w for w, _ in words], pa.string()), len(by)), first, steps, nodes, sides, embed, np.ones((2 * WINDOW, width), np.float32), np.zeros((len(counts) - 1, width), np.float32), odds)
 
 
 def positions(counts: np.ndarray) -> np.ndarray:
