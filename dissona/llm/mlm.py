@@ -7,8 +7,9 @@ the token's probability is the product of the decisions (Morin and Bengio, 2005)
 training they are the tokens' shares, whatever the context. A document's score is the sum of the logarithms of its tokens'
 conditional probabilities (its pseudo-log-likelihood), and the mean of them.
 
-Tokens are lowered words, split and hashed by columns of Arrow and numpy as Python would one by one. Their number follows from the corpus: with n words in all, each that is there `rarest(n)` times (an eighth
-of the square root of n) or more stands by itself, the others by one of as many hash buckets.
+Tokens are lowered words, split and hashed by columns of Arrow and numpy as Python would one by one. Their number follows from
+the corpus: with n words in all, each that is there `rarest(n)` times (an eighth of the square root of n) or more stands by itself,
+the others by one of as many hash buckets.
 
 Training is numpy on the executors, over every document: each round masks other positions of it, chosen by a hash of the text and the
 place, so that no choice depends on where a document lies; all rounds together mask `share` of the positions, all of them
