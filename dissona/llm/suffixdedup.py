@@ -16,6 +16,11 @@ Each step asks of a key only whether it has two distinct places, by least and gr
 group of copies meets in one task. Of segments and blocks with one content, one goes on as partner of the others. Identical texts
 are one text; if there are two, all of it is repeated. Strings are compared by 128-bit hashes of their bytes (steps 1 and 2).
 
+Passages: apart from what is removed, each string of PASSAGE words that another document holds too counts, however many bytes it has.
+Anchors and blocks again, this time of words, leave the strings whose anchor and whose block's common words are in two texts; those
+are looked up by 64-bit hashes. A word is what stands between white space (ASCII), so passages that differ in white space alone are
+equal; repeats within one document don't count. Nothing is removed for a passage.
+
 Texts are dealt out once, each text once from each task: they go to a table bucketed by the hash of the text. What a later step has
 to look up in them is dealt by the same hash, so its joins move no text, whatever the size; nothing is broadcast. Places are named
 by the text's hash, so a text that comes from several tasks is still at one place.
@@ -28,7 +33,8 @@ anchors, so memory is bounded but for the text itself.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +46,9 @@ from dissona.runtime import bucketed, durable, ship, stored
 from .runs import equal_places
 
 LENGTH, GRAM, BLOCK, STRETCH, SEEN = 400, 48, 16, 1 << 22, 1_000_000
+PASSAGE, WORDS = 51, 8  # over 50 words; an anchor's words
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+_IN_WORD = np.array([0 if _SPACE.match(bytes([i])) else 1 for i in range(256)], np.int8)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLE = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -62,12 +71,45 @@ def gram_hashes(a: np.ndarray, k: int = GRAM) -> np.ndarray:
     np.cumsum(_TABLE[a] * up, out=total[1:])
     h = total[k:] - total[:-k]
     h *= down[: len(h)]
+    return _mixed(h)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
     return h
 
 
+def word_hashes(data: bytes, stretch: int = STRETCH) -> np.ndarray:
+    """A hash of each word, a stretch at a time."""
+    parts, at = [np.empty(0, np.uint64)], 0
+    while at < len(data):
+        cut = _SPACE.search(data, at + stretch) if at + stretch < len(data) else None
+        end = cut.start() if cut else len(data)
+        a = np.frombuffer(data, np.uint8)[at:end]
+        edges = np.flatnonzero(np.diff(_IN_WORD[a], prepend=np.int8(0), append=np.int8(0)))
+        parts.append(_Strings(_TABLE[a])(edges[::2], edges[1::2]))
+        at = end
+    return np.concatenate(parts)
+
+
+class _Strings:
+    """Hashes of strings of a sequence, by running sums."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        up, self.down = _power(len(values) + 1)
+        self.total = np.empty(len(values) + 1, np.uint64)
+        self.total[0] = 0
+        np.cumsum(values * up[:-1], out=self.total[1:])
+
+    def __call__(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return _mixed((self.total[end] - self.total[first]) * self.down[first])
+
+    def grams(self, k: int) -> np.ndarray:
+        return _mixed((self.total[k:] - self.total[:-k]) * self.down[: len(self.total) - k])
+
+
 def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
     """The least of each w neighbours, from running minima of blocks in both directions."""
     n = len(x)
@@ -81,11 +123,14 @@ def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
 
 def segments(data: bytes, length: int = LENGTH, gram: int = GRAM, stretch: int = STRETCH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Arrays anchor, its k-gram's hash, first window, end of windows: for a stretch of windows at a time."""
+    yield from _segments(np.frombuffer(data, np.uint8), gram_hashes, length, gram, stretch)
+
+
+def _segments(a: np.ndarray, hashes: Callable[[np.ndarray, int], np.ndarray], length: int, gram: int, stretch: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     bits = (stretch + length).bit_length()
     low = np.uint64((1 << bits) - 1)
-    for at in range(0, len(data) - length + 1, stretch):
-        a = np.frombuffer(data, np.uint8)[at : at + stretch + length - 1]
-        h = gram_hashes(a, gram)
+    for at in range(0, len(a) - length + 1, stretch):
+        h = hashes(a[at : at + stretch + length - 1], gram)
         least = sliding_least((h & ~low) | np.arange(len(h), dtype=np.uint64), length - gram + 1)
         anchor = (least & low).astype(np.int64)
         edges = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1], True])
@@ -182,8 +227,62 @@ def repeated_windows(texts: DataFrame, *, length: int = LENGTH, gram: int = GRAM
     return spans.unionByName(single.select("key", "first", (F.col("first") + 1).alias("end")))
 
 
-def remove_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, with_kept: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept, the bytes that stay (null without with_kept)."""
+def shared_passages(texts: DataFrame, *, passage: int = PASSAGE, gram: int = WORDS, block: int = BLOCK, stretch: int = STRETCH >> 4) -> DataFrame:
+    """texts (key BINARY, data BINARY; equal keys have equal data): key, passages, the first words of the strings of `passage` words that are in another text too."""
+    ship(texts.sparkSession)
+    block, i64 = min(block, passage), pa.int64()
+
+    def anchored(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, _Strings, int]]:
+        words = word_hashes(data) if len(data) >= 2 * passage - 1 else np.empty(0, np.uint64)
+        for at in range(0, len(words) - passage + 1, stretch):
+            here = _Strings(words[at : at + stretch + passage - 1])
+            for anchor, h, first, end in _segments(here.grams(gram), lambda x, _: x.copy(), passage - gram + 1, 1, stretch):
+                yield anchor, h, first, end, here, at
+
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cores, places = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for place, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for _, h, *_ in anchored(data.as_py()):
+                    cores.append(np.unique(h))
+                    places.append(np.full(len(cores[-1]), place, np.int64))
+            yield _batch(["core", "place"], [i64, i64], [np.concatenate(cores), np.concatenate(places)])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Where an anchor is in two texts: for each block of offsets, the words that all its strings share, the first string and the hashes of all."""
+        for batch in batches:
+            for place, data, cores in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                found = cores.values.to_numpy(zero_copy_only=False)
+                for anchor, h, first, end, here, at in anchored(data.as_py()):
+                    kept = np.isin(h, found)
+                    if not kept.any():
+                        continue
+                    a, first, end = anchor[kept], first[kept], end[kept]
+                    low, n = (a - end + 1) // block, (a - first) // block - (a - end + 1) // block + 1
+                    a, first, end = np.repeat(a, n), np.repeat(first, n), np.repeat(end, n)
+                    q = np.repeat(low, n) + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+                    e = a - q * block
+                    core = here(e, e - block + 1 + passage) ^ q.astype(np.uint64)
+                    s, e = np.maximum(e - block + 1, first), np.minimum(e + 1, end)
+                    w = np.concatenate([np.empty(0, np.int64), *map(np.arange, s, e)])
+                    strings = pa.ListArray.from_arrays(np.r_[0, np.cumsum(e - s)].astype(np.int32), pa.array(here(w, w + passage).view(np.int64)))
+                    yield _batch(["core", "place", "first", "strings"], [i64, i64, i64, pa.list_(i64)], [core.view(np.int64), np.full(len(a), place, np.int64), s + at, strings])
+
+    place = F.xxhash64("key").alias("place")
+    keys = texts.select(place, "key").distinct()
+    with stored(texts.select(place, "data").mapInArrow(anchors, "core long, place long")) as every:
+        left = durable(_shared(every).groupBy("place").agg(F.collect_set("core").alias("cores")).join(keys, "place").select("key", "cores"))
+    with stored(texts.join(left, "key").select(place, "data", "cores").mapInArrow(blocks, "core long, place long, first long, strings array<long>")) as every:
+        strings = _shared(every).select("place", "first", F.posexplode("strings").alias("i", "core"))
+        with stored(strings.select("core", "place", (F.col("first") + F.col("i")).alias("first"))) as every:
+            return durable(_shared(every).groupBy("place").agg(F.collect_set("first").alias("passages")).join(keys, "place").select("key", "passages"))
+
+
+def remove_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, passage: int = PASSAGE, with_kept: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept, the bytes that stay (null without with_kept).
+
+    Then n_passages, the maximal runs of words in strings of `passage` words that another document holds too, and passage_words, the words in them.
+    """
     spark = docs.sparkSession
     ship(spark)
     data = F.encode(F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")), "UTF-8")
@@ -202,32 +301,41 @@ def remove_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: s
                         seen.add(key)
             yield batch if len(new) == batch.num_rows else batch.take(pa.array(new, pa.int32()))
 
+    def runs_of(first: np.ndarray) -> tuple[int, int]:
+        """How many runs the strings that start at these words make, and their words."""
+        steps = np.diff(first)
+        return int((steps > passage).sum()) + (len(first) > 0), int(np.minimum(steps, passage).sum()) + passage * (len(first) > 0)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-        kinds = [pa.binary(), *[pa.int64()] * 3, pa.string(), pa.binary()]
+        fields = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "n_passages", "passage_words"]
+        kinds = [pa.binary(), *[pa.int64()] * 3, pa.string(), pa.binary(), *[pa.int64()] * 2]
         for batch in batches:
             rows: list[list] = [[] for _ in fields]
-            for key, data, parts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            for key, data, parts, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3), strict=True):
                 data = data.as_py()
                 kept, at, n = [], 0, 0
                 spans = sorted((p["first"], p["end"] + length - 1) for p in parts or [])
+                n_passages, passage_words = runs_of(np.sort(found.values.to_numpy(zero_copy_only=False)) if found.is_valid else np.empty(0, np.int64))
                 if spans and spans[0][0] < 0:  # the whole text is there twice
                     spans = [(0, len(data))] if len(data) >= length else []
+                    words = len(word_hashes(data))
+                    n_passages, passage_words = (1, words) if words >= passage else (0, 0)
                 for s, e in spans:
                     if s > at or not n:
                         n += 1
                         kept.append(data[at:s])
                     at = max(at, e)
                 kept = b"".join([*kept, data[at:]])
-                for c, v in zip(rows, (key, len(data), len(data) - len(kept), n, hashlib.sha256(kept).hexdigest(), kept if with_kept else None), strict=True):
+                for c, v in zip(rows, (key, len(data), len(data) - len(kept), n, hashlib.sha256(kept).hexdigest(), kept if with_kept else None, n_passages, passage_words), strict=True):
                     c.append(v)
             yield _batch(fields, kinds, rows)
 
     distinct = rows.select("key", "data").mapInArrow(once, "key binary, data binary")
     with bucketed(distinct.repartition("key"), "key") as texts:
+        passages = shared_passages(texts, passage=passage, gram=min(WORDS, passage))
         spans = repeated_windows(texts, length=length, gram=gram, block=block)
         copies = names.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", F.lit(-1).cast("long").alias("first"), F.lit(-1).cast("long").alias("end"))
         parts = spans.unionByName(copies).groupBy("key").agg(F.collect_set(F.struct("first", "end")).alias("parts"))
-        own = texts.join(parts, "key", "left").select("key", "data", "parts")
-        by_key = durable(own.mapInArrow(cut, "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").dropDuplicates(["key"]))
+        own = texts.join(parts, "key", "left").join(passages, "key", "left").select("key", "data", "parts", "passages")
+        by_key = durable(own.mapInArrow(cut, "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, n_passages long, passage_words long").dropDuplicates(["key"]))
     return names.join(by_key, "key").drop("key")

@@ -518,6 +518,49 @@ def test_repeats_against_brute_force(spark, seed, length, gram, block):
     assert [got[i] for i in range(len(texts))] == brute_repeats_of_texts(texts, length)
 
 
+def brute_passages_of_texts(texts, length):
+    """n_passages, passage_words of each text, by looking up all strings of words in all other texts."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    strings = [{tuple(w[i : i + length]) for i in range(len(w) - length + 1)} for w in words]
+    count = Counter(s for x in strings for s in x)
+    out = []
+    for w in words:
+        there = bytearray(len(w))
+        for i in range(len(w) - length + 1):
+            if count[tuple(w[i : i + length])] > 1:
+                there[i : i + length] = b"\1" * length
+        out.append((len(re.findall(b"\1+", bytes(there))), sum(there)))
+    return out
+
+
+@pytest.mark.parametrize(("seed", "passage"), [(1, 12), (2, 5), (3, 51)])
+def test_passages_against_brute_force(spark, seed, passage):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdé", k=rng.randint(1, 3)))
+    passages = [[word() for _ in range(rng.randint(passage - 3, 2 * passage))] for _ in range(8)]
+    some = lambda: rng.choice([[word()], [word(), word()], rng.choice(passages), rng.choice(passages)[rng.randint(0, 4) :]])
+    texts = ["".join(w + rng.choice([" ", " ", "\n", "\t "]) for _ in range(rng.randint(0, 12)) for w in some()) for _ in range(60)]
+    texts += [None, "", texts[3], texts[3], "the " * 200, "a b " * 90, "b a " * 90, " ".join(passages[0]), "x" * 900, "x" * 900, "\u00a0 ".join("abcdefgh") * 20]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_passages"], r["passage_words"]) for r in suffixdedup.remove_repeats(df, passage=passage).collect()}
+    want = brute_passages_of_texts(texts, passage)
+    assert [got[i] for i in range(len(texts))] == want
+    assert sum(n > 0 for n, _ in want) > 10
+
+
+def test_short_passages_are_seen_but_stay(spark):
+    """60 words of 239 bytes in two documents: no string of 400 bytes is repeated, so all stays."""
+    words = [f"w{i:02d}" for i in range(60)]
+    texts = [" ".join([*(f"a{i:02d}" for i in range(90)), *words]), "\n".join([*words, *(f"b{i:02d}" for i in range(90))]), " ".join(words[:50]), " ".join(f"c{i:02d}" for i in range(150))]
+    got = suffixdedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_removed"], r["n_passages"], r["passage_words"]) for r in got) == [(0, 0, 1, 60), (1, 0, 1, 60), (2, 0, 0, 0), (3, 0, 0, 0)]
+
+
+def test_words_of_a_long_text_are_hashed_by_stretches():
+    data = " ".join(random.Random(5).choices(["a", "bc", "déf", "\n", "x" * 70], k=3000)).encode()
+    assert suffixdedup.word_hashes(data, 64).tolist() == suffixdedup.word_hashes(data).tolist()
+
+
 def test_stretches_of_a_long_text_have_the_same_segments():
     data = bytes(np.random.default_rng(4).integers(97, 100, 5000, dtype=np.uint8))
     whole = {(int(a), int(h)) for x in suffixdedup.segments(data, 60, 10) for a, h in zip(x[0], x[1], strict=True)}
